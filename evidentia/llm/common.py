@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -30,6 +32,25 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_table(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the checkpoint folder: for wide rows of which later steps read few columns."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evidentia-checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver find the shuffles that nothing refers to any more, so that executors delete their files.
+
+    Spark does so whenever the driver's JVM collects garbage; after a checkpoint, before the next large shuffle, is the time for it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tokenizer_path(name: str) -> str:
     """Path of a public vocabulary file; EVIDENTIA_TOKENIZERS names another folder."""
     if folder := os.environ.get("EVIDENTIA_TOKENIZERS"):

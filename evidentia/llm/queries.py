@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, lm, packing, secrets, sharding
+from . import ann, bpe, langid, lm, minhash, packing, quality, secrets, sharding, suffixes
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_lm_score": lm.op4_lm_score,
+    "op5_ann": ann.op5_ann,
+    "op6_minhash": minhash.op6_minhash,
+    "op7_quality": quality.op7_quality,
     "op8_sharding": sharding.op8_sharding,
     "op9_packing": packing.op9_packing,
     "op10_language_id": langid.op10_language_id,

@@ -7,6 +7,7 @@ import hashlib
 import re
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,14 +85,10 @@ def redacted(text: Column, vocabulary: str | None = None, ratio: float = RATIO,
     """The text with each secret (overlapping ones as one) replaced by mark; null stays null."""
     path = vocabulary or tokenizer_path("byte_bpe_50k.tiktoken")
 
-    @F.pandas_udf("string")
-    def redact(s):
+    def redact(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else _replaced(t, find(t, path, ratio), mark))
 
-    import pandas as pd
-
-    redact.func.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return redact(text)
+    return F.pandas_udf(redact, "string")(text)
 
 
 def _replaced(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
