@@ -311,3 +311,19 @@ def test_streams(spark, tmp_path):
     for name, df in (("win", ss.windowed_counts(ev(), "10 seconds", "1 minute")), ("gap", ss.gap_sessions(ev(), "5 seconds", "1 minute"))):
         df.writeStream.format("memory").queryName(name).outputMode("complete" if name == "win" else "append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("win").count() == 2
+
+
+def test_registry(spark):
+    from evidentia.operators import registry as rg
+
+    u = spark.createDataFrame([("v", f"u{i}", i * 4000, i * 4000 + 1000, "(music)" if i == 1 else f"<i>these are four words {i}</i>") for i in range(8)], "video_id string, utterance_id string, start_ms long, end_ms long, text string")
+    s = spark.createDataFrame([("v", f"s{i}", i * 5000, i * 5000 + 5000) for i in range(7)], "video_id string, shot_id string, start_ms long, end_ms long")
+    t = rg.dialogue_registry(u, s, "train", "t", first=3)
+    got = {r.task_id: r for r in t.collect()}
+    assert set(got) == {"t_001", "t_002", "t_003"} and got["t_001"].start_ms == 0 and got["t_001"].shot_ids == ["s0"] and got["t_002"].shot_ids == ["s1", "s2"]
+    assert rg.dialogue_registry(u, s, "val", "w", spread=2).count() == 2
+    r = rg.registry_report(t.unionByName(rg.dialogue_registry(u, s, "val", "w", spread=2))).first()
+    assert r.videos == 1 and r.shared == {"train/val": 1} and r.splits["train"].tasks == 3
+    raw = spark.createDataFrame([("q", "Find the Red car", [[1.5, 3.0]], [2, 1, 2]), ("r", "x", [], [1])], "qid string, query string, windows array<array<double>>, clips array<int>")
+    a = rg.annotation_registry(raw, "val").collect()
+    assert len(a) == 1 and a[0].clip_ids == [1, 2] and a[0].search_terms == ["find", "the", "red", "car"] and a[0].target_segments[0].end_ms == 3000
