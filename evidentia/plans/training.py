@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..operators import episodes as ep
+from ..operators import prompts as pr
 from ..operators import training as tr
 from ..sources import subtitles as sb
 from .search import updated
@@ -143,3 +144,33 @@ def role_violations(spark, sf_dir):
     pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (F.col("event_id") % n + 1).cast("int"))
     s = table(spark, sf_dir, "events").select("event_id", pick(3, "timeline", "vision", "auditor").alias("role"), pick(2, "search_visual", "request_audit").alias("tool"))
     return ep.outside_role(s).select("event_id", F.concat_ws("/", "role", "tool").alias("call"))
+
+
+@plan("""SELECT d.doc_id, d.source || '/' || d.lang AS unit, CASE WHEN d.doc_id % 3 = 0 THEN 'a,b' ELSE '' END AS tags FROM documents d""")
+def visual_tags(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    units = d.select("doc_id", F.col("source").alias("video_id"), F.concat_ws("_", "lang", F.col("doc_id").cast("string")).alias("shot_id"), F.concat_ws("/", "source", "lang").alias("unit"))
+    tags = units.where("doc_id % 3 = 0").select(F.concat_ws(":", "video_id", "shot_id").alias("key"), F.array(F.lit("a"), F.lit("b")).alias("tags"))
+    return pr.with_tags(units, tags).select("doc_id", "unit", F.array_join("tags", ",").alias("tags"))
+
+
+@plan("SELECT doc_id AS task_id, source AS video_id, lang AS query, max(doc_id % 50 = 7) OVER (PARTITION BY source) AS video_has_dialogue, 10 AS tool_budget FROM documents")
+def public_prompts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("task_id"), F.col("source").alias("video_id"), F.col("lang").alias("query"), "n_chars")
+    return pr.public_prompt(d, d.select("video_id", (F.col("task_id") % 50 == 7).alias("has_dialogue")))
+
+
+@plan("SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN coalesce(max(CASE WHEN event_type = 'purchase' THEN value END), -1) ELSE -1 END AS reward FROM events GROUP BY 1")
+def final_rewards(spark, sf_dir):
+    s = steps(spark, sf_dir)
+    e = s.groupBy(F.col("user_id").alias("episode_id")).agg(F.bool_or(F.col("tool") == "purchase").alias("done"), F.max(F.when(F.col("tool") == "purchase", F.col("value"))).alias("reward"))
+    return pr.final_rewards(e).select(F.col("episode_id").alias("user_id"), "reward")
+
+
+@plan("""WITH k AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_quantity) AS s, list(l_quantity ORDER BY l_linenumber, l_quantity) AS q FROM lineitem GROUP BY 1)
+SELECT l_orderkey AS task_id, unnest(s[2:]) AS shot_id, unnest(q[2:]) AS score FROM k""")
+def saliency_rows(spark, sf_dir):
+    k = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("task_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("s"))
+    rest = F.slice("s", 2, F.greatest(F.lit(0), F.size("s") - 1))
+    t = k.select("task_id", F.transform(rest, lambda x: x["l_linenumber"]).alias("shot_ids"), F.transform(rest, lambda x: F.array(x["l_quantity"])).alias("saliency_scores"))
+    return pr.saliency_rows(t).select("task_id", "shot_id", F.col("scores")[0].alias("score"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vectors as vx
 from ..functions.timecode import seconds_to_ms
 
 EXCLUDED = (".git", "__pycache__", "tmp")
@@ -26,6 +27,28 @@ def read_ordered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame
     return lines.select("pos", F.from_json("line", schema).alias("r")).select("pos", "r.*")
 
 
+TASK = "task_id string, query string, search_terms array<string>, target_start_ms long, target_end_ms long, split string"
+
+
+def load_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """Flat tasks in file order."""
+    return read_ordered_jsonl(spark, path, TASK)
+
+
+def read_yaml(path: str) -> dict:
+    """A configuration, on the driver; needs PyYAML."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f)
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """(path, clip, embedding) of NPZ features, rows of length one."""
+    raw = read_npz(spark, path, ids="", vectors="features")
+    return raw.select("path", F.col("id").cast("int").alias("clip"), vx.normalized(vx.doubles(F.col("embedding"))).alias("embedding"))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 

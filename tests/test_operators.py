@@ -327,3 +327,28 @@ def test_registry(spark):
     raw = spark.createDataFrame([("q", "Find the Red car", [[1.5, 3.0]], [2, 1, 2]), ("r", "x", [], [1])], "qid string, query string, windows array<array<double>>, clips array<int>")
     a = rg.annotation_registry(raw, "val").collect()
     assert len(a) == 1 and a[0].clip_ids == [1, 2] and a[0].search_terms == ["find", "the", "red", "car"] and a[0].target_segments[0].end_ms == 3000
+
+
+def test_audit_command(spark, tmp_path, capsys):
+    import hashlib
+
+    from evidentia import audit
+
+    (tmp_path / "a.bin").write_bytes(b"1234")
+    task = {"task_id": "t", "video_id": "v", "split": "train", "query": "q", "target_segments": [{"start_ms": 0, "end_ms": 5}], "evidence": {"shot_ids": ["s"]}}
+    (tmp_path / "tasks.jsonl").write_text(json.dumps(task) + "\n")
+    m = {"capacity": {"hard_limit_bytes": 10**6}, "tasks": {"path": "tasks.jsonl", "count": 1}, "videos": [{"video_id": "v", "duration_ms": 10, "artifacts": [{"path": "a.bin", "bytes": 4, "sha256": hashlib.sha256(b"1234").hexdigest().upper()}]}]}
+    for change, status in (({}, 0), ({"bytes": 5}, 1), ({"sha256": "00"}, 1)):
+        m["videos"][0]["artifacts"][0] |= change
+        (tmp_path / "m.json").write_text(json.dumps(m))
+        assert audit.main([str(tmp_path / "m.json"), "--root", str(tmp_path)]) == status
+    m["videos"][0]["artifacts"][0] |= {"bytes": 4}
+    (tmp_path / "m.json").write_text(json.dumps(m))
+    assert audit.main([str(tmp_path / "m.json"), "--root", str(tmp_path), "--skip-hashes"]) == 0
+
+
+def test_features_and_tasks(spark, tmp_path):
+    np.savez(tmp_path / "f.npz", features=np.array([[3.0, 4.0], [0.0, 0.0]]))
+    assert rows(fs.read_features(spark, str(tmp_path / "f.npz")).select("clip", "embedding"), "clip") == [(0, [0.6, 0.8]), (1, [0.0, 0.0])]
+    (tmp_path / "t.jsonl").write_text('{"task_id": "a", "search_terms": ["x"], "target_start_ms": 1}\n')
+    assert fs.load_tasks(spark, str(tmp_path / "t.jsonl")).first().search_terms == ["x"]
