@@ -186,7 +186,7 @@ def oversampled_mix(spark, sf_dir):
     from ..operators.training import mixed
 
     lab = table(spark, sf_dir, "labels")
-    return mixed([(lab.where("quality = 1"), 5), (lab.where("quality = 0"), 2)]).groupBy("quality", "copy").agg(F.count("*").alias("n"))
+    return mixed([(lab.where("quality = 1"), 5), (lab.where("quality = 0"), 2)]).groupBy("quality", F.col("copy").cast("long").alias("copy")).agg(F.count("*").alias("n"))
 
 
 @plan("SELECT lang, count(*) AS n, sum(quality)::BIGINT AS good, round(avg(quality), 6) AS rate FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 GROUP BY 1")
