@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, mix64, per_document, segment_sums, shared_checkpoint, starts_of, word_codes, word_hashes
+from .common import documents, mix64, per_document, shared_checkpoint, starts_of, word_codes, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -20,6 +21,10 @@ PERCENT = 75
 PERMUTATIONS, BANDS = 64, 32
 #: Bits of the filter of ids that thins the texts out before they are joined with the candidates: its size is fixed.
 ID_BITS = 1 << 22
+#: Most shingles of a family of candidates that one task links.
+FAMILY = 1 << 21
+#: Counters, as a power of two, of the sketch that orders shingles by frequency.
+SKETCH_BITS = 18
 
 _rng = np.random.default_rng(20240501)
 MULTIPLY = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,6 +83,86 @@ def _sets(texts: list[str]):
     return [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [s.tobytes() for s in sets]
 
 
+def link_family(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Least id of each set's component, every link among the sets counted; rows of one id are one node.
+
+    A set is held against all others at once through the shingles' posting lists. Sets that are in the largest component
+    by then need not be, as all others are held against them.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    by = np.argsort(code, kind="stable")
+    owner, size = row[by], np.bincount(code)
+    begin = np.cumsum(size) - size
+    at = np.cumsum(n) - n
+    _, label = np.unique(ids, return_inverse=True)  # labels in order of ids
+    least = np.sort(np.unique(ids))
+    todo = np.ones(len(sets), bool)
+    while True:
+        wait = np.flatnonzero(todo & (label != np.bincount(label).argmax()))
+        if not len(wait):
+            wait = np.flatnonzero(todo) if todo.all() else wait
+            if not len(wait):
+                return least[label]
+        i = wait[0]
+        todo[i] = False
+        mine = code[at[i] : at[i] + n[i]]
+        both = np.bincount(np.concatenate([owner[begin[c] : begin[c] + size[c]] for c in mine.tolist()]), minlength=len(sets))
+        near = np.unique(label[100 * both >= percent * (n + n[i] - both)])
+        label[np.isin(label, near)] = near[0]
+
+
+def _prefix(size: int, part: int, whole: int) -> int:
+    """How many of its rarest shingles a set must look at if part / whole of it is in common."""
+    return size - -(-size * part // whole) + 1
+
+
+def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that can be similar enough: those that share one of their rarest shingles.
+
+    Shingles are ordered by how often they are there, by a sketch of fixed size, then by hash: any order that all sets share
+    finds all pairs, and with this one a shingle that a large group has in common is looked at last.
+    """
+    spark, bits = sets.sparkSession, SKETCH_BITS
+
+    def count(batches):
+        total = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            for x in b.column("set"):
+                np.add.at(total, (np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - bits)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    counted = sets.select("set").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # 1 << SKETCH_BITS at most
+    often = np.zeros(1 << bits, np.int64)
+    for r in counted:
+        often[r["at"]] = r["n"]
+    shared = spark.sparkContext.broadcast(often)
+
+    def rarest(batches):
+        often = shared.value
+        for b in batches:
+            rows, token, first = [], [], []
+            for i, x in enumerate(b.column("set")):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                s = s[np.lexsort((s, often[(s >> np.uint64(64 - bits)).astype(np.int64)]))]
+                k = _prefix(len(s), percent, 100)
+                rows.append(np.full(k, i))
+                token.append(s[:k].view(np.int64))
+                first.append(np.arange(k) < _prefix(len(s), 2 * percent, 100 + percent))
+            at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), b.column("n").take(pa.array(at)), pa.array(np.concatenate(token) if rows else [], pa.int64()), pa.array(np.concatenate(first) if rows else [], pa.bool_())], names=["id", "n", "token", "few"])
+
+    plain = sets.select("id", (F.octet_length("set") / 8).cast("long").alias("n"), "set")
+    kind = T.StructType([plain.schema["id"], *T.StructType.fromDDL("n long, token long, few boolean")])
+    rare = plain.mapInArrow(rarest, kind).join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    x, y = rare.alias("x"), rare.where("few").alias("y")
+    smaller = (F.col("y.n") < F.col("x.n")) | (F.col("y.n") == F.col("x.n")) & (F.col("y.id") < F.col("x.id"))
+    pair = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & smaller & (100 * F.col("y.n") >= percent * F.col("x.n")))
+    return pair.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
@@ -101,46 +186,63 @@ def _thinned(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.withColumn("p", place("id")).join(F.broadcast(words), F.floor(F.col("p") / 64) == F.col("w")).where("(m & shiftleft(1L, cast(p % 64 as int))) != 0").drop("p", "w", "m")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, digest, set, ...) of the wanted classes (id, digest, ...), from the texts of their ids."""
+    texts = _thinned(rows.where("id is not null"), wanted.select("id")).join(wanted.select("id").distinct(), "id", "left_semi")
+    made = per_document(texts, "id", "text", "digest binary, set binary", _sets)
+    return made.join(wanted, ["id", "digest"])
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, family: int = FAMILY) -> DataFrame:
     """Near-duplicate groups of whole texts: id, n_shingles, component_id (least id reachable), kept (it is the id).
 
-    Documents of equal sets are one class, stood for by the least id. In each band's bucket all classes are held against the
-    least one; links are confirmed on full sets and joined to components; then in buckets whose members are still in
-    different components, every two members of different components and fitting sizes are confirmed as well. So within a
-    bucket no link is lost that joins components, while a group of copies costs one comparison for each member and bucket.
+    Documents of equal sets are one class, stood for by the least id, so exact copies cost nothing further. Classes that share
+    a band's bucket, directly or over others, are a family; a family of at most family shingles is linked in one task, which
+    holds every set against all others on full sets. Larger families are linked in many tasks: every class with the least one of its
+    buckets, then all pairs of different components that share one of their rarest shingles. Neither emits all pairs of a
+    bucket, and neither loses a link.
 
     Texts without words are linked with nothing. Rows with one id count as one document (and are each returned); a null id
     takes no part: its component_id is null and it is kept. Other columns are not read.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = shared_checkpoint(per_document(rows, "id", "text", "n_shingles long, digest binary, bands array<long>", _signatures))
-    classes = signed.where("id is not null and digest is not null").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("c")).select("digest", "c.id", "c.n_shingles", "c.bands")
-    keys = classes.select("id", "digest", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("id", "n")).alias("least")).where("many > 1").select("key", "least")
-    members = shared_checkpoint(keys.join(buckets, "key"))
-    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    pairs = members.where(F.col("id") != F.col("least.id")).where(fits(F.col("n"), F.col("least.n"))).select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct()
-    wanted = members.select("id", "digest").distinct()
-    texts = _thinned(rows.where("id is not null"), wanted.select("id"))
-    sets = per_document(texts.join(wanted.select("id").distinct(), "id", "left_semi"), "id", "text", "digest binary, set binary", _sets)
-    sets = shared_checkpoint(sets.dropDuplicates(["id", "digest"]).join(wanted, ["id", "digest"], "left_semi"))
-    links = shared_checkpoint(_confirmed(pairs, sets, percent).distinct())
+    worded = signed.where("id is not null and digest is not null")
+    classes = worded.groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("c")).select("digest", "c.id", F.col("c.n_shingles").alias("n"), "c.bands")
+    keys = classes.select("id", "digest", "n", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("many"), F.min("id").alias("least")).where("many > 1").select("key", "least")
+    members = shared_checkpoint(keys.join(buckets, "key").select("id", "digest", "n", "least").distinct())
+    # A class meets the least of its leasts, and so do the others of them: one link a class, and few among leasts.
+    met = members.groupBy("id").agg(F.collect_set("least").alias("l")).select("id", "l", F.array_min("l").alias("b"))  # BANDS leasts at most
+    linked = met.select(F.col("id").alias("a"), "b").unionByName(met.select(F.explode("l").alias("a"), "b").distinct()).where("a <> b")
+    of = components(linked).select(F.col("node").alias("id"), F.col("label").alias("family"))
+    wanted = shared_checkpoint(members.select("id", "digest", "n").distinct().join(of, "id"))
+    sizes = wanted.groupBy("family").agg(F.sum("n").alias("size"))
+    large = shared_checkpoint(sizes.where(F.col("size") > family).select("family"))
+    any_large = large.limit(1).count() > 0
+    schema = T.StructType([T.StructField("node", df.schema[id_col].dataType), T.StructField("label", df.schema[id_col].dataType)])
+
+    def link(table):
+        ids = np.array(table.column("id").to_pylist())
+        label = link_family(ids, [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")], percent)
+        return pa.table([table.column("id"), pa.array(label.tolist(), table.schema.field("id").type)], names=["node", "label"])
+
+    small = wanted.join(large, "family", "left_anti") if any_large else wanted
+    labels = _sets_of(rows, small).select("id", "family", "set").groupBy("family").applyInArrow(link, schema).distinct()
+    if any_large:
+        sets = shared_checkpoint(_sets_of(rows, wanted.join(large, "family", "left_semi")))
+        stars = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).join(sets.select(F.col("id").alias("b")).distinct(), "b", "left_semi").select("a", "b").distinct()
+        links = shared_checkpoint(_confirmed(stars, sets, percent))
+        more = shared_checkpoint(_confirmed(_rare_pairs(sets, components(links), percent), sets, percent))
+        labels = labels.unionByName(components(links.unionByName(more)))
+    labels = shared_checkpoint(labels)
     # One id with several texts is one document.
-    twice = signed.where("id is not null and digest is not null").groupBy("id", "digest").agg(F.lit(1).alias("one")).join(classes.select("digest", F.col("id").alias("rep")), "digest").where("id <> rep").select("digest", "id", "rep")
-    several = twice.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("k"))
-    own = classes.select("id").join(twice.select("id", F.col("rep").alias("b")), "id").select(F.col("id").alias("a"), "b").where("a <> b")
-    links = links.unionByName(several.where("a <> b and k = 2").select("a", "b")).unionByName(twice.join(several.where("k > 2").select("id", "a"), "id").select("a", F.col("rep").alias("b")).where("a <> b")).unionByName(own)
-    labels = components(links)
-    labelled = members.select("key", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = shared_checkpoint(labelled.join(split, "key"))
-    x, y = open_.alias("x"), open_.alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & fits(F.col("x.n"), F.col("y.n"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = shared_checkpoint(_confirmed(more.join(pairs, ["a", "b"], "left_anti"), sets, percent))
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
-    of = classes.select("digest", F.col("id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"))
-    out = signed.select("id", "n_shingles", "digest").join(of, "digest", "left")
+    several = shared_checkpoint(worded.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id"))
+    if several.limit(1).count():
+        spread = worded.join(several, "id").join(classes.select("digest", F.col("id").alias("rep")), "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        labels = components(spread.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    of_class = classes.select("digest", F.col("id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"))
+    out = signed.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
