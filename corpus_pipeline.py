@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import langid, minhash, packing, secrets, suffixes
-from evidentia.llm.common import documents, release, shared_table
+from evidentia.llm.common import documents, release, shared_table, slices, small_batches
 
 #: A document whose best language is less likely than this is rejected, as are those without letters.
 LEAST_SCORE = 0.5
@@ -20,11 +20,15 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters or of no likely language."""
+    small_batches(spark)
     model = spark.sparkContext.broadcast(langid.train(docs))
 
     def likely(s: pd.Series) -> pd.Series:
-        lang, score = model.value.predict([t or "" for t in s]) if len(s) else ([], [])
-        return pd.Series([a != "und" and b >= LEAST_SCORE for a, b in zip(lang, score, strict=True)], dtype=bool)
+        texts, out = [t or "" for t in s], []
+        for a, b in slices([len(t) for t in texts]):
+            lang, score = model.value.predict(texts[a:b])
+            out += [x != "und" and y >= LEAST_SCORE for x, y in zip(lang, score, strict=True)]
+        return pd.Series(out, dtype=bool)
 
     return docs.where(F.pandas_udf(likely, "boolean")("text")).select("doc_id", "text", "lang", "source", "n_chars")
 
@@ -37,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that stand earlier; documents of which nothing is left go."""
-    cut = suffixes.remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("id"), F.col("n_bytes").alias("bytes"), suffixes.whole_characters(F.col("kept")).alias("rest"))
+    cut = suffixes.remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("id"), F.col("n_bytes").alias("bytes"), F.col("kept_text").alias("rest"))
     joined = docs.join(cut.dropDuplicates(["id", "bytes"]), F.col("doc_id").eqNullSafe(F.col("id")) & (F.octet_length("text") == F.col("bytes")), "left")
     return _with_text(joined, F.coalesce("rest", "text")).where("text is null or length(text) > 0")
 

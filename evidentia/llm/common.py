@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,9 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker takes at once.
 SLICE_BYTES = 1 << 20
-#: Bytes of text in a block of documents (see with_blocks).
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+#: Bytes of text in a block of documents that one task call takes whole.
 BLOCK_BYTES = 4 << 20
 
 
@@ -60,6 +64,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(2)
+def encoding(path: str):
+    """The tiktoken encoding of a rank file; one a worker, whoever uses it."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch of texts holds in an executor and its Python workers: sets the session's limit of rows, if it is higher."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def slices(sizes: Sequence[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(start, end) of runs of rows with at most limit bytes, or one row."""
     start = total = 0
@@ -81,6 +103,7 @@ def per_document(df: DataFrame, id_col: str, text_col: str, out: str, fn: Callab
     made = T.StructType.fromDDL(out)
     schema = T.StructType([*first, *made])
     k = len(first)
+    small_batches(df.sparkSession)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -7,7 +7,6 @@ A segment tree over remaining capacities finds the tightest open bins in logarit
 
 from __future__ import annotations
 
-import base64
 import zlib
 from functools import lru_cache
 
@@ -18,28 +17,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import documents, shared_checkpoint, slices, text_sizes, tokenizer_path
+from .common import documents, encoding, shared_checkpoint, slices, small_batches, text_sizes, tokenizer_path
 
 CAPACITY = 2048
 SALTS = 256
 SPECIAL = "<|endoftext|>"
 
 
-@lru_cache(2)
-def _encoders(ranks_path: str, json_path: str):
-    import public_tokenizers
-    import tiktoken
+@lru_cache(1)
+def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(json_path)
+    return Tokenizer.from_file(path)
 
 
 def token_ids(text: str, ranks_path: str, json_path: str) -> np.ndarray:
     """Ids as tokenizers gives them for json_path, then id 0; the same vocabulary as ranks is four times as fast and gives the same ids but for the special token's string."""
-    fast, exact = _encoders(ranks_path, json_path)
-    ids = np.array(exact.encode(text, add_special_tokens=False).ids, "<u4") if SPECIAL in text else fast.encode_to_numpy(text, disallowed_special=())
+    ids = np.array(_tokenizer(json_path).encode(text, add_special_tokens=False).ids, "<u4") if SPECIAL in text else encoding(ranks_path).encode_to_numpy(text, disallowed_special=())
     return np.append(ids.astype("<u4"), np.uint32(0)).astype("<u4")
 
 
@@ -52,6 +46,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every whole text (null: empty): id, piece, start, length, ids_crc32. A narrow map."""
     ranks_path, json_path = tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("byte_bpe_50k.json")
+    small_batches(df.sparkSession)
     schema = T.StructType([df.schema[id_col], *T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long")])
 
     def run(batches):

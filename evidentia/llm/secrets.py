@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, per_document, tokenizer_path
+from .common import documents, encoding, per_document, small_batches, tokenizer_path
 
 KINDS = ("assign", "access", "hex", "dense")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -27,16 +25,6 @@ PART = re.compile(r"(?:[A-Z]?[a-z]*|[A-Z]+)(?:[A-Z][a-z]+)*[0-9]{0,4}|[0-9]+")
 RATIO = 2.0
 
 
-@lru_cache(4)
-def _encoding(path: str):
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def known(s: str) -> bool:
     """A digest, a UUID, a number or an identifier: strings of this kind are no secrets by themselves."""
     if UUID.fullmatch(s) or len(s) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
@@ -55,7 +43,7 @@ def find(text: str | None, path: str, ratio: float = RATIO) -> list[tuple[str, i
         a, b = m.span()
         if any(x < b and a < y for x, y in base) or known(m[0]):
             continue
-        if b - a <= ratio * len(_encoding(path).encode_ordinary(m[0])):
+        if b - a <= ratio * len(encoding(path).encode_ordinary(m[0])):
             found.append(("dense", a, b))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -88,6 +76,7 @@ def redacted(text: Column, vocabulary: str | None = None, ratio: float = RATIO,
     def redact(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else _replaced(t, find(t, path, ratio), mark))
 
+    small_batches(SparkSession.active())
     return F.pandas_udf(redact, "string")(text)
 
 
