@@ -17,8 +17,8 @@ NONE = np.int64(1 << 40)
 LONG = 2048
 #: Rows times width of a matrix.
 CELLS = 1 << 20
-#: Pretokens that a worker remembers.
-REMEMBERED = 200_000
+#: Pretokens that a worker remembers, twice over: those seen since the last change of generation, and those before.
+REMEMBERED = 250_000
 
 
 class Bpe:
@@ -42,6 +42,7 @@ class Bpe:
                     values.append(rank)
         self._build(np.array(keys, np.int64), np.array(values, np.int64))
         self.cache: dict[str, tuple[int, str, bytes]] = {}
+        self.before: dict[str, tuple[int, str, bytes]] = {}
 
     def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing with linear probing; keys that lose a slot to another go one further in the next pass."""
@@ -148,9 +149,13 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def remember(self, pretokens: set[str]) -> None:
-        if len(self.cache) + len(pretokens) > REMEMBERED:
-            self.cache.clear()
-        new = [p for p in pretokens if p not in self.cache]
+        """Has all pretokens in the cache; frequent ones outlive a change of generation."""
+        new = pretokens - self.cache.keys()
+        if len(self.cache) + len(new) > REMEMBERED:
+            self.cache, self.before, new = {}, self.cache, pretokens
+        old = new & self.before.keys()
+        self.cache.update((p, self.before[p]) for p in old)
+        new = list(new - old)
         for p, ids in zip(new, self.merge_rows([p.encode() for p in new]), strict=True):
             self.cache[p] = len(ids), ",".join(map(str, ids)), self.decode(ids)
 
@@ -180,8 +185,8 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         split = [b.split(t) for t in texts]
         b.remember({p for s in split for p in s})
         rows = [[b.cache[p] for p in s] for s in split]
-        n = [sum(x[0] for x in r) for r in rows]
-        ids, raw = [",".join([x[1] for x in r]) for r in rows], [b"".join([x[2] for x in r]) for r in rows]
+        parts = [tuple(zip(*r, strict=True)) or ((), (), ()) for r in rows]
+        n, ids, raw = [sum(x[0]) for x in parts], [",".join(x[1]) for x in parts], [b"".join(x[2]) for x in parts]
         if with_ids:
             return n, ids, raw
         return n, [hashlib.sha256(x.encode()).hexdigest() for x in ids], [hashlib.sha256(x).hexdigest() for x in raw]
