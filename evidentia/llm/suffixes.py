@@ -20,13 +20,12 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_count, documents, mix64, text_bytes
+from .common import block_count, documents, mix64, small_batches, text_bytes
 
 LENGTH = 100
 KMER = 32
@@ -38,8 +37,9 @@ LEAD = 32
 CHUNK = 1 << 19
 #: Suffixes that are sorted at once.
 BUCKET = 1 << 18
-#: A minimizer that so many blocks have sends its windows one by one, to buckets by their own hash.
-HOT_BLOCKS = 2048
+#: A minimizer at so many places sends its windows one by one, to buckets by their own hash: so no bucket has more segments
+#: of one minimizer than that.
+HOT_PLACES = 1 << 16
 POSITION = np.uint64((1 << 20) - 1)
 
 
@@ -235,25 +235,26 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _minimizers(block: int, docs: pa.Table, messages: pa.Table, bits: int) -> pa.Table:
-    """A block's minimizer hashes, each once, with whether it has it at several places; dealt by hash."""
+    """A block's minimizer hashes, each once, with the number of places (65,535 at most); dealt by hash."""
     found = [segments(t)[2] for *_, t in _first_texts(docs, messages)]
     if not found or not sum(map(len, found)):
         return MESSAGE.empty_table()
     h, n = np.unique(np.concatenate(found), return_counts=True)
-    cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    return _table([(k, block, "hashes", h[a:b].tobytes() + (n[a:b] > 1).tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b])
+    bucket = mix64(h) >> np.uint64(64 - bits)  # of another hash: the least of many hashes are all small
+    order = np.argsort(bucket, kind="stable")
+    h, n = h[order], n[order]
+    cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1, dtype=np.uint64))
+    return _table([(k, block, "hashes", h[a:b].tobytes() + np.minimum(n[a:b], 65535).astype("<u2").tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b])
 
 
-def _repeated(table: pa.Table, hot_blocks: int) -> pa.Table:
+def _repeated(table: pa.Table, hot_places: int) -> pa.Table:
     """Tells each block which of its minimizers occur elsewhere, and which are hot."""
     raw = [p.as_py() for p in table.column("payload")]
-    n = [len(r) // 9 for r in raw]
+    n = [len(r) // 10 for r in raw]
     h = [np.frombuffer(r, np.uint64, k) for r, k in zip(raw, n, strict=True)]
-    again = np.concatenate([np.frombuffer(r, np.bool_, k, 8 * k) for r, k in zip(raw, n, strict=True)])
-    every, which, blocks = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
-    twice = blocks > 1
-    twice[which[again]] = True
-    keep, hot = twice[which], (blocks >= hot_blocks)[which]
+    _, which = np.unique(np.concatenate(h), return_inverse=True)
+    places = np.bincount(which, np.concatenate([np.frombuffer(r, "<u2", k, 8 * k) for r, k in zip(raw, n, strict=True)]))[which]
+    keep, hot = places > 1, places >= hot_places
     rows, at = [], 0
     for b, k, x in zip(table.column("block").to_pylist(), n, h, strict=True):
         part = keep[at : at + k]
@@ -360,17 +361,18 @@ def _kept(raw: bytes, ranges: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]
     return np.frombuffer(raw, np.uint8)[~gone[1:-1]].tobytes(), list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bytes: int | None = None, hot_blocks: int = HOT_BLOCKS, with_text: bool = True) -> DataFrame:
-    """Removes each byte that lies in a 100-byte string which also starts earlier: id, n_bytes, n_removed, n_spans, kept_sha256, kept.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bytes: int | None = None, hot_places: int = HOT_PLACES, with_text: bool = True) -> DataFrame:
+    """Removes each byte that lies in a 100-byte string which also starts earlier: id, n_bytes, n_removed, n_spans, kept_sha256; with_text: kept, kept_text, spans.
 
     Earlier: in a document of smaller id, or before in the same. Null texts count as empty. Rows with one id and one text are
     one document and get one result each; of rows with one id and different texts that of the smaller text hash is the
-    earlier; null ids come before all others. kept (the remaining bytes) is there if with_text; other columns are not read.
+    earlier; null ids come before all others. kept has the remaining bytes, kept_text their whole characters. Other columns are not read.
 
     The texts are dealt out once, by a hash of id and text, and used in all three steps (one exchange, reused). All else that
-    moves is a fraction of them: hashes, repeated segments, ranges. A minimizer comes once from a block, and one that very many
-    blocks have is replaced by its single windows, so no bucket grows with the most frequent passage.
+    moves is a fraction of them: hashes, repeated segments, ranges. A minimizer comes once from a block, and one at very
+    many places is replaced by its single windows, so no bucket grows with the most frequent passage.
     """
+    small_batches(df.sparkSession)
     n_bytes = text_bytes(df, text_col) if n_bytes is None else n_bytes
     blocks = block_count(n_bytes)
     bits = max(3, min(24, (n_bytes >> 24).bit_length()))
@@ -391,7 +393,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return _minimizers(k[0].as_py(), d, m, bits)
 
     def repeated(t):
-        return _repeated(t, hot_blocks)
+        return _repeated(t, hot_places)
 
     def candidates(k, d, m):
         return _candidates(k[0].as_py(), d, m, buckets)
@@ -402,7 +404,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     answers = with_blocks(firsts).applyInArrow(minimizers, MESSAGE_DDL).groupBy("bucket").applyInArrow(repeated, MESSAGE_DDL)
     sent = with_blocks(told(answers)).applyInArrow(candidates, MESSAGE_DDL)
     ranges = sent.groupBy("bucket").applyInArrow(sort_bucket, MESSAGE_DDL)
-    out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * with_text)])
+    out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string, spans array<struct<start:long,end:long>>" * with_text)])
 
     def finish(d, m):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -420,7 +422,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kept, spans = _kept(raw, of.get((a, b), found[:0]))
             else:
                 kept, spans = (b"", [(0, len(raw))]) if len(raw) >= LENGTH else (raw, [])
-            for c, v in zip(cols, (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, [{"start": x, "end": y} for x, y in spans]), strict=False):
+            for c, v in zip(cols, (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore"), [{"start": x, "end": y} for x, y in spans]), strict=False):
                 c.append(v)
         arrow = to_arrow_schema(out)
         return pa.table([d.column("id").cast(arrow.field(0).type), *(pa.array(c, arrow.field(i).type) for i, c in enumerate(cols, 1))], schema=arrow)
@@ -428,14 +430,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_blocks(told(ranges)).applyInArrow(finish, out)
 
 
-def whole_characters(kept: Column) -> Column:
-    """Text of the kept bytes; characters that lost a byte go."""
-
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return F.pandas_udf(decode, "string")(kept)
-
-
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), with_text=False)
