@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 SAMPLE = 16384
 #: Vectors of a list that one task scans at a time; longer lists are split.
 CHUNK = 4096
-#: A query probes as many lists, nearest first, as hold this share of the true neighbours of queries tried on the sample.
+#: A query probes as many lists, nearest first, as hold this share of the true neighbours of distinct queries tried on the sample.
 FOUND, TRIED, LEAST_PROBES = 0.98, 128, 12
 #: Columns of a block, and the test's bound: a candidate is abandoned if its partial distance over d of D dimensions is
 #: above (1 + EPSILON / sqrt(d)) ** 2 * d / D of the distance to beat.
@@ -52,7 +52,9 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarr
 
 
 def probes_for(x: np.ndarray, centre: np.ndarray, k: int, share: float) -> int:
-    """How many lists hold the share of the k nearest of the first TRIED rows of x, all of x being candidates."""
+    """How many lists hold the share of the k nearest of TRIED distinct rows of x, all others being candidates."""
+    x = np.unique(x, axis=0)
+    x = x[np.random.default_rng(9).permutation(len(x))]
     q = x[:TRIED]
     near = q @ x.T
     near[np.arange(len(q)), np.arange(len(q))] = -2
