@@ -24,7 +24,8 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], span: int | N
 
     The keys join; the overlap filters. For long timelines give span: both sides are also dealt to stretches of that many
     milliseconds, so that a timeline with very many rows is joined in many tasks and in less than the product of its sides;
-    a pair is kept in the first stretch that both touch. Columns of right but the keys are returned as right_<name>.
+    a pair is kept in the first stretch that both touch. Columns of right but the keys are returned as right_<name>. Left rows
+    without a match come back by an anti-join on all of left's columns.
     """
     r = right.select(*on, *[F.col(c).alias(f"right_{c}") for c in right.columns if c not in on])
     hit = shared(F.col("start_ms"), F.col("end_ms"), F.col("right_start_ms"), F.col("right_end_ms"))
@@ -34,7 +35,6 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], span: int | N
         joined = joined.select("l.*", *[f"r.{c}" for c in r.columns if c not in on])
     else:
         cell = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / span), F.floor(F.greatest(F.col(s), F.col(e) - 1) / span)))
-        keyed = left.withColumn("__row", F.monotonically_increasing_id()) if how == "left" else left
         inner = left.withColumn("__cell", cell("start_ms", "end_ms")).alias("l").join(
             r.withColumn("__cell", cell("right_start_ms", "right_end_ms")).alias("r"),
             [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*on, "__cell"]] + [hit, F.floor(F.greatest("start_ms", "right_start_ms") / span) == F.col("l.__cell")],
@@ -43,7 +43,6 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], span: int | N
         if how == "left":
             none = left.join(inner.select(*left.columns).distinct(), [left[c].eqNullSafe(inner[c]) for c in left.columns], "left_anti")
             inner = inner.unionByName(none, allowMissingColumns=True)
-            del keyed
         joined = inner
     joined = joined.withColumns({k: F.when(F.col("right_start_ms").isNotNull(), v) for k, v in bounds.items()})
     return joined.withColumn("overlap_ms", F.col("overlap_end_ms") - F.col("overlap_start_ms"))

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import audits as au
+from ..operators import intervals as iv
 from ..operators import metrics as mx
 from ..operators import sampling as sp
+from ..operators import training as tr
+from ..sources import files as fs
 from .tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -136,9 +139,7 @@ def artifact_audit(spark, sf_dir):
 
 @plan("SELECT source AS top, count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1")
 def package_inventory(spark, sf_dir):
-    from ..sources.files import inventory
-
-    return inventory(table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("long").alias("bytes")))
+    return fs.inventory(table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("long").alias("bytes")))
 
 
 @plan("SELECT lang, upper(sha256(string_agg(doc_id::VARCHAR || ':' || upper(sha256(text)), '|' ORDER BY doc_id))) AS sha256 FROM documents GROUP BY lang")
@@ -183,10 +184,8 @@ def union_sources(spark, sf_dir):
 
 @plan("SELECT quality, copy, count(*) AS n FROM (SELECT quality, unnest(generate_series(1, CASE quality WHEN 1 THEN 5 ELSE 2 END)) AS copy FROM labels) GROUP BY 1, 2")
 def oversampled_mix(spark, sf_dir):
-    from ..operators.training import mixed
-
     lab = table(spark, sf_dir, "labels")
-    return mixed([(lab.where("quality = 1"), 5), (lab.where("quality = 0"), 2)]).groupBy("quality", F.col("copy").cast("long").alias("copy")).agg(F.count("*").alias("n"))
+    return tr.mixed([(lab.where("quality = 1"), 5), (lab.where("quality = 0"), 2)]).groupBy("quality", F.col("copy").cast("long").alias("copy")).agg(F.count("*").alias("n"))
 
 
 @plan("SELECT lang, count(*) AS n, sum(quality)::BIGINT AS good, round(avg(quality), 6) AS rate FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 GROUP BY 1")
@@ -218,21 +217,16 @@ def schema_audit(spark, sf_dir):
 
 @plan("SELECT name, passed FROM (VALUES ('record_ids_unique', true), ('one_keyframe_per_shot', true), ('shot_timeline_contiguous', true), ('utterances_within_timeline', true), ('evidence_units_match_shots', true), ('utterance_references_exact', true), ('all_utterances_linked', true)) v(name, passed)")
 def media_audit(spark, sf_dir):
-    from ..operators.intervals import evidence_units
-
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
     n = sp.ranked(o, ["k"]).withColumnRenamed("__rank", "pos")
     total = o.count() * 1000
     shots = n.select("pos", F.format_string("shot_%08d", "pos").alias("shot_id"), F.col("pos").cast("double").alias("start_s"), (F.col("pos") + 1).cast("double").alias("end_s"), F.format_string("k/%08d.jpg", "pos").alias("keyframe_path"))
     utts = n.where("pos % 3 = 0").select(F.format_string("utt_%08d", "pos").alias("utterance_id"), (F.col("pos") * 1000 + 250).alias("start_ms"), F.least(F.lit(total), F.col("pos") * 1000 + 1750).alias("end_ms"))
-    tl = shots.select(F.lit("v").alias("video_id"), "pos", "shot_id", (F.col("pos") * 1000).alias("start_ms"), ((F.col("pos") + 1) * 1000).alias("end_ms"), "keyframe_path", F.floor(F.col("pos") / 64).alias("cell"))
-    near = utts.select(F.lit("v").alias("video_id"), "utterance_id", "start_ms", "end_ms", F.lit("t").alias("text"))
+    tl = shots.select(F.lit("v").alias("video_id"), "pos", "shot_id", (F.col("pos") * 1000).alias("start_ms"), ((F.col("pos") + 1) * 1000).alias("end_ms"), "keyframe_path")
+    near = utts.select(F.lit("v").alias("video_id"), "utterance_id", "start_ms", "end_ms")
     # One long timeline: joined by stretches of it.
-    from ..operators.intervals import overlap_join
-
-    joined = overlap_join(tl.drop("cell"), near.drop("text"), ["video_id"], span=64_000)
+    joined = iv.overlap_join(tl, near, ["video_id"], span=64_000)
     refs = joined.groupBy("pos", "shot_id", "start_ms", "end_ms", "keyframe_path").agg(F.collect_list(F.when(F.col("right_utterance_id").isNotNull(), F.struct(F.col("right_utterance_id").alias("utterance_id"), "overlap_start_ms", "overlap_end_ms", "overlap_ms"))).alias("utterance_refs"))
-    del evidence_units
     return au.media_checks(shots, utts, refs, shots.select(F.col("keyframe_path").alias("path")), total).select("name", "passed")
 
 

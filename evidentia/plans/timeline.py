@@ -118,10 +118,11 @@ def interval_overlap_left(spark, sf_dir):
     return iv.overlap_join(days(ev), bought, ["user_id"]).select("user_id", "start_ms", "end_ms", "right_event_id", "overlap_start_ms", "overlap_end_ms", "overlap_ms")
 
 
-@plan(f"""WITH {SPANS} SELECT a.event_id, b.event_id AS right_event_id, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) AS overlap_ms
-FROM (SELECT * FROM ev WHERE event_type = 'view') a JOIN (SELECT * FROM ev WHERE event_type = 'click') b ON a.user_id = b.user_id AND greatest(a.start_ms, b.start_ms) < least(a.end_ms, b.end_ms)""")
+@plan(f"""WITH {SPANS}, wide AS (SELECT event_id, user_id, event_type, start_ms - 1800000 AS start_ms, end_ms + 1800000 AS end_ms FROM ev)
+SELECT a.event_id, b.event_id AS right_event_id, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) AS overlap_ms
+FROM (SELECT * FROM wide WHERE event_type = 'view') a JOIN (SELECT * FROM wide WHERE event_type = 'click') b ON a.user_id = b.user_id AND greatest(a.start_ms, b.start_ms) < least(a.end_ms, b.end_ms)""")
 def interval_overlap_bucketed(spark, sf_dir):
-    ev = spans(spark, sf_dir).select("user_id", "event_id", "event_type", "start_ms", "end_ms")
+    ev = spans(spark, sf_dir).select("user_id", "event_id", "event_type", (F.col("start_ms") - 1_800_000).alias("start_ms"), (F.col("end_ms") + 1_800_000).alias("end_ms"))
     joined = iv.overlap_join(ev.where("event_type = 'view'"), ev.where("event_type = 'click'"), ["user_id"], span=3_600_000, how="inner")
     return joined.select("event_id", "right_event_id", "overlap_ms")
 

@@ -19,7 +19,7 @@ def parse_srt(files: DataFrame, text: str = "text") -> DataFrame:
     go; a block whose times do not parse is an error when read.
     """
     clean = F.regexp_replace(F.regexp_replace(F.col(text), "^﻿", ""), "\r\n?", "\n")
-    blocks = files.withColumn("__b", F.split(F.trim(F.lit("\n \t"), clean) if False else clean, r"\n\s*\n"))
+    blocks = files.withColumn("__b", F.split(clean, r"\n\s*\n"))
     lines = blocks.select(*[c for c in files.columns if c != text], F.posexplode("__b").alias("__at", "__block")).withColumn("__l", F.filter(F.split(F.trim(F.regexp_replace("__block", r"^\s+|\s+$", "")), "\n"), lambda x: x.isNotNull()))
     lines = lines.where(F.size("__l") >= 2)
     skip = F.when(F.col("__l")[0].rlike(r"^\s*\d+\s*$"), 1).otherwise(0)
