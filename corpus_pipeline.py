@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import langid, minhash, packing, secrets, suffixes
-from evidentia.llm.common import documents, release, shared_table, slices, small_batches
+from evidentia.llm.common import documents, shared_checkpoint, shared_table, slices, prepare
 
 #: A document whose best language is less likely than this is rejected, as are those without letters.
 LEAST_SCORE = 0.5
@@ -20,7 +20,7 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters or of no likely language."""
-    small_batches(spark)
+    prepare(spark)
     model = spark.sparkContext.broadcast(langid.train(docs))
 
     def likely(s: pd.Series) -> pd.Series:
@@ -35,15 +35,17 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group (all rows of that id), and rows without an id."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    gone = shared_checkpoint(minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id")).distinct())
+    # Most documents stay, and a filter of fixed size tells so; only the others are shuffled.
+    told = minhash.told_apart(docs.withColumnRenamed("doc_id", "id"), gone)
+    rest = told.where("maybe").join(gone, "id", "left_anti")
+    return told.where("not maybe").unionByName(rest).select(F.col("id").alias("doc_id"), "text", "lang", "source", "n_chars")
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that stand earlier; documents of which nothing is left go."""
-    cut = suffixes.remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("id"), F.col("n_bytes").alias("bytes"), F.col("kept_text").alias("rest"))
-    joined = docs.join(cut.dropDuplicates(["id", "bytes"]), F.col("doc_id").eqNullSafe(F.col("id")) & (F.octet_length("text") == F.col("bytes")), "left")
-    return _with_text(joined, F.coalesce("rest", "text")).where("text is null or length(text) > 0")
+    """Cuts passages that stand earlier; documents that lose all of their text go."""
+    cut = suffixes.remove_repeats(docs.withColumn("none", F.col("text").isNull()), extra=["lang", "source", "none"]).where("n_removed = 0 or kept_text <> ''")
+    return _with_text(cut.withColumn("n_chars", F.lit(0)), F.when(~F.col("none"), F.col("kept_text")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,5 +76,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = shared_table(docs)
-            release(spark)
     return docs

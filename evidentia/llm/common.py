@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import gc
 import os
 import tempfile
 import uuid
@@ -46,15 +45,6 @@ def shared_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver find the shuffles that nothing refers to any more, so that executors delete their files.
-
-    Spark does so whenever the driver's JVM collects garbage; after a checkpoint, before the next large shuffle, is the time for it.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def tokenizer_path(name: str) -> str:
     """Path of a public vocabulary file; EVIDENTIA_TOKENIZERS names another folder."""
     if folder := os.environ.get("EVIDENTIA_TOKENIZERS"):
@@ -75,11 +65,13 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch of texts holds in an executor and its Python workers: sets the session's limit of rows, if it is higher."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def prepare(spark: SparkSession) -> None:
+    """What the operators ask of a session: few rows in an Arrow batch, as texts are long, which bounds what executors and their
+    Python workers hold; and that the shuffles of a finished action, such as a checkpoint, are deleted with it."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def slices(sizes: Sequence[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -103,7 +95,7 @@ def per_document(df: DataFrame, id_col: str, text_col: str, out: str, fn: Callab
     made = T.StructType.fromDDL(out)
     schema = T.StructType([*first, *made])
     k = len(first)
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -114,6 +106,7 @@ def per_document(df: DataFrame, id_col: str, text_col: str, out: str, fn: Callab
             for a, b in slices(text_sizes(text)):
                 cols = fn([x or "" for x in text.slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a).cast(arrow.field(i).type) for i in range(k)] + [pa.array(c, arrow.field(k + i).type) for i, c in enumerate(cols)], schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     return df.select(*[F.col(f"`{c}`") for c in (id_col, *extra)], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, mix64, per_document, shared_checkpoint, starts_of, word_codes, word_hashes
+from .common import documents, mix64, per_document, prepare, shared_checkpoint, starts_of, word_codes, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -179,16 +179,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(compare, joined.select("a", "b").schema)
 
 
-def _thinned(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id may be among ids, by a filter of ID_BITS bits: 65,536 rows however many ids there are."""
+def told_apart(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Adds maybe: whether a row's id may be among ids (null: no), by a filter of ID_BITS bits: 65,536 rows however many ids there are."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
     words = ids.select(place("id").alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m"))
-    return docs.withColumn("p", place("id")).join(F.broadcast(words), F.floor(F.col("p") / 64) == F.col("w")).where("(m & shiftleft(1L, cast(p % 64 as int))) != 0").drop("p", "w", "m")
+    joined = docs.withColumn("p", place("id")).join(F.broadcast(words), F.floor(F.col("p") / 64) == F.col("w"), "left")
+    found = F.col("id").isNotNull() & (F.coalesce("m", F.lit(0).cast("long")).bitwiseAND(F.expr("shiftleft(1L, cast(p % 64 as int))")) != 0)
+    return joined.withColumn("maybe", found).drop("p", "w", "m")
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, digest, set, ...) of the wanted classes (id, digest, ...), from the texts of their ids."""
-    texts = _thinned(rows.where("id is not null"), wanted.select("id")).join(wanted.select("id").distinct(), "id", "left_semi")
+    texts = told_apart(rows, wanted.select("id")).where("maybe").join(wanted.select("id").distinct(), "id", "left_semi")
     made = per_document(texts, "id", "text", "digest binary, set binary", _sets)
     return made.join(wanted, ["id", "digest"])
 
@@ -205,6 +207,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts without words are linked with nothing. Rows with one id count as one document (and are each returned); a null id
     takes no part: its component_id is null and it is kept. Other columns are not read.
     """
+    prepare(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = shared_checkpoint(per_document(rows, "id", "text", "n_shingles long, digest binary, bands array<long>", _signatures))
     worded = signed.where("id is not null and digest is not null")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import documents, encoding, shared_checkpoint, slices, small_batches, text_sizes, tokenizer_path
+from .common import documents, encoding, shared_checkpoint, slices, prepare, text_sizes, tokenizer_path
 
 CAPACITY = 2048
 SALTS = 256
@@ -46,7 +46,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every whole text (null: empty): id, piece, start, length, ids_crc32. A narrow map."""
     ranks_path, json_path = tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("byte_bpe_50k.json")
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
     schema = T.StructType([df.schema[id_col], *T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long")])
 
     def run(batches):

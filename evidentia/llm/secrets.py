@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, encoding, per_document, small_batches, tokenizer_path
+from .common import documents, encoding, per_document, prepare, tokenizer_path
 
 KINDS = ("assign", "access", "hex", "dense")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -76,7 +76,7 @@ def redacted(text: Column, vocabulary: str | None = None, ratio: float = RATIO,
     def redact(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else _replaced(t, find(t, path, ratio), mark))
 
-    small_batches(SparkSession.active())
+    prepare(SparkSession.active())
     return F.pandas_udf(redact, "string")(text)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents
+from .common import documents, prepare
 
 CELLS = 1 << 16
 VIRTUAL_NODES = 256
@@ -111,6 +111,7 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is no hot cell by itself; equal rows take their places in any order. Rows move once, 40 bytes each, to rank them within their cell;
     every other table has a fixed size. Empty tables give empty ones; other columns are not read.
     """
+    prepare(df.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = df.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = base.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "text_crc32", "size")).withColumn("cell", F.pmod("h", F.lit(cells)).cast("long"))

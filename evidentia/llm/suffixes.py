@@ -17,6 +17,7 @@ Exact copies of a text are found by their digest before, so of each text only th
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_count, documents, mix64, small_batches, text_bytes
+from .common import block_count, documents, mix64, prepare, text_bytes
 
 LENGTH = 100
 KMER = 32
@@ -231,6 +232,7 @@ def _payloads(messages: pa.Table, kind: str) -> list[bytes]:
 
 
 def _table(rows: list[tuple]) -> pa.Table:
+    pa.default_memory_pool().release_unused()
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(MESSAGE)], schema=MESSAGE) if rows else MESSAGE.empty_table()
 
 
@@ -361,27 +363,29 @@ def _kept(raw: bytes, ranges: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]
     return np.frombuffer(raw, np.uint8)[~gone[1:-1]].tobytes(), list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bytes: int | None = None, hot_places: int = HOT_PLACES, with_text: bool = True) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bytes: int | None = None, hot_places: int = HOT_PLACES, with_text: bool = True, extra: Sequence[str] = ()) -> DataFrame:
     """Removes each byte that lies in a 100-byte string which also starts earlier: id, n_bytes, n_removed, n_spans, kept_sha256; with_text: kept, kept_text, spans.
 
     Earlier: in a document of smaller id, or before in the same. Null texts count as empty. Rows with one id and one text are
     one document and get one result each; of rows with one id and different texts that of the smaller text hash is the
-    earlier; null ids come before all others. kept has the remaining bytes, kept_text their whole characters. Other columns are not read.
+    earlier; null ids come before all others. kept has the remaining bytes, kept_text their whole characters. Columns in extra
+    are returned after the id; other columns are not read.
 
     The texts are dealt out once, by a hash of id and text, and used in all three steps (one exchange, reused). All else that
     moves is a fraction of them: hashes, repeated segments, ranges. A minimizer comes once from a block, and one at very
     many places is replaced by its single windows, so no bucket grows with the most frequent passage.
     """
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
     n_bytes = text_bytes(df, text_col) if n_bytes is None else n_bytes
     blocks = block_count(n_bytes)
-    bits = max(3, min(24, (n_bytes >> 24).bit_length()))
+    bits = max(3, min(24, (n_bytes >> 21).bit_length()))
     buckets = max(8, n_bytes >> 20)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))
     lite = [key.alias("doc"), F.xxhash64(text).alias("dig"), F.col(f"`{id_col}`").alias("id")]
     block = F.pmod(F.xxhash64("doc", "dig"), F.lit(blocks)).cast("long").alias("block")
-    docs = df.select(*lite, text.cast("binary").alias("raw")).select("doc", "dig", "id", "raw", block).repartition("block")
+    also = [f"x{i}" for i in range(len(extra))]
+    docs = df.select(*lite, text.cast("binary").alias("raw"), *[F.col(f"`{c}`").alias(x) for c, x in zip(extra, also, strict=True)]).select("doc", "dig", "id", "raw", *also, block).repartition("block")
     firsts = (
         df.select(*lite, F.sha2(text.cast("binary"), 256).alias("sha")).groupBy("sha").agg(F.min(F.struct("doc", "dig")).alias("d")).select("d.doc", "d.dig")
         .select(block, F.lit("first").alias("kind"), "doc", "dig", F.lit(None).cast("binary").alias("payload"))
@@ -404,7 +408,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     answers = with_blocks(firsts).applyInArrow(minimizers, MESSAGE_DDL).groupBy("bucket").applyInArrow(repeated, MESSAGE_DDL)
     sent = with_blocks(told(answers)).applyInArrow(candidates, MESSAGE_DDL)
     ranges = sent.groupBy("bucket").applyInArrow(sort_bucket, MESSAGE_DDL)
-    out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string, spans array<struct<start:long,end:long>>" * with_text)])
+    out = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in (id_col, *extra)], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string, spans array<struct<start:long,end:long>>" * with_text)])
 
     def finish(d, m):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -415,7 +419,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         edges = np.flatnonzero((np.diff(found["doc"]) != 0) | (np.diff(found["dig"]) != 0)) + 1
         of = {(int(x["doc"][0]), int(x["dig"][0])): x for x in np.split(found, edges) if len(x)}
         first = {(a, b) for k, a, b in zip(m.column("kind").to_pylist(), m.column("doc").to_pylist(), m.column("dig").to_pylist(), strict=True) if k == "first"}
-        cols = [[] for _ in out.names[1:]]
+        given = [d.column(c) for c in ("id", *also)]
+        cols = [[] for _ in out.names[len(given) :]]
         for a, b, r in zip(d.column("doc").to_pylist(), d.column("dig").to_pylist(), d.column("raw"), strict=True):
             raw = r.as_py()
             if (a, b) in first:
@@ -425,7 +430,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for c, v in zip(cols, (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore"), [{"start": x, "end": y} for x, y in spans]), strict=False):
                 c.append(v)
         arrow = to_arrow_schema(out)
-        return pa.table([d.column("id").cast(arrow.field(0).type), *(pa.array(c, arrow.field(i).type) for i, c in enumerate(cols, 1))], schema=arrow)
+        pa.default_memory_pool().release_unused()
+        return pa.table([*(c.cast(arrow.field(i).type) for i, c in enumerate(given)), *(pa.array(c, arrow.field(i).type) for i, c in enumerate(cols, len(given)))], schema=arrow)
 
     return with_blocks(told(ranges)).applyInArrow(finish, out)
 
