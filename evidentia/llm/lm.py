@@ -2,12 +2,14 @@
 
 Documents are dealt into blocks of bounded size. A block sends what it counted (hashes of words and of word pairs, each
 once) to buckets of the hash space; a bucket adds up the blocks' counts, fills its own slice of the Bloom filter, and
-answers each block with the exact training counts of the block's words. Blocks then score their documents.
+answers each block with the exact training counts of the block's words and the levels that the slice has for its words
+and pairs. Blocks then score their documents. No slice leaves its bucket, so the filter grows with the corpus.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,10 @@ BASE = 2.0
 #: Larger blocks send fewer words twice.
 BLOCK_BYTES = 6 << 20
 PROBES = 4
-#: The filter never has more bits, however large the corpus: its proven bound as a broadcast (64 MB). Beyond that it
-#: fills up and errs more often; nothing is left out.
-MOST_BITS = 1 << 29
-#: Bits for each byte of text, up to MOST_BITS.
+#: Bits of the filter for each byte of text, however large the corpus.
 BITS_PER_BYTE = 1.5
+#: Text, in bytes, for each bucket of the hash space, and the most bits of a bucket's number (unigram_hash keeps so many).
+BUCKET_BYTES, MOST_BUCKET_BITS = 4e6, 20
 #: Weight, in tokens, of the unigram distribution in that of a context.
 MU = 4.0
 LEVELS = 40
@@ -59,12 +60,18 @@ def expected(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (low + np.maximum(low, high)) / 2, 0.0)
 
 
+def sizes_of(n_bytes: int) -> tuple[int, int]:
+    """Bits of a bucket's number and, as a power of two, of its slice of the filter: BITS_PER_BYTE at least in all."""
+    bits = max(3, min(MOST_BUCKET_BITS, math.ceil(math.log2(max(1, n_bytes / BUCKET_BYTES)))))
+    return bits, max(6, 16 - bits, math.ceil(math.log2(max(1, n_bytes * BITS_PER_BYTE))) - bits)
+
+
 class Filter:
-    """A Bloom filter in slices: the leading bits of a hash choose the slice, the bits after them and a level the bits in it."""
+    """A slice of a Bloom filter: the leading bits of a hash choose the slice, the bits after them and a level the bits in it."""
 
-    def __init__(self, bucket_bits: int, slice_bits: int, words: np.ndarray | None = None):
+    def __init__(self, bucket_bits: int, slice_bits: int):
         self.bucket_bits, self.slice_bits = bucket_bits, slice_bits
-        self.bits = np.zeros(1 << max(0, bucket_bits + slice_bits - 3), np.uint8) if words is None else words
+        self.bits = np.zeros(1 << slice_bits - 3, np.uint8)
 
     def _places(self, fingerprints: np.ndarray, level: int) -> list[np.ndarray]:
         h = mix64(fingerprints + np.uint64(level * 0xA0761D6478BD642F & (1 << 64) - 1))
@@ -73,20 +80,21 @@ class Filter:
         return [(a + np.uint64(i) * b >> np.uint64(3)) & mask for i in range(PROBES)]
 
     def add(self, fingerprints: np.ndarray, counts: np.ndarray) -> None:
-        """Into a filter that is one slice."""
         levels = levels_of(counts)
         for level in range(1, int(levels.max(initial=0)) + 1):
             for p in self._places(fingerprints[levels >= level], level):
                 np.bitwise_or.at(self.bits, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
 
     def level(self, h: np.ndarray) -> np.ndarray:
+        """Levels of hashes of this slice's bucket."""
+        return self.found(fingerprint(h, self.bucket_bits))
+
+    def found(self, fingerprints: np.ndarray) -> np.ndarray:
         """Highest level so far as all levels up to it are found, by repeated membership probes."""
-        out, todo = np.zeros(len(h), np.int64), np.arange(len(h))
-        start = h >> np.uint64(64 - self.bucket_bits) << np.uint64(self.slice_bits) if self.bucket_bits else np.zeros(len(h), np.uint64)
-        fp = fingerprint(h, self.bucket_bits)
+        out, todo = np.zeros(len(fingerprints), np.int64), np.arange(len(fingerprints))
         for level in range(1, LEVELS + 1):
             for i in range(PROBES):
-                p = start[todo] + self._places(fp[todo], level)[i]
+                p = self._places(fingerprints[todo], level)[i]
                 todo = todo[self.bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0]
                 if not len(todo):
                     return out
@@ -140,7 +148,7 @@ def _digests(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """Tokens of a block's documents as codes, its distinct words in the order of their hashes, and where buckets begin."""
+    """Tokens of a block's documents as codes, its distinct words and pairs in the order of their hashes, and where buckets begin."""
 
     def __init__(self, texts: list[str | None], bucket_bits: int):
         tokens, self.n = _words(texts)
@@ -155,8 +163,10 @@ class Block:
         first = np.zeros(len(codes), bool)
         first[np.cumsum(self.n) - self.n] = True
         word = self.hi[self.codes]
-        self.before = np.where(first, np.uint64(1), np.concatenate(([np.uint64(1)], word[:-1])))
+        before = np.where(first, np.uint64(1), np.concatenate(([np.uint64(1)], word[:-1])))
         self.first = first
+        self.pairs, self.pair = np.unique(pair_hash(before, word), return_inverse=True)
+        self.pair_cuts = np.searchsorted(bucket_of(self.pairs, bucket_bits), np.arange((1 << bucket_bits) + 1))
 
 
 def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
@@ -164,33 +174,32 @@ def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _count_block(texts: list[str | None], held: np.ndarray, block: int, bits: int) -> pa.Table:
-    """Rows (bucket, block, words, pairs): hi, lo and training count of each word; fingerprint and training count of each pair."""
+    """Rows (bucket, block, words, pairs): hi, lo and training count of each word; fingerprint and training count of each pair (0: only held out)."""
     b = Block(texts, bits)
     trained = ~held[b.doc]
     count = np.bincount(b.codes[trained], minlength=len(b.hi)).astype("<i8")
-    pairs, n = np.unique(pair_hash(b.before[trained], b.hi[b.codes[trained]]), return_counts=True)
-    cuts = np.searchsorted(bucket_of(pairs, bits), np.arange((1 << bits) + 1))
+    n = np.bincount(b.pair[trained], minlength=len(b.pairs)).astype("<i8")
     rows = {"bucket": [], "block": [], "words": [], "seen": [], "pairs": [], "n_pairs": [], "counts": []}
     for k in range(1 << bits):
-        w, p = slice(b.cuts[k], b.cuts[k + 1]), slice(cuts[k], cuts[k + 1])
+        w, p = slice(b.cuts[k], b.cuts[k + 1]), slice(b.pair_cuts[k], b.pair_cuts[k + 1])
         if w.start < w.stop or p.start < p.stop:
             rows["bucket"].append(k)
             rows["block"].append(block)
             rows["words"].append(b.hi[w].tobytes() + b.lo[w].tobytes())
             rows["seen"].append(packed(count[w]))
-            rows["pairs"].append(short(fingerprint(pairs[p], bits)))
+            rows["pairs"].append(short(fingerprint(b.pairs[p], bits)))
             rows["n_pairs"].append(p.stop - p.start)
             rows["counts"].append(packed(n[p]))
     return pa.table(rows, schema=COUNTED)
 
 
 COUNTED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("seen", pa.binary()), ("pairs", pa.binary()), ("n_pairs", pa.int64()), ("counts", pa.binary())])
-ANSWERED = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64())])
-ANSWERED_DDL = "kind string, bucket long, block long, payload binary, tokens long, distinct long"
+ANSWERED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("levels", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64())])
+ANSWERED_DDL = "bucket long, block long, payload binary, levels binary, tokens long, distinct long"
 
 
 def _add_up(table: pa.Table, bits: int, slice_bits: int) -> pa.Table:
-    """Of one bucket: its slice of the filter, its sums, and for each block the training counts of the block's words."""
+    """Of one bucket, for each block: the training counts of the block's words, and the filter's levels of its words and pairs; the first row has the bucket's sums."""
     bucket = table.column("bucket")[0].as_py()
     blocks = table.column("block").to_pylist()
     raw = [x.as_py() for x in table.column("words")]
@@ -205,21 +214,30 @@ def _add_up(table: pa.Table, bits: int, slice_bits: int) -> pa.Table:
     total = np.add.reduceat(c[order], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
     back = np.empty(len(order), np.int64)
     back[order] = total[group]
-    f = Filter(0, slice_bits)
+    f = Filter(bits, slice_bits)
     seen = total > 0
-    f.add(fingerprint(unigram_hash(hi[order][new][seen]), bits), total[seen])
+    each = fingerprint(unigram_hash(hi[order][new]), bits)
+    f.add(each[seen], total[seen])
     many = table.column("n_pairs").to_pylist()
     fp = np.concatenate([from_short(x.as_py(), k) for x, k in zip(table.column("pairs"), many, strict=True)])
     n = np.concatenate([unpacked(x.as_py(), k) for x, k in zip(table.column("counts"), many, strict=True)])
+    o = np.argsort(fp)
+    first = np.ones(len(fp), bool)
+    first[1:] = fp[o][1:] != fp[o][:-1]
+    distinct = fp[o][first]
     if len(fp):
-        o = np.argsort(fp)
-        at = np.flatnonzero(np.concatenate(([True], fp[o][1:] != fp[o][:-1])))
-        f.add(fp[o][at], np.add.reduceat(n[o], at))
-    ends = np.cumsum(sizes)
+        times = np.add.reduceat(n[o], np.flatnonzero(first))
+        f.add(distinct[times > 0], times[times > 0])
+    words, pairs = f.found(each).astype(np.uint8)[group], np.empty(len(fp), np.uint8)
+    pairs[o] = f.found(distinct).astype(np.uint8)[np.cumsum(first) - 1]
+    word = np.empty(len(order), np.uint8)
+    word[order] = words
+    ends, pair_ends = np.cumsum(sizes), np.cumsum(many)
     answers = [packed(back[e - s : e]) for s, e in zip(sizes, ends, strict=True)]
-    k = len(blocks)
+    levels = [zlib.compress(word[e - s : e].tobytes() + pairs[q - k : q].tobytes(), 1) for s, e, k, q in zip(sizes, ends, many, pair_ends, strict=True)]
+    rest = [0] * (len(blocks) - 1)
     return pa.table(
-        {"kind": ["slice"] + ["answer"] * k, "bucket": [bucket] * (k + 1), "block": [-1, *blocks], "payload": [f.bits.tobytes(), *answers], "tokens": [int(total.sum())] + [0] * k, "distinct": [int(seen.sum())] + [0] * k},
+        {"bucket": [bucket] * len(blocks), "block": blocks, "payload": answers, "levels": levels, "tokens": [int(total.sum()), *rest], "distinct": [int(seen.sum()), *rest]},
         schema=ANSWERED,
     )
 
@@ -238,9 +256,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     prepare(spark)
     n_bytes = text_bytes(df, text_col) if n_bytes is None else n_bytes
     blocks = block_count(n_bytes, BLOCK_BYTES)
-    bits = max(3, min(20, math.ceil(math.log2(max(1, n_bytes / 4e6)))))
-    total_bits = min(MOST_BITS, 1 << max(bits + 6, 16, math.ceil(math.log2(max(1, n_bytes * BITS_PER_BYTE)))))
-    slice_bits = int(math.log2(total_bits)) - bits
+    bits, slice_bits = sizes_of(n_bytes)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = rows.select(
         "id", "text", F.coalesce(remainder(F.col("id"), folds) == fold, F.lit(False)).alias("held"),
@@ -255,12 +271,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     counted = rows.groupBy("block").applyInArrow(count, "bucket long, block long, words binary, seen binary, pairs binary, n_pairs long, counts binary")
     answered = shared_checkpoint(counted.groupBy("bucket").applyInArrow(add_up, ANSWERED_DDL))
-    words, n, v = np.zeros(total_bits // 8, np.uint8), 0, 0
-    size = (1 << slice_bits) // 8
-    for r in answered.where("kind = 'slice'").select("bucket", "payload", "tokens", "distinct").toLocalIterator():  # total_bits / 8 bytes in all, a part at a time
-        words[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["payload"], np.uint8)
-        n, v = n + r["tokens"], v + r["distinct"]
-    model = spark.sparkContext.broadcast(words)
+    sums = answered.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
+    n, v = sums["n"] or 0, sums["v"] or 0
     out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")])
 
     def score(key, docs, answers):
@@ -269,15 +281,16 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         if not docs.num_rows:
             return to_arrow_schema(out).empty_table()
         b = Block(docs.column("text").to_pylist(), bits)
-        exact = np.zeros(len(b.hi), np.int64)
-        for k, x in zip(answers.column("bucket").to_pylist(), answers.column("payload"), strict=True):
-            exact[b.cuts[k] : b.cuts[k + 1]] = unpacked(x.as_py(), b.cuts[k + 1] - b.cuts[k])
-        f = Filter(bits, slice_bits, model.value)
+        exact, word, pair = np.zeros(len(b.hi), np.int64), np.zeros(len(b.hi), np.int64), np.zeros(len(b.pairs), np.int64)
+        for k, x, y in zip(answers.column("bucket").to_pylist(), answers.column("payload"), answers.column("levels"), strict=True):
+            w, p = slice(b.cuts[k], b.cuts[k + 1]), slice(b.pair_cuts[k], b.pair_cuts[k + 1])
+            exact[w] = unpacked(x.as_py(), w.stop - w.start)
+            levels = np.frombuffer(zlib.decompress(y.as_py()), np.uint8)
+            word[w], pair[p] = levels[: w.stop - w.start], levels[w.stop - w.start :]
         base = np.log10((exact + 1.0) / (n + v + 1.0))
-        uni = expected(f.level(unigram_hash(b.hi)))
+        uni = expected(word)
         p = (uni + 1.0) / (n + v + 1.0)
-        pairs, which = np.unique(pair_hash(b.before, b.hi[b.codes]), return_inverse=True)
-        both = expected(f.level(pairs))[which]
+        both = expected(pair)[b.pair]
         of = uni[np.concatenate(([0], b.codes[:-1]))] if len(b.codes) else uni
         end = np.searchsorted(b.hi, _digests([END])[0])[0]
         of = np.where(b.first, uni[end], of)  # as many starts as ends
@@ -288,7 +301,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         ]
         return pa.table(cols, schema=to_arrow_schema(out))
 
-    return rows.groupBy("block").cogroup(answered.where("kind = 'answer'").select("block", "bucket", "payload").groupBy("block")).applyInArrow(score, out)
+    return rows.groupBy("block").cogroup(answered.select("block", "bucket", "payload", "levels").groupBy("block")).applyInArrow(score, out)
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,6 +225,17 @@ def test_filter_has_no_false_negatives():
     assert (lm.from_short(lm.short(fp), len(fp)) == fp).all() and (lm.unpacked(lm.packed(counts * 9), len(counts)) == counts * 9).all()
 
 
+def test_filter_grows_with_the_text(docs, monkeypatch):
+    # No cap holds the filter: with one of 2^11 bits the levels would be wrong, and the scores with them.
+    monkeypatch.setattr(lm, "MOST_BITS", 1 << 11, raising=False)
+    capped = {tuple(r) for r in lm.score_texts(docs).select("doc_id", "score").collect()}
+    monkeypatch.undo()
+    assert capped == {tuple(r) for r in lm.score_texts(docs).select("doc_id", "score").collect()}
+    for n_bytes in (0, 1 << 20, 358 << 20, 512 << 20, 3 << 30, 30 << 30, 1 << 40):
+        bits, slice_bits = lm.sizes_of(n_bytes)
+        assert lm.BITS_PER_BYTE * n_bytes <= 1 << bits + slice_bits and slice_bits <= 24
+
+
 # 5
 
 
