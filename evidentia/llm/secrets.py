@@ -21,15 +21,24 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: A part of an identifier: a word in one case or capitalised words, perhaps with a short number, or a number.
 PART = re.compile(r"(?:[A-Z]?[a-z]*|[A-Z]+)(?:[A-Z][a-z]+)*[0-9]{0,4}|[0-9]+")
+#: The words of such a part.
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Most characters a token of a random string.
 RATIO = 2.0
 
 
-def known(s: str) -> bool:
-    """A digest, a UUID, a number or an identifier: strings of this kind are no secrets by themselves."""
+def known(s: str, path: str, ratio: float = RATIO) -> bool:
+    """A digest, a UUID, a number or an identifier: strings of this kind are no secrets by themselves.
+
+    The shape of an identifier is not enough, as random letters have it too: the vocabulary must compress its words.
+    """
     if UUID.fullmatch(s) or len(s) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
         return True
-    return all(PART.fullmatch(x) for x in re.split(r"[+/_=-]+", s))
+    parts = re.split(r"[+/_=-]+", s)
+    if not all(map(PART.fullmatch, parts)):
+        return False
+    words = [w for x in parts for w in WORD.findall(x)]
+    return not words or sum(map(len, words)) > ratio * sum(len(encoding(path).encode_ordinary(w)) for w in words)
 
 
 def find(text: str | None, path: str, ratio: float = RATIO) -> list[tuple[str, int, int]]:
@@ -41,7 +50,7 @@ def find(text: str | None, path: str, ratio: float = RATIO) -> list[tuple[str, i
     base = sorted((a, b) for _, a, b in found)
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(x < b and a < y for x, y in base) or known(m[0]):
+        if any(x < b and a < y for x, y in base) or known(m[0], path, ratio):
             continue
         if b - a <= ratio * len(encoding(path).encode_ordinary(m[0])):
             found.append(("dense", a, b))
