@@ -39,6 +39,15 @@ def doc_tokens(spark, sf_dir):
     return rt.term_statistics(docs).where("df >= 5").join(tf, "term").select("term", "df", "tf", F.round("idf", 6).alias("idf"))
 
 
+@plan(f"""WITH {TOKENS}, d AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tk) GROUP BY term)
+SELECT term, df, tf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM d, (SELECT count(*) AS n FROM documents)""")
+def doc_terms(spark, sf_dir):
+    """Every term, however rare; doc_tokens keeps those of at least five documents."""
+    docs = table(spark, sf_dir, "documents")
+    tf = rt.postings(docs).groupBy("term").agg(F.sum("tf").alias("tf"))
+    return rt.term_statistics(docs).join(tf, "term").select("term", "df", "tf", F.round("idf", 6).alias("idf"))
+
+
 @plan(f"""WITH {TOKENS}, n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tk), p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tk),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda t: t NOT IN {STOP})) AS term FROM benchmark) GROUP BY ALL),

@@ -45,6 +45,12 @@ def test_query(spark, duck, name):
         assert rows == sorted((tuple(plain(x[i]) for i in at) for x in q.fetchall()), key=repr)
 
 
+def test_doc_terms_has_rare_terms(spark):
+    rows = {r.term: r for r in catalog.QUERIES["doc_terms"](spark, str(DATA)).collect()}
+    often = {r.term: r for r in catalog.QUERIES["doc_tokens"](spark, str(DATA)).collect()}
+    assert min(r.df for r in rows.values()) == 1 and {k for k, r in rows.items() if r.df >= 5} == set(often) and all(rows[k] == r for k, r in often.items())
+
+
 def test_entry_has_a_stable_schema(spark):
     import __spark_entry__ as e
 
