@@ -88,6 +88,12 @@ def normalized_text(spark, sf_dir):
     return n.select("doc_id", F.substring("t", 1, 120).alias("head"), F.length("t").cast("long").alias("n"))
 
 
+@plan("SELECT doc_id, md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9'']+'), ' ')) AS digest FROM documents")
+def normalized_digest(spark, sf_dir):
+    """Of the whole normalised text; normalized_text gives its head and length."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.normalized(F.col("text")).cast("binary")).alias("digest"))
+
+
 @plan("""WITH q AS (SELECT item_id, lower(text) AS t, item_id % 2 = 0 AS talk FROM benchmark),
 v AS (SELECT item_id, talk, len(list_filter(regexp_split_to_array(translate(t, '?.', ''), '\\s+'), lambda w: w IN ('appearance', 'butterfly', 'color', 'flowers', 'forest', 'hide', 'look', 'scene', 'see', 'tree', 'visual', 'wear'))) > 0 OR NOT talk AS visual FROM q)
 SELECT item_id, talk AS use_text, true AS use_image, CASE WHEN visual THEN 6 ELSE 5 END AS top_k, CASE WHEN visual THEN 3 ELSE 2 END AS inspect_budget, 1 AS context_radius FROM v""")

@@ -1,7 +1,9 @@
 """Every registered query with SQL against DuckDB on the small tables; those without must at least run."""
 
+import hashlib
 import math
 import os
+import re
 from pathlib import Path
 
 import duckdb
@@ -51,6 +53,12 @@ def test_doc_terms_has_rare_terms(spark):
     assert min(r.df for r in rows.values()) == 1 and {k for k, r in rows.items() if r.df >= 5} == set(often) and all(rows[k] == r for k, r in often.items())
 
 
+def test_normalized_digest_is_of_the_whole_text(spark):
+    rows = spark.read.parquet(str(DATA / "documents.parquet")).select("doc_id", "text").collect()
+    want = {r.doc_id: hashlib.md5(" ".join(re.findall("[a-z0-9']+", r.text.lower())).encode()).hexdigest() for r in rows}
+    assert {r.doc_id: r.digest for r in catalog.QUERIES["normalized_digest"](spark, str(DATA)).collect()} == want
+
+
 def test_entry_has_a_stable_schema(spark):
     import __spark_entry__ as e
 
