@@ -16,6 +16,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run has 24 or none of its parts has
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
 #: Hex digits of the usual digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
@@ -41,6 +42,16 @@ def known(s: str, path: str, ratio: float = RATIO) -> bool:
     return not words or sum(map(len, words)) > ratio * sum(len(encoding(path).encode_ordinary(w)) for w in words)
 
 
+def outside(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches of at least LEAST characters from a to b that no span, by start, touches."""
+    left = []
+    for x, y in [*((x, y) for x, y in spans if x < b and a < y), (b, b)]:
+        if x - a >= LEAST:
+            left.append((a, x))
+        a = max(a, y)
+    return left
+
+
 def find(text: str | None, path: str, ratio: float = RATIO) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the secrets of a text by start, then kind; code points, end exclusive."""
     text = text or ""
@@ -49,11 +60,10 @@ def find(text: str | None, path: str, ratio: float = RATIO) -> list[tuple[str, i
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     base = sorted((a, b) for _, a, b in found)
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for x, y in base) or known(m[0], path, ratio):
-            continue
-        if b - a <= ratio * len(encoding(path).encode_ordinary(m[0])):
-            found.append(("dense", a, b))
+        for a, b in outside(*m.span(), base):
+            s = text[a:b]
+            if not known(s, path, ratio) and b - a <= ratio * len(encoding(path).encode_ordinary(s)):
+                found.append(("dense", a, b))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
