@@ -17,7 +17,7 @@ SHINGLE = 5
 #: A link: PERCENT * size of the union <= 100 * size of the intersection.
 PERCENT = 75
 #: Permutations, each giving a minimum and a maximum; a band is two of them. At a similarity of 0.75, 32 bands of four values
-#: miss a pair with probability (1 - 0.75 ** 4) ** 32 < 6e-6.
+#: miss a pair with the probability that miss_rate gives: 1e-4 for 3 of 4 shingles, nearing (1 - 0.75 ** 4) ** 32 = 5.2e-6 for large sets.
 PERMUTATIONS, BANDS = 64, 32
 #: Bits of the filter of ids that thins the texts out before they are joined with the candidates: its size is fixed.
 ID_BITS = 1 << 22
@@ -68,6 +68,12 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def miss_rate(both: int, either: int) -> float:
+    """Chance that no band finds two sets with so many shingles in common, of so many in all: a minimum and a maximum are two of them."""
+    band = (both / either * (max(1, both - 1) / max(1, either - 1))) ** (PERMUTATIONS // BANDS)
+    return (1 - band) ** BANDS
+
+
 def _signatures(texts: list[str]):
     sets = shingle_sets(texts)
     full = [i for i, s in enumerate(sets) if len(s)]

@@ -312,6 +312,15 @@ def test_near_duplicates(docs, family):
     assert [(r.component_id, r.kept) for r in got[None]] == [(None, True)] * 2 and len(got[5]) == 2
 
 
+def test_miss_rate_of_small_sets():
+    rng = np.random.default_rng(3)
+    for both, either in ((3, 4), (6, 8), (36, 48)):
+        all_of = rng.integers(0, 1 << 63, (4000, either), np.uint64)
+        x, y = (minhash.band_keys(list(s)) for s in (all_of[:, :both], all_of))
+        assert 1 - minhash.miss_rate(both, either) ** (1 / minhash.BANDS) == pytest.approx((x == y).mean(), abs=0.01)
+    assert 9e-5 < minhash.miss_rate(3, 4) < 1.1e-4 and minhash.miss_rate(6000, 8000) < 6e-6
+
+
 def test_link_family_by_brute_force():
     rng = np.random.default_rng(8)
     for _ in range(60):
