@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from evidentia.llm import langid, minhash, packing, secrets, suffixes
 from evidentia.llm.common import documents, shared_checkpoint, shared_table, slices, prepare
 
-#: A document whose best language is less likely than this is rejected, as are those without letters.
+#: A document whose language family is less likely than this is rejected, as are those without letters. Languages of a family share
+#: words, so how sure the choice within it is does not count.
 LEAST_SCORE = 0.5
 
 
@@ -19,15 +20,15 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters or of no likely language."""
+    """Rejects documents without letters or of no likely language family."""
     prepare(spark)
     model = spark.sparkContext.broadcast(langid.train(docs))
 
     def likely(s: pd.Series) -> pd.Series:
         texts, out = [t or "" for t in s], []
         for a, b in slices([len(t) for t in texts]):
-            lang, score = model.value.predict(texts[a:b])
-            out += [x != "und" and y >= LEAST_SCORE for x, y in zip(lang, score, strict=True)]
+            lang, family, _ = model.value.decide(texts[a:b])
+            out += [x != "und" and y >= LEAST_SCORE for x, y in zip(lang, family, strict=True)]
         return pd.Series(out, dtype=bool)
 
     return docs.where(F.pandas_udf(likely, "boolean")("text")).select("doc_id", "text", "lang", "source", "n_chars")

@@ -67,8 +67,14 @@ class Model:
     pairs: list[tuple[str, str, np.ndarray]] = field(default_factory=list)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        """Language and score: the share of its family times its own share within the family."""
+        lang, sure, share = self.decide(texts)
+        return lang, [min(1.0, max(0.0, a * b)) for a, b in zip(sure, share, strict=True)]
+
+    def decide(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language, share of its family, and share within the family."""
         if not self.families:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         columns = [*self.rest, *(w for *_, w in self.pairs)]
         if columns:
             w = np.stack(columns, 1)
@@ -77,11 +83,12 @@ class Model:
         else:
             margins = np.zeros((len(texts), 0))
         p = 1 / (1 + np.exp(-2 * margins))
-        lang, score = [], []
+        lang, families, shares = [], [], []
         for i, t in enumerate(texts):
             if not has_letter(t):
                 lang.append("und")
-                score.append(0.0)
+                families.append(0.0)
+                shares.append(0.0)
                 continue
             fam, sure = self.families[0], 1.0
             if self.rest:
@@ -97,8 +104,9 @@ class Model:
             best = max(langs, key=lambda x: (votes[x], belief[x], [-ord(c) for c in x]))
             share = belief[best] / sum(belief.values()) if len(langs) > 1 else 1.0
             lang.append(best)
-            score.append(float(min(1.0, max(0.0, sure * share))))
-        return lang, score
+            families.append(float(sure))
+            shares.append(float(share))
+        return lang, families, shares
 
 
 def has_letter(text: str) -> bool:

@@ -44,6 +44,16 @@ def test_stages(stages, spark):
     assert all(r.n_chars == len(r.text) for r in stages[4].collect())
 
 
+def test_language_id_keeps_short_clean_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Reouti anatha.", "en", "s", 14), (2, "12", "en", "s", 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    even = lambda p: np.append(np.zeros(cp.langid.DIM), np.log(p / (1 - p)) / 2)  # noqa: E731  (the same probability for any text)
+    pair = [("en", "de", even(0.6))]
+    for sure, want in ((0.7, [1]), (0.4, [])):
+        model = cp.langid.Model(["f", "g", "h"], {"f": ["en", "de"], "g": ["x"], "h": ["y"]}, [even(sure), even((1 - sure) / 2), even((1 - sure) / 2)], pair)
+        monkeypatch.setattr(cp.langid, "train", lambda docs, m=model: m)
+        assert [r.doc_id for r in cp.identify_languages(spark, docs, "").collect()] == want
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (None, "a plain text without an id", "en", "s", 9), (3, "a plain text " * 20, "en", "s", 9), (3, "a plain text " * 20, "en", "s", 9), (4, "1234 5678", "en", "s", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
