@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -27,22 +28,51 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in spark.checkpoint.dir (a temporary folder only where it is unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, a temporary one in local mode and an error on a cluster."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evidentia-checkpoint-"))
-    return df.checkpoint()
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="evidentia-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Has the shuffles of a lineage-cutting action deleted with it; the session's own setting is back afterwards."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the checkpoint folder: for wide rows of which later steps read few columns."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evidentia-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    with shuffles_deleted(df.sparkSession):
+        return df.select("*").checkpoint()
+
+
+def shared_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """Cuts the lineage with a Parquet table in the shared folder, for wide rows of which later steps read few columns: the table and its path."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    with shuffles_deleted(df.sparkSession):
+        df.select("*").write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table of shared_table, through the file system that holds it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def tokenizer_path(name: str) -> str:
@@ -66,12 +96,11 @@ def encoding(path: str):
 
 
 def prepare(spark: SparkSession) -> None:
-    """What the operators ask of a session: few rows in an Arrow batch, as texts are long, which bounds what executors and their
-    Python workers hold; and that the shuffles of a finished action, such as a checkpoint, are deleted with it."""
+    """What the operators ask of a session, for plans that run after they have returned: few rows in an Arrow batch, as texts are
+    long, which bounds what executors and their Python workers hold. A lower setting stays."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def slices(sizes: Sequence[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -138,6 +167,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A byte for each count; the 255 and over follow in full."""
+    few = np.minimum(counts, 255).astype(np.uint8)
+    return few.tobytes() + counts[few == 255].astype("<i8").tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    few = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    few[few == 255] = np.frombuffer(raw, "<i8", (len(raw) - n) // 8, n)
+    return few
+
+
 def word_codes(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     """Code of each word, by first appearance, and the distinct words."""
     seen: dict[bytes, int] = {}

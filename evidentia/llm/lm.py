@@ -3,7 +3,8 @@
 Documents are dealt into blocks of bounded size. A block sends what it counted (hashes of words and of word pairs, each
 once) to buckets of the hash space; a bucket adds up the blocks' counts, fills its own slice of the Bloom filter, and
 answers each block with the exact training counts of the block's words and the levels that the slice has for its words
-and pairs. Blocks then score their documents. No slice leaves its bucket, so the filter grows with the corpus.
+and pairs. Blocks then score their documents. No slice leaves its bucket, and each is as large as its entries ask for, so
+the filter grows with the corpus and is as exact for a large one as for a small one.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_count, documents, mix64, remainder, segment_sums, shared_checkpoint, prepare, text_bytes, word_codes
+from .common import block_count, documents, mix64, packed, prepare, remainder, segment_sums, shared_checkpoint, text_bytes, unpacked, word_codes
 
 #: Quantisation base: a count c is stored as 1 + floor(log_BASE(c)) entries, one a level.
 BASE = 2.0
 #: Larger blocks send fewer words twice.
 BLOCK_BYTES = 6 << 20
 PROBES = 4
-#: Bits of the filter for each byte of text, however large the corpus.
-BITS_PER_BYTE = 1.5
+#: Least bits of the filter for each entry: 4 probes then report at most 1.2 % of what is not there, at any size of the corpus.
+BITS_PER_ENTRY = 10
 #: Text, in bytes, for each bucket of the hash space, and the most bits of a bucket's number (unigram_hash keeps so many).
 BUCKET_BYTES, MOST_BUCKET_BITS = 4e6, 20
 #: Weight, in tokens, of the unigram distribution in that of a context.
@@ -45,9 +46,9 @@ def unigram_hash(word: np.ndarray) -> np.ndarray:
     return word >> np.uint64(44) << np.uint64(44) | mix64(word ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(20)
 
 
-def fingerprint(h: np.ndarray, bucket_bits: int) -> np.ndarray:
+def fingerprint(h: np.ndarray, bits: int) -> np.ndarray:
     """The WIDTH bits after those that choose the bucket: in the order of the hashes of a bucket."""
-    return h << np.uint64(bucket_bits) >> np.uint64(64 - WIDTH)
+    return h << np.uint64(bits) >> np.uint64(64 - WIDTH)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -60,18 +61,22 @@ def expected(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (low + np.maximum(low, high)) / 2, 0.0)
 
 
-def sizes_of(n_bytes: int) -> tuple[int, int]:
-    """Bits of a bucket's number and, as a power of two, of its slice of the filter: BITS_PER_BYTE at least in all."""
-    bits = max(3, min(MOST_BUCKET_BITS, math.ceil(math.log2(max(1, n_bytes / BUCKET_BYTES)))))
-    return bits, max(6, 16 - bits, math.ceil(math.log2(max(1, n_bytes * BITS_PER_BYTE))) - bits)
+def bucket_bits(n_bytes: int) -> int:
+    """Bits of a bucket's number."""
+    return max(3, min(MOST_BUCKET_BITS, math.ceil(math.log2(max(1, n_bytes / BUCKET_BYTES)))))
+
+
+def slice_bits(counts: np.ndarray) -> int:
+    """Size, as a power of two, of a slice that holds these counts: BITS_PER_ENTRY at least."""
+    return max(6, math.ceil(math.log2(max(1, BITS_PER_ENTRY * int(levels_of(counts).sum())))))
 
 
 class Filter:
     """A slice of a Bloom filter: the leading bits of a hash choose the slice, the bits after them and a level the bits in it."""
 
-    def __init__(self, bucket_bits: int, slice_bits: int):
-        self.bucket_bits, self.slice_bits = bucket_bits, slice_bits
-        self.bits = np.zeros(1 << slice_bits - 3, np.uint8)
+    def __init__(self, bits: int, size: int):
+        self.bucket_bits, self.slice_bits = bits, size
+        self.bits = np.zeros(1 << size - 3, np.uint8)
 
     def _places(self, fingerprints: np.ndarray, level: int) -> list[np.ndarray]:
         h = mix64(fingerprints + np.uint64(level * 0xA0761D6478BD642F & (1 << 64) - 1))
@@ -116,18 +121,6 @@ def from_short(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(step, dtype=np.uint64)
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """A byte for each count; the 255 and over follow in full."""
-    few = np.minimum(counts, 255).astype(np.uint8)
-    return few.tobytes() + counts[few == 255].astype("<i8").tobytes()
-
-
-def unpacked(raw: bytes, n: int) -> np.ndarray:
-    few = np.frombuffer(raw, np.uint8, n).astype(np.int64)
-    few[few == 255] = np.frombuffer(raw, "<i8", (len(raw) - n) // 8, n)
-    return few
-
-
 def _words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
     """Tokens of all texts, each text's closed by END, and their numbers."""
     tokens, n = [], []
@@ -198,7 +191,7 @@ ANSWERED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload",
 ANSWERED_DDL = "bucket long, block long, payload binary, levels binary, tokens long, distinct long"
 
 
-def _add_up(table: pa.Table, bits: int, slice_bits: int) -> pa.Table:
+def _add_up(table: pa.Table, bits: int) -> pa.Table:
     """Of one bucket, for each block: the training counts of the block's words, and the filter's levels of its words and pairs; the first row has the bucket's sums."""
     bucket = table.column("bucket")[0].as_py()
     blocks = table.column("block").to_pylist()
@@ -214,10 +207,8 @@ def _add_up(table: pa.Table, bits: int, slice_bits: int) -> pa.Table:
     total = np.add.reduceat(c[order], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
     back = np.empty(len(order), np.int64)
     back[order] = total[group]
-    f = Filter(bits, slice_bits)
     seen = total > 0
     each = fingerprint(unigram_hash(hi[order][new]), bits)
-    f.add(each[seen], total[seen])
     many = table.column("n_pairs").to_pylist()
     fp = np.concatenate([from_short(x.as_py(), k) for x, k in zip(table.column("pairs"), many, strict=True)])
     n = np.concatenate([unpacked(x.as_py(), k) for x, k in zip(table.column("counts"), many, strict=True)])
@@ -225,9 +216,10 @@ def _add_up(table: pa.Table, bits: int, slice_bits: int) -> pa.Table:
     first = np.ones(len(fp), bool)
     first[1:] = fp[o][1:] != fp[o][:-1]
     distinct = fp[o][first]
-    if len(fp):
-        times = np.add.reduceat(n[o], np.flatnonzero(first))
-        f.add(distinct[times > 0], times[times > 0])
+    times = np.add.reduceat(n[o], np.flatnonzero(first)) if len(fp) else np.zeros(0, np.int64)
+    f = Filter(bits, slice_bits(np.concatenate((total[seen], times[times > 0]))))
+    f.add(each[seen], total[seen])
+    f.add(distinct[times > 0], times[times > 0])
     words, pairs = f.found(each).astype(np.uint8)[group], np.empty(len(fp), np.uint8)
     pairs[o] = f.found(distinct).astype(np.uint8)[np.cumsum(first) - 1]
     word = np.empty(len(order), np.uint8)
@@ -256,7 +248,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     prepare(spark)
     n_bytes = text_bytes(df, text_col) if n_bytes is None else n_bytes
     blocks = block_count(n_bytes, BLOCK_BYTES)
-    bits, slice_bits = sizes_of(n_bytes)
+    bits = bucket_bits(n_bytes)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = rows.select(
         "id", "text", F.coalesce(remainder(F.col("id"), folds) == fold, F.lit(False)).alias("held"),
@@ -267,7 +259,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         return _count_block(table.column("text").to_pylist(), table.column("held").to_numpy(zero_copy_only=False).astype(bool), key[0].as_py(), bits)
 
     def add_up(table):
-        return _add_up(table, bits, slice_bits)
+        return _add_up(table, bits)
 
     counted = rows.groupBy("block").applyInArrow(count, "bucket long, block long, words binary, seen binary, pairs binary, n_pairs long, counts binary")
     answered = shared_checkpoint(counted.groupBy("bucket").applyInArrow(add_up, ANSWERED_DDL))

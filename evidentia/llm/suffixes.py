@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_count, documents, mix64, prepare, text_bytes
+from .common import block_count, documents, mix64, packed, prepare, text_bytes, unpacked
 
 LENGTH = 100
 KMER = 32
@@ -52,13 +52,18 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)))) for b in (base, inverse))
 
 
+def rolling(part: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all strings of a length in a chunk of bytes."""
+    power, inverse = _powers()
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)])))
+    return mix64((sums[length:] - sums[:-length]) * inverse[: len(part) - length + 1])
+
+
 def windows(text: bytes, length: int = LENGTH, kmer: int = KMER):
-    """(start, minimizer's position, its hash) of every window of a text, in chunks of consecutive starts."""
+    """(start of the chunk, its bytes, minimizer's position for each window that begins in it, all hashes) of a text, in chunks of consecutive window starts."""
     for a in range(0, len(text) - length + 1, CHUNK):
         part = np.frombuffer(text, np.uint8, min(len(text) - a, CHUNK + length - 1), a)
-        power, inverse = _powers()
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)])))
-        h = mix64((sums[kmer:] - sums[:-kmer]) * inverse[: len(part) - kmer + 1])
+        h = rolling(part, kmer)
         key = (h & ~POSITION) | np.arange(len(h), dtype=np.uint64)
         width, n = 1, length - kmer + 1
         while 2 * width <= n:
@@ -66,19 +71,31 @@ def windows(text: bytes, length: int = LENGTH, kmer: int = KMER):
             width *= 2
         if width < n:
             key = np.minimum(key[: len(key) - (n - width)], key[n - width :])
-        at = (key & POSITION).astype(np.int64)
-        yield a, at + a, h[at]
+        yield a, part, (key & POSITION).astype(np.int64), h
 
 
-def segments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, number of windows and minimizer hash of each run of windows with one minimizer."""
-    out = []
-    for a, at, h in windows(text):
+def segments(text: bytes):
+    """Of each chunk: its start, its bytes, and start (in the chunk), number of windows and minimizer hash of each run of windows with one minimizer."""
+    for a, part, at, h in windows(text):
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        out.append((first + a, np.diff(np.append(first, len(at))), h[first]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        yield a, part, first, np.diff(np.append(first, len(at))), h[at[first]]
+
+
+def equal_windows(part: np.ndarray, a: np.ndarray, b: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Whether the strings at two lists of places of a chunk are equal."""
+    word = np.zeros(len(part) - 7, np.uint64)
+    for k in range(8):
+        word = word << np.uint64(8) | part[k : k + len(word)]
+    same = np.ones(len(a), bool)
+    for skip in [*range(0, length - 8, 8), length - 8]:
+        same &= word[a + skip] == word[b + skip]
+    return same
+
+
+def runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the runs of consecutive numbers among sorted ones."""
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1)))
+    return at[first], at[np.append(first[1:], len(at)) - 1]
 
 
 def dense_rank(key: np.ndarray) -> np.ndarray:
@@ -237,25 +254,27 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _minimizers(block: int, docs: pa.Table, messages: pa.Table, bits: int) -> pa.Table:
-    """A block's minimizer hashes, each once, with the number of places (65,535 at most); dealt by hash."""
-    found = [segments(t)[2] for *_, t in _first_texts(docs, messages)]
-    if not found or not sum(map(len, found)):
+    """A block's minimizer hashes, each once, with the number of places; dealt by hash."""
+    count = lambda h: np.unique(h, return_counts=True) if len(h) > 1 << 16 else (h, np.ones(len(h), np.int64))
+    found = [count(h) for *_, t in _first_texts(docs, messages) for *_, h in segments(t)]
+    if not found:
         return MESSAGE.empty_table()
-    h, n = np.unique(np.concatenate(found), return_counts=True)
+    h, which = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
+    n = np.bincount(which, np.concatenate([n for _, n in found])).astype(np.int64)
     bucket = mix64(h) >> np.uint64(64 - bits)  # of another hash: the least of many hashes are all small
     order = np.argsort(bucket, kind="stable")
     h, n = h[order], n[order]
     cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1, dtype=np.uint64))
-    return _table([(k, block, "hashes", h[a:b].tobytes() + np.minimum(n[a:b], 65535).astype("<u2").tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b])
+    return _table([(k, block, "hashes", (b - a).to_bytes(8, "little") + h[a:b].tobytes() + packed(n[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b])
 
 
 def _repeated(table: pa.Table, hot_places: int) -> pa.Table:
     """Tells each block which of its minimizers occur elsewhere, and which are hot."""
     raw = [p.as_py() for p in table.column("payload")]
-    n = [len(r) // 10 for r in raw]
-    h = [np.frombuffer(r, np.uint64, k) for r, k in zip(raw, n, strict=True)]
+    n = [int.from_bytes(r[:8], "little") for r in raw]
+    h = [np.frombuffer(r, np.uint64, k, 8) for r, k in zip(raw, n, strict=True)]
     _, which = np.unique(np.concatenate(h), return_inverse=True)
-    places = np.bincount(which, np.concatenate([np.frombuffer(r, "<u2", k, 8 * k) for r, k in zip(raw, n, strict=True)]))[which]
+    places = np.bincount(which, np.concatenate([unpacked(r[8 + 8 * k :], k) for r, k in zip(raw, n, strict=True)]))[which]
     keep, hot = places > 1, places >= hot_places
     rows, at = [], 0
     for b, k, x in zip(table.column("block").to_pylist(), n, h, strict=True):
@@ -267,7 +286,10 @@ def _repeated(table: pa.Table, hot_places: int) -> pa.Table:
 
 
 def _candidates(block: int, docs: pa.Table, messages: pa.Table, buckets: int) -> pa.Table:
-    """A block's segments with repeated minimizers, dealt to suffix buckets; of equal ones the earliest, the others are known to repeat."""
+    """A block's segments with repeated minimizers, dealt to suffix buckets; of equal ones the earliest, the others are known to repeat.
+
+    Of hot minimizers each different window goes for itself; windows equal to one before in their chunk are found together.
+    """
     import xxhash
 
     answers = _payloads(messages, "repeated")
@@ -279,11 +301,16 @@ def _candidates(block: int, docs: pa.Table, messages: pa.Table, buckets: int) ->
     h, hot = h[order], hot[order]
     seen: set[bytes] = set()
     out: dict[int, tuple[list, list]] = {}
-    ranges = []
+    ranges = [np.zeros(0, RANGE)]
+
+    def repeat(doc, dig, start, end):
+        r = np.zeros(len(start), RANGE)
+        r["doc"], r["dig"], r["start"], r["end"] = doc, dig, start, end
+        ranges.append(r)
 
     def send(bucket, doc, dig, start, count, text):
         if text in seen:
-            ranges.append((doc, dig, start, start + count + LENGTH - 1))
+            repeat(doc, dig, [start], [start + count + LENGTH - 1])
             return
         seen.add(text)
         heads, bodies = out.setdefault(bucket, ([], []))
@@ -291,22 +318,29 @@ def _candidates(block: int, docs: pa.Table, messages: pa.Table, buckets: int) ->
         bodies.append(text)
 
     for doc, dig, text in _first_texts(docs, messages):
-        start, count, minimizer = segments(text)
-        if not len(start):
-            continue
-        place = np.minimum(np.searchsorted(h, minimizer), len(h) - 1)
-        mine = np.flatnonzero(h[place] == minimizer)
-        bucket = (mix64(minimizer[mine]) % np.uint64(buckets)).tolist()
-        for s, c, b, alone in zip(start[mine].tolist(), count[mine].tolist(), bucket, hot[place[mine]].tolist(), strict=True):
-            if alone:
-                for w in range(s, s + c):
+        for a, part, start, count, minimizer in segments(text):
+            place = np.minimum(np.searchsorted(h, minimizer), len(h) - 1)
+            mine = h[place] == minimizer
+            alone = mine & hot[place]
+            mine &= ~alone
+            bucket = (mix64(minimizer[mine]) % np.uint64(buckets)).tolist()
+            for s, c, b in zip((start[mine] + a).tolist(), count[mine].tolist(), bucket, strict=True):
+                send(b, doc, dig, s, c, text[s : s + c + LENGTH - 1])
+            if alone.any():
+                n = count[alone]
+                at = np.arange(n.sum()) + np.repeat(start[alone] - np.cumsum(n) + n, n)
+                _, first, which = np.unique(rolling(part, LENGTH)[at], return_index=True, return_inverse=True)
+                before = at[first][which]
+                same = (before < at) & equal_windows(part, at, before)
+                for w in (at[~same] + a).tolist():
                     piece = text[w : w + LENGTH]
                     send(xxhash.xxh3_64_intdigest(piece) % buckets, doc, dig, w, 1, piece)
-            else:
-                send(b, doc, dig, s, c, text[s : s + c + LENGTH - 1])
+                if same.any():
+                    lo, hi = runs(at[same])
+                    repeat(doc, dig, lo + a, hi + a + LENGTH)
     rows = [(b, block, "segments", len(x).to_bytes(8, "little") + np.array(x, SEGMENT).tobytes() + b"".join(y)) for b, (x, y) in out.items()]
-    if ranges:
-        rows.append((block % buckets, block, "ranges", np.array(ranges, RANGE).tobytes()))
+    if len(found := np.concatenate(ranges)):
+        rows.append((block % buckets, block, "ranges", found.tobytes()))
     return _table(rows)
 
 
@@ -355,12 +389,11 @@ def _kept(raw: bytes, ranges: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]
     """The bytes outside the ranges, and the maximal removed runs."""
     if not len(ranges):
         return raw, []
-    mark = np.zeros(len(raw) + 1, np.int64)
-    np.add.at(mark, ranges["start"], 1)
-    np.add.at(mark, ranges["end"], -1)
-    gone = np.concatenate(([False], np.cumsum(mark)[:-1] > 0, [False]))
-    edges = np.flatnonzero(gone[1:] != gone[:-1])
-    return np.frombuffer(raw, np.uint8)[~gone[1:-1]].tobytes(), list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+    ranges = ranges[np.argsort(ranges["start"], kind="stable")]
+    upto = np.maximum.accumulate(ranges["end"])
+    new = np.flatnonzero(np.concatenate(([True], ranges["start"][1:] > upto[:-1])))
+    start, end = ranges["start"][new].tolist(), upto[np.append(new[1:], len(ranges)) - 1].tolist()
+    return b"".join(raw[a:b] for a, b in zip([0, *end], [*start, len(raw)], strict=True)), list(zip(start, end, strict=True))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bytes: int | None = None, hot_places: int = HOT_PLACES, with_text: bool = True, extra: Sequence[str] = ()) -> DataFrame:
