@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,14 +43,25 @@ def known(s: str, path: str, ratio: float = RATIO) -> bool:
     return not words or sum(map(len, words)) > ratio * sum(len(encoding(path).encode_ordinary(w)) for w in words)
 
 
-def outside(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The stretches of at least LEAST characters from a to b that no span, by start, touches."""
-    left = []
-    for x, y in [*((x, y) for x, y in spans if x < b and a < y), (b, b)]:
-        if x - a >= LEAST:
-            left.append((a, x))
-        a = max(a, y)
-    return left
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans sorted by start, those that overlap or meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def outside(a: int, b: int, spans: list[tuple[int, int]], ends: list[int]) -> list[tuple[int, int]]:
+    """The stretches of at least LEAST characters from a to b that no span touches; spans are disjoint and in order, ends are theirs."""
+    left, i = [], bisect_right(ends, a)
+    while i < len(spans) and spans[i][0] < b:
+        if spans[i][0] - a >= LEAST:
+            left.append((a, spans[i][0]))
+        a, i = spans[i][1], i + 1
+    return [*left, (a, b)] if b - a >= LEAST else left
 
 
 def find(text: str | None, path: str, ratio: float = RATIO) -> list[tuple[str, int, int]]:
@@ -58,9 +70,10 @@ def find(text: str | None, path: str, ratio: float = RATIO) -> list[tuple[str, i
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base = sorted((a, b) for _, a, b in found)
+    base = merged(sorted((a, b) for _, a, b in found))
+    ends = [b for _, b in base]
     for m in CANDIDATE.finditer(text):
-        for a, b in outside(*m.span(), base):
+        for a, b in outside(*m.span(), base, ends):
             s = text[a:b]
             if not known(s, path, ratio) and b - a <= ratio * len(encoding(path).encode_ordinary(s)):
                 found.append(("dense", a, b))
@@ -74,8 +87,9 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ratio: float = RATIO) -> DataFrame:
     """Secrets of every whole text: id, n_assign, n_access, n_hex, base_sha256, spans, n_dense.
 
-    A narrow map without a shuffle, so neither hot keys nor lost executors need care. Null and empty texts have
-    no spans; repeated rows give repeated results; an empty table gives an empty one; other columns are not read.
+    A narrow map without a shuffle, so neither hot keys nor lost executors need care; its time grows with a text's length and
+    its spans, not with their product. Null and empty texts have no spans; repeated rows give repeated results; an empty table
+    gives an empty one; other columns are not read.
     """
     path = vocabulary or tokenizer_path("byte_bpe_50k.tiktoken")
 
@@ -89,7 +103,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def redacted(text: Column, vocabulary: str | None = None, ratio: float = RATIO, mark: str = "<SECRET>") -> Column:
-    """The text with each secret (overlapping ones as one) replaced by mark; null stays null."""
+    """The text with each secret (overlapping ones as one) replaced by mark; null stays null, repeated rows are each treated, whole texts of any length."""
     path = vocabulary or tokenizer_path("byte_bpe_50k.tiktoken")
 
     def redact(s: pd.Series) -> pd.Series:
