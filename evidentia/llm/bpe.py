@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, per_document, tokenizer_path
 
 NONE = np.int64(1 << 40)
-#: A pretoken of more bytes is merged with a heap: rounds over a row cost its length squared.
+#: A pretoken of more bytes is a flat row of its own: in a matrix, rounds over a row cost its length squared.
 LONG = 2048
+#: The rank of a pair that is no token, in four bytes.
+NEVER = np.int32((1 << 31) - 1)
 #: Rows times width of a matrix.
 CELLS = 1 << 20
 #: Pretokens that a worker remembers, twice over: those seen since the last change of generation, and those before.
@@ -43,6 +45,7 @@ class Bpe:
         self._build(np.array(keys, np.int64), np.array(values, np.int64))
         self.cache: dict[str, tuple[int, str, bytes]] = {}
         self.before: dict[str, tuple[int, str, bytes]] = {}
+        self.long: list[str] = []
 
     def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing with linear probing; keys that lose a slot to another go one further in the next pass."""
@@ -124,32 +127,75 @@ class Bpe:
                 rank[rows[ok], side[ok]] = self.lookup(m[rows[ok], side[ok]], m[rows[ok], side[ok] + 1])
         return done
 
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """lookup in four bytes an id, a stretch at a time."""
+        out = np.empty(len(left), np.int32)
+        for a in range(0, len(left), CELLS):
+            out[a : a + CELLS] = np.minimum(self.lookup(left[a : a + CELLS].astype(np.int64), right[a : a + CELLS].astype(np.int64)), NEVER)
+        return out
+
     def merge_long(self, piece: bytes) -> list[int]:
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        nxt, prv, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
-        words = [piece[i : i + 1] for i in range(n)]
-
-        def push(i: int) -> None:
-            if i >= 0 and nxt[i] < n and (r := self.ranks.get(words[i] + words[nxt[i]])) is not None:
-                heappush(heap, (r, i, ids[i], nxt[i], ids[nxt[i]]))
-
-        for i in range(n):
-            push(i)
-        while heap:
-            r, i, a, j, b = heappop(heap)
-            if ids[i] != a or nxt[i] != j or j >= n or ids[j] != b:
+        """Ids of a piece as one flat row, whose rounds cost what they change and not the row's length.
+
+        A round merges the pairs of least rank from the left, as single rounds would one after another, up to one that makes a
+        pair of lesser rank, which is the next round's. Pairs wait by their rank; only those about a merged one are looked up.
+        """
+        n = len(piece)
+        ids = np.append(self.single[np.frombuffer(piece, np.uint8)], -1).astype(np.int32)  # place n is the end
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        rank = np.append(self._pair_ranks(ids[:-1], ids[1:]), NEVER)
+        waiting: dict[int, list[np.ndarray]] = {}
+        least: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[rank[at] < NEVER]
+            if not len(at):
+                return
+            at = at[np.argsort(rank[at], kind="stable")]
+            r = rank[at]
+            cuts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+            for x, a, b in zip(r[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
+                if x not in waiting:
+                    waiting[x] = []
+                    heappush(least, x)
+                waiting[x].append(at[a:b])
+
+        wait(np.arange(n + 1, dtype=np.int32))
+        while least:
+            new = heappop(least)
+            at = np.unique(np.concatenate(waiting.pop(new)))
+            at = at[rank[at] == new]
+            if not len(at):
                 continue
-            words[i] += words[j]
-            ids[i], ids[j], nxt[i] = r, -1, nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            push(prv[i])
-            push(i)
-        return [x for x in ids if x >= 0]
+            # Of pairs that overlap (a letter repeated) every other one, from the left.
+            apart = np.ones(len(at), bool)
+            apart[1:] = after[at[:-1]] != at[1:]
+            place = np.arange(len(at))
+            first = at[(place - np.maximum.accumulate(np.where(apart, place, 0))) % 2 == 0]
+            second = after[first]
+            last = after[second]
+            left = np.where(before[first] >= 0, ids[before[first]], -1)
+            left[1:][last[:-1] == first[1:]] = new  # the pair before was merged by then
+            lesser = np.flatnonzero((self._pair_ranks(left, np.full(len(first), new)) < new) | (self._pair_ranks(np.full(len(first), new), ids[last]) < new))
+            if len(lesser):
+                stop = lesser[0] + 1
+                rest = at[at > first[stop - 1]]
+                first, second, last = first[:stop], second[:stop], last[:stop]
+            ids[first], ids[second], rank[second] = new, -1, NEVER
+            after[first], before[last] = last, first
+            changed = np.unique(np.concatenate((first, before[first][before[first] >= 0])))
+            rank[changed] = self._pair_ranks(ids[changed], ids[after[changed]])
+            wait(changed)
+            if len(lesser):
+                wait(rest)
+        return ids[ids >= 0].tolist()
 
     def remember(self, pretokens: set[str]) -> None:
-        """Has all pretokens in the cache; frequent ones outlive a change of generation."""
+        """Has all pretokens in the cache; frequent ones outlive a change of generation, long ones only last till the next call."""
+        for p in self.long:
+            self.cache.pop(p, None)
+            self.before.pop(p, None)
+        self.long = [p for p in pretokens if len(p) > LONG]
         new = pretokens - self.cache.keys()
         if len(self.cache) + len(new) > REMEMBERED:
             self.cache, self.before, new = {}, self.cache, pretokens
@@ -175,8 +221,8 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Ids of every whole text and the bytes that they decode to: id, ids (decimal, comma-joined), n_tokens, decoded.
 
     Without with_ids, the SHA-256 of both takes their place (ids_sha256, decoded_sha256), made where the rows are.
-    Null and empty texts have no ids. Pretokens longer than LONG bytes merge with a heap, to the same ids. A narrow map:
-    rows may repeat, the table may be empty, other columns are not read.
+    Null and empty texts have no ids. Pretokens longer than LONG bytes are flat rows that merge all pairs of least rank in a
+    round, to the same ids. A narrow map: rows may repeat, the table may be empty, other columns are not read.
     """
     path = vocabulary or tokenizer_path("byte_bpe_multi_50k.tiktoken")
 
