@@ -21,8 +21,8 @@ PERCENT = 75
 PERMUTATIONS, BANDS = 64, 32
 #: Bits of the filter of ids that thins the texts out before they are joined with the candidates: its size is fixed.
 ID_BITS = 1 << 22
-#: Most shingles of a family of candidates that one task links.
-FAMILY = 1 << 21
+#: Most shingles, and most sets, of a family of candidates that one task links.
+FAMILY, FAMILY_SETS = 1 << 21, 1 << 16
 #: Counters, as a power of two, of the sketch that orders shingles by frequency.
 SKETCH_BITS = 18
 
@@ -89,34 +89,73 @@ def _sets(texts: list[str]):
     return [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [s.tobytes() for s in sets]
 
 
+class Labels:
+    """Components of numbered nodes: a label for each, the members of each label; the smaller side of a union is relabelled."""
+
+    def __init__(self, label: np.ndarray):
+        self.label = label
+        order = np.argsort(label, kind="stable")
+        self.members = dict(enumerate(np.split(order, np.cumsum(np.bincount(label))[:-1])))
+        self.largest = max(self.members, key=lambda k: len(self.members[k]))
+
+    def join(self, labels: list[int]) -> None:
+        to = max(labels, key=lambda k: len(self.members[k]))
+        parts = [self.members[to]]
+        for k in labels:
+            if k != to:
+                parts.append(self.members.pop(k))
+                self.label[parts[-1]] = to
+        self.members[to] = np.concatenate(parts)
+        if to != self.largest and (self.largest not in self.members or len(self.members[to]) > len(self.members[self.largest])):
+            self.largest = to
+
+
 def link_family(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Least id of each set's component, every link among the sets counted; rows of one id are one node.
 
-    A set is held against all others at once through the shingles' posting lists. Sets that are in the largest component
-    by then need not be, as all others are held against them.
+    Two sets that are similar enough share one of the rarest shingles of each, so a set is held against those of other
+    components that share one of its. Sets that are in the largest component by then need not be, as all others are held
+    against them. A set costs what the posting lists of its rarest shingles and its candidates' shingles do.
     """
     n = np.array([len(s) for s in sets], np.int64)
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rarity = np.empty(len(often), np.int64)
+    rarity[np.argsort(often, kind="stable")] = np.arange(len(often))
     row = np.repeat(np.arange(len(sets)), n)
-    by = np.argsort(code, kind="stable")
-    owner, size = row[by], np.bincount(code)
-    begin = np.cumsum(size) - size
+    code = rarity[code]
+    code = code[np.lexsort((code, row))]  # a set's shingles, rarest first
     at = np.cumsum(n) - n
-    _, label = np.unique(ids, return_inverse=True)  # labels in order of ids
-    least = np.sort(np.unique(ids))
-    todo = np.ones(len(sets), bool)
-    while True:
-        wait = np.flatnonzero(todo & (label != np.bincount(label).argmax()))
-        if not len(wait):
-            wait = np.flatnonzero(todo) if todo.all() else wait
-            if not len(wait):
-                return least[label]
-        i = wait[0]
-        todo[i] = False
-        mine = code[at[i] : at[i] + n[i]]
-        both = np.bincount(np.concatenate([owner[begin[c] : begin[c] + size[c]] for c in mine.tolist()]), minlength=len(sets))
-        near = np.unique(label[100 * both >= percent * (n + n[i] - both)])
-        label[np.isin(label, near)] = near[0]
+    few = n - -(-n * percent // 100) + 1
+    rare = np.arange(len(code)) - np.repeat(at, n) < np.repeat(few, n)
+    owner = row[rare][by := np.argsort(code[rare], kind="stable")]
+    begin = np.searchsorted(code[rare][by], np.arange(len(often) + 1))
+    shared = np.add.reduceat(np.where(rare, np.diff(begin)[code] - 1, 0), at) > 0
+    least, label = np.unique(ids, return_inverse=True)  # labels in order of ids
+    parts = Labels(label)
+    marked = np.zeros(len(often), bool)
+    todo = shared.copy()
+    while len(wait := np.flatnonzero(todo & (parts.label != parts.largest))):
+        for i in wait.tolist():
+            if parts.label[i] == parts.largest:
+                continue
+            todo[i] = False
+            other = np.unique(np.concatenate([owner[begin[c] : begin[c + 1]] for c in code[at[i] : at[i] + few[i]].tolist()]))
+            other = other[(parts.label[other] != parts.label[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
+            if not len(other):
+                continue
+            size = n[other]
+            place = np.arange(size.sum()) + np.repeat(at[other] - np.cumsum(size) + size, size)
+            mine = code[at[i] : at[i] + n[i]]
+            marked[mine] = True
+            both = np.add.reduceat(marked[code[place]], np.cumsum(size) - size, dtype=np.int64)
+            marked[mine] = False
+            near = np.unique(parts.label[other[100 * both >= percent * (size + n[i] - both)]])
+            if len(near):
+                parts.join([int(parts.label[i]), *near.tolist()])
+    out = np.empty(len(sets), ids.dtype)
+    for members in parts.members.values():
+        out[members] = ids[members].min()
+    return out
 
 
 def _prefix(size: int, part: int, whole: int) -> int:
@@ -205,8 +244,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Near-duplicate groups of whole texts: id, n_shingles, component_id (least id reachable), kept (it is the id).
 
     Documents of equal sets are one class, stood for by the least id, so exact copies cost nothing further. Classes that share
-    a band's bucket, directly or over others, are a family; a family of at most family shingles is linked in one task, which
-    holds every set against all others on full sets. Larger families are linked in many tasks: every class with the least one of its
+    a band's bucket, directly or over others, are a family; a family of at most family shingles (and FAMILY_SETS classes) is linked
+    in one task, which holds sets against all that share one of their rarest shingles, on full sets. Larger families are linked in many tasks: every class with the least one of its
     buckets, then all pairs of different components that share one of their rarest shingles. Neither emits all pairs of a
     bucket, and neither loses a link.
 
@@ -226,8 +265,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = met.select(F.col("id").alias("a"), "b").unionByName(met.select(F.explode("l").alias("a"), "b").distinct()).where("a <> b")
     of = components(linked).select(F.col("node").alias("id"), F.col("label").alias("family"))
     wanted = shared_checkpoint(members.select("id", "digest", "n").distinct().join(of, "id"))
-    sizes = wanted.groupBy("family").agg(F.sum("n").alias("size"))
-    large = shared_checkpoint(sizes.where(F.col("size") > family).select("family"))
+    sizes = wanted.groupBy("family").agg(F.sum("n").alias("size"), F.count("*").alias("sets"))
+    large = shared_checkpoint(sizes.where((F.col("size") > family) | (F.col("sets") > FAMILY_SETS)).select("family"))
     any_large = large.limit(1).count() > 0
     schema = T.StructType([T.StructField("node", df.schema[id_col].dataType), T.StructField("label", df.schema[id_col].dataType)])
 

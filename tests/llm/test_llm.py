@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.llm import ann, bpe, components, langid, lm, minhash, packing, quality, secrets, sharding, suffixes
-from evidentia.llm.common import remainder, slices
+from evidentia.llm.common import packed, remainder, slices, unpacked
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block long, digest string, label string, h long, r int, cell long, id string"
 
@@ -120,6 +121,20 @@ def test_what_a_base_span_leaves_is_tested():
             assert set(secrets._replaced(text, secrets.find(text, path), "#")) == {"#"}
 
 
+def test_stretches_outside_of_many_spans():
+    rng, path = random.Random(6), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for _ in range(300):
+        spans = sorted((a, a + rng.randint(1, 30)) for a in rng.sample(range(400), rng.randint(0, 12)))
+        lo = rng.randrange(300)
+        hi = lo + rng.randint(20, 200)
+        free = "".join("x" if not any(a <= p < b for a, b in spans) else " " for p in range(hi))
+        want = [m.span() for m in re.compile("x+").finditer(free, lo) if m.end() - m.start() >= secrets.LEAST]
+        base = secrets.merged(spans)
+        assert secrets.outside(lo, hi, base, [b for _, b in base]) == want
+    line = "deadbeef" * 4 + " some_identifier_of_words_here " + "k" * 3 + "\n"
+    assert sum(k == "hex" for k, _, _ in secrets.find(line * 100_000, path)) == 100_000
+
+
 # 2
 
 
@@ -157,6 +172,29 @@ def test_suffix_dedup(docs, hot):
     assert found == wanted and got.count() == docs.count()
 
 
+def test_hot_minimizers_and_a_long_text_of_one_letter():
+    import pyarrow as pa
+
+    def block(texts):
+        docs = pa.table({"doc": list(range(len(texts))), "dig": [0] * len(texts), "raw": texts})
+        return docs, pa.table({"kind": ["first"] * len(texts), "doc": list(range(len(texts))), "dig": [0] * len(texts), "payload": pa.nulls(len(texts), pa.binary())})
+
+    n = 9 << 20
+    docs, first = block([b"a" * n, b"ab" * 500_000 + b"c"])
+    sent = suffixes._minimizers(0, docs, first, 3)
+    answers = pa.concat_tables([suffixes._repeated(sent.filter(pa.compute.equal(sent["bucket"], k)), suffixes.HOT_PLACES) for k in set(sent["bucket"].to_pylist())])
+    hot = [x for p in answers["payload"].to_pylist() for x in p[8 * (len(p) // 9) :]]
+    assert sum(hot) >= 2  # one block alone has more places than make a minimizer hot
+    told = pa.concat_tables([first, pa.table({"kind": answers["kind"], "doc": pa.nulls(len(answers), pa.int64()), "dig": pa.nulls(len(answers), pa.int64()), "payload": answers["payload"]})])
+    out = suffixes._candidates(0, docs, told, 8)
+    ranges = np.concatenate([np.frombuffer(p, suffixes.RANGE) for k, p in zip(out["kind"].to_pylist(), out["payload"].to_pylist(), strict=True) if k == "ranges"])
+    assert len(ranges) < 100 and out.nbytes < 1 << 20
+    kept, spans = suffixes._kept(b"a" * n, ranges[ranges["doc"] == 0])
+    assert (len(kept), spans) == (1, [(1, n)])
+    kept, spans = suffixes._kept(b"ab" * 500_000 + b"c", ranges[ranges["doc"] == 1])
+    assert spans == [(2, 1_000_000)] and kept == b"abc"
+
+
 def test_difference_cover():
     assert {(a - b) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.PERIOD))
     rng = random.Random(2)
@@ -207,6 +245,19 @@ def test_bpe(docs):
         assert b.encode(x) == enc.encode_ordinary(x) and b.decode(b.encode(x)) == x.encode()
 
 
+def test_long_rows_merge_as_single_rounds_would():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    b, enc, rng = bpe.bpe(path), tiktoken_encoding("byte_bpe_multi_50k.tiktoken"), random.Random(12)
+    for alphabet in ("ab", "aeiou", "etaoinsrhl", "éèàb", "0123456789", "=-#", " \n", "日本語の", "the anding "):
+        for _ in range(40):
+            x = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 150))).encode()
+            assert b.merge_long(x) == b._rounds([x], max(2, len(x)))[0]
+    for x in ("a" * 1_000_000, "#" * 500_000, "ab" * 300_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000)), base64.b64encode(rng.randbytes(200_000)).decode()):
+        assert b.encode(x) == enc.encode_ordinary(x)
+    for c in " \t\n":
+        assert b.decode(b.encode(c * 2_000_000)) == c.encode() * 2_000_000
+
+
 # 4
 
 
@@ -240,18 +291,25 @@ def test_filter_has_no_false_negatives():
     fresh = lm.mix64(np.arange(10_000, 20_000, dtype=np.uint64))
     assert (f.level(fresh) > 0).mean() < 0.2
     fp = np.sort(lm.fingerprint(h, 3))
-    assert (lm.from_short(lm.short(fp), len(fp)) == fp).all() and (lm.unpacked(lm.packed(counts * 9), len(counts)) == counts * 9).all()
+    assert (lm.from_short(lm.short(fp), len(fp)) == fp).all() and (unpacked(packed(counts * 9), len(counts)) == counts * 9).all()
 
 
-def test_filter_grows_with_the_text(docs, monkeypatch):
-    # No cap holds the filter: with one of 2^11 bits the levels would be wrong, and the scores with them.
-    monkeypatch.setattr(lm, "MOST_BITS", 1 << 11, raising=False)
-    capped = {tuple(r) for r in lm.score_texts(docs).select("doc_id", "score").collect()}
-    monkeypatch.undo()
-    assert capped == {tuple(r) for r in lm.score_texts(docs).select("doc_id", "score").collect()}
-    for n_bytes in (0, 1 << 20, 358 << 20, 512 << 20, 3 << 30, 30 << 30, 1 << 40):
-        bits, slice_bits = lm.sizes_of(n_bytes)
-        assert lm.BITS_PER_BYTE * n_bytes <= 1 << bits + slice_bits and slice_bits <= 24
+@pytest.mark.parametrize("n", [300, 30_000, 3_000_000])
+def test_filter_is_as_exact_for_a_large_corpus(n):
+    # A slice is as large as its entries ask for: what is not there is reported as seldom at any size.
+    rng = np.random.default_rng(n)
+    counts = rng.zipf(1.7, n).clip(1, 1 << 30)
+    f = lm.Filter(0, lm.slice_bits(counts))
+    entries = lm.levels_of(counts).sum()
+    assert lm.BITS_PER_ENTRY * entries <= 8 * len(f.bits) <= 2 * lm.BITS_PER_ENTRY * entries + 512
+    f.add(lm.fingerprint(lm.mix64(np.arange(1, n + 1, dtype=np.uint64)), 0), counts)
+    fresh = f.level(lm.mix64(np.arange(1 << 40, (1 << 40) + 50_000, dtype=np.uint64)))
+    assert (fresh > 0).mean() < 0.015 and fresh.max() <= 4
+
+
+def test_buckets_grow_with_the_text():
+    for n_bytes in (0, 1 << 20, 512 << 20, 30 << 30, 1 << 42):
+        assert n_bytes / (1 << lm.bucket_bits(n_bytes)) <= 1.05 * lm.BUCKET_BYTES
 
 
 # 5
@@ -337,6 +395,14 @@ def test_link_family_by_brute_force():
         assert minhash.link_family(ids, sets, 75).tolist() == [label[i] for i in ids]
 
 
+def test_family_of_many_small_sets_in_little_time():
+    rng, n = np.random.default_rng(5), 60_000
+    sets = [np.unique(x) for x in rng.integers(0, n // 2, (n, 6)).astype(np.uint64)]
+    began = time.time()
+    assert len(set(minhash.link_family(np.arange(n), [*sets[:-1], sets[0]], 75).tolist())) <= n - 1
+    assert time.time() - began < 30
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (4, 4), *((100 + i, 101 + i) for i in range(40))]
     got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
@@ -460,6 +526,15 @@ def test_special_token_and_cuts(spark):
     assert packing.cut(2048) == [(0, 2048)] and packing.cut(2049) == [(0, 1), (1, 2048)] and packing.cut(1) == [(0, 1)] and packing.cut(5000) == [(0, 904), (904, 2048), (2952, 2048)]
 
 
+@pytest.mark.parametrize("c", [" ", "\t", "\n"])
+def test_packing_tokenizes_long_white_space(c):
+    from tokenizers import Tokenizer
+
+    ranks, js = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+    x = "a " + c * 2_000_000 + "b"
+    assert packing.token_ids(x, ranks, js).tolist() == [*Tokenizer.from_file(js).encode(x, add_special_tokens=False).ids, 0]
+
+
 def test_best_fit_decreasing_by_brute_force():
     rng = random.Random(3)
     for _ in range(150):
