@@ -10,10 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import prepare, shared_checkpoint
+
 #: Most vectors that the lists' centroids and the rotation are fitted on: the documented bound of the sample.
 SAMPLE = 16384
 #: Vectors of a list that one task scans at a time; longer lists are split.
-CHUNK = 4096
+CHUNK = 16384
+#: Most coarse centroids; more lists than that come from centroids of residuals, so their number grows with the vectors'.
+COARSE = 1024
+#: Numbers in a matrix of queries by lists.
+MATRIX = 1 << 23
 #: A query probes as many lists, nearest first, as hold this share of the true neighbours of distinct queries tried on the sample.
 FOUND, TRIED, LEAST_PROBES = 0.98, 128, 12
 #: Columns of a block, and the test's bound: a candidate is abandoned if its partial distance over d of D dimensions is
@@ -51,7 +57,50 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarr
     return c
 
 
-def probes_for(x: np.ndarray, centre: np.ndarray, k: int, share: float) -> int:
+class Lists:
+    """The lists' places: coarse centroids and, where there are to be more lists than those, centroids of what is left of a vector about its own."""
+
+    def __init__(self, x: np.ndarray, lists: int, most: int):
+        self.coarse = centroids(x, min(lists, most))
+        self.fine = np.zeros((1, x.shape[1]))
+        if lists > most:
+            left = x - self.coarse[(x @ self.coarse.T).argmax(1)]
+            self.fine = means(left, min(-(-lists // len(self.coarse)), max(1, len(x) // 8)))
+        self.size = (self.fine * self.fine).sum(1)
+        self.cross = self.coarse @ self.fine.T
+
+    def __len__(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The list that each vector is in."""
+        c = (x @ self.coarse.T).argmax(1)
+        f = (2 * (x - self.coarse[c]) @ self.fine.T - self.size).argmax(1)
+        return c * len(self.fine) + f
+
+    def nearest(self, q: np.ndarray, n: int) -> np.ndarray:
+        """The n lists that are nearest to each query, in order."""
+        near = 2 * (q @ self.coarse.T)[:, :, None] + (2 * (q @ self.fine.T) - self.size)[:, None, :] - 2 * self.cross - (self.coarse * self.coarse).sum(1)[:, None]
+        near = near.reshape(len(q), len(self))
+        if n < len(self):
+            some = np.argpartition(-near, n - 1, axis=1)[:, :n]
+            return np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
+        return np.argsort(-near, axis=1, kind="stable")
+
+
+def means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """k-means; a centroid without members stays."""
+    x = np.unique(x, axis=0)
+    c = x[np.random.default_rng(seed).permutation(len(x))[:k]]
+    for _ in range(rounds):
+        near = (2 * x @ c.T - (c * c).sum(1)).argmax(1)
+        total, n = np.zeros_like(c), np.bincount(near, minlength=len(c))
+        np.add.at(total, near, x)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def probes_for(x: np.ndarray, lists: Lists, k: int, share: float) -> int:
     """How many lists hold the share of the k nearest of TRIED distinct rows of x, all others being candidates."""
     x = np.unique(x, axis=0)
     x = x[np.random.default_rng(9).permutation(len(x))]
@@ -59,9 +108,12 @@ def probes_for(x: np.ndarray, centre: np.ndarray, k: int, share: float) -> int:
     near = q @ x.T
     near[np.arange(len(q)), np.arange(len(q))] = -2
     best = np.argpartition(-near, min(k, len(x) - 1), axis=1)[:, :k]
-    place = np.argsort(np.argsort(-(q @ centre.T), axis=1, kind="stable"), axis=1)
-    of = (x @ centre.T).argmax(1)
-    return 1 + int(np.quantile(np.take_along_axis(place, of[best], 1), share, method="higher"))
+    of, place = lists.of(x), []
+    for i in range(len(q)):  # a query at a time: there may be very many lists
+        rank = np.empty(len(lists), np.int64)
+        rank[lists.nearest(q[i : i + 1], len(lists))[0]] = np.arange(len(lists))
+        place.append(rank[of[best[i]]])
+    return 1 + int(np.quantile(np.concatenate(place), share, method="higher"))
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -96,83 +148,97 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY, found: float = FOUND, sample: int = SAMPLE) -> DataFrame:
+def distinct_vectors(rows: DataFrame, few: int) -> DataFrame:
+    """v, ids of rows (id, v): each different vector with the least few of its ids, in order. A vector's copies are thinned out before the exchange."""
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= few)
+    return first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY, found: float = FOUND, sample: int = SAMPLE, coarse: int = COARSE) -> DataFrame:
     """The k nearest found of each query: query_id, rank, vec_id, score (cosine of the original vectors in double precision).
 
     Queries are the rows whose id is divisible by every; candidates all rows of other ids. Vectors that are null, empty, zero or
-    hold null or non-finite components, or whose dimension is not that of most of the sample, take no part, nor do null ids.
-    Equal scores go to the smaller id; repeated rows of an id are one candidate. With fewer than k candidates all are returned.
-
-    All vectors are put in inverted lists of centroids fitted on at most sample of them. A list's vectors are dealt to chunks
-    by a hash of their ids, so neither a popular list nor a vector with very many copies is one task's; a query visits each
-    chunk of its lists, keeping the k best of each, and the best of all chunks are its result.
+    hold null or non-finite components take no part, nor do null ids; where dimensions differ, a shorter vector counts as
+    continued by zeros. Of rows with one id and different vectors the least vector counts; repeated rows are one candidate.
+    Equal scores go to the smaller id. With fewer than k candidates all are returned; an empty table gives an empty one. Other
+    columns are not read, so their names cannot clash.
+
+    Copies of a vector are one entry of the index with its k + 1 least ids, and one query. The lists, some two for each root of the
+    number of vectors, come from at most sample of them: coarse centroids, and beyond those the centroids of residuals. A long list is
+    dealt to chunks by a hash of ids, so a popular list is not one task's; a query visits each chunk of its lists, keeping the best
+    of each, and the best of all chunks are its result.
     """
     spark = df.sparkSession
+    prepare(spark)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double")).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()}
-    if not sizes:
+    dim = rows.agg(F.max(F.size("v")).alias("d")).first()["d"]
+    if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    (dim, n), = sizes.items()
-    rows = rows.where(F.size("v") == dim)
+    rows = rows.groupBy("id").agg(F.min("v").alias("v")).select("id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v"))).alias("v"))
+    index = shared_checkpoint(distinct_vectors(rows, k + 1).select(F.col("ids")[0].alias("id"), "ids", "v"))
+    n = index.count()
     share = min(1_000_000, int(1_000_000 * sample * 0.9 / n) + 1)
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit("ann")), F.lit(1_000_000)) < share).limit(sample).collect()
+    picked = index.where(F.pmod(F.xxhash64("id", F.lit("ann")), F.lit(1_000_000)) < share).select("v").limit(sample).collect()
     turn = rotation(dim)
     fitted = unit(np.array([r["v"] for r in picked] or [[1.0] + [0.0] * (dim - 1)])) @ turn
-    lists = int(min(max(1, 2 * math.sqrt(n)), max(1, len(fitted) // 8), 1024))
-    centre = centroids(fitted, lists)
-    lists = len(centre)
-    probes = min(lists, max(LEAST_PROBES, probes_for(fitted, centre, k, found)))
-    chunks = max(1, -(-n // (lists * CHUNK)))
-    shared = spark.sparkContext.broadcast((turn, centre))  # at most 1024 centroids
+    lists = Lists(fitted, int(max(1, 2 * math.sqrt(n))), min(coarse, max(1, len(fitted) // 8)))
+    probes = min(len(lists), max(LEAST_PROBES, probes_for(fitted, lists, k, found)))
+    shared = spark.sparkContext.broadcast((turn, lists))  # coarse and sample / 8 centroids at most
+
+    def turned(batch, a, b):
+        turn, lists = shared.value
+        return lists, unit(np.stack(batch.column("v").slice(a, b - a).to_numpy(zero_copy_only=False))) @ turn
 
     def assign(batches):
-        turn, centre = shared.value
         for b in batches:
-            x = unit(np.stack(b.column("v").to_numpy(zero_copy_only=False))) @ turn if b.num_rows else np.zeros((0, dim))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array((x @ centre.T).argmax(1).astype(np.int64)), b.column("v")], names=["id", "list", "v"])
+            if b.num_rows:
+                lists, x = turned(b, 0, b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), pa.array(lists.of(x)), b.column("v")], names=["id", "ids", "list", "v"])
 
     def probe(batches):
-        turn, centre = shared.value
         for b in batches:
-            x = unit(np.stack(b.column("v").to_numpy(zero_copy_only=False))) @ turn if b.num_rows else np.zeros((0, dim))
-            which = np.argsort(-(x @ centre.T), axis=1, kind="stable")[:, :probes] if b.num_rows else np.zeros((0, probes), np.int64)
-            at = np.repeat(np.arange(b.num_rows), probes)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(which.ravel().astype(np.int64)), b.column("v").take(pa.array(at))], names=["id", "list", "v"])
-
-    ddl = "id long, list long, v array<double>"
-    located = rows.mapInArrow(assign, ddl)
+            step = max(1, MATRIX // len(shared.value[1]))
+            for a in range(0, b.num_rows, step):
+                lists, x = turned(b, a, min(b.num_rows, a + step))
+                which = lists.nearest(x, probes)
+                at = pa.array(np.repeat(np.arange(len(x)), which.shape[1]) + a)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(at), pa.array(which.ravel().astype(np.int64)), b.column("v").take(at)], names=["id", "list", "v"])
+
+    located = index.mapInArrow(assign, "id long, ids array<long>, list long, v array<double>")
     # Chunks of a list: as many as its size asks for.
     parts = located.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / CHUNK).cast("long").alias("chunks"))
-    members = located.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "v")
-    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id"]).mapInArrow(probe, ddl)
-    visits = queries.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "id", "v")
+    members = located.join(parts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "ids", "v")
+    asked = rows.where(F.col("id") % every == 0).join(index.select("v", F.col("id").alias("of")), "v").select("id", "of")
+    queries = index.join(asked.select(F.col("of").alias("id")).distinct(), "id", "left_semi").select("id", "v").mapInArrow(probe, "id long, list long, v array<double>")
+    visits = queries.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "id", "v")
 
     def search(key, mine, asked):
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"of": [], "vec_id": [], "score": []}
         if mine.num_rows and asked.num_rows:
             turn, _ = shared.value
-            ids, first = np.unique(mine.column("id").to_numpy(), return_index=True)
-            raw = np.stack(mine.column("v").to_numpy())[first]
+            raw = np.stack(mine.column("v").to_numpy())
+            copies = mine.column("ids").to_pylist()
             x = unit(raw) @ turn
-            for qid, q in zip(asked.column("id").to_pylist(), asked.column("v").to_numpy(), strict=True):
-                other = ids != qid
-                turned = (unit(q[None]) @ turn)[0]
-                seed = np.flatnonzero(other)[: 4 * k]
-                step = x[seed] - turned
+            for of, q in zip(asked.column("id").to_pylist(), asked.column("v").to_numpy(), strict=True):
+                at = (unit(q[None]) @ turn)[0]
+                step = x[: 4 * k] - at
                 close = np.sort((step * step).sum(1))
-                near = close[k - 1] if len(close) >= k else np.inf
-                found = np.flatnonzero(other)
-                found = found[scan(turned, x[found], near, k)]
-                score = cosines(q, raw[found]) if len(found) else np.zeros(0)
-                best = _best(ids[found], score, k)
-                out["query_id"] += [qid] * len(best)
-                out["vec_id"] += ids[found][best].tolist()
+                found = scan(at, x, close[k] if len(close) > k else np.inf, k + 1)
+                score = cosines(q, raw[found])
+                ids = np.array([i for f in found.tolist() for i in copies[f]], np.int64)
+                score = np.repeat(score, [len(copies[f]) for f in found.tolist()])
+                best = _best(ids, score, k + 1)
+                out["of"] += [of] * len(best)
+                out["vec_id"] += ids[best].tolist()
                 out["score"] += score[best].tolist()
-        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+        return pa.table(out, schema=pa.schema([("of", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    nearest = members.groupBy("list", "chunk").cogroup(visits.groupBy("list", "chunk")).applyInArrow(search, "query_id long, vec_id long, score double")
+    nearest = members.groupBy("list", "chunk").cogroup(visits.groupBy("list", "chunk")).applyInArrow(search, "of long, vec_id long, score double")
+    best = nearest.withColumn("r", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
+    # The k + 1 nearest entries of a vector are those of all its copies; each leaves itself out.
+    each = asked.join(best, "of").where("vec_id <> id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return nearest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.select(F.col("id").alias("query_id"), "vec_id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

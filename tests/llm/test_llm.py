@@ -315,29 +315,58 @@ def test_buckets_grow_with_the_text():
 # 5
 
 
-def test_ann(spark):
+def exact_neighbours(ids, x, q, k=5):
+    s = ann.cosines(x[q], x)
+    order = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
+    return [(int(ids[i]), float(s[i])) for i in order]
+
+
+def searched(df, **how):
+    got = collections.defaultdict(list)
+    for r in ann.nearest_neighbours(df, **how).orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(got[r.query_id]) + 1
+        got[r.query_id].append((r.vec_id, r.score))
+    return got
+
+
+@pytest.mark.parametrize("coarse", [16, ann.COARSE])
+def test_ann(spark, coarse):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((6000, 24)).astype(np.float32)
-    x[:200] = x[0]  # a vector with many copies
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    rows += [(9000, None), (9050, [0.0] * 24), (9100, [float("nan")] * 24), (9150, [None] * 24), (9200, []), (None, x[1].tolist()), (9250, [1.0]), rows[77]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = collections.defaultdict(list)
-    for r in ann.nearest_neighbours(df).orderBy("query_id", "rank").collect():
-        got[r.query_id].append(r)
-    d = x.astype(float)
-    hits = 0
-    for q in range(0, 6000, 50):
+    x[:200] = x[0]  # a vector with many copies, some of them queries
+    rows = [(i, v.tolist(), 1, 2, [3], 4) for i, v in enumerate(x)]
+    odd = [(9000, None), (9050, [0.0] * 24), (9100, [float("nan")] * 24), (9150, [None] * 24), (9200, []), (9300, [float("inf")] * 24), (None, x[1].tolist())]
+    rows += [(*r, 1, 2, [3], 4) for r in odd] + [rows[77]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int, list int, ids array<int>, v int")
+    got, d = searched(df, coarse=coarse), x.astype(float)
+    want = {q: exact_neighbours(np.arange(6000), d, q) for q in range(0, 6000, 50)}
+    assert set(got) == set(want)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.95 * 5 * 120
+    for q in got:
         s = ann.cosines(d[q], d)
-        s[q] = -2
-        best = np.lexsort((np.arange(6000), -s))[:5]
-        hits += len(set(best) & {r.vec_id for r in got[q]})
-        assert [r["rank"] for r in got[q]] == [1, 2, 3, 4, 5] and all(r.score == s[r.vec_id] for r in got[q])
-        assert [(-r.score, r.vec_id) for r in got[q]] == sorted((-r.score, r.vec_id) for r in got[q])
-    assert hits >= 0.9 * 5 * 120 and set(got) == set(range(0, 6000, 50))
-    assert [r.vec_id for r in got[0]] == [1, 2, 3, 4, 5]
-    few = ann.nearest_neighbours(spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>"))
-    assert [(r.query_id, r.vec_id) for r in few.orderBy("query_id", "rank").collect()] == [(0, 50), (0, 3), (50, 0), (50, 3)]
+        assert len(got[q]) == 5 and all(v == s[i] for i, v in got[q]) and [(-v, i) for i, v in got[q]] == sorted((-v, i) for i, v in got[q])
+    assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5] and [i for i, _ in got[50]] == [0, 1, 2, 3, 4] and got[150] == got[100]
+
+
+def test_ann_takes_few_and_mixed_vectors(spark):
+    few = searched(spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>"))
+    assert {q: [i for i, _ in v] for q, v in few.items()} == {0: [50, 3], 50: [0, 3]}
+    # A shorter vector is continued by zeros; of two vectors of an id the least counts.
+    mixed = searched(spark.createDataFrame([(0, [1.0]), (50, [1.0, 1.0]), (3, [0.0, 2.0, 0.0]), (4, [9.0, 0.0]), (4, [0.0, 0.0, 1.0])], "vec_id long, embedding array<double>"))
+    assert [i for i, _ in mixed[0]] == [50, 3, 4] and mixed[0][0][1] == pytest.approx(0.5**0.5) and [i for i, _ in mixed[50]] == [0, 3, 4]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_embeddings(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = collections.defaultdict(set)
+    for r in ann.op5_ann(spark, f"/root/testdata/{sf}").collect():
+        got[r.query_id].add((r.vec_id, r.score))
+    queries = np.flatnonzero(ids % 50 == 0).tolist()
+    recall = sum(len(got[int(ids[q])] & set(exact_neighbours(ids, x, q))) for q in queries) / (5 * len(queries))
+    print(f"recall {sf} {recall:.4f}")
+    assert recall >= 0.95
 
 
 # 6
