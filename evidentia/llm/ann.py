@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import prepare, shared_checkpoint
+from .common import mix64, prepare, shared_checkpoint
 
 #: Most vectors that the lists' centroids and the rotation are fitted on: the documented bound of the sample.
 SAMPLE = 16384
@@ -21,7 +21,7 @@ COARSE = 1024
 #: Numbers in a matrix of queries by lists.
 MATRIX = 1 << 23
 #: A query probes as many lists, nearest first, as hold this share of the true neighbours of distinct queries tried on the sample.
-FOUND, TRIED, LEAST_PROBES = 0.98, 128, 12
+FOUND, TRIED, LEAST_PROBES = 0.995, 128, 12
 #: Columns of a block, and the test's bound: a candidate is abandoned if its partial distance over d of D dimensions is
 #: above (1 + EPSILON / sqrt(d)) ** 2 * d / D of the distance to beat.
 BLOCK, EPSILON = 16, 2.1
@@ -116,6 +116,15 @@ def probes_for(x: np.ndarray, lists: Lists, k: int, share: float) -> int:
     return 1 + int(np.quantile(np.concatenate(place), share, method="higher"))
 
 
+def visited(lists: np.ndarray, sizes: np.ndarray, least: int, enough: bool = False) -> np.ndarray | None:
+    """Of lists in order those that are not empty (enough: so many of them as hold the least number of vectors); None if they hold fewer."""
+    lists = lists[sizes[lists] > 0]
+    total = np.cumsum(sizes[lists])
+    if enough:
+        return lists[: np.searchsorted(total, least) + 1]
+    return lists if len(lists) and total[-1] >= least else None
+
+
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosines in double precision; the same for the same two vectors wherever they are scanned."""
     a, b = np.abs(q).max(), np.abs(x).max(1, keepdims=True)
@@ -166,7 +175,7 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
     Copies of a vector are one entry of the index with its k + 1 least ids, and one query. The lists, some two for each root of the
     number of vectors, come from at most sample of them: coarse centroids, and beyond those the centroids of residuals. A long list is
     dealt to chunks by a hash of ids, so a popular list is not one task's; a query visits each chunk of its lists, keeping the best
-    of each, and the best of all chunks are its result.
+    of each, and the best of all chunks are its result. Lists are visited until they hold k others, so none are missing.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -181,7 +190,8 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
     picked = index.where(F.pmod(F.xxhash64("id", F.lit("ann")), F.lit(1_000_000)) < share).select("v").limit(sample).collect()
     turn = rotation(dim)
     fitted = unit(np.array([r["v"] for r in picked] or [[1.0] + [0.0] * (dim - 1)])) @ turn
-    lists = Lists(fitted, int(max(1, 2 * math.sqrt(n))), min(coarse, max(1, len(fitted) // 8)))
+    most = int(max(1, 2 * math.sqrt(n)))
+    lists = Lists(fitted, most if most > coarse else min(most, max(1, len(fitted) // 8)), coarse)
     probes = min(len(lists), max(LEAST_PROBES, probes_for(fitted, lists, k, found)))
     shared = spark.sparkContext.broadcast((turn, lists))  # coarse and sample / 8 centroids at most
 
@@ -189,28 +199,45 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
         turn, lists = shared.value
         return lists, unit(np.stack(batch.column("v").slice(a, b - a).to_numpy(zero_copy_only=False))) @ turn
 
+    def count(batches):
+        total = np.zeros(len(shared.value[1]), np.int64)
+        for b in batches:
+            if b.num_rows:
+                lists, x = turned(b, 0, b.num_rows)
+                total += np.bincount(lists.of(x), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["list", "n"])
+
+    sizes = np.zeros(len(lists), np.int64)
+    for r in index.select("v").mapInArrow(count, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():  # a row a list
+        sizes[r["list"]] = r["n"]
+    known = spark.sparkContext.broadcast(sizes)
+
     def assign(batches):
         for b in batches:
             if b.num_rows:
                 lists, x = turned(b, 0, b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), pa.array(lists.of(x)), b.column("v")], names=["id", "ids", "list", "v"])
+                of = lists.of(x)
+                chunk = mix64(b.column("id").to_numpy().astype(np.uint64)) % np.ceil(known.value[of] / CHUNK).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(chunk.astype(np.int64)), b.column("ids"), b.column("v")], names=["list", "chunk", "ids", "v"])
 
     def probe(batches):
         for b in batches:
             step = max(1, MATRIX // len(shared.value[1]))
             for a in range(0, b.num_rows, step):
                 lists, x = turned(b, a, min(b.num_rows, a + step))
-                which = lists.nearest(x, probes)
-                at = pa.array(np.repeat(np.arange(len(x)), which.shape[1]) + a)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(at), pa.array(which.ravel().astype(np.int64)), b.column("v").take(at)], names=["id", "list", "v"])
-
-    located = index.mapInArrow(assign, "id long, ids array<long>, list long, v array<double>")
-    # Chunks of a list: as many as its size asks for.
-    parts = located.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / CHUNK).cast("long").alias("chunks"))
-    members = located.join(parts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "ids", "v")
+                which = [visited(w, known.value, k + 1) for w in lists.nearest(x, probes)]
+                few = [i for i, w in enumerate(which) if w is None]
+                for i in few:  # these hold too few vectors: so many lists as hold enough
+                    which[i] = visited(lists.nearest(x[i : i + 1], len(lists))[0], known.value, k + 1, enough=True)
+                parts = [np.ceil(known.value[w] / CHUNK).astype(np.int64) for w in which]
+                at = pa.array(np.repeat(np.arange(len(x)), [p.sum() for p in parts]) + a)
+                chunks = np.concatenate([np.arange(m) for p in parts for m in p])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.repeat(w, p) for w, p in zip(which, parts, strict=True)])), pa.array(chunks), b.column("id").take(at), b.column("v").take(at)], names=["list", "chunk", "id", "v"])
+
+    members = index.mapInArrow(assign, "list long, chunk long, ids array<long>, v array<double>")
     asked = rows.where(F.col("id") % every == 0).join(index.select("v", F.col("id").alias("of")), "v").select("id", "of")
-    queries = index.join(asked.select(F.col("of").alias("id")).distinct(), "id", "left_semi").select("id", "v").mapInArrow(probe, "id long, list long, v array<double>")
-    visits = queries.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "id", "v")
+    visits = index.join(asked.select(F.col("of").alias("id")).distinct(), "id", "left_semi").select("id", "v").mapInArrow(probe, "list long, chunk long, id long, v array<double>")
 
     def search(key, mine, asked):
         out = {"of": [], "vec_id": [], "score": []}
@@ -222,8 +249,9 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
             for of, q in zip(asked.column("id").to_pylist(), asked.column("v").to_numpy(), strict=True):
                 at = (unit(q[None]) @ turn)[0]
                 step = x[: 4 * k] - at
-                close = np.sort((step * step).sum(1))
-                found = scan(at, x, close[k] if len(close) > k else np.inf, k + 1)
+                seed = (step * step).sum(1)
+                close = np.argsort(seed, kind="stable")[: k + 1]
+                found = np.union1d(close, scan(at, x, seed[close[k]] if len(close) > k else np.inf, k + 1))
                 score = cosines(q, raw[found])
                 ids = np.array([i for f in found.tolist() for i in copies[f]], np.int64)
                 score = np.repeat(score, [len(copies[f]) for f in found.tolist()])

@@ -54,11 +54,11 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of every whole text (null: empty): id, piece, start, length, ids_crc32. A narrow map."""
+def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """Pieces of every whole text (null: empty): id, piece, start, length, ids_crc32; with_ids: the ids too, two bytes each (the vocabulary has some 50,000). A narrow map."""
     ranks_path, json_path = tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("byte_bpe_50k.json")
     prepare(df.sparkSession)
-    schema = T.StructType([df.schema[id_col], *T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long")])
+    schema = T.StructType([df.schema[id_col], *T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -66,12 +66,12 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for a, b in slices(text_sizes(batch.column(1))):
-                row, cols = [], ([], [], [], [])
+                row, cols = [], [[] for _ in arrow.names[1:]]
                 for i, t in enumerate(batch.column(1).slice(a, b - a).to_pylist(), a):
                     ids = token_ids(t or "", ranks_path, json_path)
                     for k, (s, n) in enumerate(cut(len(ids), capacity)):
                         row.append(i)
-                        for c, v in zip(cols, (k, s, n, zlib.crc32(ids[s : s + n].tobytes())), strict=True):
+                        for c, v in zip(cols, (k, s, n, zlib.crc32(ids[s : s + n].tobytes()), ids[s : s + n].astype("<u2").tobytes() if with_ids else None), strict=False):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())).cast(arrow.field(0).type), *(pa.array(c, arrow.field(k + 1).type) for k, c in enumerate(cols))], schema=arrow)
 
@@ -146,9 +146,9 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> np.
 
 
 def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (id, piece, start, length, ids_crc32), which must be cheap to read again.
+    """Adds sequence_id and offset to pieces (id, piece, start, length, ids_crc32, perhaps ids), which must be cheap to read again.
 
-    A piece's rank among those of its length comes from its rank in a salted group and the sizes of the groups before, so
+    ids come out as array<int>. A piece's rank among those of its length comes from its rank in a salted group and the sizes of the groups before, so
     a length that a third of all pieces have is ranked in many tasks.
     """
     spark = pieces.sparkSession
@@ -160,10 +160,16 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, sa
     ranked = (
         salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy(id_col, "piece", "start", "ids_crc32")) - 1)
         .join(before, ["length", "salt"])
-        .select(F.col(f"`{id_col}`"), "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("r")).cast("long").alias("r"))
+        .select(*[F.col(f"`{c}`") for c in pieces.columns], (F.col("before") + F.col("r")).cast("long").alias("r"))
     )
     names = pieces.columns
-    schema = T.StructType([*pieces.schema, *T.StructType.fromDDL("sequence_id long, offset long")])
+    plain = [f if f.name != "ids" else T.StructField("ids", T.ArrayType(T.IntegerType())) for f in pieces.schema]
+    schema = T.StructType([*plain, *T.StructType.fromDDL("sequence_id long, offset long")])
+
+    def listed(ids: pa.Array) -> pa.Array:
+        raw = [x.as_py() for x in ids]
+        ends = np.cumsum([0, *(len(x) // 2 for x in raw)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u2").astype(np.int32)))
 
     def place(batches):
         p = plan.value
@@ -173,19 +179,20 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, sa
             at = p[np.searchsorted(key, (capacity - length << 44) + r, "right") - 1] if len(p) else np.zeros((len(r), 5), np.int64)
             step = r - at[:, 1]
             each = np.maximum(1, at[:, 3])
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(at[:, 2] + step // each), pa.array(at[:, 4] + step % each * length)], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) if n != "ids" else listed(b.column(n)) for n in names), pa.array(at[:, 2] + step // each), pa.array(at[:, 4] + step % each * length)], names=[*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """Packs all documents: id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """Packs all documents: id, piece, start, length, ids_crc32 (with_ids: ids), sequence_id, offset.
 
     A document is its ids and a final 0, so a null or empty text is one piece of length 1. Only documents longer than
     capacity are cut. Repeated rows are packed each for itself; an empty table gives an empty one; other columns are not read.
-    The tokenized pieces (no texts) are checkpointed once, since their lengths are needed before any can be placed.
+    The tokenized pieces (no texts) are checkpointed once, since their lengths are needed before any can be placed; with_ids
+    sends each piece's ids to its place in the packing, once.
     """
-    return pack(shared_checkpoint(token_pieces(df, id_col, text_col, capacity)), id_col, capacity)
+    return pack(shared_checkpoint(token_pieces(df, id_col, text_col, capacity, with_ids)), id_col, capacity)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -545,6 +545,19 @@ def test_packing(docs):
     assert len(bins) <= 1.2 * -(-sum(r.length for r in got) // 2048) + 1
 
 
+def test_packed_ids_can_be_read_back(docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = packing.pack_documents(docs, with_ids=True).collect()
+    texts, pieces = unique(), collections.defaultdict(dict)
+    for r in got:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        pieces[r.doc_id][r.start] = r.ids
+    for i, x in texts.items():
+        assert [k for s in sorted(pieces[i]) for k in pieces[i][s]] == [*t.encode(x, add_special_tokens=False).ids, 0]
+
+
 def test_special_token_and_cuts(spark):
     from tokenizers import Tokenizer
 
