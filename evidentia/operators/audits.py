@@ -26,13 +26,13 @@ def union(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
-def media_checks(shots: DataFrame, utterances: DataFrame, units: DataFrame, keyframes: DataFrame, duration_ms: int) -> DataFrame:
-    """Seven checks of one video's records.
+def media_checks(shots: DataFrame, utterances: DataFrame, units: DataFrame, keyframes: DataFrame, duration_ms: int | Column) -> DataFrame:
+    """Seven checks of one video's records; its length is a number, or a column that a subquery reads.
 
     shots: shot_id, start_s, end_s, keyframe_path; utterances: utterance_id, start_ms, end_ms; units: pos, shot_id, start_ms,
     end_ms, keyframe_path, utterance_refs; shots also has pos; keyframes: path (those that exist).
     """
-    ms = shots.select("pos", "shot_id", F.rint(F.col("start_s") * 1000).cast("long").alias("start_ms"), F.rint(F.col("end_s") * 1000).cast("long").alias("end_ms"), "keyframe_path", F.lit(1).alias("one"), F.lit(duration_ms).alias("duration_ms"))
+    ms = shots.select("pos", "shot_id", F.rint(F.col("start_s") * 1000).cast("long").alias("start_ms"), F.rint(F.col("end_s") * 1000).cast("long").alias("end_ms"), "keyframe_path", F.lit(1).alias("one"), F.lit(duration_ms).cast("long").alias("duration_ms"))
     line = contiguous(ms, ["one"])
     total = lambda df, *aggs: df.agg(*aggs)
     ids = total(shots.select(F.concat(F.lit("s:"), "shot_id").alias("id")).unionByName(utterances.select(F.concat(F.lit("u:"), "utterance_id").alias("id"))), (F.count("id") == F.count_distinct("id")).alias("ok"), F.count("id").alias("n"))
@@ -109,6 +109,53 @@ def schema_errors(df: DataFrame, key: str, required: list[str], enums: dict[str,
     return df.select(key, F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in rules]), lambda x: x.isNotNull())).alias("error"))
 
 
+#: How a variant's type begins, for each type of a JSON schema.
+JSON_TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|DECIMAL|FLOAT)", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
+
+
+def json_errors(df: DataFrame, key: str, text: str, schema: dict) -> DataFrame:
+    """(key, error): a row for each rule of a JSON schema that a text breaks; a text that is no JSON breaks one.
+
+    Known rules: type, const, enum, minLength, pattern, minimum, maximum, required, properties, minItems, items (nested as deep as
+    the schema is). The schema becomes one expression over a parsed variant, so rows are checked in the plan.
+    """
+    rows = df.select(key, F.try_parse_json(text).alias("__v"))
+    broken = F.when(F.col("__v").isNull(), F.array(F.lit("not JSON"))).otherwise(_broken(F.col("__v"), schema, "$"))
+    return rows.select(key, F.explode(F.array_compact(broken)).alias("error"))
+
+
+def _broken(v: Column, schema: dict, at: str) -> Column:
+    kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    number = F.try_variant_get(v, "$", "double")
+    said = lambda bad, message: F.when(F.coalesce(bad, F.lit(False)), F.lit(f"{at}: {message}"))
+    is_ = lambda name: kind.rlike(f"^{JSON_TYPES[name]}")
+    found = []
+    if "type" in schema:
+        found.append(said(~is_(schema["type"]), f"is not of type {schema['type']}"))
+    if "const" in schema:
+        found.append(said(text.isNull() | (text != str(schema["const"])), f"is not {schema['const']}"))
+    if "enum" in schema:
+        found.append(said(text.isNull() | ~text.isin(*map(str, schema["enum"])), "is not one of its values"))
+    if "minLength" in schema:
+        found.append(said(is_("string") & (F.length(text) < schema["minLength"]), "is too short"))
+    if "pattern" in schema:
+        found.append(said(is_("string") & ~text.rlike(schema["pattern"]), "does not match its pattern"))
+    if "minimum" in schema:
+        found.append(said(is_("number") & (number < schema["minimum"]), f"is less than {schema['minimum']}"))
+    if "maximum" in schema:
+        found.append(said(is_("number") & (number > schema["maximum"]), f"is greater than {schema['maximum']}"))
+    member = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    found += [said(is_("object") & member(name).isNull(), f"{name} is a required property") for name in schema.get("required", [])]
+    nested = [F.when(is_("object") & member(name).isNotNull(), _broken(member(name), part, f"{at}.{name}")) for name, part in schema.get("properties", {}).items()]
+    items = F.try_variant_get(v, "$", "array<variant>")
+    if "minItems" in schema:
+        found.append(said(is_("array") & (F.size(items) < schema["minItems"]), "has too few items"))
+    if "items" in schema:
+        nested.append(F.when(is_("array"), F.flatten(F.transform(items, lambda x: _broken(x, schema["items"], f"{at}[]")))))
+    none = F.array().cast("array<string>")
+    return F.concat(F.array(*found).cast("array<string>") if found else none, *[F.coalesce(n, none) for n in nested])
+
+
 def manifest_checks(expected: DataFrame, files: DataFrame, tasks: DataFrame, videos: DataFrame, capacity: int, count: int, hashes: bool = True) -> DataFrame:
     """Capacity, artefacts, hashes, tasks and their number."""
     used = files.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"))

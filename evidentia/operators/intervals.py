@@ -34,7 +34,7 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], span: int | N
         joined = left.alias("l").join(r.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [hit], how)
         joined = joined.select("l.*", *[f"r.{c}" for c in r.columns if c not in on])
     else:
-        cell = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / span), F.floor(F.greatest(F.col(s), F.col(e) - 1) / span)))
+        cell = lambda s, e: F.explode(cells(F.col(s), F.col(e), span))
         inner = left.withColumn("__cell", cell("start_ms", "end_ms")).alias("l").join(
             r.withColumn("__cell", cell("right_start_ms", "right_end_ms")).alias("r"),
             [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*on, "__cell"]] + [hit, F.floor(F.greatest("start_ms", "right_start_ms") / span) == F.col("l.__cell")],
@@ -48,18 +48,37 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], span: int | N
     return joined.withColumn("overlap_ms", F.col("overlap_end_ms") - F.col("overlap_start_ms"))
 
 
-def window_semi(units: DataFrame, windows: DataFrame, on: list[str]) -> DataFrame:
-    """Units that touch a window (start_ms, end_ms) of their timeline; an empty unit inside counts."""
+def cells(start: Column, end: Column, span: int) -> Column:
+    """Numbers of the stretches of span milliseconds that an interval is in; an empty one is in that of its start."""
+    return F.sequence(F.floor(start / span), F.floor(F.greatest(start, end - 1) / span))
+
+
+def touch_join(left: DataFrame, right: DataFrame, on: list[str], span: int) -> DataFrame:
+    """Pairs of left and right rows (right's other columns as right_<name>) of one timeline that touch, each once, joined by stretches of span milliseconds."""
+    r = right.select(*on, *[F.col(c).alias(f"right_{c}") for c in right.columns if c not in on])
+    a = left.withColumn("__cell", F.explode(cells(F.col("start_ms"), F.col("end_ms"), span))).alias("l")
+    b = r.withColumn("__cell", F.explode(cells(F.col("right_start_ms"), F.col("right_end_ms"), span))).alias("r")
+    hit = touches(F.col("start_ms"), F.col("end_ms"), F.col("right_start_ms"), F.col("right_end_ms"))
+    first = F.floor(F.greatest("start_ms", "right_start_ms") / span) == F.col("l.__cell")
+    joined = a.join(b, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*on, "__cell"]] + [hit, first])
+    return joined.select(*[F.col(f"l.{c}") for c in left.columns], *[f"r.{c}" for c in r.columns if c not in on])
+
+
+def window_semi(units: DataFrame, windows: DataFrame, on: list[str], span: int | None = None) -> DataFrame:
+    """Units that touch a window (start_ms, end_ms) of their timeline; an empty unit inside counts. span: as for overlap_join."""
+    if span is not None:
+        hit = touch_join(units, windows.select(*on, "start_ms", "end_ms"), on, span).select(*units.columns).distinct()
+        return units.join(hit, [units[c].eqNullSafe(hit[c]) for c in units.columns], "left_semi")
     w = windows.select(*on, F.col("start_ms").alias("__a"), F.col("end_ms").alias("__b"))
     return units.alias("u").join(w.alias("w"), [F.col(f"u.{c}") == F.col(f"w.{c}") for c in on] + [touches(F.col("start_ms"), F.col("end_ms"), F.col("__a"), F.col("__b"))], "left_semi")
 
 
-def evidence_units(shots: DataFrame, utterances: DataFrame) -> DataFrame:
+def evidence_units(shots: DataFrame, utterances: DataFrame, span: int | None = None) -> DataFrame:
     """Shots with the utterances that they share time with, in order: refs, transcript, has_dialogue.
 
-    shots: video_id, shot_id, start_ms, end_ms; utterances: video_id, utterance_id, start_ms, end_ms, text.
+    shots: video_id, shot_id, start_ms, end_ms; utterances: video_id, utterance_id, start_ms, end_ms, text. span: as for overlap_join.
     """
-    joined = overlap_join(shots, utterances, ["video_id"])
+    joined = overlap_join(shots, utterances, ["video_id"], span)
     ref = F.when(
         F.col("right_utterance_id").isNotNull(),
         F.struct(F.col("right_start_ms").alias("at"), F.col("right_utterance_id").alias("utterance_id"), "overlap_start_ms", "overlap_end_ms", "overlap_ms", F.col("right_text").alias("text")),
@@ -145,3 +164,18 @@ def contiguous_positions(positions: Column, loose: bool) -> Column:
     pairs = F.zip_with(F.slice(s, 1, F.greatest(F.lit(1), F.size(s)) - 1), F.slice(s, 2, F.greatest(F.lit(1), F.size(s))), lambda a, b: b - a)
     steps = F.forall(F.filter(pairs, lambda d: d.isNotNull()), lambda d: (d <= 1) if loose else (d == 1))
     return steps if loose else steps & (F.size(s) > 0)
+
+
+def busiest_chunk(events: DataFrame, on: list[str], chunk_ms: int) -> DataFrame:
+    """(on, start_ms, hits): of the chunks of a fixed length in which an event of a key begins that which most events touch, the earliest on ties.
+
+    An event is dealt to the chunks that it touches, so no pair of a chunk and an event of another time is ever made.
+    """
+    s, e = F.col("start_ms"), F.col("end_ms")
+    last = F.ceil(e / chunk_ms) - 1
+    inside = F.when((F.floor(s / chunk_ms) <= last) & ~((s == e) & (s % chunk_ms == 0)), F.sequence(F.floor(s / chunk_ms), last))
+    touched = events.select(*on, F.explode(inside).alias("__c"))
+    counted = touched.groupBy(*on, "__c").agg(F.count("*").alias("hits"))
+    begun = events.select(*on, F.floor(s / chunk_ms).alias("__c")).distinct()
+    best = counted.join(begun, [*on, "__c"], "left_semi").groupBy(*on).agg(F.max(F.struct("hits", (-F.col("__c")).alias("early"))).alias("b"))
+    return best.select(*on, (-F.col("b.early") * chunk_ms).cast("long").alias("start_ms"), F.col("b.hits").alias("hits"))

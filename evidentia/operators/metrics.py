@@ -13,6 +13,19 @@ def retrieval_metrics(df: DataFrame, on: list[str], iou: str = "iou") -> DataFra
     return df.groupBy(*on).agg(F.count("*").alias("n"), F.round(F.avg(iou), 6).alias("mean_iou"), share(0.3).alias("r1_30"), share(0.5).alias("r1_50"), share(0.7).alias("r1_70"))
 
 
+def evaluation_summary(records: DataFrame, on: str = "method", split: str = "split", evaluation: str = "eval") -> DataFrame:
+    """Means of each method over all of its tasks (scope all) and over those of the evaluation split alone (scope eval), in one pass.
+
+    records: on, split, temporal_iou, tool_calls, and the flags evidence_supported, audit_passed, success (null: false).
+    """
+    flag = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double"))
+    scope = F.when(F.col(split) == evaluation, F.array(F.lit("all"), F.lit("eval"))).otherwise(F.array(F.lit("all")))
+    return records.withColumn("scope", F.explode(scope)).groupBy("scope", on).agg(
+        F.count("*").alias("task_count"), F.avg("temporal_iou").alias("mean_temporal_iou"), F.avg((F.col("temporal_iou") >= 0.5).cast("double")).alias("temporal_success_rate_iou_0_5"),
+        flag("evidence_supported").alias("evidence_support_rate"), flag("audit_passed").alias("audit_pass_rate"), flag("success").alias("business_success_rate"), F.avg("tool_calls").alias("avg_tool_calls"),
+    )
+
+
 def grouped_means(df: DataFrame, on: list[str], values: dict[str, int]) -> DataFrame:
     """Means of columns, each rounded to its number of places; flags count as 0 and 1."""
     return df.groupBy(*on).agg(F.count("*").alias("n"), *[F.bround(F.avg(F.col(c).cast("double")), places).alias(c) for c, places in values.items()])

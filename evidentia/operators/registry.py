@@ -12,11 +12,10 @@ from . import sampling as sp
 from . import training as tr
 
 
-def grounded(tasks: DataFrame, units: DataFrame) -> DataFrame:
-    """Adds shot_ids: the shots of a task's video that touch its interval, in order of time; none is an empty array."""
-    u = units.select("video_id", "shot_id", F.col("start_ms").alias("__s"), F.col("end_ms").alias("__e"))
-    hit = tasks.join(u, "video_id").where(iv.touches(F.col("__s"), F.col("__e"), F.col("start_ms"), F.col("end_ms")))
-    shots = hit.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__s", "shot_id"))), lambda x: x["shot_id"]).alias("shot_ids"))
+def grounded(tasks: DataFrame, units: DataFrame, span: int = 60_000) -> DataFrame:
+    """Adds shot_ids: the shots of a task's video that touch its interval, in order of time; none is an empty array. Joined by stretches of span milliseconds."""
+    hit = iv.touch_join(tasks.select("task_id", "video_id", "start_ms", "end_ms"), units.select("video_id", "shot_id", "start_ms", "end_ms"), ["video_id"], span)
+    shots = hit.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("right_start_ms", "right_shot_id"))), lambda x: x["right_shot_id"]).alias("shot_ids"))
     return tasks.join(shots, "task_id", "left").withColumn("shot_ids", F.coalesce("shot_ids", F.array().cast("array<string>")))
 
 
@@ -44,3 +43,24 @@ def registry_report(tasks: DataFrame) -> DataFrame:
         .join(tasks.agg(F.count_distinct("video_id").alias("videos")))
         .join(shared.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pair", "n")))).alias("shared")))
     )
+
+
+def video_specs(videos: DataFrame, files: DataFrame) -> DataFrame:
+    """Videos (video_id, split, duration_ms, ...) with their artefacts (path, bytes, sha256), in order of path, and the number and bytes of their keyframes.
+
+    files: video_id, path, bytes, sha256; those with a folder keyframes in their path are keyframes.
+    """
+    frame = F.array_contains(F.split("path", "/"), "keyframes")
+    each = files.groupBy("video_id").agg(
+        F.array_sort(F.collect_list(F.when(~frame, F.struct("path", "bytes", "sha256")))).alias("artifacts"),
+        F.struct(F.count_if(frame).alias("count"), F.coalesce(F.sum(F.when(frame, F.col("bytes"))), F.lit(0)).alias("bytes")).alias("keyframe_inventory"),
+    )
+    return videos.join(each, "video_id", "left")
+
+
+def manifest(specs: DataFrame, tasks: DataFrame, dataset_id: str, hard_limit: int, path: str) -> DataFrame:
+    """One row: a dataset's manifest, with its videos' specs and the place and number of its tasks."""
+    return specs.agg(F.array_sort(F.collect_list(F.struct(*specs.columns))).alias("videos")).join(tasks.agg(F.count("*").alias("n"))).select(
+        F.lit(dataset_id).alias("dataset_id"), F.struct(F.lit(hard_limit).alias("hard_limit_bytes")).alias("capacity"), "videos",
+        F.struct(F.lit(path).alias("path"), F.col("n").alias("count")).alias("tasks"),
+    )

@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import vectors as vx
 
 
+#: Most query vectors that are held against all vectors at once.
+MOST_QUERIES = 10_000
+
+
+def _sorted_terms(docs: DataFrame, text: str, *keep: str) -> tuple[DataFrame, Column]:
+    """Each document's terms as a sorted array s, and s moved by one place. The generator has s evaluated once, not for each of its uses."""
+    rows = docs.select(*keep, F.explode(F.array(F.array_sort(tx.tokens(F.col(text))))).alias("s"))
+    return rows, F.concat(F.array(F.lit(None).cast("string")), F.col("s"))
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): how often a term is in a document, and how many terms that has."""
-    each = docs.select(key, F.explode(tx.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    lengths = docs.select(key, F.size(tx.tokens(F.col(text))).cast("long").alias("dl"))
-    return each.join(lengths, key)
+    """(key, term, tf, dl): how often a term is in a document, and how many terms that has. A narrow map: a document's terms are counted in its row."""
+    rows, moved = _sorted_terms(docs, text, key)
+    begins = F.filter(F.transform(F.zip_with("s", moved, lambda x, p: x.eqNullSafe(p)), lambda same, i: F.when(~same, i)), lambda i: i.isNotNull())  # and the end
+    runs = rows.where(F.size("s") > 0).select(key, "s", F.explode(F.array(begins)).alias("b"))
+    pairs = F.zip_with(F.slice("b", 1, F.size("b") - 1), F.slice("b", 2, F.size("b") - 1), lambda i, j: F.struct(i.alias("i"), (j - i).cast("long").alias("tf")))
+    each = runs.select(key, "s", F.explode(pairs).alias("p"))
+    return each.select(key, F.col("s")[F.col("p.i")].alias("term"), "p.tf", F.size("s").cast("long").alias("dl"))
 
 
 def term_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, df, n, idf) with idf = ln(1 + (n - df + 0.5) / (df + 0.5)), n being all documents."""
-    df = docs.select(key, F.explode(F.array_distinct(tx.tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df, tf, n, idf): documents that hold a term, how often it is there, and idf = ln(1 + (n - df + 0.5) / (df + 0.5)), n being all documents."""
+    rows, moved = _sorted_terms(docs, text)
+    terms = rows.select(F.explode(F.zip_with("s", moved, lambda x, p: F.struct(x.alias("term"), (~x.eqNullSafe(p)).cast("int").alias("first")))).alias("t")).where("t.term is not null")
+    df = terms.groupBy("t.term").agg(F.sum("t.first").alias("df"), F.count("*").alias("tf"))
     n = docs.agg(F.count("*").alias("n"))
     return df.join(F.broadcast(n)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
@@ -28,24 +48,19 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     """(query_id, key, score): BM25 over the greatest score of the query; documents without a term of it are left out.
 
     An inverted index joined on terms, so only documents that hold a term meet a query; repeated query terms count again.
-    Only the terms that the queries hold are ever shuffled.
+    Only the terms that the queries hold are ever shuffled, each once from a document. The greatest score of a query is an
+    aggregate that is joined back, so no task holds all documents of a query.
     """
-    asked = queries.select(query_id, F.explode(tx.tokens(F.col(query))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
-    length = F.size("t").cast("long")
-    tokens = docs.select(key, tx.tokens(F.col(text)).alias("t")).withColumn("dl", length)
+    asked = postings(queries, query_id, query).select(query_id, "term", F.col("tf").alias("times"))
     average = docs.agg(F.avg(F.size(tx.tokens(F.col(text)))).alias("avgdl"), F.count("*").alias("n"))
-    post = (
-        tokens.select(key, "dl", F.explode("t").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    )
+    post = postings(docs, key, text).join(asked.select("term").distinct(), "term", "left_semi")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     joined = post.join(df, "term").join(asked, "term").join(F.broadcast(average))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-6))))
     raw = joined.groupBy(query_id, key).agg(F.sum(weight).alias("raw"))
-    best = F.max("raw").over(Window.partitionBy(query_id))
-    return raw.select(query_id, key, F.when(best > 0, F.col("raw") / best).otherwise(F.col("raw")).alias("score"))
+    scaled = raw.join(raw.groupBy(query_id).agg(F.max("raw").alias("best")), query_id)
+    return scaled.select(query_id, key, F.when(F.col("best") > 0, F.col("raw") / F.col("best")).otherwise(F.col("raw")).alias("score"))
 
 
 def top(scores: DataFrame, on: list[str], order: list[Column], k: int | None, limit: int | None = None) -> DataFrame:
@@ -57,11 +72,28 @@ def top(scores: DataFrame, on: list[str], order: list[Column], k: int | None, li
 
 
 def cosine_scores(queries: DataFrame, vectors: DataFrame, query_id: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Cosine of every stored query vector and every vector; queries must be few, as they are broadcast."""
+    """Cosine of every stored query vector and every vector. The queries are broadcast: more than MOST_QUERIES, which are counted before, are an error; they are to be given in blocks."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries; give them in blocks")
     q = queries.select(query_id, vx.normalized(vx.doubles(F.col(vector))).alias("__q"))
     return vectors.select(key, vx.normalized(vx.doubles(F.col(vector))).alias("__v")).join(F.broadcast(q)).select(query_id, key, vx.dot(F.col("__q"), F.col("__v")).alias("score"))
 
 
+def embedded(df: DataFrame, key: str, text: str, encoder: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """(key, embedding): texts (null: empty) through an encoder that each task makes once, rows of length one; a narrow map."""
+    schema = T.StructType([df.schema[key], T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def run(batches):
+        encode = encoder()
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(encode([t or "" for t in b.column(1).to_pylist()]), np.float32)
+                x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-8)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float32()))], names=[key, "embedding"])
+
+    return df.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+
+
 def vectors_of(tasks: DataFrame, vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Tasks with their stored vector, and those that have none."""
     return tasks.join(vectors, key), tasks.join(vectors, key, "left_anti")

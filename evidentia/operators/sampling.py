@@ -6,21 +6,25 @@ seeded generator over rows in arrival order is not.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows of a cell that one task ranks, and the most cells of a table.
+CELL_ROWS, MOST_CELLS = 1 << 20, 1 << 10
+
+
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
 def systematic(df: DataFrame, order: list[str], n: int, on: list[str]) -> DataFrame:
-    """Within each key, every max(1, size // n)-th row from the first, n at most."""
-    w = Window.partitionBy(*on)
-    rn = F.row_number().over(w.orderBy(*order)) - 1
-    step = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / n))
-    return df.withColumns({"__rn": rn, "__step": step}).where(f"__rn % __step = 0 and __rn / __step < {n}").drop("__rn", "__step")
+    """Within each key, every max(1, size // n)-th row from the first, n at most. Ranks come from ranked(), so a key that has most rows is ranked in many tasks."""
+    sizes = df.groupBy(*on).agg(F.greatest(F.lit(1), F.floor(F.count("*") / n)).alias("__step"))
+    return ranked(df, order, on).join(sizes, on).where(f"__rank % __step = 0 and __rank / __step < {n}").select(*df.columns)
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -45,20 +49,54 @@ def mixture(df: DataFrame, key: str, share: int, seed: int = 42) -> DataFrame:
 def shard(df: DataFrame, order: list[str], index: int, of: int) -> DataFrame:
     """Rows index, index + of, ... of the whole order.
 
-    The rank comes from range-partitioned sorted rows: a count per partition, then an offset, so no task sees all rows.
+    The rank comes from ranked(): ranks within cells and the cells' offsets, so no task sees all rows.
     """
     if not 0 <= index < of:
         raise ValueError(f"not a shard: {index} of {of}")
     return ranked(df, order).where(F.pmod(F.col("__rank"), F.lit(of)) == index).drop("__rank")
 
 
-def ranked(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds __rank, from 0 in the whole order, ranking within ranges of the first order column in parallel."""
-    coarse = df.withColumn("__cell", F.floor(F.col(order[0]) / 1024))
-    sizes = coarse.groupBy("__cell").agg(F.count("*").alias("__n"))
-    before = sizes.select("__cell", F.coalesce(F.sum("__n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = coarse.withColumn("__rn", F.row_number().over(Window.partitionBy("__cell").orderBy(*order)) - 1)
-    return inside.join(before, "__cell").withColumn("__rank", F.col("__before") + F.col("__rn")).drop("__cell", "__rn", "__before")
+def ranked(df: DataFrame, order: list[str], on: Sequence[str] = (), cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Adds __rank, from 0 in the order (within each key of on), ranking in parallel within cells of the first order column.
+
+    The cells' bounds are quantiles of that column, read in a job before: some cell_rows rows to a cell, whatever its distribution.
+    Only cells' sizes, MOST_CELLS numbers for a key at most, are added up in one task. The column must be numeric or a time;
+    equal values are in one cell, ranked by the other columns.
+    """
+    first = F.col(f"`{order[0]}`")
+    got = df.agg(F.count("*").alias("n"), F.percentile_approx(first, [(i + 1) / MOST_CELLS for i in range(MOST_CELLS - 1)], 10 * MOST_CELLS).alias("q")).first()
+    cells = max(1, min(MOST_CELLS, -(-got["n"] // cell_rows)))
+    step = MOST_CELLS / cells
+    cuts = sorted(set(got["q"][int(i * step) - 1] for i in range(1, cells))) if cells > 1 else []
+    above = F.array(*[F.lit(c) for c in cuts])
+    at = F.coalesce(F.size(F.filter(above, lambda c: c <= first)), F.lit(0)) if cuts else F.lit(0)
+    coarse = df.withColumn("__cell", F.when(first.isNull(), -1).otherwise(at))
+    keys = [*on, "__cell"]
+    sizes = coarse.groupBy(*keys).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*[F.col(f"`{c}`") for c in on]) if on else Window.partitionBy(F.lit(0))
+    before = sizes.select(*keys, F.coalesce(F.sum("__n").over(w.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = coarse.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    same = [F.col(f"i.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in keys]
+    return inside.alias("i").join(before.alias("b"), same).select(*[F.col(f"i.`{c}`") for c in df.columns], (F.col("__before") + F.col("__rn")).alias("__rank"))
+
+
+def chosen_tasks(requests: DataFrame, pools: list[tuple[str, DataFrame, int]], key: str = "request_id", seed: int = 42) -> DataFrame:
+    """A task for each request (key, task_id): the one that it names, else one drawn from a pool. Adds source, the pool's name.
+
+    pools: (name, tasks (task_id), share in per cent), the last taking what is left. A drawn task is the pool's row whose place in
+    the order of task_id a hash of the key gives. A request for a task that no pool has is left out.
+    """
+    listed, low = None, 0
+    for k, (name, tasks, share) in enumerate(pools):
+        high = 100 if k == len(pools) - 1 else low + share
+        part = ranked(tasks.select("task_id"), ["task_id"]).select(F.lit(name).alias("source"), "task_id", F.col("__rank").alias("at"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+        listed = part if listed is None else listed.unionByName(part)
+        low = high
+    sizes = listed.groupBy("source", "low", "high").agg(F.count("*").alias("n"))  # a row a pool
+    named = requests.where("task_id is not null").join(listed.select("task_id", "source"), "task_id").select(key, "task_id", "source")
+    free = requests.where("task_id is null").withColumn("b", bucket(F.col(key), seed))
+    drawn = free.join(F.broadcast(sizes), (F.col("b") >= F.col("low")) & (F.col("b") < F.col("high"))).select(key, "source", F.pmod(bucket(F.col(key), seed + 1, 1 << 31), F.col("n")).alias("at"))
+    return named.unionByName(drawn.join(listed.select("source", "at", "task_id"), ["source", "at"]).select(key, "task_id", "source"))
 
 
 def oversampled(df: DataFrame, times: int) -> DataFrame:

@@ -144,9 +144,13 @@ def package_inventory(spark, sf_dir):
 
 @plan("SELECT lang, upper(sha256(string_agg(doc_id::VARCHAR || ':' || upper(sha256(text)), '|' ORDER BY doc_id))) AS sha256 FROM documents GROUP BY lang")
 def ordered_hash(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", F.struct("doc_id", F.upper(F.sha2(F.col("text").cast("binary"), 256)).alias("h")).alias("s"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["h"])), "|")
-    return d.groupBy("lang").agg(F.upper(F.sha2(text.cast("binary"), 256)).alias("sha256"))
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.upper(F.sha2(F.col("text").cast("binary"), 256))).alias("p"))
+    return fs.ordered_digest(d, ["lang"], "doc_id", F.col("p").cast("binary"), b"|").select("lang", "sha256")
+
+
+@plan("SELECT upper(sha256(unhex(string_agg(hex(lpad(doc_id::VARCHAR, 9, '0')) || sha256(text), '' ORDER BY doc_id)))) AS sha256, count(*) AS files FROM documents")
+def combined_hash(spark, sf_dir):
+    return fs.combined_hash(table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("name"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256")))
 
 
 @plan("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 30")
@@ -188,6 +192,66 @@ def oversampled_mix(spark, sf_dir):
     return tr.mixed([(lab.where("quality = 1"), 5), (lab.where("quality = 0"), 2)]).groupBy("quality", F.col("copy").cast("long").alias("copy")).agg(F.count("*").alias("n"))
 
 
+REQUESTS = "('0x' || substr(md5(o_orderkey::VARCHAR || '/42'), 1, 8))::BIGINT % 100 AS b, ('0x' || substr(md5(o_orderkey::VARCHAR || '/43'), 1, 8))::BIGINT % 2147483648 AS d"
+
+
+@plan(f"""WITH r AS (SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 500 END AS named, {REQUESTS} FROM orders),
+f AS (SELECT s_suppkey AS task_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS at, count(*) OVER () AS n FROM supplier), c AS (SELECT c_custkey + 1000000 AS task_id, row_number() OVER (ORDER BY c_custkey) - 1 AS at, count(*) OVER () AS n FROM customer)
+SELECT request_id, task_id, 'formal' AS source FROM r JOIN f ON named = task_id UNION ALL SELECT request_id, task_id, 'benchmark' FROM r JOIN c ON named = task_id
+UNION ALL SELECT request_id, task_id, 'formal' FROM r JOIN f ON named IS NULL AND b < 20 AND d % f.n = f.at UNION ALL SELECT request_id, task_id, 'benchmark' FROM r JOIN c ON named IS NULL AND b >= 20 AND d % c.n = c.at""")
+def chosen_tasks(spark, sf_dir):
+    requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderkey") % 500).alias("task_id"))
+    formal, other = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("task_id")), table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1_000_000).alias("task_id"))
+    return sp.chosen_tasks(requests, [("formal", formal, 20), ("benchmark", other, 80)])
+
+
+@plan("""WITH r AS (SELECT l_returnflag AS method, l_linestatus, l_quantity / 50 AS iou, l_linenumber AS calls, (l_tax > 0.04)::INT AS e, (l_discount > 0.05)::INT AS a, (l_tax > 0.04 AND l_discount > 0.05)::INT AS s FROM lineitem),
+x AS (SELECT 'all' AS scope, * FROM r UNION ALL SELECT 'eval', * FROM r WHERE l_linestatus = 'O')
+SELECT scope, method, count(*) AS task_count, round(avg(iou), 6) AS mean_temporal_iou, round(avg((iou >= 0.5)::INT), 6) AS temporal_success_rate_iou_0_5, round(avg(e), 6) AS evidence_support_rate, round(avg(a), 6) AS audit_pass_rate, round(avg(s), 6) AS business_success_rate, round(avg(calls), 6) AS avg_tool_calls FROM x GROUP BY 1, 2""")
+def evaluation_summary(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    e, a = F.col("l_tax") > 0.04, F.col("l_discount") > 0.05
+    split = F.when(F.col("l_linestatus") == "O", "eval").otherwise("train")
+    r = li.select(F.col("l_returnflag").alias("method"), split.alias("split"), (F.col("l_quantity") / 50).alias("temporal_iou"), F.col("l_linenumber").alias("tool_calls"), e.alias("evidence_supported"), a.alias("audit_passed"), F.when(e & a, True).alias("success"))
+    s = mx.evaluation_summary(r)
+    return s.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in s.dtypes])
+
+
+#: What a task's JSON must be like.
+TASK_SCHEMA = {
+    "type": "object", "required": ["schema_version", "task_id", "split", "query", "target_segments"],
+    "properties": {
+        "schema_version": {"const": "task.v1"}, "task_id": {"type": "string", "minLength": 1}, "split": {"enum": ["smoke", "train", "val", "test"]}, "query": {"type": "string", "minLength": 1, "pattern": "^[a-z]*$"},
+        "target_segments": {"type": "array", "minItems": 1, "items": {"type": "object", "required": ["start_ms", "end_ms"], "properties": {"start_ms": {"type": "integer", "minimum": 0}, "end_ms": {"type": "integer", "minimum": 1, "maximum": 900}}}},
+    },
+}
+
+
+@plan("""WITH d AS (SELECT doc_id AS id, lang FROM documents)
+SELECT id, 'not JSON' AS error FROM d WHERE id % 31 = 0
+UNION ALL SELECT id, '$.schema_version: is not task.v1' FROM d WHERE id % 31 <> 0 AND id % 5 = 0
+UNION ALL SELECT id, '$: task_id is a required property' FROM d WHERE id % 31 <> 0 AND id % 7 = 0
+UNION ALL SELECT id, '$.split: is not one of its values' FROM d WHERE id % 31 <> 0 AND lang = 'es'
+UNION ALL SELECT id, '$.query: is not of type string' FROM d WHERE id % 31 <> 0 AND id % 11 = 0
+UNION ALL SELECT id, '$.query: is too short' FROM d WHERE id % 31 <> 0 AND id % 11 = 1
+UNION ALL SELECT id, '$.query: does not match its pattern' FROM d WHERE id % 31 <> 0 AND id % 11 = 2
+UNION ALL SELECT id, '$.target_segments: has too few items' FROM d WHERE id % 31 <> 0 AND id % 13 = 0
+UNION ALL SELECT id, '$.target_segments[].start_ms: is less than 0' FROM d WHERE id % 31 <> 0 AND id % 13 NOT IN (0, 1) AND id % 100 < 3
+UNION ALL SELECT id, '$.target_segments[].end_ms: is greater than 900' FROM d WHERE id % 31 <> 0 AND id % 13 NOT IN (0, 1) AND id % 1000 > 900
+UNION ALL SELECT id, '$.target_segments[]: end_ms is a required property' FROM d WHERE id % 31 <> 0 AND id % 13 = 1""")
+def task_schema_audit(spark, sf_dir):
+    i, q = F.col("doc_id"), lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    split = F.when(F.col("lang") == "es", "dev").otherwise("train")
+    query = F.when(i % 11 == 0, F.lit("17")).when(i % 11 == 1, F.lit('""')).when(i % 11 == 2, F.lit('"Two words"')).otherwise(q(F.lit("word")))
+    one = F.format_string('{"start_ms": %d, "end_ms": %d}', i % 100 - 3, F.greatest(F.lit(1), i % 1000))
+    segments = F.when(i % 13 == 0, F.lit("[]")).when(i % 13 == 1, F.lit('[{"start_ms": 5}]')).otherwise(F.concat(F.lit("["), one, F.lit(', {"start_ms": 1, "end_ms": 2}]')))
+    text = F.concat(
+        F.lit('{"schema_version": '), F.when(i % 5 == 0, F.lit("2")).otherwise(F.lit('"task.v1"')), F.when(i % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(', "task_id": '), q(i.cast("string")))),
+        F.lit(', "split": '), q(split), F.lit(', "query": '), query, F.lit(', "target_segments": '), segments, F.lit("}"),
+    )
+    return au.json_errors(table(spark, sf_dir, "documents").select(i.alias("id"), F.when(i % 31 == 0, F.lit("{broken")).otherwise(text).alias("json")), "id", "json", TASK_SCHEMA)
+
+
 @plan("SELECT lang, count(*) AS n, sum(quality)::BIGINT AS good, round(avg(quality), 6) AS rate FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 GROUP BY 1")
 def success_rate(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id").where("toxic = 0")
@@ -215,19 +279,54 @@ def schema_audit(spark, sf_dir):
     return au.schema_errors(table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "text", "source"], {"lang": ("en", "de", "fr")})
 
 
-@plan("SELECT name, passed FROM (VALUES ('record_ids_unique', true), ('one_keyframe_per_shot', true), ('shot_timeline_contiguous', true), ('utterances_within_timeline', true), ('evidence_units_match_shots', true), ('utterance_references_exact', true), ('all_utterances_linked', true)) v(name, passed)")
+# A shot a second for each order, an utterance over every third; "sound" is as it should be, every other variant has one fault, in the
+# rows of some orders. A check's details are counts of the records that it saw, or the records that it names.
+MEDIA = """n AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders),
+u AS (SELECT pos, n, 'utt_' || lpad(pos::VARCHAR, 8, '0') AS id, pos * 1000 + 250 AS s, least(n * 1000, pos * 1000 + 1750) AS e FROM n WHERE pos % 3 = 0),
+c AS (SELECT (SELECT max(n) FROM n) AS shots, (SELECT count(*) FROM u) AS utts, (SELECT sum(1 + (e > (pos + 1) * 1000 AND pos + 1 < n)::INT) FROM u) AS refs)"""
+
+
+@plan(f"""WITH {MEDIA}, v AS (SELECT unnest(['sound', 'gap', 'twice', 'frameless', 'late', 'moved', 'off', 'unlinked']) AS variant)
+SELECT variant, 'shot_timeline_contiguous' AS name, variant <> 'gap' AS passed, shots::VARCHAR AS details FROM v, c
+UNION ALL SELECT variant, 'record_ids_unique', variant <> 'twice', (shots + utts + (variant = 'twice')::INT)::VARCHAR FROM v, c
+UNION ALL SELECT variant, 'one_keyframe_per_shot', variant <> 'frameless', (shots - CASE WHEN variant = 'frameless' THEN (SELECT count(*) FROM n WHERE pos % 1000 = 5) ELSE 0 END)::VARCHAR FROM v, c
+UNION ALL SELECT variant, 'utterances_within_timeline', variant <> 'late', (utts + (variant = 'twice')::INT)::VARCHAR FROM v, c
+UNION ALL SELECT variant, 'evidence_units_match_shots', variant NOT IN ('gap', 'moved'), shots::VARCHAR FROM v, c
+UNION ALL SELECT variant, 'utterance_references_exact', variant NOT IN ('off', 'late'), (refs - CASE WHEN variant = 'unlinked' THEN (SELECT sum(1 + (e > (pos + 1) * 1000 AND pos + 1 < n)::INT) FROM u WHERE pos % 999 = 0) ELSE 0 END + CASE WHEN variant = 'twice' THEN 2 ELSE 0 END)::VARCHAR FROM v, c
+UNION ALL SELECT variant, 'all_utterances_linked', variant <> 'unlinked', CASE WHEN variant = 'unlinked' THEN (SELECT string_agg(id, ',' ORDER BY id) FROM u WHERE pos % 999 = 0) ELSE '' END FROM v""")
 def media_audit(spark, sf_dir):
+    variants = ("sound", "gap", "twice", "frameless", "late", "moved", "off", "unlinked")
+    return au.union([_media(spark, sf_dir, v).select(F.lit(v).alias("variant"), "name", "passed", "details") for v in variants])
+
+
+def _media(spark, sf_dir, fault):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
     n = sp.ranked(o, ["k"]).withColumnRenamed("__rank", "pos")
-    total = o.count() * 1000
+    total = o.agg((F.count("*") * 1000).alias("ms")).scalar()
     shots = n.select("pos", F.format_string("shot_%08d", "pos").alias("shot_id"), F.col("pos").cast("double").alias("start_s"), (F.col("pos") + 1).cast("double").alias("end_s"), F.format_string("k/%08d.jpg", "pos").alias("keyframe_path"))
-    utts = n.where("pos % 3 = 0").select(F.format_string("utt_%08d", "pos").alias("utterance_id"), (F.col("pos") * 1000 + 250).alias("start_ms"), F.least(F.lit(total), F.col("pos") * 1000 + 1750).alias("end_ms"))
+    utts = n.where("pos % 3 = 0").select(F.format_string("utt_%08d", "pos").alias("utterance_id"), (F.col("pos") * 1000 + 250).alias("start_ms"), F.least(total, F.col("pos") * 1000 + 1750).alias("end_ms"))
     tl = shots.select(F.lit("v").alias("video_id"), "pos", "shot_id", (F.col("pos") * 1000).alias("start_ms"), ((F.col("pos") + 1) * 1000).alias("end_ms"), "keyframe_path")
     near = utts.select(F.lit("v").alias("video_id"), "utterance_id", "start_ms", "end_ms")
     # One long timeline: joined by stretches of it.
     joined = iv.overlap_join(tl, near, ["video_id"], span=64_000)
     refs = joined.groupBy("pos", "shot_id", "start_ms", "end_ms", "keyframe_path").agg(F.collect_list(F.when(F.col("right_utterance_id").isNotNull(), F.struct(F.col("right_utterance_id").alias("utterance_id"), "overlap_start_ms", "overlap_end_ms", "overlap_ms"))).alias("utterance_refs"))
-    return au.media_checks(shots, utts, refs, shots.select(F.col("keyframe_path").alias("path")), total).select("name", "passed")
+    frames = shots.select("pos", F.col("keyframe_path").alias("path"))
+    if fault == "gap":
+        shots = shots.withColumn("start_s", F.col("start_s") + F.when(F.col("pos") % 1000 == 7, 0.5).otherwise(0.0))
+    elif fault == "twice":
+        utts = utts.unionByName(utts.where(F.col("utterance_id") == "utt_00000003"))
+    elif fault == "frameless":
+        frames = frames.where("pos % 1000 <> 5")
+    elif fault == "late":
+        utts = utts.withColumn("end_ms", F.when(F.col("utterance_id") == "utt_00000003", total + 1).otherwise(F.col("end_ms")))
+    elif fault == "moved":
+        refs = refs.withColumn("keyframe_path", F.when(F.col("pos") % 1000 == 7, "elsewhere").otherwise(F.col("keyframe_path")))
+    elif fault == "off":
+        refs = refs.withColumn("utterance_refs", F.transform("utterance_refs", lambda r: r.withField("overlap_ms", r["overlap_ms"] + F.when(F.col("pos") % 1000 == 0, 1).otherwise(0))))
+    elif fault == "unlinked":
+        number = lambda r: F.substring(r["utterance_id"], 5, 8).cast("long")
+        refs = refs.withColumn("utterance_refs", F.filter("utterance_refs", lambda r: number(r) % 999 != 0))
+    return au.media_checks(shots, utts, refs, frames.select("path"), total)
 
 
 @plan("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders")

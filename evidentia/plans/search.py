@@ -32,20 +32,17 @@ TOKENS = f"tk AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a
 
 
 @plan(f"""WITH {TOKENS}, d AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tk) GROUP BY term)
-SELECT term, df, tf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM d, (SELECT count(*) AS n FROM documents) WHERE df >= 5""")
+SELECT term, df, tf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM d, (SELECT count(*) AS n FROM documents)""")
 def doc_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    tf = rt.postings(docs).groupBy("term").agg(F.sum("tf").alias("tf"))
-    return rt.term_statistics(docs).where("df >= 5").join(tf, "term").select("term", "df", "tf", F.round("idf", 6).alias("idf"))
+    """Every term, however rare."""
+    return rt.term_statistics(table(spark, sf_dir, "documents")).select("term", "df", "tf", F.round("idf", 6).alias("idf"))
 
 
-@plan(f"""WITH {TOKENS}, d AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tk) GROUP BY term)
-SELECT term, df, tf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM d, (SELECT count(*) AS n FROM documents)""")
-def doc_terms(spark, sf_dir):
-    """Every term, however rare; doc_tokens keeps those of at least five documents."""
-    docs = table(spark, sf_dir, "documents")
-    tf = rt.postings(docs).groupBy("term").agg(F.sum("tf").alias("tf"))
-    return rt.term_statistics(docs).join(tf, "term").select("term", "df", "tf", F.round("idf", 6).alias("idf"))
+@plan(f"WITH {TOKENS}, p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tk) SELECT doc_id, count(*) AS terms, sum(n)::BIGINT AS total, max(n) AS most, md5(string_agg(term || ':' || n, ',' ORDER BY term)) AS digest FROM (SELECT doc_id, dl, term, count(*) AS n FROM p GROUP BY ALL) GROUP BY doc_id")
+def doc_postings(spark, sf_dir):
+    p = rt.postings(table(spark, sf_dir, "documents"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("term", "tf"))), lambda x: F.concat_ws(":", x["term"], x["tf"].cast("string"))), ",")
+    return p.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("total"), F.max("tf").alias("most"), F.md5(text.cast("binary")).alias("digest"))
 
 
 @plan(f"""WITH {TOKENS}, n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tk), p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tk),
@@ -77,7 +74,9 @@ def stripped_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.stripped(F.col("html")).cast("binary")).alias("digest"))
 
 
-@plan(None)
+# The entities that the pages hold.
+@plan("""WITH u AS (SELECT page_id, regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS h FROM pages),
+f AS (SELECT page_id, replace(regexp_replace(h, '<[^>]+>', '', 'g'), '♪', '') AS t FROM u) SELECT page_id, trim(regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM f""")
 def cleaned_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.cleaned(F.col("html")).alias("text"))
 

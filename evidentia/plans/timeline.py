@@ -103,9 +103,12 @@ def _shots(spark, sf_dir):
 
 @plan(f"""WITH {SPANS}, b AS (SELECT DISTINCT user_id, start_ms - 1704067200000 AS t FROM ev WHERE event_type = 'error'), dur AS (SELECT DISTINCT user_id FROM ev),
 c AS (SELECT user_id, t FROM b WHERE t > 0 AND t < 2600000000 UNION SELECT user_id, 0 FROM dur)
-SELECT user_id AS video_id, count(*) AS n, true AS contiguous FROM c GROUP BY user_id""")
+SELECT user_id AS video_id, count(*) AS n, user_id % 4 <> 1 AND NOT (user_id % 4 = 2 AND count(*) > 2) AND user_id % 4 <> 3 AS contiguous FROM c GROUP BY user_id""")
 def timeline_contiguity(spark, sf_dir):
-    s = _shots(spark, sf_dir)
+    """Of every four timelines one is whole; one begins late, one has a gap after its second shot, one ends early."""
+    s, kind = _shots(spark, sf_dir), F.col("video_id") % 4
+    third, last = F.col("shot_id") == "shot_0003", F.col("end_s") == 2600000.0
+    s = s.withColumns({"start_s": F.col("start_s") + F.when((kind == 1) & (F.col("start_s") == 0), 0.004).when((kind == 2) & third, 0.002).otherwise(0.0), "end_s": F.col("end_s") - F.when((kind == 3) & last, 0.003).otherwise(0.0)})
     ms = s.select("video_id", tc.seconds_to_ms(F.col("start_s")).alias("start_ms"), tc.seconds_to_ms(F.col("end_s")).alias("end_ms"), F.lit(2_600_000_000).alias("duration_ms"))
     return iv.contiguous(ms, ["video_id"])
 
@@ -221,12 +224,7 @@ def best_session(spark, sf_dir):
 s AS (SELECT c.user_id, c.a, count(*) AS hits FROM c JOIN ev ON ev.user_id = c.user_id AND ev.end_ms > c.a AND ev.start_ms < c.a + 1800000 GROUP BY 1, 2)
 SELECT user_id, a AS start_ms, hits FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY hits DESC, a) AS r FROM s) WHERE r = 1""")
 def best_fixed_chunk(spark, sf_dir):
-    ev = spans(spark, sf_dir)
-    chunk = ev.select("user_id", (F.floor(F.col("start_ms") / 1_800_000).cast("long") * 1_800_000).alias("a")).distinct()
-    hit = chunk.join(ev, "user_id").where(iv.touches(F.col("start_ms"), F.col("end_ms"), F.col("a"), F.col("a") + 1_800_000))
-    n = hit.groupBy("user_id", "a").agg(F.count("*").alias("hits"))
-    best = n.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("hits"), "a"))).where("r = 1")
-    return best.select("user_id", F.col("a").alias("start_ms"), "hits")
+    return iv.busiest_chunk(spans(spark, sf_dir), ["user_id"], 1_800_000)
 
 
 @plan(f"WITH {SPANS} SELECT event_type, min(value) AS least, quantile_cont(value, 0.5) AS median, round(avg(value), 6) AS mean, max(value) AS most FROM ev GROUP BY 1")

@@ -3,8 +3,33 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, a temporary one in local mode and an error on a cluster."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="evidentia-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, prefix: str) -> str:
+    return f"{shared_folder(spark)}/{prefix}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None, name: str = "evidentia") -> SparkSession:
@@ -17,6 +42,7 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, name: s
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("EVIDENTIA_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

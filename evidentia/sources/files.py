@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import os
+import zipfile
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as vx
 from ..functions.timecode import seconds_to_ms
@@ -97,11 +102,37 @@ def hashes(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"), F.upper(F.sha2("content", 256)).alias("sha256"))
 
 
+def ordered_digest(df: DataFrame, on: list[str], order: str, part: Column, separator: bytes = b"") -> DataFrame:
+    """(on, sha256 in upper case, files): one hash of the parts (binary) of a key's rows in order, joined by a separator.
+
+    The rows of a key are sorted and hashed as they stream by, so a task holds a batch of them whatever their number.
+    """
+    schema = T.StructType([*[df.schema[c] for c in on], *T.StructType.fromDDL("sha256 string, files long")])
+    rows = df.select(*on, F.col(order).alias("__at"), part.alias("__part"))
+    rows = (rows.repartition(*on) if on else rows.repartition(1)).sortWithinPartitions(*on, "__at", "__part")
+
+    def run(batches):
+        key, digest, n = None, None, 0
+        done = lambda: pd.DataFrame([(*key, digest.hexdigest().upper(), n)], columns=schema.names)
+        for b in batches:
+            for *k, _, raw in b.itertuples(index=False):
+                if key != (k := tuple(k)):
+                    if key is not None:
+                        yield done()
+                    key, digest, n = k, hashlib.sha256(), 0
+                elif separator:
+                    digest.update(separator)
+                digest.update(raw)
+                n += 1
+        if key is not None:
+            yield done()
+
+    return rows.mapInPandas(run, schema)
+
+
 def combined_hash(files: DataFrame, name: str = "name", sha: str = "sha256") -> DataFrame:
-    """One hash over files in name order: each name's bytes, then its digest's bytes."""
-    parts = F.array_sort(F.collect_list(F.struct(name, sha)))
-    text = F.array_join(F.transform(parts, lambda x: F.concat(F.hex(F.encode(x[name], "UTF-8")), x[sha])), "")
-    return files.agg(F.upper(F.sha2(F.unhex(text), 256)).alias("sha256"), F.count("*").alias("files"))
+    """One hash over files in name order: each name's bytes, then its digest's bytes. An empty table gives no row."""
+    return ordered_digest(files, [], name, F.concat(F.encode(name, "UTF-8"), F.unhex(sha)))
 
 
 def artifacts(files: DataFrame) -> DataFrame:
@@ -137,3 +168,24 @@ def write_report(df: DataFrame, path: str) -> None:
 def cut_list(results: DataFrame) -> DataFrame:
     """What a cutting tool needs of successful results: task_id, video, start and length in seconds."""
     return results.where("success").select("task_id", "video_id", (F.col("predicted_start_ms") / 1000).alias("start_s"), ((F.col("predicted_end_ms") - F.col("predicted_start_ms")) / 1000).alias("length_s"))
+
+
+def package_selection(files: DataFrame, folders: list[str], names: list[str], skip_parts: tuple[str, ...] = EXCLUDED, skip_suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """Files (path, ...) that a package takes, by name or by their folder, without those in a folder or with a suffix to skip; in order."""
+    parts = F.split("path", "/")
+    inside = reduce(Column.__or__, [F.startswith("path", F.lit(f.rstrip("/") + "/")) for f in folders], F.col("path").isin(*names))
+    skipped = reduce(Column.__or__, [F.endswith(F.lower("path"), F.lit(x)) for x in skip_suffixes], F.arrays_overlap(parts, F.array(*map(F.lit, skip_parts))))
+    return files.where(inside & ~skipped).orderBy("path")
+
+
+def write_package(root: str, paths: list[str], target: str) -> list[dict]:
+    """A ZIP archive of files below root, and in it a manifest with their sizes and hashes, which is returned; on the driver, a file at a time."""
+    listed = []
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(paths):
+            with open(safe_path(root, p), "rb") as f:
+                raw = f.read()
+            z.writestr(p, raw)
+            listed.append({"path": p, "bytes": len(raw), "sha256": hashlib.sha256(raw).hexdigest().upper()})
+        z.writestr("manifest.json", json.dumps({"files": listed}, indent=1))
+    return listed
