@@ -296,12 +296,12 @@ UNION ALL SELECT variant, 'utterance_references_exact', variant NOT IN ('off', '
 UNION ALL SELECT variant, 'all_utterances_linked', variant <> 'unlinked', CASE WHEN variant = 'unlinked' THEN (SELECT string_agg(id, ',' ORDER BY id) FROM u WHERE pos % 999 = 0) ELSE '' END FROM v""")
 def media_audit(spark, sf_dir):
     variants = ("sound", "gap", "twice", "frameless", "late", "moved", "off", "unlinked")
-    return au.union([_media(spark, sf_dir, v).select(F.lit(v).alias("variant"), "name", "passed", "details") for v in variants])
-
-
-def _media(spark, sf_dir, fault):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
     n = sp.ranked(o, ["k"]).withColumnRenamed("__rank", "pos")
+    return au.union([_media(o, n, v).select(F.lit(v).alias("variant"), "name", "passed", "details") for v in variants])
+
+
+def _media(o, n, fault):
     total = o.agg((F.count("*") * 1000).alias("ms")).scalar()
     shots = n.select("pos", F.format_string("shot_%08d", "pos").alias("shot_id"), F.col("pos").cast("double").alias("start_s"), (F.col("pos") + 1).cast("double").alias("end_s"), F.format_string("k/%08d.jpg", "pos").alias("keyframe_path"))
     utts = n.where("pos % 3 = 0").select(F.format_string("utt_%08d", "pos").alias("utterance_id"), (F.col("pos") * 1000 + 250).alias("start_ms"), F.least(total, F.col("pos") * 1000 + 1750).alias("end_ms"))

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..functions import timecode as tc
 from ..operators import episodes as ep
 from ..operators import prompts as pr
 from ..operators import training as tr
+from ..session import new_path
+from ..sources import files as fs
 from ..sources import subtitles as sb
-from .search import updated
+from .search import EVID, updated
 from .tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -107,35 +110,137 @@ def srt_round_trip(spark, sf_dir):
     return back.select(F.col("video_id").alias("item_id"), "start_ms", "end_ms", F.md5(F.trim("text").cast("binary")).alias("digest"))
 
 
-@plan(None)
+# A user's events, twelve to an episode, as actions on ten segments.
+@plan(f"""WITH {STEPS}, n AS (SELECT user_id, tool, k % 10 AS d, row_number() OVER (PARTITION BY user_id ORDER BY step) - 1 AS n FROM st),
+a AS (SELECT user_id || '-' || (n // 12) AS episode_id, n % 12 + 1 AS step, d, CASE tool WHEN 'view' THEN 'search_transcript' WHEN 'click' THEN 'inspect_segment' WHEN 'signup' THEN 'inspect_segment' WHEN 'purchase' THEN 'answer' ELSE 'jump' END AS tool FROM n),
+o AS (SELECT *, min(CASE WHEN tool = 'answer' THEN step END) OVER (PARTITION BY episode_id) AS over, row_number() OVER (PARTITION BY episode_id, tool, d ORDER BY step) > 1 AS again,
+count(DISTINCT CASE WHEN tool = 'inspect_segment' AND d IN (1, 2) THEN d END) OVER (PARTITION BY episode_id ORDER BY step) = 2 AS ready FROM a)
+SELECT episode_id, step, tool, tool = 'answer' OR step = 12 AS done, round(CASE tool WHEN 'answer' THEN CASE WHEN ready THEN 1.0 ELSE -0.5 END WHEN 'jump' THEN -0.2
+WHEN 'search_transcript' THEN -0.05 + CASE WHEN d IN (1, 2) THEN 0.1 * 2 / 3 ELSE 0 END ELSE -0.05 + CASE WHEN again THEN -0.1 WHEN d IN (1, 2) THEN 0.2 ELSE 0 END END + CASE WHEN step = 12 AND tool <> 'answer' THEN -0.2 ELSE 0 END, 6) AS reward
+FROM o WHERE step <= coalesce(over, 12)""")
 def episode_replays(spark, sf_dir):
-    """Synthetic episodes: a user's events as actions on ten segments."""
+    """Synthetic episodes; each has ten segments, two of which are its targets."""
     context = {"segments": {f"s{i}": {"text": f"red car {i}", "tags": []} for i in range(10)}, "targets": ["s1", "s2"], "max_steps": 12}
     kind = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "search_transcript", "click", "inspect_segment", "signup", "inspect_segment", "purchase", "answer", "error", "jump")]), F.col("tool"))
     args = F.to_json(F.struct(F.concat(F.lit("car "), (F.col("k") % 10).cast("string")).alias("query"), F.concat(F.lit("s"), (F.col("k") % 10).cast("string")).alias("segment_id"), F.array(F.lit("s1"), F.lit("s2")).alias("segment_ids")))
-    a = steps(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("step"))).where("n <= 12")  # the length of an episode
-    return ep.replay(a.select(F.col("user_id").cast("string").alias("episode_id"), F.col("n").alias("step"), kind.alias("tool"), args.alias("arguments"), F.lit(json.dumps(context)).alias("context")), "synthetic")
-
-
-@plan(None)
+    a = steps(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("step")) - 1)
+    episode = F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("n") / 12).cast("string"))
+    done = ep.replay(a.select(episode.alias("episode_id"), (F.col("n") % 12 + 1).alias("step"), kind.alias("tool"), args.alias("arguments"), F.lit(json.dumps(context)).alias("context")), "synthetic")
+    return done.select("episode_id", "step", "tool", "done", F.round("reward", 6).alias("reward"))
+
+
+# A user's month: events are utterances, days are shots, of which every fifth has no keyframe. Purchases and errors are searched for; the
+# target lies about the first of them. Users of odd number ask for an audit before they inspect. No list of actions ends with a submission.
+@plan("""WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 - 1704067200000 AS s, epoch_us(ts) // 1000 - 1704067200000 + floor(value * 1000)::BIGINT AS e FROM events),
+h AS (SELECT *, row_number() OVER w AS r, s - lag(e) OVER w > 15000 AS new FROM e WHERE event_type IN ('purchase', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)),
+g AS (SELECT *, sum(coalesce(new, true)::INT) OVER (PARTITION BY user_id ORDER BY r) AS g FROM h),
+b AS (SELECT user_id, greatest(0, arg_max(s, n)) AS lo, arg_max(e, n) AS hi FROM (SELECT user_id, g, struct_pack(n := count(*), early := -min(s)) AS n, min(s) - 2000 AS s, least(2678400000, max(e) + 2000) AS e FROM g GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT user_id, s - 3000 AS a, e + 3000 AS b FROM h WHERE r = 1),
+d AS (SELECT user_id, lo, hi, a, b, greatest(0, lo // 86400000) AS d0, (hi - 1) // 86400000 AS d1 FROM b JOIN t USING (user_id)),
+m AS (SELECT *, d0 + (least(d1, 30) - d0 + 1) // 2 AS mid, greatest(0, least(hi, b) - greatest(lo, a))::DOUBLE / (greatest(hi, b) - least(lo, a)) AS iou FROM d),
+f AS (SELECT *, mid % 5 <> 0 AS seen FROM m)
+SELECT user_id::VARCHAR AS episode_id, 1 AS step, 'search' AS tool, -0.05 AS reward, NULL::DOUBLE AS iou FROM f
+UNION ALL SELECT user_id::VARCHAR, 2, 'inspect', CASE WHEN seen THEN 0 ELSE -0.05 END, NULL FROM f WHERE user_id % 2 = 0
+UNION ALL SELECT user_id::VARCHAR, 3, 'audit', CASE WHEN seen THEN 0.05 ELSE -0.05 END, NULL FROM f WHERE user_id % 2 = 0
+UNION ALL SELECT user_id::VARCHAR, 2, 'audit', -0.3, NULL FROM f WHERE user_id % 2 = 1
+UNION ALL SELECT user_id::VARCHAR, CASE WHEN user_id % 2 = 0 THEN 4 ELSE 3 END, 'submit', round(2 * iou + CASE WHEN user_id % 2 = 0 AND seen THEN 0.7 ELSE 0 END, 6), round(iou, 6) FROM f""")
+def simple_episodes(spark, sf_dir):
+    """Five-action episodes that the replay closes, of all users that have something to search for."""
+    since = F.lit(1704067200000).cast("long")
+    e = table(spark, sf_dir, "events").withColumn("s", tc.stamp_ms(F.col("ts")) - since).withColumn("e", (F.col("s") + F.floor(F.col("value") * 1000)).cast("long"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "event_id", "e", "event_type"))), lambda x: F.format_string('[%d,%d,"Somebody: %s!"]', x["s"], x["e"], x["event_type"])), ",")
+    wanted = F.when(F.col("event_type").isin("purchase", "error"), F.struct("s", "event_id", "e"))
+    per = e.groupBy("user_id").agg(said.alias("said"), F.min(wanted).alias("first")).where("first is not null")
+    days = json.dumps([[f"d{i}", i * 86_400_000, (i + 1) * 86_400_000, f"k{i}" if i % 5 else None] for i in range(31)])
+    context = F.format_string('{"utterances":[%s],"units":' + days.replace("%", "%%") + ',"terms":["purchase","ERROR?"],"target":[%d,%d],"max_steps":6,"duration_ms":2678400000}', "said", F.col("first.s") - 3000, F.col("first.e") + 3000)
+    todo = F.when(F.col("user_id") % 2 == 0, F.array(*map(F.lit, ("search", "inspect", "audit")))).otherwise(F.array(*map(F.lit, ("search", "audit"))))
+    actions = per.select(F.col("user_id").cast("string").alias("episode_id"), context.alias("context"), F.posexplode(todo).alias("p", "tool")).select("episode_id", (F.col("p") + 1).cast("long").alias("step"), "tool", F.lit("{}").alias("arguments"), "context")
+    out = ep.replay(actions, "simple", close=True)
+    return out.select("episode_id", "step", "tool", F.round("reward", 6).alias("reward"), F.round(F.when(F.col("tool") == "submit", F.get_json_object("observation", "$.iou").cast("double")), 6).alias("iou"))
+
+
+# The team policy on the chain of each label. Its two best candidates are taken if they are near in score and place; the first one's
+# surroundings are asked for if its score is low.
+@plan(f"""WITH {EVID}, n AS (SELECT task_id, pos, least(1, coalesce(text_score, 0)) AS t, least(1, coalesce(visual_score, 0)) AS v, pos % 7 = 3 AS good FROM up),
+x AS (SELECT *, 1 - (1 - 0.52 * t) AS f1, 1 - (1 - 0.52 * t) * (1 - 0.38 * v) AS f2 FROM n),
+r1 AS (SELECT task_id, pos, good, row_number() OVER (PARTITION BY task_id ORDER BY f1 DESC, pos) AS r FROM x WHERE t > 0), r2 AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY f2 DESC, pos) AS r FROM x WHERE t > 0 OR v > 0),
+rr AS (SELECT i.task_id, coalesce((SELECT 1.0 / min(r) FROM r1 WHERE r1.task_id = i.task_id AND good), 0) AS a, coalesce((SELECT 1.0 / min(r) FROM r2 WHERE r2.task_id = i.task_id AND good), 0) AS b FROM (SELECT DISTINCT task_id FROM n) i),
+p AS (SELECT a.task_id, a.pos AS p0, CASE WHEN b.f2 >= 0.88 * a.f2 AND abs(a.pos - b.pos) <= 1 THEN b.pos END AS p1 FROM r2 a JOIN r2 b ON a.task_id = b.task_id AND a.r = 1 AND b.r = 2),
+c AS (SELECT x.*, count(*) OVER (PARTITION BY x.task_id) AS k, least(p0, coalesce(p1, p0)) AS lead FROM x JOIN p ON p.task_id = x.task_id AND x.pos IN (p0, p1)),
+w AS (SELECT task_id, max(k) AS k, bool_or(pos = lead AND f2 < 0.3) AS wide, max(CASE WHEN pos = lead THEN f2 END) AS low, max(lead) AS lead, sum(good::INT) AS hit FROM c GROUP BY 1),
+au AS (SELECT c.task_id, avg(CASE WHEN wide THEN 1 - (1 - f2) * (1 - 0.1 * greatest(0.1, low) * CASE WHEN abs(c.pos - w.lead) <= 1 THEN exp(-0.7 * abs(c.pos - w.lead)) ELSE 0 END) ELSE f2 END) AS sem FROM c JOIN w USING (task_id) GROUP BY 1),
+g AS (SELECT w.task_id, count(*) AS rel, sum((abs(x.pos - w.lead) <= 1)::INT) AS near FROM x JOIN w USING (task_id) WHERE good GROUP BY 1),
+q AS (SELECT w.task_id, k, wide, hit, rel, hit::DOUBLE / (k + rel - hit) AS iou, CASE WHEN hit > 0 THEN 2.0 * (hit / k) * (hit / rel) / ((hit / k) + (hit / rel)) ELSE 0 END AS f1, 0.55 * sem + 0.45 AS score,
+0.18 * a + 0.18 * greatest(0, b - a) + 0.12 * hit - 0.02 * (k - hit) + CASE WHEN wide THEN 0.12 * near / rel ELSE 0 END + CASE WHEN hit > 0 THEN 0.08 ELSE -0.06 END AS process FROM w JOIN rr USING (task_id) JOIN au USING (task_id) JOIN g USING (task_id))
+SELECT task_id::VARCHAR AS episode_id, 4 + k + wide::INT AS step, round(iou, 4) AS iou, round(2 * iou + 0.35 * f1 + 0.3 * score + 0.2 + process - 0.025 * (3 + k + wide::INT), 4) AS reward FROM q""")
 def policy_results(spark, sf_dir):
-    """The team policy on each label's chain: what the submitted intervals scored."""
+    """What the submitted intervals scored; targets are the shots of every seventh place."""
+    one = lambda x: F.format_string('"c%d"', x["pos"])
+    text = lambda a: F.concat(F.lit("["), F.array_join(a, ","), F.lit("]"))
+    score = lambda f: text(F.transform("n", lambda x: F.least(F.lit(1.0), F.coalesce(x[f], F.lit(0.0))).cast("string")))
+    span = lambda x, form: F.format_string(form, x["pos"] * 2000, (x["pos"] + 1) * 2000)
     per = updated(spark, sf_dir).groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text_score", "visual_score"))).alias("n"))
-    clipped = lambda f: F.transform("n", lambda x: F.least(F.lit(1.0), x[f]))
-    ids = lambda x: F.concat(F.lit("c"), x["pos"].cast("string"))
-    shots = F.transform("n", lambda x: F.array(ids(x), (x["pos"] * 2000).cast("string"), ((x["pos"] + 1) * 2000).cast("string")))
-    raw = per.select(F.col("task_id").cast("string").alias("episode_id"), shots.alias("shots"), clipped("text_score").alias("text"), clipped("visual_score").alias("image"), F.transform(F.filter("n", lambda x: x["pos"] % 7 == 3), ids).alias("relevant"))
-    built = F.to_json(F.struct("shots", F.create_map(F.lit("q"), "text").alias("text"), F.create_map(F.lit("q"), "image").alias("image"), "relevant"))
-
-    @F.udf("string")
-    def finish(raw):  # a row per task
-        c = json.loads(raw)
-        c["shots"] = [[a, int(b), int(e)] for a, b, e in c["shots"]]
-        at = {s[0]: s for s in c["shots"]}
-        return json.dumps(c | {"targets": [at[k][1:] for k in c["relevant"]], "required": ["text", "image"], "max_steps": 10})
-
-    tasks = raw.select("episode_id", F.lit("q").alias("query"), F.lit(True).alias("has_dialogue"), finish(built).alias("context"))
-    return ep.play(tasks, "team").where("done").select("episode_id", "step", F.get_json_object("observation", "$.reward").cast("double").alias("reward"), F.get_json_object("observation", "$.iou").cast("double").alias("iou"))
+    good = F.filter("n", lambda x: x["pos"] % 7 == 3)
+    shots = text(F.transform("n", lambda x: F.concat(F.lit("["), one(x), span(x, ",%d,%d]"))))
+    context = F.format_string('{"shots":%s,"targets":%s,"relevant":%s,"text":{"q":%s},"image":{"q":%s},"required":["text","image"],"max_steps":10}', shots, text(F.transform(good, lambda x: span(x, "[%d,%d]"))), text(F.transform(good, one)), score("text_score"), score("visual_score"))
+    tasks = per.select(F.col("task_id").cast("string").alias("episode_id"), F.lit("q").alias("query"), F.lit(True).alias("has_dialogue"), context.alias("context"))
+    part = lambda k: F.round(F.get_json_object("observation", f"$.{k}").cast("double"), 4).alias(k)
+    return ep.play(tasks, "team").where("done").select("episode_id", "step", part("iou"), part("reward"))
+
+
+CALLS = ("search_visual", "inspect_keyframe", "expand_context", "submit", "fly")
+ARGUMENTS = ('{"query": "x"}', '{"query": "x", "top_k": 3}', '{"shot_id": "a", "radius": "b"}', '{"shot_id": "a", "radius": 2}', "{}", '{"shot_ids": ["a"]}', '{"shot_id": "a"}')
+
+
+@plan("""WITH c AS (SELECT event_id, event_id % 6 AS t, (event_id // 6) % 8 AS a FROM events)
+SELECT event_id, CASE WHEN t = 5 OR a = 7 THEN 'parse_error' WHEN t = 4 THEN 'unknown_tool' WHEN t = 0 AND a IN (0, 1) OR t = 1 AND a = 6 OR t = 2 AND a IN (3, 6) OR t = 3 AND a = 5 THEN 'ok' ELSE 'invalid_arguments' END AS outcome FROM c""")
+def dispatch_outcomes(spark, sf_dir):
+    """Calls of every tool with every kind of arguments; none are null."""
+    pick = lambda i, n, v: F.get(F.array(*map(F.lit, v)), (i % n).cast("int"))
+    i = F.col("event_id")
+    calls = table(spark, sf_dir, "events").select("event_id", pick(i, 6, CALLS).alias("tool"), pick(F.floor(i / 6), 8, ARGUMENTS).alias("arguments"))
+    return ep.dispatched(calls).select("event_id", "outcome")
+
+
+# Files: written to the shared folder by a sink and read back by a source.
+@plan("SELECT doc_id, lang, n_chars, md5(text) AS digest FROM documents")
+def jsonl_round_trip(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
+    fs.write_jsonl(d, path := new_path(spark, "jsonl"))
+    return fs.read_jsonl(spark, path, "doc_id long, lang string, n_chars long, text string").select("doc_id", "lang", "n_chars", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@plan("SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def csv_round_trip(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    fs.write_csv(o, path := new_path(spark, "csv"), bom=True)
+    return spark.read.csv(path, header=True, schema=o.schema)
+
+
+@plan("SELECT count(*) AS n, sum(length(text))::BIGINT AS chars, max(lang) AS last FROM documents")
+def report_round_trip(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max("lang").alias("last"))
+    fs.write_report(d, path := new_path(spark, "report"))
+    return fs.read_json(spark, path).select("n", "chars", "last")
+
+
+@plan("SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, 'task_' || item_id AS task_id, text AS query, item_id * 1000 AS target_start_ms, item_id * 1000 + 500 AS target_end_ms, 'train' AS split FROM benchmark")
+def task_file(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").orderBy("item_id")
+    i = F.col("item_id")
+    t = b.select(F.concat(F.lit("task_"), i.cast("string")).alias("task_id"), F.col("text").alias("query"), F.array(F.lit("a")).alias("search_terms"), (i * 1000).alias("target_start_ms"), (i * 1000 + 500).alias("target_end_ms"), F.lit("train").alias("split"))
+    fs.write_report(t, path := new_path(spark, "tasks"))  # one file, in order
+    return fs.load_tasks(spark, path).select(F.col("pos").cast("long").alias("pos"), "task_id", "query", "target_start_ms", "target_end_ms", "split")
+
+
+@plan("SELECT 's' || l_orderkey || '-' || l_linenumber AS shot_id, round_even(l_extendedprice * 1000 / 16, 0)::BIGINT AS start_ms, round_even((l_extendedprice / 16 + 2.0625) * 1000, 0)::BIGINT AS end_ms FROM lineitem WHERE l_linenumber = 1")
+def shot_file(spark, sf_dir):
+    """Seconds to milliseconds, halves to even."""
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    at = F.col("l_extendedprice") / 16
+    s = li.select(F.concat(F.lit("s"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("shot_id"), at.alias("start_s"), (at + 2.0625).alias("end_s"), (at + 1).alias("keyframe_s"), F.lit("k").alias("keyframe_path"))
+    fs.write_jsonl(s, path := new_path(spark, "shots"))
+    return fs.load_shots(spark, path).select("shot_id", "start_ms", "end_ms")
 
 
 @plan("""SELECT event_id, role || '/' || tool AS call FROM (SELECT event_id, ['timeline', 'vision', 'auditor'][(event_id % 3)::INT + 1] AS role, ['search_visual', 'request_audit'][(event_id % 2)::INT + 1] AS tool FROM events)

@@ -1,6 +1,7 @@
 """Operators on small hand-made inputs."""
 
 import json
+import zipfile
 
 import numpy as np
 import pytest
@@ -14,6 +15,8 @@ from evidentia.operators import episodes as ep
 from evidentia.operators import graph as gr
 from evidentia.operators import intervals as iv
 from evidentia.operators import metrics as mx
+from evidentia.operators import prompts as pr
+from evidentia.operators import registry as rg
 from evidentia.operators import retrieval as rt
 from evidentia.operators import sampling as sp
 from evidentia.operators import shots as sh
@@ -275,6 +278,30 @@ def formal(**more):
     return {"shots": shots_, "targets": [[2000, 4000]], "relevant": ["s2", "s3"], "required": ["text", "image"], "max_steps": 10, "text": {"q": [0, 0, 1, 0.9, 0, 0]}, "image": {"q": [0, 0, 0.8, 1, 0.1, 0]}} | more
 
 
+def test_calls_with_faults_and_exports():
+    e = ep.FormalEpisode(formal())
+    assert ep.fault(None, {}) == ep.fault("submit", None) == "parse_error" and ep.fault("fly", {}) == "unknown_tool"
+    assert ep.fault("submit", {}) == ep.fault("search_visual", {"query": "q", "top_k": "many"}) == ep.fault("inspect_keyframe", {"shot_id": "a", "x": 1}) == "invalid_arguments"
+    assert ep.fault("expand_context", {"shot_id": "a", "radius": -1}) is None
+    assert e.call("inspect_keyframe", {}) == (0.0, {"error": "invalid_arguments", "valid_next_tools": ["search_transcript", "search_visual"]}) and (e.invalid, e.calls) == (1, 0)
+    assert e.call("search_visual", {"query": "q"})[0] == pytest.approx(0.18) and e.calls == 1
+    state = e.export()["state"]
+    assert state["searched"] == ["image"] and state["invalid"] == 1 and not state["done"] and "relevant" not in json.dumps(e.export())
+
+
+def test_replay_closes_what_ends_early(spark):
+    c = {"utterances": [[1000, 2000, "The red car"]], "units": [["s1", 0, 10000, "k1"]], "terms": ["red"], "target": [0, 4000], "max_steps": 7, "duration_ms": 480000}
+    rows_ = [("e", k, tool, "{}", json.dumps(c)) for k, tool in enumerate(("search", "inspect"), 1)]
+    df = spark.createDataFrame(rows_, "episode_id string, step long, tool string, arguments string, context string")
+    assert [r.tool for r in ep.replay(df, "simple").orderBy("step").collect()] == ["search", "inspect"]
+    got = ep.replay(df, "simple", close=True).orderBy("step").collect()
+    assert [(r.step, r.tool, r.done) for r in got] == [(1, "search", False), (2, "inspect", False), (3, "submit", True)] and got[-1].reward == pytest.approx(2.4)
+    whole = df.unionByName(spark.createDataFrame([("e", 3, "submit", "{}", json.dumps(c))], df.schema))
+    assert ep.replay(whole, "simple", close=True).count() == 3
+    over = [("f", 1, "fly", "{}", json.dumps({"segments": {}, "targets": [], "max_steps": 5}))]
+    assert [r.tool for r in ep.replay(spark.createDataFrame(over, df.schema), "synthetic", close=True).orderBy("step").collect()] == ["fly", "answer"]
+
+
 def test_formal_episode(spark):
     e = ep.FormalEpisode(formal())
     assert e.valid_tools() == ["search_transcript", "search_visual"]
@@ -352,3 +379,104 @@ def test_features_and_tasks(spark, tmp_path):
     assert rows(fs.read_features(spark, str(tmp_path / "f.npz")).select("clip", "embedding"), "clip") == [(0, [0.6, 0.8]), (1, [0.0, 0.0])]
     (tmp_path / "t.jsonl").write_text('{"task_id": "a", "search_terms": ["x"], "target_start_ms": 1}\n')
     assert fs.load_tasks(spark, str(tmp_path / "t.jsonl")).first().search_terms == ["x"]
+
+
+def test_ranks_within_cells(spark):
+    rng = np.random.default_rng(1)
+    data = [(int(k), int(x), i) for i, (k, x) in enumerate(zip(rng.integers(0, 3, 3000), rng.zipf(1.3, 3000).clip(0, 10**9), strict=True))] + [(0, None, 3000), (0, 5, 3001)]
+    df = spark.createDataFrame(data, "k int, x long, i int")
+    nulls_first = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    for rows_in_cell in (10, 100, 1 << 20):
+        got = {r.i: r["__rank"] for r in sp.ranked(df, ["x", "i"], cell_rows=rows_in_cell).collect()}
+        assert got == {r[2]: n for n, r in enumerate(sorted(data, key=nulls_first))}
+        for r in sp.ranked(df, ["x", "i"], ["k"], rows_in_cell).where("k = 1").collect():
+            got[r.i] = r["__rank"]
+        assert [got[r[2]] for r in sorted((r for r in data if r[0] == 1), key=nulls_first)] == list(range(sum(r[0] == 1 for r in data)))
+    same = spark.createDataFrame([(7, i) for i in range(50)], "x long, i int")
+    assert [r["__rank"] for r in sp.ranked(same, ["x", "i"], cell_rows=5).orderBy("i").collect()] == list(range(50)) and sp.ranked(same.limit(0), ["x", "i"]).count() == 0
+
+
+def test_touching_by_stretches(spark):
+    rng = np.random.default_rng(2)
+    side = lambda n, name: spark.createDataFrame([("v", f"{name}{i}", int(s), int(s + w)) for i, (s, w) in enumerate(zip(rng.integers(0, 300, n), rng.integers(0, 40, n), strict=True))], f"video_id string, {name} string, start_ms long, end_ms long")
+    a, b = side(60, "a"), side(60, "b")
+    want = {(x.a, y.b) for x in a.collect() for y in b.collect() if x.end_ms > y.start_ms and x.start_ms < y.end_ms}
+    for span in (7, 50, 1000):
+        got = [(r.a, r.right_b) for r in iv.touch_join(a, b, ["video_id"], span).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert sorted(rows(iv.window_semi(a, b, ["video_id"], span))) == sorted(rows(iv.window_semi(a, b, ["video_id"])))
+
+
+def test_shots_yaml_cuts_and_rewards(spark, tmp_path):
+    (tmp_path / "shots.jsonl").write_text('{"shot_id": "s1", "start_s": 0, "end_s": 13.8125, "keyframe_s": 0.0005, "keyframe_path": "k1"}\n\n{"shot_id": "s2", "start_s": 13.8125, "end_s": 20, "keyframe_s": 0.0015, "keyframe_path": "k2"}\n')
+    assert rows(fs.load_shots(spark, str(tmp_path / "shots.jsonl")), "pos") == [(0, "s1", 0, 13812, 0, "k1"), (1, "s2", 13812, 20000, 2, "k2")]
+    try:
+        import yaml  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError):
+            fs.read_yaml(str(tmp_path / "c.yaml"))
+    else:
+        (tmp_path / "c.yaml").write_text("a:\n  b: 1\n")
+        assert fs.read_yaml(str(tmp_path / "c.yaml")) == {"a": {"b": 1}}
+    r = spark.createDataFrame([("a", "v", True, 1500, 4000, 1), ("b", "v", False, 0, 1, 2)], "task_id string, video_id string, success boolean, predicted_start_ms long, predicted_end_ms long, reward_parts int")
+    assert rows(fs.cut_list(r)) == [("a", "v", 1.5, 2.5)]
+    assert "reward_parts" not in pr.without_rewards(r).columns and len(pr.without_rewards(r).columns) == 5
+
+
+def test_container_checks_and_missing_files(spark):
+    good = [(10_050, 1, 1, "AA", "AA")]
+    kind = "duration_ms long, video_streams int, audio_streams int, sha256 string, expected_sha256 string"
+    failed = lambda row: {r.name for r in au.container_checks(spark.createDataFrame(row, kind), 10_000).collect() if not r.passed}
+    assert failed(good) == set() and failed([(10_101, 1, 0, "AA", "AB")]) == {"media_duration_matches", "media_stream_layout", "media_hashes_match"}
+    rows_ = spark.createDataFrame([("a", 1), ("b", 2)], "path string, n int")
+    assert rows(au.orphans(rows_, spark.createDataFrame([("a",)], "path string"), "path")) == [("b", 2)]
+
+
+def test_packages_and_manifests(spark, tmp_path):
+    for p, text in (("src/a.py", "x"), ("src/b.PYC", "x"), ("src/tmp/c.py", "x"), ("README.md", "read"), ("other/d.py", "x")):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(text)
+    picked = [r.path for r in fs.package_selection(fs.listing(spark, str(tmp_path), ()), ["src"], ["README.md"], skip_suffixes=(".pyc",)).collect()]
+    assert picked == ["README.md", "src/a.py"]
+    listed = fs.write_package(str(tmp_path), picked, str(tmp_path / "out.zip"))
+    with zipfile.ZipFile(tmp_path / "out.zip") as z:
+        assert z.namelist() == [*picked, "manifest.json"] and json.loads(z.read("manifest.json"))["files"] == listed and listed[0]["bytes"] == 4
+    with pytest.raises(ValueError, match="escapes"):
+        fs.write_package(str(tmp_path), ["../x"], str(tmp_path / "bad.zip"))
+    files = spark.createDataFrame([("v", "b.srt", 5, "B"), ("v", "a.mp4", 9, "A"), ("v", "x/keyframes/1.jpg", 3, "C"), ("v", "x/keyframes/2.jpg", 4, "D")], "video_id string, path string, bytes long, sha256 string")
+    specs = rg.video_specs(spark.createDataFrame([("v", "train", 1000)], "video_id string, split string, duration_ms long"), files)
+    m = rg.manifest(specs, spark.range(7), "d1", 10**9, "tasks.jsonl").first()
+    assert [a.path for a in m.videos[0].artifacts] == ["a.mp4", "b.srt"] and tuple(m.videos[0].keyframe_inventory) == (2, 7) and (m.tasks["count"], m.capacity.hard_limit_bytes) == (7, 10**9)
+
+
+def test_json_schema(spark):
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "minItems": 1, "items": {"type": "integer", "maximum": 5}}, "b": {"type": "boolean"}, "c": {"type": "number", "minimum": 0.5}}}
+    texts = ['{"a": [1, 2]}', '{"a": []}', '{"a": [9, "x"], "b": 1, "c": 0.25}', "[]", "nothing", None, '{"a": [5], "b": true, "c": 0.5, "more": null}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {}
+    for r in au.json_errors(df, "i", "t", schema).collect():
+        got.setdefault(r.i, []).append(r.error)
+    assert {k: sorted(v) for k, v in got.items()} == {
+        1: ["$.a: has too few items"], 2: ["$.a[]: is greater than 5", "$.a[]: is not of type integer", "$.b: is not of type boolean", "$.c: is less than 0.5"],
+        3: ["$: is not of type object"], 4: ["not JSON"], 5: ["not JSON"],
+    }
+
+
+def test_text_embedding_on_executors(spark):
+    def encoder():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "id long, t string")
+    got = {r.id: r.embedding for r in rt.embedded(df, "id", "t", encoder).collect()}
+    assert got[1] == pytest.approx([3 / 10**0.5, 1 / 10**0.5]) and got[2] == [0.0, 1.0]
+    with pytest.raises(ValueError, match="blocks"):
+        rt.cosine_scores(spark.range(rt.MOST_QUERIES + 1).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("embedding")), df)
+
+
+def test_streamed_hashes(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, "z")], "k string, at int, t string")
+    got = {r.k: (r.sha256, r.files) for r in fs.ordered_digest(df, ["k"], "at", F.col("t").cast("binary"), b"|").collect()}
+    assert got == {"a": (hashlib.sha256(b"x|y").hexdigest().upper(), 2), "b": (hashlib.sha256(b"z").hexdigest().upper(), 1)}
+    assert fs.ordered_digest(df.limit(0), ["k"], "at", F.col("t").cast("binary")).count() == 0
