@@ -124,21 +124,29 @@ class Crf:
         return np.bincount(lines.doc, lines.words * marked, len(lines.per_doc))
 
 
-def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Crf:
-    """Maximum likelihood by Adam; the gradient comes from forward-backward over all sequences at once, padded to the longest."""
-    n, longest = len(sequences), max(map(len, sequences))
-    x, mask = np.zeros((n, longest, FEATURES)), np.zeros((n, longest), bool)
-    for i, s in enumerate(sequences):
-        x[i, : len(s)], mask[i, : len(s)] = s, True
-    y = np.eye(2)[labels][:, None, :] * mask[:, :, None]
-    pair = np.einsum("nta,ntb->ab", y[:, :-1], y[:, 1:])
+def _grouped(sequences: list[np.ndarray], labels: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences padded to the longest of those of about their length: features, mask, labels of lines, weights that balance the two labels."""
     size = np.array([(len(labels) - sum(labels)) or 1, sum(labels) or 1])
-    weight = (n / (2 * size))[labels]
-    params = [np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    pair = np.einsum("n,nta,ntb->ab", weight, y[:, :-1], y[:, 1:])
-    for step in range(1, rounds + 1):
-        emit, move, start = params
+    groups: dict[int, list[int]] = {}
+    for i, s in enumerate(sequences):
+        groups.setdefault((len(s) - 1).bit_length(), []).append(i)
+    out = []
+    for rows in groups.values():
+        longest = max(len(sequences[i]) for i in rows)
+        x, mask = np.zeros((len(rows), longest, FEATURES)), np.zeros((len(rows), longest), bool)
+        for k, i in enumerate(rows):
+            x[k, : len(sequences[i])], mask[k, : len(sequences[i])] = sequences[i], True
+        of = np.array([labels[i] for i in rows])
+        out.append((x, mask, np.eye(2)[of][:, None, :] * mask[:, :, None], (len(labels) / (2 * size))[of]))
+    return out
+
+
+def likelihood(groups, params: list[np.ndarray]) -> tuple[float, list[np.ndarray]]:
+    """Weighted log-likelihood of the lines' labels and its gradient, by forward-backward over all sequences of a group at once."""
+    emit, move, start = params
+    total, grads = 0.0, [np.zeros_like(p) for p in params]
+    for x, mask, y, weight in groups:
+        n, longest = mask.shape
         e = x @ emit
         forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
         forward[:, 0] = start + e[:, 0]
@@ -153,12 +161,26 @@ def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate:
         p = np.exp(forward + backward - z[:, None, None]) * mask[:, :, None]
         both = forward[:, :-1, :, None] + move + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - z[:, None, None, None]
         both = np.where(mask[:, 1:, None, None], np.exp(np.minimum(both, 0)), 0)
+        pair = np.einsum("n,nta,ntb->ab", weight, y[:, :-1], y[:, 1:])
+        total += float((weight * ((y * e).sum((1, 2)) + (y[:, 0] * start).sum(1) - z)).sum() + (pair * move).sum())
         d = (y - p) * weight[:, None, None]
-        grads = [np.einsum("ntf,ntl->fl", x, d) / n - decay * emit, (pair - np.einsum("n,ntab->ab", weight, both)) / n - decay * move, d[:, 0].sum(0) / n - decay * start]
-        for k, g in enumerate(grads):
+        for g, more in zip(grads, (np.einsum("ntf,ntl->fl", x, d), pair - np.einsum("n,ntab->ab", weight, both), d[:, 0].sum(0)), strict=True):
+            g += more
+    return total, grads
+
+
+def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Crf:
+    """Maximum likelihood by Adam."""
+    groups, n = _grouped(sequences, labels), len(sequences)
+    params = [np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)]
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for step in range(1, rounds + 1):
+        _, grads = likelihood(groups, params)
+        for k, (g, p) in enumerate(zip(grads, params, strict=True)):
+            g = g / n - decay * p
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
-            params[k] = params[k] + rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            params[k] = p + rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return Crf(*params)
 
 
