@@ -19,6 +19,9 @@ PERCENT = 75
 #: Permutations, each giving a minimum and a maximum; a band is two of them. At a similarity of 0.75, 32 bands of four values
 #: miss a pair with the probability that miss_rate gives: 1e-4 for 3 of 4 shingles, nearing (1 - 0.75 ** 4) ** 32 = 5.2e-6 for large sets.
 PERMUTATIONS, BANDS = 64, 32
+#: Sets of so many shingles or fewer also have a bucket for each of their least shingles, which no pair of them escapes; bands alone
+#: find pairs in which a set has more, and miss miss_rate(33, 44) = 6.5e-6 of those at the limit, or less.
+SMALL = 43
 #: Bits of the filter of ids that thins the texts out before they are joined with the candidates: its size is fixed.
 ID_BITS = 1 << 22
 #: Most shingles, and most sets, of a family of candidates that one task links.
@@ -74,13 +77,18 @@ def miss_rate(both: int, either: int) -> float:
     return (1 - band) ** BANDS
 
 
-def _signatures(texts: list[str]):
+def prefix_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the least shingles of a set: two sets that are similar enough share one."""
+    return mix64(s[: _prefix(len(s), percent, 100)] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
+
+
+def _signatures(texts: list[str], percent: int):
     sets = shingle_sets(texts)
     full = [i for i, s in enumerate(sets) if len(s)]
     keys = band_keys([sets[i] for i in full]) if full else []
     digest, bands = [None] * len(sets), [None] * len(sets)
     for i, k in zip(full, keys, strict=True):
-        digest[i], bands[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), k
+        digest[i], bands[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), k if len(sets[i]) > SMALL else np.concatenate((k, prefix_keys(sets[i], percent)))
     return [len(s) for s in sets], digest, bands
 
 
@@ -243,7 +251,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, family: int = FAMILY) -> DataFrame:
     """Near-duplicate groups of whole texts: id, n_shingles, component_id (least id reachable), kept (it is the id).
 
-    Documents of equal sets are one class, stood for by the least id, so exact copies cost nothing further. Classes that share
+    Sets of SMALL shingles or fewer are found exactly, larger ones by their bands (see miss_rate). Documents of equal sets are one class, stood for by the least id, so exact copies cost nothing further. Classes that share
     a band's bucket, directly or over others, are a family; a family of at most family shingles (and FAMILY_SETS classes) is linked
     in one task, which holds sets against all that share one of their rarest shingles, on full sets. Larger families are linked in many tasks: every class with the least one of its
     buckets, then all pairs of different components that share one of their rarest shingles. Neither emits all pairs of a
@@ -254,14 +262,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prepare(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = shared_checkpoint(per_document(rows, "id", "text", "n_shingles long, digest binary, bands array<long>", _signatures))
+    signed = shared_checkpoint(per_document(rows, "id", "text", "n_shingles long, digest binary, bands array<long>", lambda texts: _signatures(texts, percent)))
     worded = signed.where("id is not null and digest is not null")
     classes = worded.groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("c")).select("digest", "c.id", F.col("c.n_shingles").alias("n"), "c.bands")
     keys = classes.select("id", "digest", "n", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("many"), F.min("id").alias("least")).where("many > 1").select("key", "least")
     members = shared_checkpoint(keys.join(buckets, "key").select("id", "digest", "n", "least").distinct())
     # A class meets the least of its leasts, and so do the others of them: one link a class, and few among leasts.
-    met = members.groupBy("id").agg(F.collect_set("least").alias("l")).select("id", "l", F.array_min("l").alias("b"))  # BANDS leasts at most
+    met = members.groupBy("id").agg(F.collect_set("least").alias("l")).select("id", "l", F.array_min("l").alias("b"))  # a least for each key at most
     linked = met.select(F.col("id").alias("a"), "b").unionByName(met.select(F.explode("l").alias("a"), "b").distinct()).where("a <> b")
     of = components(linked).select(F.col("node").alias("id"), F.col("label").alias("family"))
     wanted = shared_checkpoint(members.select("id", "digest", "n").distinct().join(of, "id"))
