@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import base64
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import lru_cache
@@ -16,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import new_path, shared_folder
+
 #: Bytes of text that a Python worker takes at once.
 SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch.
@@ -28,19 +28,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, a temporary one in local mode and an error on a cluster."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="evidentia-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
 @contextmanager
 def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
     """Has the shuffles of a lineage-cutting action deleted with it; the session's own setting is back afterwards."""
@@ -62,7 +49,7 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
 
 def shared_table(df: DataFrame) -> tuple[DataFrame, str]:
     """Cuts the lineage with a Parquet table in the shared folder, for wide rows of which later steps read few columns: the table and its path."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "table")
     with shuffles_deleted(df.sparkSession):
         df.select("*").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
@@ -75,6 +62,33 @@ def delete_table(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows that are equal in all that an operator reads, if there are more of them than that, travel as one row with their number.
+MANY = 1000
+#: Rows that a step of spread() makes of one.
+SPREAD = 1 << 12
+
+
+def equal_rows(df: DataFrame, text_col: str, others: Sequence[str], many: int = MANY) -> DataFrame | None:
+    """df's columns others and text_col with copies, the number of rows that were equal in them; None if no more than many rows are.
+
+    Found by digests (pre-aggregated, so not even a third of all rows is a hot key), at most one row in many; rows of fewer copies stay single.
+    """
+    cols = [F.col(f"`{c}`") for c in (*others, text_col)]
+    keyed = df.select(*cols, F.xxhash64(*cols).alias("__dig"))
+    heavy = keyed.groupBy("__dig").agg(F.count("*").alias("n")).where(F.col("n") > many).select("__dig")
+    if not heavy.limit(1).count():
+        return None
+    heavy = shared_checkpoint(heavy)
+    single = keyed.join(heavy, "__dig", "left_anti").select(*cols, F.lit(1).cast("long").alias("copies"))
+    return keyed.join(heavy, "__dig", "left_semi").groupBy(*cols).agg(F.count("*").alias("copies")).unionByName(single)
+
+
+def spread(df: DataFrame, copies: str = "copies") -> DataFrame:
+    """Each row as often as its column copies says, without that column; no array is longer than the root of a trillion."""
+    first = df.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(SPREAD).cast("long"))))
+    return first.withColumn("__one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(SPREAD).cast("long"), F.col(copies) - F.col("__from"))))).drop(copies, "__from", "__one")
+
+
 def tokenizer_path(name: str) -> str:
     """Path of a public vocabulary file; EVIDENTIA_TOKENIZERS names another folder."""
     if folder := os.environ.get("EVIDENTIA_TOKENIZERS"):

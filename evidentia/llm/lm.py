@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_count, documents, mix64, packed, prepare, remainder, segment_sums, shared_checkpoint, text_bytes, unpacked, word_codes
+from .common import MANY, block_count, documents, equal_rows, mix64, packed, prepare, remainder, segment_sums, shared_checkpoint, spread, text_bytes, unpacked, word_codes
 
 #: Quantisation base: a count c is stored as 1 + floor(log_BASE(c)) entries, one a level.
 BASE = 2.0
@@ -166,12 +166,15 @@ def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def _count_block(texts: list[str | None], held: np.ndarray, block: int, bits: int) -> pa.Table:
-    """Rows (bucket, block, words, pairs): hi, lo and training count of each word; fingerprint and training count of each pair (0: only held out)."""
+def _count_block(texts: list[str | None], copies: np.ndarray, block: int, bits: int) -> pa.Table:
+    """Rows (bucket, block, words, pairs): hi, lo and training count of each word; fingerprint and training count of each pair (0: only held out).
+
+    copies: how often a text counts in training.
+    """
     b = Block(texts, bits)
-    trained = ~held[b.doc]
-    count = np.bincount(b.codes[trained], minlength=len(b.hi)).astype("<i8")
-    n = np.bincount(b.pair[trained], minlength=len(b.pairs)).astype("<i8")
+    each = copies[b.doc]
+    count = np.bincount(b.codes, each, minlength=len(b.hi)).astype("<i8")
+    n = np.bincount(b.pair, each, minlength=len(b.pairs)).astype("<i8")
     rows = {"bucket": [], "block": [], "words": [], "seen": [], "pairs": [], "n_pairs": [], "counts": []}
     for k in range(1 << bits):
         w, p = slice(b.cuts[k], b.cuts[k + 1]), slice(b.pair_cuts[k], b.pair_cuts[k + 1])
@@ -234,13 +237,13 @@ def _add_up(table: pa.Table, bits: int) -> pa.Table:
     )
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, n_bytes: int | None = None) -> DataFrame:
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, n_bytes: int | None = None, many: int = MANY) -> DataFrame:
     """Scores every whole text: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trains on the documents whose crc32(id as text) modulo folds is not fold (a null id is trained on). base_score has exact
     add-one unigram counts; score is log10 of the product over tokens of (c(v w) + MU p(w)) / (max(c(v), c(v w)) + MU), v being the
     token before, p(w) = (c(w) + 1) / (N + V + 1), and all c read from the filter. Null and empty texts are one end token.
-    Repeated rows count as often as they are there. With nothing to train on, N = V = 0 and each token scores log10(1) = 0.
+    Repeated rows count as often as they are there; more than MANY equal ones travel as one, so a block's size is bounded. With nothing to train on, N = V = 0 and each token scores log10(1) = 0.
     Blocks and buckets grow in number with the corpus, not in size; a word comes at most once from a block, so a
     frequent one is no hot key. Other columns are not read.
     """
@@ -250,13 +253,15 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     blocks = block_count(n_bytes, BLOCK_BYTES)
     bits = bucket_bits(n_bytes)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = rows.select(
-        "id", "text", F.coalesce(remainder(F.col("id"), folds) == fold, F.lit(False)).alias("held"),
+    fewer = equal_rows(rows, "text", ["id"], many)
+    rows = (rows.withColumn("copies", F.lit(1).cast("long")) if fewer is None else fewer).select(
+        "id", "text", "copies", F.coalesce(remainder(F.col("id"), folds) == fold, F.lit(False)).alias("held"),
         F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(blocks)).cast("long").alias("block"),
     ).repartition("block")
 
     def count(key, table):
-        return _count_block(table.column("text").to_pylist(), table.column("held").to_numpy(zero_copy_only=False).astype(bool), key[0].as_py(), bits)
+        held = table.column("held").to_numpy(zero_copy_only=False).astype(bool)
+        return _count_block(table.column("text").to_pylist(), np.where(held, 0, table.column("copies").to_numpy()), key[0].as_py(), bits)
 
     def add_up(table):
         return _add_up(table, bits)
@@ -265,7 +270,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     answered = shared_checkpoint(counted.groupBy("bucket").applyInArrow(add_up, ANSWERED_DDL))
     sums = answered.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
-    out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")])
+    out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double" + ", copies long" * (fewer is not None))])
 
     def score(key, docs, answers):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -291,9 +296,10 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             docs.column("id"), docs.column("held"), pa.array(b.n), pa.array(segment_sums((exact[b.codes] > 0).astype(np.int64), b.n)), pa.array(np.full(len(b.n), n, np.int64)),
             pa.array(segment_sums(base[b.codes], b.n)), pa.array(segment_sums(np.log10(prob), b.n)),
         ]
-        return pa.table(cols, schema=to_arrow_schema(out))
+        return pa.table([*cols, docs.column("copies")][: len(out)], schema=to_arrow_schema(out))
 
-    return rows.groupBy("block").cogroup(answered.select("block", "bucket", "payload", "levels").groupBy("block")).applyInArrow(score, out)
+    scored = rows.groupBy("block").cogroup(answered.select("block", "bucket", "payload", "levels").groupBy("block")).applyInArrow(score, out)
+    return scored if fewer is None else spread(scored)
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

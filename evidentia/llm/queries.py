@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from . import ann, bpe, langid, lm, minhash, packing, quality, secrets, sharding, suffixes
 
 QUERIES = {
@@ -17,5 +20,65 @@ QUERIES = {
     "op10_language_id": langid.op10_language_id,
 }
 
-#: Python does what SQL cannot in every one of them; tests/llm holds them against brute force.
+#: The columns of those results that SQL can express, by the same operators over the same whole tables. For the rest Python does what
+#: SQL cannot; tests/llm holds it against brute force.
 ORACLE: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"'[^\x20\x09-\x0D]+'"
+#: crc32 of the digits of a number, a bit at a time.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+def plan(sql: str):
+    def add(fn):
+        QUERIES[fn.__name__], ORACLE[fn.__name__] = fn, sql
+        return fn
+
+    return add
+
+
+@plan(r"""WITH m AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS a,
+regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+') AS k, regexp_extract_all(coalesce(text, ''), '[0-9a-f]+') AS h FROM documents)
+SELECT doc_id, len(list_filter(a, lambda x: length(x) >= 6)) AS n_assign, len(list_filter(k, lambda x: length(x) >= 20)) AS n_access, len(list_filter(h, lambda x: length(x) >= 24)) AS n_hex FROM m""")
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+@plan("SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op3_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+@plan(f"""WITH t AS (SELECT doc_id, {CRC.format("doc_id")} % 7 = 2 AS held_out, list_append(regexp_extract_all({LOWER}, {WORDS}), chr(10)) AS w FROM documents),
+c AS (SELECT w, count(*) AS c FROM (SELECT unnest(w) AS w FROM t WHERE NOT held_out) GROUP BY 1), n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c),
+x AS (SELECT doc_id, held_out, unnest(w) AS w FROM t)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score FROM x LEFT JOIN c USING (w), n GROUP BY 1, 2""")
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op4_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+@plan(f"""WITH t AS (SELECT doc_id, regexp_extract_all({LOWER}, {WORDS}) AS w FROM documents), g AS (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, least(1, len(w))))) AS i FROM t),
+s AS (SELECT doc_id, count(DISTINCT array_to_string(w[i:i + 4], ' ')) AS n FROM g GROUP BY 1) SELECT doc_id, coalesce(n, 0) AS n_shingles FROM documents LEFT JOIN s USING (doc_id)""")
+def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.op6_minhash(spark, sf_dir).select("doc_id", "n_shingles")
+
+
+@plan(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents),
+l AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, {WORDS}) GROUP BY 1, 2), d AS (SELECT doc_id, sum(n - 1)::BIGINT AS dup FROM l GROUP BY 1),
+g AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM t), q AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT p) AS rep FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM q WHERE n > 1) GROUP BY 1)
+SELECT t.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep, 0) AS n_repeat_words,
+len(w) < 20 OR 100 * coalesce(rep, 0) > 30 * len(w) AS base_failed FROM t LEFT JOIN d USING (doc_id) LEFT JOIN r USING (doc_id)""")
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op7_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+@plan("SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size FROM documents")
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op8_sharding(spark, sf_dir).select("doc_id", "size")
+
+
+@plan("WITH n AS (SELECT count(*) AS n FROM documents) SELECT s::INT AS shard, n // 40 + (s < n % 40)::BIGINT AS n, n // 40 + (s < n % 40)::BIGINT AS slots, n // 40 + (s < n % 40)::BIGINT - 1 AS last FROM n, (SELECT unnest(range(40)) AS s)")
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op8_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, prepare
+from .common import MANY, SPREAD, documents, prepare
 
 CELLS = 1 << 16
 VIRTUAL_NODES = 256
@@ -104,20 +104,31 @@ def _pieces(ring: DataFrame, counts: DataFrame, shards: int, cells: int) -> Data
     return load.where("keep > 0").select("cell", F.lit(0).cast("long").alias("r0"), F.col("keep").alias("r1"), "shard", F.col("prior").alias("base")).unionByName(moved)
 
 
-def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, virtual: int = VIRTUAL_NODES, cells: int = CELLS) -> DataFrame:
+def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, virtual: int = VIRTUAL_NODES, cells: int = CELLS, many: int = MANY) -> DataFrame:
     """Shards of equal row counts, at most one apart (law rows): id, size, text_crc32, law, shard, slot, grown_shard (null).
 
     size is the text's UTF-8 bytes (null: none) plus 16. A key is the id with the text's checksum, so a null or repeated id
-    is no hot cell by itself; equal rows take their places in any order. Rows move once, 40 bytes each, to rank them within their cell;
-    every other table has a fixed size. Empty tables give empty ones; other columns are not read.
+    is no hot cell by itself. Equal texts of different ids are different keys, each placed by itself; equal rows take consecutive
+    places in any order, and more than many of them travel as one. Rows move once, 40 bytes each, to rank them within their
+    cell; every other table has a fixed size. Empty tables give empty ones; other columns are not read.
     """
     prepare(df.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = df.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = base.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "text_crc32", "size")).withColumn("cell", F.pmod("h", F.lit(cells)).cast("long"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("h", "doc_id", "text_crc32", "size")) - 1)
-    pieces = _pieces(_ring(df.sparkSession, shards, virtual, cells), rows.groupBy("cell").agg(F.count("*").alias("n")), shards, cells)
-    placed = ranked.join(pieces.withColumnRenamed("cell", "in_cell"), (F.col("cell") == F.col("in_cell")) & (F.col("r") >= F.col("r0")) & (F.col("r") < F.col("r1")))
+    pieces = _pieces(_ring(df.sparkSession, shards, virtual, cells), rows.groupBy("cell").agg(F.count("*").alias("n")), shards, cells).withColumnRenamed("cell", "in_cell")
+    key = ["h", "doc_id", "text_crc32", "size"]
+    heavy = rows.groupBy("cell", *key).agg(F.count("*").alias("copies")).where(F.col("copies") > many)
+    if not heavy.limit(1).count():
+        ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy(*key)) - 1)
+        placed = ranked.join(pieces, (F.col("cell") == F.col("in_cell")) & (F.col("r") >= F.col("r0")) & (F.col("r") < F.col("r1")))
+    else:  # ranks are those of the first of so many equal rows; those that a piece takes are told apart after the join
+        before = Window.partitionBy("cell").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+        counted = rows.groupBy("cell", *key).agg(F.count("*").alias("copies")).withColumn("r", F.coalesce(F.sum("copies").over(before), F.lit(0)))
+        found = counted.join(pieces, (F.col("cell") == F.col("in_cell")) & (F.col("r") < F.col("r1")) & (F.col("r") + F.col("copies") > F.col("r0")))
+        first, last = F.greatest("r", "r0"), F.least(F.col("r") + F.col("copies"), F.col("r1")) - 1
+        step = found.withColumns({"first": first, "last": last}).withColumn("from", F.explode(F.sequence("first", "last", F.lit(SPREAD).cast("long"))))
+        placed = step.drop("r").withColumn("r", F.explode(F.sequence("from", F.least(F.col("last"), F.col("from") + SPREAD - 1))))
     return placed.select(
         F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
         (F.col("base") + F.col("r") - F.col("r0")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_count, documents, mix64, packed, prepare, text_bytes, unpacked
+from .common import MANY, block_count, documents, equal_rows, mix64, packed, prepare, spread, text_bytes, unpacked
 
 LENGTH = 100
 KMER = 32
@@ -396,12 +396,12 @@ def _kept(raw: bytes, ranges: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]
     return b"".join(raw[a:b] for a, b in zip([0, *end], [*start, len(raw)], strict=True)), list(zip(start, end, strict=True))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bytes: int | None = None, hot_places: int = HOT_PLACES, with_text: bool = True, extra: Sequence[str] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bytes: int | None = None, hot_places: int = HOT_PLACES, with_text: bool = True, extra: Sequence[str] = (), many: int = MANY) -> DataFrame:
     """Removes each byte that lies in a 100-byte string which also starts earlier: id, n_bytes, n_removed, n_spans, kept_sha256; with_text: kept, kept_text, spans.
 
     Earlier: in a document of smaller id, or before in the same. Null texts count as empty. Rows with one id and one text are
     one document and get one result each; of rows with one id and different texts that of the smaller text hash is the
-    earlier; null ids come before all others. kept has the remaining bytes, kept_text their whole characters. Columns in extra
+    earlier; null ids come before all others. More than many rows that are equal in all columns read travel as one. kept has the remaining bytes, kept_text their whole characters. Columns in extra
     are returned after the id; other columns are not read.
 
     The texts are dealt out once, by a hash of id and text, and used in all three steps (one exchange, reused). All else that
@@ -409,6 +409,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     many places is replaced by its single windows, so no bucket grows with the most frequent passage.
     """
     prepare(df.sparkSession)
+    fewer = equal_rows(df, text_col, [id_col, *extra], many)
+    if fewer is not None:
+        return spread(remove_repeats(fewer, id_col, text_col, n_bytes, hot_places, with_text, [*extra, "copies"], 1 << 62))
     n_bytes = text_bytes(df, text_col) if n_bytes is None else n_bytes
     blocks = block_count(n_bytes)
     bits = max(3, min(24, (n_bytes >> 21).bit_length()))

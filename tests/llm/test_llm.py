@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.llm import ann, bpe, components, langid, lm, minhash, packing, quality, secrets, sharding, suffixes
-from evidentia.llm.common import packed, remainder, slices, unpacked
+from evidentia.llm.common import packed, remainder, slices, spread, unpacked
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block long, digest string, label string, h long, r int, cell long, id string"
 
@@ -399,6 +399,18 @@ def test_near_duplicates(docs, family):
     assert [(r.component_id, r.kept) for r in got[None]] == [(None, True)] * 2 and len(got[5]) == 2
 
 
+def test_small_sets_are_found_exactly():
+    rng = np.random.default_rng(12)
+    for n in range(1, minhash.SMALL + 1):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+            b = np.unique(np.concatenate((rng.choice(a, rng.integers(1, n + 1), replace=False), rng.integers(0, 1 << 63, rng.integers(0, 9), np.uint64))))
+            both = len(np.intersect1d(a, b))
+            if len(b) <= minhash.SMALL and 100 * both >= 75 * (len(a) + len(b) - both):
+                assert np.intersect1d(minhash.prefix_keys(a, 75), minhash.prefix_keys(b, 75)).size
+    assert 100 * 33 >= 75 * (minhash.SMALL + 1)  # a set of more has partners of 33 or more
+
+
 def test_miss_rate_of_small_sets():
     rng = np.random.default_rng(3)
     for both, either in ((3, 4), (6, 8), (36, 48)):
@@ -469,11 +481,37 @@ def test_crf_decodes_and_learns():
     assert all(model.viterbi(a.astype(float) @ model.emit).mean() == k for a, k in zip(x, [0, 1] * 20, strict=True))
 
 
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(9)
+    seqs = [rng.random((n, quality.FEATURES)).astype(np.float32) for n in (1, 2, 3, 5, 9, 9)]
+    groups = quality._grouped(seqs, [0, 1, 1, 0, 1, 0])
+    assert sorted(m.shape for _, m, *_ in groups) == [(1, 1), (1, 2), (1, 3), (1, 5), (2, 9)]
+    params = [rng.standard_normal((quality.FEATURES, 2)), rng.standard_normal((2, 2)), rng.standard_normal(2)]
+    _, grads = quality.likelihood(groups, params)
+    for k, p in enumerate(params):
+        for at in list(np.ndindex(p.shape))[:8]:
+            up, down = [x.copy() for x in params], [x.copy() for x in params]
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert grads[k][at] == pytest.approx((quality.likelihood(groups, up)[0] - quality.likelihood(groups, down)[0]) / 2e-5, abs=1e-5)
+    # The value itself, against all labellings of a short sequence.
+    from itertools import product
+
+    one = quality._grouped([seqs[2]], [1])
+    e = seqs[2].astype(float) @ params[0]
+    score = lambda y: params[2][y[0]] + sum(e[i, c] for i, c in enumerate(y)) + sum(params[1][c, d] for c, d in zip(y, y[1:], strict=False))
+    weight = one[0][3][0]
+    assert quality.likelihood(one, params)[0] == pytest.approx(weight * (score((1, 1, 1)) - np.logaddexp.reduce([score(y) for y in product((0, 1), repeat=3)])))
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
-    r = quality.op7_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed")
-    got = {x.quality: x.kept for x in r.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
-    assert got[1] > 0.97 and got[0] < 0.1
+    docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
+    fold = remainder(F.col("doc_id"), 3) == 0
+    model = quality.train(docs, labels.where(~fold))
+    r = quality.judge_quality(docs, model).join(labels.where(fold), "doc_id").where("not base_failed")
+    got = {x.quality: (x.kept, x.n) for x in r.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()}
+    assert got[1][0] > 0.95 and got[0][0] < 0.15 and got[1][1] > 50
 
 
 # 8
@@ -492,6 +530,29 @@ def test_sharding(docs, shards, virtual, cells):
     assert all(r.size == len(texts[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in got if r.doc_id in texts)
 
 
+def test_equal_rows_travel_as_one(spark):
+    rows = [(1, "the same row again and again " * 6)] * 40 + [(None, "no id, and all of them alike, as alike as can be " * 4)] * 30 + [(i, f"another text of document {i} " * 5) for i in range(2, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    plain = lambda f, **how: sorted(map(str, f(df, **how).collect()))
+    for f in (suffixes.remove_repeats, lm.score_texts):
+        assert plain(f, many=3) == plain(f) and len(plain(f)) == len(rows)
+    got = sharding.shard_documents(df, shards=7, virtual=4, cells=64, many=3).collect()
+    assert collections.Counter((r.doc_id, r.size) for r in got) == collections.Counter((i, len(t) + 16) for i, t in rows)
+    per = collections.defaultdict(list)
+    for r in got:
+        per[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in per.values()) and sorted(map(len, per.values())) == [14] * 7
+    many = spark.createDataFrame([("x", 9001)], "a string, copies long")
+    assert spread(many).count() == 9001 and spread(many).columns == ["a"]
+
+
+def test_one_more_shard_moves_few_rows(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    at = lambda n: sharding.shard_documents(df, shards=n).select("doc_id", "shard")
+    moved = at(40).withColumnRenamed("shard", "before").join(at(41), "doc_id").where("before <> shard").count() / df.count()
+    assert 1 / 41 <= moved <= 2 / 41  # at least 1 / 41 must
+
+
 def test_sharding_is_the_queue_on_the_ring(spark):
     df = spark.range(300).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     shards, virtual, cells = 5, 6, 256
@@ -614,6 +675,50 @@ def test_language_id(spark, docs):
     assert many.families == ["germanic", "romance", "xx"] and len(many.pairs) == 4 and many.predict(["", "abc"])[0][0] == "und"
 
 
+def test_prediction_is_a_vote_of_pairs_within_the_family(spark):
+    rng = np.random.default_rng(3)
+    langs = ["en", "de", "nl", "fr", "es", "xx"]
+    names = sorted({langid.FAMILY.get(x, x) for x in langs})
+    members = {f: sorted(x for x in langs if langid.FAMILY.get(x, x) == f) for f in names}
+    w = lambda: rng.standard_normal(langid.DIM + 1)
+    pairs = [(a, b, w()) for f in names for i, a in enumerate(members[f]) for b in members[f][i + 1 :]]
+    model = langid.Model(names, members, [w() for _ in names], pairs)
+    texts = ["Some words", "ÄÖ and more", "x", "the quick brown fox " * 5, "日本語", *("".join(rng.choice(list("abc dé"), 40)) for _ in range(30))]
+
+    def margin(text, weights):
+        raw = b"  " + text.lower().encode() + b" "
+        count = collections.Counter(((raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16) * 2654435761 & 0xFFFFFFFF) >> 20 for i in range(len(raw) - 2))
+        return sum(n * weights[k] for k, n in count.items()) * langid.SCALE / (len(raw) - 2) + weights[-1]
+
+    sure = lambda m: 1 / (1 + math.exp(-2 * m))
+    got = zip(*model.predict(texts), strict=True)
+    for text, (lang, score) in zip(texts, got, strict=True):
+        p = [sure(margin(text, x)) for x in model.rest]
+        family = names[max(range(len(p)), key=p.__getitem__)]
+        votes, belief = collections.Counter(), collections.Counter()
+        for a, b, x in pairs:
+            if a in members[family]:
+                m = margin(text, x)
+                votes[a if m >= 0 else b] += 1
+                belief[a] += sure(m)
+                belief[b] += 1 - sure(m)
+        best = max(members[family], key=lambda x: (votes[x], belief[x]))
+        share = belief[best] / sum(belief.values()) if len(members[family]) > 1 else 1.0
+        assert lang == best and score == pytest.approx(max(p) / sum(p) * share, abs=1e-4)
+
+
+def test_svm_separates_as_its_objective_asks():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((120, 5)).astype(np.float32)
+    y = np.where(x @ [1, -2, 0.5, 0, 1] + 0.3 > 0, 1.0, -1.0)
+    w = langid.svm(x, y, epochs=1000)
+    ones = np.hstack([x, np.ones((len(x), 1))])
+    loss = lambda v: 0.5 * v @ v + 10 * (np.maximum(0, 1 - y * (ones @ v)) ** 2).sum()
+    assert (np.sign(ones @ w) == y).mean() > 0.97
+    for _ in range(50):  # no neighbour is better
+        assert loss(w) <= loss(w + rng.standard_normal(6) * 0.01) + 1e-6
+
+
 def test_remainder_of_null(spark):
     r = spark.createDataFrame([(None,), (10,)], "i long").select(remainder(F.col("i"), 5)).collect()
     assert r[0][0] is None and r[1][0] == zlib.crc32(b"10") % 5
