@@ -134,7 +134,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learns from a bounded sample of the labelled rows that are not held out, about as many of each language.
 
     The sample is drawn by a hash of the id against a share that the label counts give, so it is the same in every run;
-    at most sample rows, as vectors of fixed length, come to the driver.
+    at most sample rows, as vectors of fixed length, come to the driver. Of more languages than sample, those with the fewest
+    documents are not learned. An empty table, or one without languages, gives an empty model; null texts are not learned from.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang is not null and text is not null").where(remainder(F.col("id"), 5) != 0)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
@@ -154,7 +155,8 @@ def identify_language(df: DataFrame, model: Model | None = None, id_col: str = "
 
     Only the text is used for a prediction. Null texts and texts without a letter are 'und' with score 0, as is everything
     if there is nothing to learn from; ids may repeat or be null (null: not held out, not learned from); ties go to the
-    smaller label. A narrow map; the broadcast model has a fixed size.
+    smaller label. Texts of any length are read whole; an empty table gives an empty one; other columns are not read, whatever
+    their names. A narrow map; the broadcast model has a fixed size.
     """
     model = model or train(df, id_col, text_col, lang_col)
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -192,7 +192,8 @@ def _features(texts: list[str]):
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Crf | None:
     """Fits the model on a bounded sample of labelled documents; a line takes its document's label (quality) for its own.
 
-    The sample is drawn by a hash of the id, half of it of each label if there are enough. None if one label is missing.
+    The sample is drawn by a hash of the id, half of it of each label if there are enough. Documents of more than SAMPLE_LINES lines
+    are not learned from, so the model knows long documents only by lines like those of shorter ones. None if one label is missing.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
