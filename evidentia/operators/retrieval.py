@@ -21,7 +21,7 @@ MOST_QUERIES = 10_000
 
 def _sorted_terms(docs: DataFrame, text: str, *keep: str) -> tuple[DataFrame, Column]:
     """Each document's terms as a sorted array s, and s moved by one place. The generator has s evaluated once, not for each of its uses."""
-    rows = docs.select(*keep, F.explode(F.array(F.array_sort(tx.tokens(F.col(text))))).alias("s"))
+    rows = docs.select(*keep, F.explode(F.array(F.sort_array(tx.tokens(F.col(text))))).alias("s"))
     return rows, F.concat(F.array(F.lit(None).cast("string")), F.col("s"))
 
 
@@ -48,12 +48,13 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     """(query_id, key, score): BM25 over the greatest score of the query; documents without a term of it are left out.
 
     An inverted index joined on terms, so only documents that hold a term meet a query; repeated query terms count again.
-    Only the terms that the queries hold are ever shuffled, each once from a document. The greatest score of a query is an
+    Only the terms that the queries hold are ever shuffled. The greatest score of a query is an
     aggregate that is joined back, so no task holds all documents of a query.
     """
     asked = postings(queries, query_id, query).select(query_id, "term", F.col("tf").alias("times"))
     average = docs.agg(F.avg(F.size(tx.tokens(F.col(text)))).alias("avgdl"), F.count("*").alias("n"))
-    post = postings(docs, key, text).join(asked.select("term").distinct(), "term", "left_semi")
+    tokens = docs.select(key, F.explode(F.array(tx.tokens(F.col(text)))).alias("t")).select(key, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    post = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     joined = post.join(df, "term").join(asked, "term").join(F.broadcast(average))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
