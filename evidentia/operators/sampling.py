@@ -59,17 +59,18 @@ def shard(df: DataFrame, order: list[str], index: int, of: int) -> DataFrame:
 def ranked(df: DataFrame, order: list[str], on: Sequence[str] = (), cell_rows: int = CELL_ROWS) -> DataFrame:
     """Adds __rank, from 0 in the order (within each key of on), ranking in parallel within cells of the first order column.
 
-    The cells' bounds are quantiles of that column, read in a job before: some cell_rows rows to a cell, whatever its distribution.
+    The cells' bounds are quantiles of that column, read in jobs before: some cell_rows rows to a cell, whatever its distribution.
     Only cells' sizes, MOST_CELLS numbers for a key at most, are added up in one task. The column must be numeric or a time;
     equal values are in one cell, ranked by the other columns.
     """
     first = F.col(f"`{order[0]}`")
-    got = df.agg(F.count("*").alias("n"), F.percentile_approx(first, [(i + 1) / MOST_CELLS for i in range(MOST_CELLS - 1)], 10 * MOST_CELLS).alias("q")).first()
-    cells = max(1, min(MOST_CELLS, -(-got["n"] // cell_rows)))
-    step = MOST_CELLS / cells
-    cuts = sorted(set(got["q"][int(i * step) - 1] for i in range(1, cells))) if cells > 1 else []
+    cells = min(MOST_CELLS, -(-df.count() // cell_rows))
+    if cells <= 1:  # one cell: no bounds, no offsets
+        alone = Window.partitionBy(*[F.col(f"`{c}`") for c in on]) if on else Window.partitionBy(F.lit(0))
+        return df.withColumn("__rank", (F.row_number().over(alone.orderBy(*order)) - 1).cast("long"))
+    cuts = sorted(set(df.agg(F.percentile_approx(first, [i / cells for i in range(1, cells)], 10 * cells).alias("q")).first()["q"] or []))
     above = F.array(*[F.lit(c) for c in cuts])
-    at = F.coalesce(F.size(F.filter(above, lambda c: c <= first)), F.lit(0)) if cuts else F.lit(0)
+    at = F.size(F.filter(above, lambda c: c <= first)) if cuts else F.lit(0)
     coarse = df.withColumn("__cell", F.when(first.isNull(), -1).otherwise(at))
     keys = [*on, "__cell"]
     sizes = coarse.groupBy(*keys).agg(F.count("*").alias("__n"))
