@@ -139,7 +139,7 @@ t AS (SELECT user_id, s - 3000 AS a, e + 3000 AS b FROM h WHERE r = 1),
 d AS (SELECT user_id, lo, hi, a, b, greatest(0, lo // 86400000) AS d0, (hi - 1) // 86400000 AS d1 FROM b JOIN t USING (user_id)),
 m AS (SELECT *, d0 + (least(d1, 30) - d0 + 1) // 2 AS mid, greatest(0, least(hi, b) - greatest(lo, a))::DOUBLE / (greatest(hi, b) - least(lo, a)) AS iou FROM d),
 f AS (SELECT *, mid % 5 <> 0 AS seen FROM m)
-SELECT user_id::VARCHAR AS episode_id, 1 AS step, 'search' AS tool, -0.05 AS reward, NULL::DOUBLE AS iou FROM f
+SELECT user_id::VARCHAR AS episode_id, 1::BIGINT AS step, 'search' AS tool, -0.05 AS reward, NULL::DOUBLE AS iou FROM f
 UNION ALL SELECT user_id::VARCHAR, 2, 'inspect', CASE WHEN seen THEN 0 ELSE -0.05 END, NULL FROM f WHERE user_id % 2 = 0
 UNION ALL SELECT user_id::VARCHAR, 3, 'audit', CASE WHEN seen THEN 0.05 ELSE -0.05 END, NULL FROM f WHERE user_id % 2 = 0
 UNION ALL SELECT user_id::VARCHAR, 2, 'audit', -0.3, NULL FROM f WHERE user_id % 2 = 1
