@@ -38,11 +38,35 @@ def plan(sql: str):
     return add
 
 
-@plan(r"""WITH m AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS a,
-regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+') AS k, regexp_extract_all(coalesce(text, ''), '[0-9a-f]+') AS h FROM documents)
-SELECT doc_id, len(list_filter(a, lambda x: length(x) >= 6)) AS n_assign, len(list_filter(k, lambda x: length(x) >= 20)) AS n_access, len(list_filter(h, lambda x: length(x) >= 24)) AS n_hex FROM m""")
-def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+#: Kind, its place among kinds, pattern, group, and least length of the group; a maximal run of the least length is what a counted pattern finds.
+SECRETS = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {k} AS o, regexp_extract_all(x, '{pattern}', 0) AS f, regexp_extract_all(x, '{pattern}', {group}) AS v, string_split_regex(x, '{pattern}') AS g, {least} AS least FROM t"
+    for k, (kind, pattern, group, least) in enumerate((("assign", ASSIGN, 1, 6), ("access", "AKIA[A-Z0-9]{16,}", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24)))
+)
+
+
+@plan(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), m AS ({SECRETS}),
+i AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM m),
+s AS (SELECT doc_id, kind, o, list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda y: length(y))), 0) AS a, length(f[i]) AS n FROM i WHERE length(v[i]) >= least),
+d AS (SELECT doc_id, string_agg(concat(kind, ':', a::BIGINT, ':', (a + n)::BIGINT), ',' ORDER BY a, o) AS spans, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN d USING (doc_id)""")
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+#: Texts as two hexadecimal digits a byte, cut into parts of 1000 window starts, as a place far within a long string is slow to reach.
+ORACLE["op2_suffix_dedup"] = """WITH t AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+c AS (SELECT doc_id, k, substr(h, 2 * k + 1, 2198) AS p FROM (SELECT doc_id, h, unnest(range(0, greatest(strlen(h) // 2 - 99, 0), 1000)) AS k FROM t)),
+w AS (SELECT doc_id, k + i AS s, md5_number(substr(p, 2 * i + 1, 200)) AS m FROM (SELECT *, unnest(range(strlen(p) // 2 - 99)) AS i FROM c)),
+f AS (SELECT m, min((doc_id, s)) AS least FROM w GROUP BY 1 HAVING count(*) > 1),
+r AS (SELECT doc_id, s FROM w JOIN f USING (m) WHERE (doc_id, s) <> least),
+b AS (SELECT *, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, true) AS new FROM r),
+g AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM b),
+z AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS e FROM g GROUP BY doc_id, g),
+y AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM z),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS pieces, max(e) AS last, sum(e - a)::BIGINT AS removed, count(*) AS spans FROM y JOIN t USING (doc_id) GROUP BY 1)
+SELECT doc_id, strlen(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(pieces, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)"""
 
 
 @plan("SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents")
@@ -58,10 +82,20 @@ def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.op4_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
 
 
-@plan(f"""WITH t AS (SELECT doc_id, regexp_extract_all({LOWER}, {WORDS}) AS w FROM documents), g AS (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, least(1, len(w))))) AS i FROM t),
-s AS (SELECT doc_id, count(DISTINCT array_to_string(w[i:i + 4], ' ')) AS n FROM g GROUP BY 1) SELECT doc_id, coalesce(n, 0) AS n_shingles FROM documents LEFT JOIN s USING (doc_id)""")
-def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.op6_minhash(spark, sf_dir).select("doc_id", "n_shingles")
+ORACLE["op6_minhash"] = f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({LOWER}, {WORDS}) AS w FROM documents),
+g AS (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, least(1, len(w))))) AS i FROM t),
+s AS (SELECT DISTINCT doc_id, md5_number(array_to_string(w[i:i + 4], ' ')) AS h FROM g), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y USING (h) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * p.n >= 75 * (x.n + y.n - p.n)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.c = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id, n"""
+
+
+@plan("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(e, lambda y: y <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM x q JOIN x c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0 AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op5_ann(spark, sf_dir).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 @plan(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents),
@@ -74,11 +108,21 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op7_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-@plan("SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size FROM documents")
+#: crc32 of a text's bytes by the table of the 256 remainders, which is made from the polynomial.
+TABLE = "(SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY b) AS r FROM (SELECT unnest(range(256)) AS b))"
+
+
+@plan(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents)
+SELECT doc_id, len(b) + 16 AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, r[xor(c, x) % 256 + 1]))) AS text_crc32, 'rows' AS law FROM t, {TABLE}""")
 def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.op8_sharding(spark, sf_dir).select("doc_id", "size")
+    return sharding.op8_sharding(spark, sf_dir).select("doc_id", "size", "text_crc32", "law")
 
 
 @plan("WITH n AS (SELECT count(*) AS n FROM documents) SELECT s::INT AS shard, n // 40 + (s < n % 40)::BIGINT AS n, n // 40 + (s < n % 40)::BIGINT AS slots, n // 40 + (s < n % 40)::BIGINT - 1 AS last FROM n, (SELECT unnest(range(40)) AS s)")
 def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op8_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"))
+
+
+@plan(f"SELECT doc_id, {CRC.format('doc_id')} % 5 = 0 AS held_out, NOT regexp_matches(coalesce(text, ''), '\\pL') AS no_letter FROM documents")
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op10_language_id(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("no_letter"))
