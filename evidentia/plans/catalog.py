@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, search, timeline, training
+from . import assets, evaluation, search, timeline, training
 
-QUERIES = timeline.QUERIES | search.QUERIES | evaluation.QUERIES | training.QUERIES
-ORACLE = timeline.ORACLE | search.ORACLE | evaluation.ORACLE | training.ORACLE
+QUERIES = timeline.QUERIES | search.QUERIES | evaluation.QUERIES | training.QUERIES | assets.QUERIES
+ORACLE = timeline.ORACLE | search.ORACLE | evaluation.ORACLE | training.ORACLE | assets.ORACLE

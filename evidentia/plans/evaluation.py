@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import audits as au
 from ..operators import intervals as iv
 from ..operators import metrics as mx
+from ..operators import prompts as pr
 from ..operators import sampling as sp
 from ..operators import training as tr
 from ..sources import files as fs
@@ -263,7 +264,7 @@ SELECT k, len(list_intersect(a, b)) AS both, len(list_filter(a, lambda x: NOT li
 def set_operations(spark, sf_dir):
     s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set(F.col("l_suppkey") % 9).alias("a"), F.collect_set(F.col("l_partkey") % 9).alias("b"))
     n = lambda c: F.size(c).cast("long")
-    return s.select("k", n(F.array_intersect("a", "b")).alias("both"), n(F.array_except("a", "b")).alias("only_a"), n(F.array_union("a", "b")).alias("any"), (F.size(F.array_except("a", "b")) == 0).alias("subset"))
+    return s.select("k", n(F.array_intersect("a", "b")).alias("both"), n(F.array_except("a", "b")).alias("only_a"), n(F.array_union("a", "b")).alias("any"), pr.contained("a", "b").alias("subset"))
 
 
 @plan("""WITH f AS (SELECT l_orderkey AS k, l_suppkey % 4 AS v, min(l_linenumber) AS i FROM lineitem GROUP BY 1, 2)

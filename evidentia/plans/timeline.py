@@ -10,6 +10,7 @@ from ..functions import timecode as tc
 from ..operators import intervals as iv
 from ..operators import metrics as mx
 from ..operators import shots as sh
+from ..sources import subtitles as sb
 from .tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -241,5 +242,6 @@ def timecodes(spark, sf_dir):
 
 @plan("SELECT event_id, 'utt_' || lpad((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::VARCHAR, 4, '0') AS utterance_id FROM events")
 def utterance_ids(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.format_string("utt_%04d", F.row_number().over(w)).alias("utterance_id"))
+    e = table(spark, sf_dir, "events")
+    cues = e.select("user_id", F.struct("ts", "event_id").alias("cue"), F.lit(0).alias("start_ms"), F.lit(1).alias("end_ms"), F.col("event_id").alias("text"))
+    return sb.utterances(cues, ["user_id"]).select(F.col("text").alias("event_id"), "utterance_id")

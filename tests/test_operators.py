@@ -349,6 +349,9 @@ def test_registry(spark):
     got = {r.task_id: r for r in t.collect()}
     assert set(got) == {"t_001", "t_002", "t_003"} and got["t_001"].start_ms == 0 and got["t_001"].shot_ids == ["s0"] and got["t_002"].shot_ids == ["s1", "s2"]
     assert rg.dialogue_registry(u, s, "val", "w", spread=2).count() == 2
+    later = spark.createDataFrame([("w", "u0", 9000, 9500, "these are four words")], u.schema)
+    both = {r.video_id: r.shot_ids for r in rg.dialogue_registry(u.unionByName(later), s.unionByName(spark.createDataFrame([("w", "z", 8000, 12000)], s.schema)), "train", "t").where("task_id = 't_001'").collect()}
+    assert both == {"v": ["s0"], "w": ["z"]}  # one id in two videos
     r = rg.registry_report(t.unionByName(rg.dialogue_registry(u, s, "val", "w", spread=2))).first()
     assert r.videos == 1 and r.shared == {"train/val": 1} and r.splits["train"].tasks == 3
     raw = spark.createDataFrame([("q", "Find the Red car", [[1.5, 3.0]], [2, 1, 2]), ("r", "x", [], [1])], "qid string, query string, windows array<array<double>>, clips array<int>")
