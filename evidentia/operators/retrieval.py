@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..session import dealt
 
 
 #: Most query vectors that are held against all vectors at once.
@@ -21,7 +22,7 @@ MOST_QUERIES = 10_000
 
 def _sorted_terms(docs: DataFrame, text: str, *keep: str) -> tuple[DataFrame, Column]:
     """Each document's terms as a sorted array s, and s moved by one place. The generator has s evaluated once, not for each of its uses."""
-    rows = docs.select(*keep, F.explode(F.array(F.sort_array(tx.tokens(F.col(text))))).alias("s"))
+    rows = dealt(docs.select(*keep, text)).select(*keep, F.explode(F.array(F.sort_array(tx.tokens(F.col(text))))).alias("s"))
     return rows, F.concat(F.array(F.lit(None).cast("string")), F.col("s"))
 
 
@@ -52,6 +53,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     aggregate that is joined back, so no task holds all documents of a query.
     """
     asked = postings(queries, query_id, query).select(query_id, "term", F.col("tf").alias("times"))
+    docs = dealt(docs.select(key, text))
     average = docs.agg(F.avg(F.size(tx.tokens(F.col(text)))).alias("avgdl"), F.count("*").alias("n"))
     tokens = docs.select(key, F.explode(F.array(tx.tokens(F.col(text)))).alias("t")).select(key, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
     post = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))

@@ -32,6 +32,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes a core, as the plan's statistics have them, below which a table is dealt out; file scans make no smaller splits by themselves.
+LEAST_SPLIT = 4 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table over all cores, for work that costs far more than moving its rows; any other as it is.
+
+    Small tables mostly lie in one row group, which is one task however many cores there are. What moves is LEAST_SPLIT a core
+    at most; a larger table has splits enough, and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * LEAST_SPLIT else df
+
+
 def local_session(cores: int = 8, shuffle_partitions: int | None = None, name: str = "evidentia") -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the submitted configuration decides."""
     return (
