@@ -32,8 +32,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Bytes a core, as the plan's statistics have them, below which a table is dealt out; file scans make no smaller splits by themselves.
-LEAST_SPLIT = 4 << 20
+#: Bytes a core, as the plan's statistics have them, below which a table is dealt out.
+LEAST_SPLIT = 1 << 20
 
 
 def dealt(df: DataFrame) -> DataFrame:
