@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import new_path, shared_folder
+from ..session import dealt, new_path, shared_folder
 
 #: Bytes of text that a Python worker takes at once.
 SLICE_BYTES = 1 << 20
@@ -130,7 +130,7 @@ def slices(sizes: Sequence[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int
 
 
 def per_document(df: DataFrame, id_col: str, text_col: str, out: str, fn: Callable[[list[str]], Sequence], extra: Sequence[str] = ()) -> DataFrame:
-    """Narrow map: the id, the columns in extra and what fn makes of a slice of texts (null: empty), as columns of the DDL in out.
+    """Narrow map (a small table is dealt over all cores before): the id, the columns in extra and what fn makes of a slice of texts (null: empty), as columns of the DDL in out.
 
     Other columns of df are pruned before the scan, so their names cannot clash.
     """
@@ -151,7 +151,7 @@ def per_document(df: DataFrame, id_col: str, text_col: str, out: str, fn: Callab
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a).cast(arrow.field(i).type) for i in range(k)] + [pa.array(c, arrow.field(k + i).type) for i, c in enumerate(cols)], schema=arrow)
             pa.default_memory_pool().release_unused()
 
-    return df.select(*[F.col(f"`{c}`") for c in (id_col, *extra)], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return dealt(df.select(*[F.col(f"`{c}`") for c in (id_col, *extra)], F.col(f"`{text_col}`").cast("string").alias("__text"))).mapInArrow(run, schema)
 
 
 def text_sizes(column: pa.Array) -> list[int]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import documents, encoding, shared_checkpoint, slices, prepare, text_sizes, tokenizer_path
+from .common import dealt, documents, encoding, shared_checkpoint, slices, prepare, text_sizes, tokenizer_path
 
 CAPACITY = 2048
 SALTS = 256
@@ -75,7 +75,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())).cast(arrow.field(0).type), *(pa.array(c, arrow.field(k + 1).type) for k, c in enumerate(cols))], schema=arrow)
 
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return dealt(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"))).mapInArrow(run, schema)
 
 
 class Tightest:
