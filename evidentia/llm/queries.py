@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, lm, minhash, packing, quality, secrets, sharding, suffixes
+from . import ann, bpe, langid, lm, minhash, negatives, packing, quality, secrets, sharding, suffixes, variants, vectordups
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_packing": packing.op9_packing,
     "op10_language_id": langid.op10_language_id,
+    "op11_vector_dups": vectordups.op11_vector_dups,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_spelling_variants": variants.op13_spelling_variants,
 }
 
 #: The columns of those results that SQL can express, by the same operators over the same whole tables. For the rest Python does what
@@ -126,3 +129,27 @@ def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan(f"SELECT doc_id, {CRC.format('doc_id')} % 5 = 0 AS held_out, NOT regexp_matches(coalesce(text, ''), '\\pL') AS no_letter FROM documents")
 def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10_language_id(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("no_letter"))
+
+
+#: Vectors without null, infinite or missing components; for links also not zero.
+FINITE = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda y: y IS NULL OR NOT isfinite(y))) = 0)"
+ORACLE["op11_vector_dups"] = f"""WITH RECURSIVE {FINITE}, u AS (SELECT * FROM x WHERE len(list_filter(e, lambda y: y <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.c = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM r LEFT JOIN n ON a = vec_id GROUP BY vec_id, n"""
+ORACLE["op12_hard_negatives"] = f"""WITH {FINITE}, w AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(e, lambda y: floor(256 * y)) AS e FROM x WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.e, c.e)::BIGINT AS s FROM w a JOIN w c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.*, vec_id AS negative_id, s AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id)::INT AS rank FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+ORACLE["op13_spelling_variants"] = rf"""WITH RECURSIVE d AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-z\x{{00C0}}-\x{{00FF}}]{{6,}}')) AS w FROM documents) GROUP BY 1, 2),
+b AS (SELECT w, n, length(w) AS l, list_transform(regexp_extract_all(hex(concat(doc_id, ':', w)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM d),
+h AS (SELECT w, n, l, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, r[xor(c, x) % 256 + 1]))) AS h FROM b, {TABLE}),
+x AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % l)::BIGINT) || substr(w, (h % l)::BIGINT + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM x WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+k AS (SELECT *, substr(word, 1, i - 1) || substr(word, i + 1) AS r FROM (SELECT word, length(word) AS l, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near FROM k a JOIN k b ON a.r = b.r AND a.i = b.i AND a.l = b.l AND a.word <> b.word UNION SELECT k.word, v.word FROM k JOIN v ON r = v.word UNION SELECT v.word, k.word FROM k JOIN v ON r = v.word),
+q AS (SELECT p.word, count(*) AS n_near, first(near ORDER BY v.n DESC, near) AS best, max(v.n) AS best_n FROM p JOIN v ON near = v.word GROUP BY 1),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM v LEFT JOIN q USING (word)),
+z AS (SELECT word, word AS root FROM f UNION ALL SELECT z.word, f.form FROM z JOIN f ON z.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, z.root, f.n, f.n_near, f.form_n FROM f JOIN z ON f.word = z.word JOIN f e ON e.word = z.root WHERE e.form IS NULL"""

@@ -22,11 +22,11 @@ def folder(spark, tmp_path_factory):
     rows = [(i, t, "en" if i % 2 else "de", f"s{i % 3}", len(t or "")) for i, t in enumerate(TEXTS)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(len(TEXTS))], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    spark.createDataFrame([(i, [float(i), 1.0]) for i in range(101)], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(i, [float(i), 1.0], i % 3) for i in range(101)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     return str(d)
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op5_ann", "nearest_vectors", "op9_packing")])
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op5_ann", "nearest_vectors", "op9_packing", "op11_vector_dups", "op12_hard_negatives", "op13_spelling_variants")])
 def test_queries(spark, folder, name):
     got = {r[0]: r for r in queries.QUERIES[name](spark, folder).collect()}
     assert sorted(got) == list(range(len(TEXTS)))
@@ -46,6 +46,13 @@ def test_queries(spark, folder, name):
 
 def test_neighbours(spark, folder):
     assert queries.QUERIES["op5_ann"](spark, folder).count() == 15
+    assert queries.QUERIES["op11_vector_dups"](spark, folder).count() == 101
+    assert {r.anchor_id for r in queries.QUERIES["op12_hard_negatives"](spark, folder).collect()} <= {0, 100}
+
+
+def test_words(spark, folder):
+    got = {r.word for r in queries.QUERIES["op13_spelling_variants"](spark, folder).collect()}
+    assert "document" in got or len(got) > 1000
 
 
 def test_packing_and_pipeline(spark, folder):
