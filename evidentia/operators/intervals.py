@@ -19,66 +19,80 @@ def touches(s: Column, e: Column, s2: Column, e2: Column) -> Column:
     return (e > s2) & (s < e2)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: list[str], span: int | None = None, how: str = "left") -> DataFrame:
-    """left and right rows of one timeline (columns on, start_ms, end_ms) that share a stretch, with its bounds.
+#: Lengths of class k are up to 2 ** (GROWTH * k) milliseconds, which is also the width of its bins; no length is beyond class CLASSES - 1.
+GROWTH, CLASSES = 2, 32
+
+
+def length_class(start: Column, end: Column) -> Column:
+    """The least class whose bins are as wide as the interval is long: it is in two of them at most. An empty interval is of class 0."""
+    return F.when(end - start > 1, F.ceil(F.length(F.bin((end - start - 1).cast("long"))) / GROWTH)).otherwise(0).cast("int")
+
+
+def _shift(x: Column, k: Column) -> Column:
+    return F.call_function("shiftright", x.cast("long"), (k * GROWTH).cast("int"))
+
+
+def binned(df: DataFrame, other: DataFrame, start: str, end: str, first: bool, other_start: str, other_end: str) -> DataFrame:
+    """Adds __bin (side, class, number) to each copy of an interval: one in each bin of its own class that it is in, where shorter ones of the
+    other side come to meet it, and one in each of those of the wider classes that the other side has, where it meets longer ones.
+
+    So a row has two copies for each of CLASSES classes at most, mostly few, as only classes that are there count: they are one row, an aggregate of the
+    other side's lengths. first: intervals of one class meet in the bins of this side. A null bound is in no bin.
+    """
+    there = other.agg(F.coalesce(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), length_class(F.col(other_start), F.col(other_end)))), F.lit(0).cast("long")).alias("__classes"))
+    s, e, own = F.col(start), F.col(end), length_class(F.col(start), F.col(end))
+    wider = F.filter(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: ((k > own) if first else (k >= own)) & (F.call_function("shiftright", F.col("__classes"), k).bitwiseAND(1) == 1))
+    at = lambda side, k: F.transform(F.sequence(_shift(s, k), _shift(F.greatest(s, e - 1), k)), lambda n: F.struct(F.lit(side).alias("side"), k.alias("k"), n.alias("n")))
+    bins = F.concat(at(first, own), F.flatten(F.transform(wider, lambda k: at(not first, k))))
+    return df.join(F.broadcast(there)).withColumn("__bin", F.explode(F.when(s.isNotNull() & e.isNotNull(), bins))).drop("__classes")
+
 
-    The keys join; the overlap filters. For long timelines give span: both sides are also dealt to stretches of that many
-    milliseconds, so that a timeline with very many rows is joined in many tasks and in less than the product of its sides;
-    a pair is kept in the first stretch that both touch. Columns of right but the keys are returned as right_<name>. Left rows
-    without a match come back by an anti-join on all of left's columns.
+def _meet(left: DataFrame, right: DataFrame, on: list[str], hit: Column) -> DataFrame:
+    """Pairs of left and right rows (right's other columns as right_<name>) of one timeline for which hit holds, each once.
+
+    Two intervals meet in the bins of the longer one's class, in the first that both are in. Bins are part of the join key, so one timeline
+    with very many rows is joined in many tasks, and an interval is held only against those within a few of its own or their lengths.
     """
     r = right.select(*on, *[F.col(c).alias(f"right_{c}") for c in right.columns if c not in on])
-    hit = shared(F.col("start_ms"), F.col("end_ms"), F.col("right_start_ms"), F.col("right_end_ms"))
+    a = binned(left, r, "start_ms", "end_ms", True, "right_start_ms", "right_end_ms").alias("l")
+    b = binned(r, left, "right_start_ms", "right_end_ms", False, "start_ms", "end_ms").alias("r")
+    first = _shift(F.greatest("start_ms", "right_start_ms"), F.col("l.__bin.k")) == F.col("l.__bin.n")
+    joined = a.join(b, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [F.col(f"l.__bin.{c}") == F.col(f"r.__bin.{c}") for c in ("side", "k", "n")] + [hit, first])
+    return joined.select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in r.columns if c not in on])
+
+
+def overlap_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """left and right rows of one timeline (columns on, start_ms, end_ms) that share a stretch, with its bounds.
+
+    Joined through bins by classes of length (binned), whatever the lengths. Columns of right but the keys are returned as right_<name>. Left
+    rows without a match come back by an anti-join on all of left's columns.
+    """
+    joined = _meet(left, right, on, shared(F.col("start_ms"), F.col("end_ms"), F.col("right_start_ms"), F.col("right_end_ms")))
+    if how == "left":
+        none = left.join(joined.select(*left.columns).distinct(), [left[c].eqNullSafe(joined[c]) for c in left.columns], "left_anti")
+        joined = joined.unionByName(none, allowMissingColumns=True)
     bounds = {"overlap_start_ms": F.greatest("start_ms", "right_start_ms"), "overlap_end_ms": F.least("end_ms", "right_end_ms")}
-    if span is None:
-        joined = left.alias("l").join(r.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [hit], how)
-        joined = joined.select("l.*", *[f"r.{c}" for c in r.columns if c not in on])
-    else:
-        cell = lambda s, e: F.explode(cells(F.col(s), F.col(e), span))
-        inner = left.withColumn("__cell", cell("start_ms", "end_ms")).alias("l").join(
-            r.withColumn("__cell", cell("right_start_ms", "right_end_ms")).alias("r"),
-            [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*on, "__cell"]] + [hit, F.floor(F.greatest("start_ms", "right_start_ms") / span) == F.col("l.__cell")],
-        )
-        inner = inner.select(*[F.col(f"l.{c}") for c in left.columns], *[f"r.{c}" for c in r.columns if c not in on])
-        if how == "left":
-            none = left.join(inner.select(*left.columns).distinct(), [left[c].eqNullSafe(inner[c]) for c in left.columns], "left_anti")
-            inner = inner.unionByName(none, allowMissingColumns=True)
-        joined = inner
     joined = joined.withColumns({k: F.when(F.col("right_start_ms").isNotNull(), v) for k, v in bounds.items()})
     return joined.withColumn("overlap_ms", F.col("overlap_end_ms") - F.col("overlap_start_ms"))
 
 
-def cells(start: Column, end: Column, span: int) -> Column:
-    """Numbers of the stretches of span milliseconds that an interval is in; an empty one is in that of its start."""
-    return F.sequence(F.floor(start / span), F.floor(F.greatest(start, end - 1) / span))
-
-
-def touch_join(left: DataFrame, right: DataFrame, on: list[str], span: int) -> DataFrame:
-    """Pairs of left and right rows (right's other columns as right_<name>) of one timeline that touch, each once, joined by stretches of span milliseconds."""
-    r = right.select(*on, *[F.col(c).alias(f"right_{c}") for c in right.columns if c not in on])
-    a = left.withColumn("__cell", F.explode(cells(F.col("start_ms"), F.col("end_ms"), span))).alias("l")
-    b = r.withColumn("__cell", F.explode(cells(F.col("right_start_ms"), F.col("right_end_ms"), span))).alias("r")
-    hit = touches(F.col("start_ms"), F.col("end_ms"), F.col("right_start_ms"), F.col("right_end_ms"))
-    first = F.floor(F.greatest("start_ms", "right_start_ms") / span) == F.col("l.__cell")
-    joined = a.join(b, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*on, "__cell"]] + [hit, first])
-    return joined.select(*[F.col(f"l.{c}") for c in left.columns], *[f"r.{c}" for c in r.columns if c not in on])
+def touch_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of left and right rows (right's other columns as right_<name>) of one timeline that touch, each once; through bins by classes of length."""
+    return _meet(left, right, on, touches(F.col("start_ms"), F.col("end_ms"), F.col("right_start_ms"), F.col("right_end_ms")))
 
 
-def window_semi(units: DataFrame, windows: DataFrame, on: list[str], span: int | None = None) -> DataFrame:
-    """Units that touch a window (start_ms, end_ms) of their timeline; an empty unit inside counts. span: as for overlap_join."""
-    if span is not None:
-        hit = touch_join(units, windows.select(*on, "start_ms", "end_ms"), on, span).select(*units.columns).distinct()
-        return units.join(hit, [units[c].eqNullSafe(hit[c]) for c in units.columns], "left_semi")
-    w = windows.select(*on, F.col("start_ms").alias("__a"), F.col("end_ms").alias("__b"))
-    return units.alias("u").join(w.alias("w"), [F.col(f"u.{c}") == F.col(f"w.{c}") for c in on] + [touches(F.col("start_ms"), F.col("end_ms"), F.col("__a"), F.col("__b"))], "left_semi")
+def window_semi(units: DataFrame, windows: DataFrame, on: list[str]) -> DataFrame:
+    """Units that touch a window (start_ms, end_ms) of their timeline; an empty unit inside counts."""
+    hit = touch_join(units, windows.select(*on, "start_ms", "end_ms"), on).select(*units.columns).distinct()
+    return units.join(hit, [units[c].eqNullSafe(hit[c]) for c in units.columns], "left_semi")
 
 
-def evidence_units(shots: DataFrame, utterances: DataFrame, span: int | None = None) -> DataFrame:
+def evidence_units(shots: DataFrame, utterances: DataFrame) -> DataFrame:
     """Shots with the utterances that they share time with, in order: refs, transcript, has_dialogue.
 
-    shots: video_id, shot_id, start_ms, end_ms; utterances: video_id, utterance_id, start_ms, end_ms, text. span: as for overlap_join.
+    shots: video_id, shot_id, start_ms, end_ms; utterances: video_id, utterance_id, start_ms, end_ms, text.
     """
-    joined = overlap_join(shots, utterances, ["video_id"], span)
+    joined = overlap_join(shots, utterances, ["video_id"])
     ref = F.when(
         F.col("right_utterance_id").isNotNull(),
         F.struct(F.col("right_start_ms").alias("at"), F.col("right_utterance_id").alias("utterance_id"), "overlap_start_ms", "overlap_end_ms", "overlap_ms", F.col("right_text").alias("text")),

@@ -12,9 +12,9 @@ from . import sampling as sp
 from . import training as tr
 
 
-def grounded(tasks: DataFrame, units: DataFrame, span: int = 60_000) -> DataFrame:
-    """Adds shot_ids: the shots of a task's video that touch its interval, in order of time; none is an empty array. Joined by stretches of span milliseconds."""
-    hit = iv.touch_join(tasks.select("task_id", "video_id", "start_ms", "end_ms"), units.select("video_id", "shot_id", "start_ms", "end_ms"), ["video_id"], span)
+def grounded(tasks: DataFrame, units: DataFrame) -> DataFrame:
+    """Adds shot_ids: the shots of a task's video that touch its interval, in order of time; none is an empty array."""
+    hit = iv.touch_join(tasks.select("task_id", "video_id", "start_ms", "end_ms"), units.select("video_id", "shot_id", "start_ms", "end_ms"), ["video_id"])
     shots = hit.groupBy("video_id", "task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("right_start_ms", "right_shot_id"))), lambda x: x["right_shot_id"]).alias("shot_ids"))
     return tasks.join(shots, ["video_id", "task_id"], "left").withColumn("shot_ids", F.coalesce("shot_ids", F.array().cast("array<string>")))
 

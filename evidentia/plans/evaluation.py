@@ -308,8 +308,7 @@ def _media(o, n, fault):
     utts = n.where("pos % 3 = 0").select(F.format_string("utt_%08d", "pos").alias("utterance_id"), (F.col("pos") * 1000 + 250).alias("start_ms"), F.least(total, F.col("pos") * 1000 + 1750).alias("end_ms"))
     tl = shots.select(F.lit("v").alias("video_id"), "pos", "shot_id", (F.col("pos") * 1000).alias("start_ms"), ((F.col("pos") + 1) * 1000).alias("end_ms"), "keyframe_path")
     near = utts.select(F.lit("v").alias("video_id"), "utterance_id", "start_ms", "end_ms")
-    # One long timeline: joined by stretches of it.
-    joined = iv.overlap_join(tl, near, ["video_id"], span=64_000)
+    joined = iv.overlap_join(tl, near, ["video_id"])
     refs = joined.groupBy("pos", "shot_id", "start_ms", "end_ms", "keyframe_path").agg(F.collect_list(F.when(F.col("right_utterance_id").isNotNull(), F.struct(F.col("right_utterance_id").alias("utterance_id"), "overlap_start_ms", "overlap_end_ms", "overlap_ms"))).alias("utterance_refs"))
     frames = shots.select("pos", F.col("keyframe_path").alias("path"))
     if fault == "gap":

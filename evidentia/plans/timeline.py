@@ -127,7 +127,7 @@ SELECT a.event_id, b.event_id AS right_event_id, least(a.end_ms, b.end_ms) - gre
 FROM (SELECT * FROM wide WHERE event_type = 'view') a JOIN (SELECT * FROM wide WHERE event_type = 'click') b ON a.user_id = b.user_id AND greatest(a.start_ms, b.start_ms) < least(a.end_ms, b.end_ms)""")
 def interval_overlap_bucketed(spark, sf_dir):
     ev = spans(spark, sf_dir).select("user_id", "event_id", "event_type", (F.col("start_ms") - 1_800_000).alias("start_ms"), (F.col("end_ms") + 1_800_000).alias("end_ms"))
-    joined = iv.overlap_join(ev.where("event_type = 'view'"), ev.where("event_type = 'click'"), ["user_id"], span=3_600_000, how="inner")
+    joined = iv.overlap_join(ev.where("event_type = 'view'"), ev.where("event_type = 'click'"), ["user_id"], how="inner")
     return joined.select("event_id", "right_event_id", "overlap_ms")
 
 
