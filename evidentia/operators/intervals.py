@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import quantiles
+from .sampling import CELL_ROWS, ranked
+from .scans import CHUNK, beside, running
+
 
 def shared(s: Column, e: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(s, s2) < F.least(e, e2)
@@ -110,8 +114,9 @@ def alignment_summary(units: DataFrame, utterances: DataFrame) -> DataFrame:
     """Counts per video: shots, links, shots with dialogue, links per shot (max, median), utterances over several shots, unlinked."""
     per_shot = units.groupBy("video_id").agg(
         F.count("*").alias("shots"), F.sum(F.size("utterance_refs")).cast("long").alias("links"), F.sum(F.col("has_dialogue").cast("long")).alias("with_dialogue"),
-        F.max(F.size("utterance_refs")).cast("long").alias("most"), F.percentile(F.size("utterance_refs").cast("double"), F.lit(0.5)).alias("median"),
+        F.max(F.size("utterance_refs")).cast("long").alias("most"),
     )
+    per_shot = per_shot.join(quantiles(units.select("video_id", F.size("utterance_refs").alias("k")), ["video_id"], "k", 0.5, "median"), "video_id")
     links = units.select("video_id", F.explode("utterance_refs.utterance_id").alias("utterance_id")).groupBy("video_id", "utterance_id").agg(F.count("*").alias("n"))
     per_utterance = utterances.join(links, ["video_id", "utterance_id"], "left").groupBy("video_id").agg(
         F.count("*").alias("utterances"), F.sum((F.col("n") > 1).cast("long")).alias("crossing"), F.sum(F.col("n").isNull().cast("long")).alias("unlinked")
@@ -152,11 +157,11 @@ def hull_iou(s: Column, e: Column, s2: Column, e2: Column) -> Column:
     return F.when(hull > 0, F.greatest(F.lit(0), F.least(e, e2) - F.greatest(s, s2)) / hull).otherwise(0.0)
 
 
-def sessionize(df: DataFrame, on: list[str], gap_ms: int, order: list[str]) -> DataFrame:
-    """Adds session: a row begins a new one if it starts more than gap_ms after the end of the row before."""
-    w = Window.partitionBy(*on).orderBy(*order)
-    new = F.coalesce((F.col("start_ms") - F.lag("end_ms").over(w) > gap_ms).cast("long"), F.lit(0))
-    return df.withColumn("__new", new).withColumn("session", F.sum("__new").over(w)).drop("__new")
+def sessionize(df: DataFrame, on: list[str], gap_ms: int, order: list[str], cell_rows: int = CELL_ROWS, chunk: int = CHUNK) -> DataFrame:
+    """Adds session: a row begins a new one if it starts more than gap_ms after the end of the row before. A key's rows are ranked and scanned in chunks."""
+    placed = ranked(df, order, on, cell_rows)
+    new = lambda w: {"__new": F.coalesce((F.col("start_ms") - F.lag("end_ms").over(w) > gap_ms).cast("long"), F.lit(0))}
+    return running(beside(placed, on, "__rank", 1, 0, new, chunk), on, "__rank", {"session": F.col("__new")}, chunk).drop("__new", "__rank")
 
 
 def best_session(df: DataFrame, on: list[str], score: str = "score") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import quantiles
+
 
 def retrieval_metrics(df: DataFrame, on: list[str], iou: str = "iou") -> DataFrame:
     """Mean IoU and shares at or above 0.3, 0.5 and 0.7, six places."""
@@ -77,4 +79,8 @@ def saliency(scores: Column, wanted: Column) -> Column:
 
 
 def duration_stats(df: DataFrame, on: list[str], value: str) -> DataFrame:
-    return df.groupBy(*on).agg(F.min(value).alias("least"), F.percentile(value, F.lit(0.5)).alias("median"), F.avg(value).alias("mean"), F.max(value).alias("most"))
+    """Least, exact median, mean and greatest of a number per key; null for a key of nulls only."""
+    plain = df.groupBy(*on).agg(F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("most"))
+    middle = quantiles(df, on, value, 0.5, "median")
+    same = [F.col(f"p.`{c}`").eqNullSafe(F.col(f"m.`{c}`")) for c in on]
+    return plain.alias("p").join(middle.alias("m"), same, "left").select(*[F.col(f"p.`{c}`") for c in on], "least", "median", "mean", "most")

@@ -10,11 +10,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import checkpointed
 
-#: Rows of a cell that one task ranks, and the most cells of a table.
-CELL_ROWS, MOST_CELLS = 1 << 20, 1 << 10
+
+#: Rows that one task ranks, and bits of a row's place in its partition in monotonically_increasing_id.
+CELL_ROWS, PLACE_BITS = 1 << 20, 33
 
 
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -49,7 +52,7 @@ def mixture(df: DataFrame, key: str, share: int, seed: int = 42) -> DataFrame:
 def shard(df: DataFrame, order: list[str], index: int, of: int) -> DataFrame:
     """Rows index, index + of, ... of the whole order.
 
-    The rank comes from ranked(): ranks within cells and the cells' offsets, so no task sees all rows.
+    The rank comes from ranked(): places within range partitions and their offsets, so no task sees all rows.
     """
     if not 0 <= index < of:
         raise ValueError(f"not a shard: {index} of {of}")
@@ -57,28 +60,30 @@ def shard(df: DataFrame, order: list[str], index: int, of: int) -> DataFrame:
 
 
 def ranked(df: DataFrame, order: list[str], on: Sequence[str] = (), cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Adds __rank, from 0 in the order (within each key of on), ranking in parallel within cells of the first order column.
+    """Adds __rank, from 0 in the order (nulls first), within each key of on if given; columns of any type that can be sorted.
 
-    The cells' bounds are quantiles of that column, read in jobs before: some cell_rows rows to a cell, whatever its distribution.
-    Only cells' sizes, MOST_CELLS numbers for a key at most, are added up in one task. The column must be numeric or a time;
-    equal values are in one cell, ranked by the other columns.
+    A table of more than cell_rows rows is range-partitioned by the whole order (bounds from a sample, ties parted by a hash of
+    the other columns), sorted within partitions of some cell_rows rows and written out; a row's rank is its place in its partition and the sizes of those
+    before. So no task holds more than a partition, whatever the first column is like; only rows that are equal in all columns stay together.
     """
-    first = F.col(f"`{order[0]}`")
-    cells = min(MOST_CELLS, -(-df.count() // cell_rows))
-    if cells <= 1:  # one cell: no bounds, no offsets
-        alone = Window.partitionBy(*[F.col(f"`{c}`") for c in on]) if on else Window.partitionBy(F.lit(0))
-        return df.withColumn("__rank", (F.row_number().over(alone.orderBy(*order)) - 1).cast("long"))
-    cuts = sorted(set(df.agg(F.percentile_approx(first, [i / cells for i in range(1, cells)], 10 * cells).alias("q")).first()["q"] or []))
-    above = F.array(*[F.lit(c) for c in cuts])
-    at = F.size(F.filter(above, lambda c: c <= first)) if cuts else F.lit(0)
-    coarse = df.withColumn("__cell", F.when(first.isNull(), -1).otherwise(at))
-    keys = [*on, "__cell"]
-    sizes = coarse.groupBy(*keys).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*[F.col(f"`{c}`") for c in on]) if on else Window.partitionBy(F.lit(0))
-    before = sizes.select(*keys, F.coalesce(F.sum("__n").over(w.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = coarse.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    same = [F.col(f"i.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in keys]
-    return inside.alias("i").join(before.alias("b"), same).select(*[F.col(f"i.`{c}`") for c in df.columns], (F.col("__before") + F.col("__rn")).alias("__rank"))
+    by = [F.col(f"`{c}`") for c in (*on, *order)]
+    keys = [F.col(f"`{c}`") for c in on]
+    cells = -(-df.count() // cell_rows)
+    if cells <= 1:
+        alone = Window.partitionBy(*keys) if on else Window.partitionBy(F.lit(0))
+        return df.withColumn("__rank", (F.row_number().over(alone.orderBy(*[F.col(f"`{c}`") for c in order])) - 1).cast("long"))
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    sorted_ = df.withColumn("__tie", tie).repartitionByRange(cells, *by, "__tie").sortWithinPartitions(*by, "__tie").drop("__tie")
+    placed = checkpointed(sorted_.withColumn("__id", F.monotonically_increasing_id()))  # the partition above PLACE_BITS bits of the place in it
+    placed = placed.withColumn("__part", F.shiftright("__id", PLACE_BITS))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row a partition
+    whole = placed.join(before, "__part").withColumn("__rank", F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
+    if on:
+        first = whole.groupBy(*keys).agg(F.min("__rank").alias("__first"))
+        same = [F.col(f"w.`{c}`").eqNullSafe(F.col(f"f.`{c}`")) for c in on]
+        whole = whole.alias("w").join(first.alias("f"), same).select("w.*", "f.__first").withColumn("__rank", F.col("__rank") - F.col("__first"))
+    return whole.select(*[F.col(f"`{c}`") for c in df.columns], "__rank")
 
 
 def chosen_tasks(requests: DataFrame, pools: list[tuple[str, DataFrame, int]], key: str = "request_id", seed: int = 42) -> DataFrame:

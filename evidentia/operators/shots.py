@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpointed
+from . import quantiles as qt
+from . import scans as sc
+
 
 def build_shots(boundaries: DataFrame, durations: DataFrame, on: str = "video_id") -> DataFrame:
     """Contiguous shots from transitions (on, seq, time_s, score) and lengths (on, duration_s).
@@ -25,31 +29,48 @@ def build_shots(boundaries: DataFrame, durations: DataFrame, on: str = "video_id
     )
 
 
-def smoothed(series: DataFrame, on: str = "series", at: str = "clip", score: str = "score") -> DataFrame:
-    """Adds sm, the mean of five neighbours with zeros beyond the ends (always a fifth of the sum), and n, the series' length."""
-    w = Window.partitionBy(on).orderBy(at).rowsBetween(-2, 2)
-    return series.withColumn("sm", F.sum(score).over(w) / 5).withColumn("n", F.count("*").over(Window.partitionBy(on)))
+def smoothed(series: DataFrame, on: str = "series", at: str = "clip", score: str = "score", chunk: int = sc.CHUNK) -> DataFrame:
+    """Adds sm, the mean of five neighbours with zeros beyond the ends (always a fifth of the sum). at: places from 0 without gaps."""
+    return sc.beside(series, [on], at, 2, 2, lambda w: {"sm": F.sum(score).over(w.rowsBetween(-2, 2)) / 5}, chunk)
+
+
+def limits(sm: DataFrame, on: str = "series") -> DataFrame:
+    """(on, limit, top, n): max(72 % quantile, 0.52 * maximum) of the smoothed scores, their maximum and number."""
+    most = sm.groupBy(on).agg(F.max("sm").alias("top"), F.count("*").alias("n"))
+    return most.join(qt.quantiles(sm, [on], "sm", 0.72), on).select(on, F.greatest("quantile", 0.52 * F.col("top")).alias("limit"), "top", "n")
+
 
+#: Clips that a run is widened by on either side; runs that then meet are one.
+WIDENED = 2
 
-def proposals(series: DataFrame, on: str = "series", at: str = "clip", score: str = "score", clip_ms: int = 2000, limit: int = 3) -> DataFrame:
+
+def proposals(series: DataFrame, on: str = "series", at: str = "clip", score: str = "score", clip_ms: int = 2000, limit: int = 3, chunk: int = sc.CHUNK) -> DataFrame:
     """Intervals of high score in each series of clips (numbered from 0 without gaps).
 
     Clips at or above max(72 % quantile, 0.52 * maximum) of the smoothed scores form runs, which are widened by two clips on either
-    side and merged where they meet; the best by 0.55 * mean + 0.45 * maximum are returned, earlier ones first on ties.
-    Series of fewer than five clips are scored on their own clips, since a five-wide kernel would be longer than they are.
+    side and merged where they meet; the best by 0.55 * mean + 0.45 * maximum are returned, earlier ones first on ties. A series of which
+    no clip reaches that, as all its scores are below zero, has its peak as the only run. Series of fewer than five clips are scored on their own
+    clips, since a five-wide kernel would be longer than they are.
+
+    A clip is active, near an active one, or the begin of a merged run by what lies a few clips beside it, and runs are numbered by a running count
+    of begins; so a series of any length is decoded in many tasks, chunk by chunk.
     """
-    whole = Window.partitionBy(on)
-    sm = smoothed(series, on, at, score)
-    flagged = sm.withColumn("limit", F.greatest(F.percentile("sm", F.lit(0.72)).over(whole), 0.52 * F.max("sm").over(whole)))
-    ordered = Window.partitionBy(on).orderBy(at)
-    active = flagged.where("sm >= limit").withColumn("run", F.col(at) - F.row_number().over(ordered))
-    runs = active.groupBy(on, "run", "n").agg(F.greatest(F.lit(0), F.min(at) - 2).alias("l"), F.least(F.col("n"), F.max(at) + 3).alias("r"))
-    before = Window.partitionBy(on).orderBy("l", "r").rowsBetween(Window.unboundedPreceding, -1)
-    islands = runs.withColumn("new", (F.col("l") > F.coalesce(F.max("r").over(before), F.lit(-1))).cast("int"))
-    islands = islands.withColumn("island", F.sum("new").over(Window.partitionBy(on).orderBy("l", "r")))
-    merged = islands.groupBy(on, "island").agg(F.min("l").alias("l"), F.max("r").alias("r"))
-    inside = sm.alias("s").join(merged.alias("m"), (F.col(f"s.{on}") == F.col(f"m.{on}")) & (F.col(at) >= F.col("l")) & (F.col(at) < F.col("r")))
-    scored = inside.groupBy(F.col(f"m.{on}").alias(on), "l", "r").agg((0.55 * F.avg("sm") + 0.45 * F.max("sm")).alias("sc"), F.max_by(at, F.struct("sm", -F.col(at))).alias("anchor"))
+    sm = checkpointed(smoothed(series.select(on, at, score), on, at, score, chunk))
+    known = sm.join(limits(sm, on), on)
+    peak = known.where("limit > top").groupBy(on).agg(F.min(F.when(F.col("sm") == F.col("top"), F.col(at))).alias("peak"))
+    flagged = known.join(peak, on, "left").withColumn("active", F.coalesce(F.col(at) == F.col("peak"), F.col("sm") >= F.col("limit"))).select(on, at, "sm", "n", "active")
+    apart, on_at = 2 * WIDENED + 1, F.col(at)
+
+    def flags(w):
+        any_ = lambda a, b: F.coalesce(F.max(F.col("active").cast("int")).over(w.rowsBetween(a, b)), F.lit(0)) == 1
+        # A run begins at an active clip with none before it that it would meet; it is noted where its widened interval begins.
+        begins = lambda k: F.coalesce(F.lead("active", k).over(w) & ~any_(k - apart, k - 1), F.lit(False))
+        first = F.when(on_at == 0, begins(WIDENED) | begins(1) | (F.col("active") & ~any_(-apart, -1))).otherwise(begins(WIDENED))
+        return {"inside": any_(-WIDENED, WIDENED), "begin": first.cast("long")}
+
+    marked = sc.beside(flagged, [on], at, apart, apart, flags, chunk)
+    islands = sc.running(marked, [on], at, {"island": F.col("begin")}, chunk).where("inside")
+    scored = islands.groupBy(on, "island").agg(F.min(at).alias("l"), (F.max(at) + 1).alias("r"), (0.55 * F.avg("sm") + 0.45 * F.max("sm")).alias("sc"), F.max_by(at, F.struct("sm", -on_at)).alias("anchor"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(on).orderBy(F.desc(F.round("sc", 12)), "l"))).where(F.col("rank") <= limit)
     return ranked.select(on, F.col("rank").cast("long").alias("rank"), (F.col("l") * clip_ms).cast("long").alias("start_ms"), (F.col("r") * clip_ms).cast("long").alias("end_ms"), F.round("sc", 6).alias("score"), F.col("anchor").cast("long").alias("anchor"))
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import timecode as tc
 from ..operators import intervals as iv
 from ..operators import metrics as mx
+from ..operators import sampling as sp
 from ..operators import shots as sh
 from ..sources import subtitles as sb
 from .tables import table
@@ -34,9 +35,8 @@ DAYS = "days AS (SELECT DISTINCT user_id, floor(start_ms / 86400000)::BIGINT * 8
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return e.select(F.col("label").cast("long").alias("series"), (F.row_number().over(w) - 1).cast("long").alias("clip"), ((F.col("embedding")[0].cast("double") + 1) / 2).alias("score"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("series"), "vec_id", ((F.col("embedding")[0].cast("double") + 1) / 2).alias("score"))
+    return sp.ranked(e, ["vec_id"], ["series"]).select("series", F.col("__rank").alias("clip"), "score")
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +81,9 @@ t AS (SELECT flag, greatest(quantile_cont(sm, 0.72), 0.52 * max(sm)) AS lim FROM
 SELECT flag, count(*) AS days, sum((sm >= lim)::BIGINT)::BIGINT AS active, round(any_value(lim), 4) AS lim FROM sm JOIN t USING (flag) GROUP BY flag""")
 def moving_threshold(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("q"))
-    sm = sh.smoothed(d, "flag", "day", "q")
-    whole = Window.partitionBy("flag")
-    lim = sm.withColumn("lim", F.greatest(F.percentile("sm", F.lit(0.72)).over(whole), 0.52 * F.max("sm").over(whole)))
-    return lim.groupBy("flag").agg(F.count("*").alias("days"), F.sum((F.col("sm") >= F.col("lim")).cast("long")).alias("active"), F.round(F.max("lim"), 4).alias("lim"))
+    sm = sh.smoothed(sp.ranked(d, ["day"], ["flag"]), "flag", "__rank", "q")
+    lim = sm.join(sh.limits(sm, "flag"), "flag")
+    return lim.groupBy("flag").agg(F.count("*").alias("days"), F.sum((F.col("sm") >= F.col("limit")).cast("long")).alias("active"), F.round(F.max("limit"), 4).alias("lim"))
 
 
 @plan(f"""WITH {SPANS}, b AS (SELECT user_id AS video_id, event_id AS seq, round((start_ms - 1704067200000) / 1000.0, 6)::DOUBLE AS t, value AS score FROM ev WHERE event_type = 'error'),

@@ -6,6 +6,7 @@ import zipfile
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evidentia.functions import scores as sx
 from evidentia.functions import text as tx
@@ -16,9 +17,11 @@ from evidentia.operators import graph as gr
 from evidentia.operators import intervals as iv
 from evidentia.operators import metrics as mx
 from evidentia.operators import prompts as pr
+from evidentia.operators import quantiles as qt
 from evidentia.operators import registry as rg
 from evidentia.operators import retrieval as rt
 from evidentia.operators import sampling as sp
+from evidentia.operators import scans as sc
 from evidentia.operators import shots as sh
 from evidentia.operators import training as tr
 from evidentia.sources import files as fs
@@ -505,3 +508,65 @@ def test_streamed_hashes(spark):
     got = {r.k: (r.sha256, r.files) for r in fs.ordered_digest(df, ["k"], "at", F.col("t").cast("binary"), b"|").collect()}
     assert got == {"a": (hashlib.sha256(b"x|y").hexdigest().upper(), 2), "b": (hashlib.sha256(b"z").hexdigest().upper(), 1)}
     assert fs.ordered_digest(df.limit(0), ["k"], "at", F.col("t").cast("binary")).count() == 0
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(6)
+    sets = {"a": rng.normal(size=5000), "b": np.concatenate((np.full(3000, 2.0), rng.normal(2, 1e-9, 500), [1e300, -1e300])), "c": rng.integers(0, 3, 2000), "d": [7.0], "e": np.full(900, -1.0), "f": np.exp(rng.normal(0, 60, 3000)), None: [1.0, 2.0, 4.0]}
+    data = [(k, float(x)) for k, v in sets.items() for x in v] + [("a", None), ("g", None)]
+    df = spark.createDataFrame(data, "k string, x double").repartition(7)
+    for q in (0.0, 0.5, 0.72, 1.0):
+        for held in (4, 600, 1 << 16):
+            got = {r.k: r["quantile"] for r in qt.quantiles(df, ["k"], "x", q, held=held).collect()}
+            assert set(got) == set(sets) and all(got[k] == pytest.approx(np.quantile(v, q), rel=1e-12) for k, v in sets.items())
+    assert [r["m"] for r in qt.quantiles(df.where("k = 'a'"), [], "x", 0.5, "m", held=100).collect()] == [pytest.approx(np.quantile(sets["a"], 0.5))]
+
+
+def test_ranks_over_any_columns(spark):
+    rng = np.random.default_rng(7)
+    data = [("same", rng.choice(["b", "a", None, "ä", "Z"]), bool(i % 2), i) for i in range(400)]
+    df = spark.createDataFrame(data, "c string, t string, b boolean, i int").repartition(5)
+    want = [r[3] for r in sorted(data, key=lambda r: (r[1] is not None, (r[1] or "").encode(), r[2], r[3]))]
+    for cell_rows in (30, 1 << 20):
+        got = sp.ranked(df, ["c", "t", "b", "i"], cell_rows=cell_rows).collect()
+        assert [r.i for r in sorted(got, key=lambda r: r["__rank"])] == want and sorted(r["__rank"] for r in got) == list(range(400))
+        each = sp.ranked(df, ["i"], ["t"], cell_rows).collect()
+        for t in ("b", "a", None, "ä", "Z"):
+            assert [r["__rank"] for r in sorted((r for r in each if r.t == t), key=lambda r: r.i)] == list(range(sum(x[1] == t for x in data)))
+    assert sorted(r["__rank"] for r in sp.ranked(df, ["c"], cell_rows=30).collect()) == list(range(400))
+
+
+def test_scans_in_chunks(spark):
+    rng = np.random.default_rng(9)
+    data = [(k, i, float(rng.normal())) for k in ("x", "y", None) for i in range(41 if k else 7)]
+    df = spark.createDataFrame(data, "k string, i long, v double").repartition(6)
+    w = Window.partitionBy("k").orderBy("i")
+    want = df.withColumns({"a": F.sum("v").over(w.rowsBetween(-2, 1)), "l": F.lag("v").over(w), "f": F.lead("v", 2).over(w), "s": F.sum("v").over(w), "m": F.max("v").over(w)})
+    for chunk in (1, 2, 5, 100):
+        got = sc.beside(df, ["k"], "i", 2, 2, lambda w: {"a": F.sum("v").over(w.rowsBetween(-2, 1)), "l": F.lag("v").over(w), "f": F.lead("v", 2).over(w)}, chunk)
+        got = sc.running(sc.running(got, ["k"], "i", {"s": F.col("v")}, chunk), ["k"], "i", {"m": F.col("v")}, chunk, F.max)
+        for x, y in zip(sorted(rows(got.select(*want.columns)), key=repr), sorted(rows(want), key=repr), strict=True):
+            assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:])
+
+
+def test_a_long_series_is_decoded_in_chunks(spark):
+    rng = np.random.default_rng(10)
+    data = [(k, i, float(x)) for k, n in ((1, 300), (2, 4), (3, 1), (4, 77)) for i, x in enumerate(np.convolve(rng.random(n), np.ones(4) / 4, "same"))]
+    df = spark.createDataFrame(data, "series int, clip long, score double")
+    whole = rows(sh.proposals(df, limit=50), "series")
+    assert len(whole) > 10
+    for chunk in (1, 3, 16):
+        assert sorted(rows(sh.proposals(df, limit=50, chunk=chunk))) == sorted(whole)
+    below = spark.createDataFrame([(1, i, -float(x)) for i, x in enumerate([9, 8, 7, 2, 2, 2, 7, 8, 9, 9, 9])], "series int, clip long, score double")
+    # All below zero: the peak of the smoothed scores alone, which is where fewest of the five are there.
+    assert [(r.start_ms, r.end_ms, r.anchor) for r in sh.proposals(below, limit=5).collect()] == [(4000, 14000, 4)]
+
+
+def test_sessions_in_chunks(spark):
+    rng = np.random.default_rng(11)
+    data = [(int(u), i, int(s), int(s + d)) for i, (u, s, d) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 9000, 200), rng.integers(0, 50, 200), strict=True))]
+    df = spark.createDataFrame(data, "u int, i int, start_ms long, end_ms long")
+    w = Window.partitionBy("u").orderBy("start_ms", "i")
+    want = sorted(rows(df.withColumn("n", (F.col("start_ms") - F.lag("end_ms").over(w) > 60).cast("int")).withColumn("s", F.coalesce(F.sum("n").over(w), F.lit(0))).select("i", "s")))
+    for cell_rows, chunk in ((1 << 20, 1 << 17), (20, 6)):
+        assert sorted(rows(iv.sessionize(df, ["u"], 60, ["start_ms", "i"], cell_rows, chunk).select("i", "session"))) == want
