@@ -165,6 +165,26 @@ def remainder(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(n))
 
 
+#: Hashes are drawn from 0 to HASHES - 1, so a share of any table is a whole number of them.
+HASHES = 1 << 62
+
+
+def hash_bound(n: int, each: int) -> int:
+    """Below it lie the hashes of at least each of n rows, save with a chance of some 1e-9, and of few more; of all, if there are no more."""
+    return HASHES if n <= each else min(HASHES, int(HASHES * ((each + 6 * each**0.5 + 20) / n)))
+
+
+def least_hashes(rows: DataFrame, label: str, id_col: str, counts: dict, each: int, seed: str) -> DataFrame:
+    """The rows with the each least hashes of their id for each label of counts (label: rows of it), at any size; all of a label that has fewer."""
+    from pyspark.sql.window import Window
+
+    bound = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, hash_bound(n, each))])
+    h = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).bitwiseAND(F.lit(HASHES - 1))
+    near = rows.withColumn("__h", h).where(F.col("__h") < bound[F.col(label)])
+    first = Window.partitionBy(label).orderBy("__h", id_col)
+    return near.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= each).drop("__h", "__r")
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts: one scan of one column."""
     return docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`"))).alias("n")).first()["n"] or 0

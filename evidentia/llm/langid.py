@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, per_document, remainder, segment_sums
+from .common import documents, least_hashes, per_document, remainder, segment_sums
 
 #: Family of a language code; a label that is not here is a family of its own.
 FAMILY = {
@@ -133,7 +133,7 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from a bounded sample of the labelled rows that are not held out, about as many of each language.
 
-    The sample is drawn by a hash of the id against a share that the label counts give, so it is the same in every run;
+    The sample is the rows of each language with the least hashes of their ids, as many of each, so it is the same in every run and full at any size;
     at most sample rows, as vectors of fixed length, come to the driver. Of more languages than sample, those with the fewest
     documents are not learned. An empty table, or one without languages, gives an empty model; null texts are not learned from.
     """
@@ -141,9 +141,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     if not counts:
         return Model()
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, sample * 0.9 / len(counts) / n) * 1_000_000))])
-    picked = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("langid")), F.lit(1_000_000)) < share[F.col("lang")])
-    got = per_document(picked, "lang", "text", "x binary, ok boolean", lambda texts: ([frequencies(t).tobytes() for t in texts], [has_letter(t) for t in texts])).where("ok").limit(sample).collect()
+    picked = least_hashes(rows, "lang", "id", counts, max(1, sample // len(counts)), "langid")
+    got = per_document(picked, "lang", "text", "x binary, ok boolean", lambda texts: ([frequencies(t).tobytes() for t in texts], [has_letter(t) for t in texts])).limit(sample).collect()
+    if not got:
+        raise RuntimeError("there are languages, but none was sampled")
+    got = [r for r in got if r["ok"]]
     if not got:
         return Model()
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, per_document, word_codes, word_hashes
+from .common import documents, least_hashes, mix64, per_document, word_codes, word_hashes
 
 #: Most labelled documents, and most lines of one, that the model is fitted on: the documented bounds of the sample.
 SAMPLE, SAMPLE_LINES = 1500, 400
@@ -124,9 +124,11 @@ class Crf:
         return np.bincount(lines.doc, lines.words * marked, len(lines.per_doc))
 
 
-def _grouped(sequences: list[np.ndarray], labels: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Sequences padded to the longest of those of about their length: features, mask, labels of lines, weights that balance the two labels."""
-    size = np.array([(len(labels) - sum(labels)) or 1, sum(labels) or 1])
+def _grouped(sequences: list[np.ndarray], labels: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences padded to the longest of those of about their length: features, mask, labels of lines (given for each, or one for all), weights that balance those of one label only."""
+    labels = [np.broadcast_to(y, len(s)) for s, y in zip(sequences, labels, strict=True)]
+    pure = np.array([y.max() == y.min() for y in labels])
+    size = np.array([max(1, sum(p and y[0] == k for p, y in zip(pure, labels, strict=True))) for k in (0, 1)])
     groups: dict[int, list[int]] = {}
     for i, s in enumerate(sequences):
         groups.setdefault((len(s) - 1).bit_length(), []).append(i)
@@ -136,8 +138,10 @@ def _grouped(sequences: list[np.ndarray], labels: list[int]) -> list[tuple[np.nd
         x, mask = np.zeros((len(rows), longest, FEATURES)), np.zeros((len(rows), longest), bool)
         for k, i in enumerate(rows):
             x[k, : len(sequences[i])], mask[k, : len(sequences[i])] = sequences[i], True
-        of = np.array([labels[i] for i in rows])
-        out.append((x, mask, np.eye(2)[of][:, None, :] * mask[:, :, None], (len(labels) / (2 * size))[of]))
+        y = np.zeros((len(rows), longest, 2))
+        for k, i in enumerate(rows):
+            y[k, np.arange(len(labels[i])), labels[i]] = 1
+        out.append((x, mask, y, np.array([pure.sum() / (2 * size[labels[i][0]]) if pure[i] else 1.0 for i in rows])))
     return out
 
 
@@ -169,7 +173,7 @@ def likelihood(groups, params: list[np.ndarray]) -> tuple[float, list[np.ndarray
     return total, grads
 
 
-def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Crf:
+def fit(sequences: list[np.ndarray], labels: list, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Crf:
     """Maximum likelihood by Adam."""
     groups, n = _grouped(sequences, labels), len(sequences)
     params = [np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)]
@@ -189,24 +193,36 @@ def _features(texts: list[str]):
     return [s.tobytes() for s in np.split(lines.features, np.cumsum(lines.per_doc)[:-1])], lines.per_doc.tolist()
 
 
+def joined(sequences: list[np.ndarray], labels: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The sequences with their lines' labels, and each of the one label followed by one of the other, in turns: where labels change is learned from these."""
+    parts = [[s for s, q in zip(sequences, labels, strict=True) if q == k] for k in (0, 1)]
+    out = [(s, np.full(len(s), q)) for s, q in zip(sequences, labels, strict=True)]
+    for i in range(max(map(len, parts))):
+        order = (0, 1) if i % 2 else (1, 0)
+        both = [parts[k][i % len(parts[k])] for k in order]
+        out.append((np.concatenate(both), np.repeat(order, [len(x) for x in both])))
+    return [s for s, _ in out], [y for _, y in out]
+
+
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Crf | None:
-    """Fits the model on a bounded sample of labelled documents; a line takes its document's label (quality) for its own.
+    """Fits the model on a bounded sample of labelled documents: their lines have their label, and pairs of a good and a bad one are sequences whose label changes (joined).
 
-    The sample is drawn by a hash of the id, half of it of each label if there are enough. Documents of more than SAMPLE_LINES lines
+    The sample is the documents of each label with the least hashes of their ids, half of it of each if there are enough. Documents of more than SAMPLE_LINES lines
     are not learned from, so the model knows long documents only by lines like those of shorter ones. None if one label is missing.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
-    share = F.create_map(*[F.lit(v) for q, n in counts.items() for v in (q, int(min(1.0, 0.45 * sample / n) * 1_000_000))])
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("crf")), F.lit(1_000_000)) < share[F.col("quality")]).limit(sample)
+    picked = least_hashes(known, "quality", "doc_id", counts, sample // 2, "crf")
+    if not picked.limit(1).count():
+        raise RuntimeError("there are labels, but none was sampled")
     texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
     got = per_document(texts, "quality", "text", "x binary, n long", _features).where(F.col("n") <= SAMPLE_LINES).limit(2 * sample).collect()
     if len({r["quality"] for r in got}) < 2:
         return None
-    got.sort(key=lambda r: (r["quality"], bytes(r["x"])))
-    return fit([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in got], [r["quality"] for r in got])
+    got.sort(key=lambda r: (bytes(r["x"]), r["quality"]))
+    return fit(*joined([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in got], [r["quality"] for r in got]))
 
 
 def judge_quality(df: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", share: float = CONTENT_SHARE) -> DataFrame:

@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import ann, bpe, components, langid, lm, minhash, packing, quality, secrets, sharding, suffixes
+from evidentia.llm import ann, bpe, common, components, langid, lm, minhash, packing, quality, secrets, sharding, suffixes
 from evidentia.llm.common import packed, remainder, slices, spread, unpacked
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block long, digest string, label string, h long, r int, cell long, id string"
@@ -519,6 +519,49 @@ def test_gradient_is_that_of_the_likelihood():
     assert quality.likelihood(one, params)[0] == pytest.approx(weight * (score((1, 1, 1)) - np.logaddexp.reduce([score(y) for y in product((0, 1), repeat=3)])))
 
 
+def test_labels_change_at_the_seam(spark):
+    """Joined good and bad texts are told apart within a line, and their share of content is neither 0 nor 1."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 0
+    model = quality.train(docs, labels.where(~fold))
+    held = docs.join(labels.where(fold), "doc_id").where("size(split(text, '\n')) >= 3").select("quality", "text").orderBy("doc_id").collect()
+    good, bad = ([r.text for r in held if r.quality == k] for k in (1, 0))
+    pairs = [(i, x + "\n" + y, x.count("\n") + 1) for i, (x, y) in enumerate(p for a, b in zip(good, bad) for p in ((a, b), (b, a)))]
+    near = 0
+    for _, text, seam in pairs:
+        lines = quality.Lines([text])
+        label = model.viterbi(lines.features.astype(float) @ model.emit)
+        change = np.flatnonzero(np.diff(label.astype(int))) + 1
+        near += len(change) == 1 and abs(int(change[0]) - seam) <= 1
+    assert len(pairs) > 10 and near >= 0.85 * len(pairs)
+    shares = [r.content_share for r in quality.judge_quality(spark.createDataFrame([p[:2] for p in pairs], "doc_id int, text string"), model).collect()]
+    assert sum(0 < s < 1 for s in shares) >= 0.9 * len(pairs)
+
+
+def test_samples_are_full_at_any_size(spark):
+    """Of 10^10 rows of a label the bound leaves somewhat more than are wanted; of a rare label all are taken."""
+    for n in (10, 2000, 10**6, 10**10, 10**15):
+        for each in (1, 500, 2000):
+            left = n * common.hash_bound(n, each) / common.HASHES
+            assert min(n, each + 6 * each**0.5) <= left <= min(n, each + 6 * each**0.5 + 21)
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "rare").otherwise("often").alias("lang"))
+    counts = {"rare": 1, "often": 19_999}
+    got = common.least_hashes(rows, "lang", "doc_id", counts, 40, "s").collect()
+    assert sum(r.lang == "rare" for r in got) == 1 and sum(r.lang == "often" for r in got) == 40
+    assert {r.doc_id for r in got} == {r.doc_id for r in common.least_hashes(rows.repartition(5), "lang", "doc_id", counts, 40, "s").collect()}
+    # As on a table a billion times as large: few hashes lie below the bound, and those are still found.
+    assert common.least_hashes(rows, "lang", "doc_id", {"rare": 1, "often": 10**10}, 40, "s").where("lang = 'rare'").count() == 1
+    docs = spark.createDataFrame([(1, "abc", "en")], "doc_id int, text string, lang string")
+    with pytest.raises(RuntimeError, match="none was sampled"):
+        with_none = langid.least_hashes
+        langid.least_hashes = lambda rows, *a: rows.limit(0)
+        try:
+            langid.train(docs)
+        finally:
+            langid.least_hashes = with_none
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
