@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import timecode as tc
 from ..operators import episodes as ep
+from ..operators import graph as gr
 from ..operators import prompts as pr
 from ..operators import training as tr
-from ..session import new_path
+from ..session import checkpointed, new_path
 from ..sources import files as fs
 from ..sources import subtitles as sb
 from .search import EVID, updated
@@ -120,13 +119,14 @@ WHEN 'search_transcript' THEN -0.05 + CASE WHEN d IN (1, 2) THEN 0.1 * 2 / 3 ELS
 FROM o WHERE step <= coalesce(over, 12)""")
 def episode_replays(spark, sf_dir):
     """Synthetic episodes; each has ten segments, two of which are its targets."""
-    context = {"segments": {f"s{i}": {"text": f"red car {i}", "tags": []} for i in range(10)}, "targets": ["s1", "s2"], "max_steps": 12}
     kind = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "search_transcript", "click", "inspect_segment", "signup", "inspect_segment", "purchase", "answer", "error", "jump")]), F.col("tool"))
-    args = F.to_json(F.struct(F.concat(F.lit("car "), (F.col("k") % 10).cast("string")).alias("query"), F.concat(F.lit("s"), (F.col("k") % 10).cast("string")).alias("segment_id"), F.array(F.lit("s1"), F.lit("s2")).alias("segment_ids")))
+    digit = (F.col("k") % 10).cast("string")
     a = steps(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("step")) - 1)
     episode = F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("n") / 12).cast("string"))
-    done = ep.replay(a.select(episode.alias("episode_id"), (F.col("n") % 12 + 1).alias("step"), kind.alias("tool"), args.alias("arguments"), F.lit(json.dumps(context)).alias("context")), "synthetic")
-    return done.select("episode_id", "step", "tool", "done", F.round("reward", 6).alias("reward"))
+    calls = a.select(episode.alias("episode_id"), (F.col("n") % 12 + 1).cast("long").alias("step"), kind.alias("tool"), F.concat(F.lit("car "), digit).alias("query"), F.concat(F.lit("s"), digit).alias("segment_id"), F.array(F.lit("s1"), F.lit("s2")).alias("segment_ids"))
+    i = F.explode(F.sequence(F.lit(0), F.lit(9)))
+    segments = calls.select("episode_id").distinct().select("episode_id", i.alias("i")).select("episode_id", F.concat(F.lit("s"), F.col("i")).alias("segment_id"), F.concat(F.lit("red car "), F.col("i")).alias("text"), F.col("i").isin(1, 2).alias("target"))
+    return ep.segment_rewards(calls, segments, 12).select("episode_id", "step", "tool", "done", F.round("reward", 6).alias("reward"))
 
 
 # A user's month: events are utterances, days are shots, of which every fifth has no keyframe. Purchases and errors are searched for; the
@@ -145,18 +145,19 @@ UNION ALL SELECT user_id::VARCHAR, 3, 'audit', CASE WHEN seen THEN 0.05 ELSE -0.
 UNION ALL SELECT user_id::VARCHAR, 2, 'audit', -0.3, NULL FROM f WHERE user_id % 2 = 1
 UNION ALL SELECT user_id::VARCHAR, CASE WHEN user_id % 2 = 0 THEN 4 ELSE 3 END, 'submit', round(2 * iou + CASE WHEN user_id % 2 = 0 AND seen THEN 0.7 ELSE 0 END, 6), round(iou, 6) FROM f""")
 def simple_episodes(spark, sf_dir):
-    """Five-action episodes that the replay closes, of all users that have something to search for."""
+    """Five-action episodes that a submission closes, of all users that have something to search for."""
     since = F.lit(1704067200000).cast("long")
-    e = table(spark, sf_dir, "events").withColumn("s", tc.stamp_ms(F.col("ts")) - since).withColumn("e", (F.col("s") + F.floor(F.col("value") * 1000)).cast("long"))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "event_id", "e", "event_type"))), lambda x: F.format_string('[%d,%d,"Somebody: %s!"]', x["s"], x["e"], x["event_type"])), ",")
-    wanted = F.when(F.col("event_type").isin("purchase", "error"), F.struct("s", "event_id", "e"))
-    per = e.groupBy("user_id").agg(said.alias("said"), F.min(wanted).alias("first")).where("first is not null")
-    days = json.dumps([[f"d{i}", i * 86_400_000, (i + 1) * 86_400_000, f"k{i}" if i % 5 else None] for i in range(31)])
-    context = F.format_string('{"utterances":[%s],"units":' + days.replace("%", "%%") + ',"terms":["purchase","ERROR?"],"target":[%d,%d],"max_steps":6,"duration_ms":2678400000}', "said", F.col("first.s") - 3000, F.col("first.e") + 3000)
-    todo = F.when(F.col("user_id") % 2 == 0, F.array(*map(F.lit, ("search", "inspect", "audit")))).otherwise(F.array(*map(F.lit, ("search", "audit"))))
-    actions = per.select(F.col("user_id").cast("string").alias("episode_id"), context.alias("context"), F.posexplode(todo).alias("p", "tool")).select("episode_id", (F.col("p") + 1).cast("long").alias("step"), "tool", F.lit("{}").alias("arguments"), "context")
-    out = ep.replay(actions, "simple", close=True)
-    return out.select("episode_id", "step", "tool", F.round("reward", 6).alias("reward"), F.round(F.when(F.col("tool") == "submit", F.get_json_object("observation", "$.iou").cast("double")), 6).alias("iou"))
+    start = tc.stamp_ms(F.col("ts")) - since
+    u = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("episode_id"), F.col("event_id").alias("utterance_id"), start.alias("start_ms"), (start + F.floor(F.col("value") * 1000)).cast("long").alias("end_ms"), F.format_string("Somebody: %s!", "event_type").alias("text"), "event_type")
+    first = u.where(F.col("event_type").isin("purchase", "error")).groupBy("episode_id").agg(F.min(F.struct("start_ms", "utterance_id", "end_ms")).alias("f"))
+    targets = first.select("episode_id", (F.col("f.start_ms") - 3000).alias("start_ms"), (F.col("f.end_ms") + 3000).alias("end_ms"))
+    moments = ep.found_moments(u, first.select("episode_id", F.array(F.lit("purchase"), F.lit("ERROR?")).alias("terms")))
+    day = first.select("episode_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(30).cast("long"))).alias("d"))
+    shots = day.select("episode_id", F.concat(F.lit("d"), F.col("d")).alias("shot_id"), (F.col("d") * 86_400_000).alias("start_ms"), ((F.col("d") + 1) * 86_400_000).alias("end_ms"), F.when(F.col("d") % 5 != 0, F.concat(F.lit("k"), F.col("d"))).alias("keyframe"))
+    todo = F.when(F.col("episode_id").cast("long") % 2 == 0, F.array(*map(F.lit, ("search", "inspect", "audit")))).otherwise(F.array(*map(F.lit, ("search", "audit"))))
+    calls = ep.closed(first.select("episode_id", F.posexplode(todo).alias("p", "tool")).select("episode_id", (F.col("p") + 1).cast("long").alias("step"), "tool"), "submit")
+    out = ep.moment_rewards(calls, moments, shots, targets, 6, 2_678_400_000)
+    return out.select("episode_id", "step", "tool", F.round("reward", 6).alias("reward"), F.round("iou", 6).alias("iou"))
 
 
 # The team policy on the chain of each label. Its two best candidates are taken if they are near in score and place; the first one's
@@ -175,17 +176,12 @@ q AS (SELECT w.task_id, k, wide, hit, rel, hit::DOUBLE / (k + rel - hit) AS iou,
 SELECT task_id::VARCHAR AS episode_id, 4 + k + wide::INT AS step, round(iou, 4) AS iou, round(2 * iou + 0.35 * f1 + 0.3 * score + 0.2 + process - 0.025 * (3 + k + wide::INT), 4) AS reward FROM q""")
 def policy_results(spark, sf_dir):
     """What the submitted intervals scored; targets are the shots of every seventh place."""
-    one = lambda x: F.format_string('"c%d"', x["pos"])
-    text = lambda a: F.concat(F.lit("["), F.array_join(a, ","), F.lit("]"))
-    score = lambda f: text(F.transform("n", lambda x: F.least(F.lit(1.0), F.coalesce(x[f], F.lit(0.0))).cast("string")))
-    span = lambda x, form: F.format_string(form, x["pos"] * 2000, (x["pos"] + 1) * 2000)
-    per = updated(spark, sf_dir).groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text_score", "visual_score"))).alias("n"))
-    good = F.filter("n", lambda x: x["pos"] % 7 == 3)
-    shots = text(F.transform("n", lambda x: F.concat(F.lit("["), one(x), span(x, ",%d,%d]"))))
-    context = F.format_string('{"shots":%s,"targets":%s,"relevant":%s,"text":{"q":%s},"image":{"q":%s},"required":["text","image"],"max_steps":10}', shots, text(F.transform(good, lambda x: span(x, "[%d,%d]"))), text(F.transform(good, one)), score("text_score"), score("visual_score"))
-    tasks = per.select(F.col("task_id").cast("string").alias("episode_id"), F.lit("q").alias("query"), F.lit(True).alias("has_dialogue"), context.alias("context"))
-    part = lambda k: F.round(F.get_json_object("observation", f"$.{k}").cast("double"), 4).alias(k)
-    return ep.play(tasks, "team").where("done").select("episode_id", "step", part("iou"), part("reward"))
+    both = checkpointed(gr.fuse(updated(spark, sf_dir).withColumns({c: F.least(F.lit(1.0), c) for c in ("text_score", "visual_score")})))
+    heard = gr.fuse(both.withColumn("visual_score", F.lit(0.0)).withColumn("sources", F.array_intersect("sources", F.array(F.lit("text")))))
+    shots = both.select("task_id", "pos", (F.col("pos") * 2000).alias("start_ms"), ((F.col("pos") + 1) * 2000).alias("end_ms"))
+    good = shots.where("pos % 7 = 3")
+    out = ep.team_results(heard, both, shots, good.select("task_id", "pos"), good.select("task_id", "start_ms", "end_ms"))
+    return out.select(F.col("task_id").cast("string").alias("episode_id"), F.col("calls").alias("step"), F.round("iou", 4).alias("iou"), F.round("reward", 4).alias("reward"))
 
 
 CALLS = ("search_visual", "inspect_keyframe", "expand_context", "submit", "fly")

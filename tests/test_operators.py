@@ -90,7 +90,6 @@ def test_overlap_and_crossing(spark):
 def test_iou(spark, p, q, want):
     side = lambda x: spark.createDataFrame([("k", *i) for i in x], "k string, start_ms long, end_ms long")
     assert rows(iv.sweep_iou(side(p), side(q), ["k"])) == [("k", pytest.approx(want))]
-    assert ep.interval_iou(p, q) == pytest.approx(want)
 
 
 def test_contiguity(spark):
@@ -254,75 +253,57 @@ def test_training(spark):
     assert [m.role for m in tr.trajectory_chats(steps, prompts).first().messages] == ["user", "assistant", "tool"]
 
 
-def play(machine, *calls):
-    return [machine.step(t, a) for t, a in calls]
-
-
-def test_synthetic_episode():
-    c = {"segments": {"a": {"text": "red car"}, "b": {"text": "tree"}}, "targets": ["a"], "max_steps": 9}
-    got = play(ep.SyntheticEpisode(c), ("search_transcript", {"query": "none"}), ("inspect_segment", {"segment_id": "a"}), ("inspect_segment", {"segment_id": "a"}), ("inspect_segment", {"segment_id": "z"}), ("search_transcript", {"query": "car"}), ("fly", {}), ("answer", {"segment_ids": ["a"]}))
-    assert [round(r, 9) for r, _ in got] == [-0.10, 0.15, -0.15, -0.20, 0.05, -0.20, 1.0]
-    assert round(play(ep.SyntheticEpisode(c | {"max_steps": 1}), ("inspect_segment", {"segment_id": "b"}))[0][0], 9) == -0.25
-    assert play(ep.SyntheticEpisode(c), ("answer", {"segment_ids": ["a"]}))[0][0] == -0.5
-
-
-def test_simple_episode():
-    c = {"utterances": [[1000, 2000, "The red car"], [30000, 31000, "a red tree and a car"]], "units": [["s1", 0, 10000, "k1"], ["s2", 20000, 40000, "k2"]], "terms": ["red", "car", "Tree!"], "target": [28000, 33000], "max_steps": 7, "duration_ms": 480000}
-    e = ep.SimpleEpisode(c)
-    got = play(e, ("inspect", {}), ("search", {}), ("inspect", {}), ("audit", {}), ("submit", {}))
-    assert [round(r, 6) for r, _ in got] == [-0.3, -0.05, 0.0, 0.05, 2.7] and got[-1][1]["success"] and e.confidence == 1.0
-    assert e.mask() == [False] * 5 and len(e.features()) == 9
-
-
-def formal(**more):
-    shots_ = [[f"s{i}", i * 1000, (i + 1) * 1000] for i in range(6)]
-    return {"shots": shots_, "targets": [[2000, 4000]], "relevant": ["s2", "s3"], "required": ["text", "image"], "max_steps": 10, "text": {"q": [0, 0, 1, 0.9, 0, 0]}, "image": {"q": [0, 0, 0.8, 1, 0.1, 0]}} | more
-
-
-def test_calls_with_faults_and_exports():
-    e = ep.FormalEpisode(formal())
-    assert ep.fault(None, {}) == ep.fault("submit", None) == "parse_error" and ep.fault("fly", {}) == "unknown_tool"
-    assert ep.fault("submit", {}) == ep.fault("search_visual", {"query": "q", "top_k": "many"}) == ep.fault("inspect_keyframe", {"shot_id": "a", "x": 1}) == "invalid_arguments"
-    assert ep.fault("expand_context", {"shot_id": "a", "radius": -1}) is None
-    assert e.call("inspect_keyframe", {}) == (0.0, {"error": "invalid_arguments", "valid_next_tools": ["search_transcript", "search_visual"]}) and (e.invalid, e.calls) == (1, 0)
-    assert e.call("search_visual", {"query": "q"})[0] == pytest.approx(0.18) and e.calls == 1
-    state = e.export()["state"]
-    assert state["searched"] == ["image"] and state["invalid"] == 1 and not state["done"] and "relevant" not in json.dumps(e.export())
-
-
-def test_replay_closes_what_ends_early(spark):
-    c = {"utterances": [[1000, 2000, "The red car"]], "units": [["s1", 0, 10000, "k1"]], "terms": ["red"], "target": [0, 4000], "max_steps": 7, "duration_ms": 480000}
-    rows_ = [("e", k, tool, "{}", json.dumps(c)) for k, tool in enumerate(("search", "inspect"), 1)]
-    df = spark.createDataFrame(rows_, "episode_id string, step long, tool string, arguments string, context string")
-    assert [r.tool for r in ep.replay(df, "simple").orderBy("step").collect()] == ["search", "inspect"]
-    got = ep.replay(df, "simple", close=True).orderBy("step").collect()
-    assert [(r.step, r.tool, r.done) for r in got] == [(1, "search", False), (2, "inspect", False), (3, "submit", True)] and got[-1].reward == pytest.approx(2.4)
-    whole = df.unionByName(spark.createDataFrame([("e", 3, "submit", "{}", json.dumps(c))], df.schema))
-    assert ep.replay(whole, "simple", close=True).count() == 3
-    over = [("f", 1, "fly", "{}", json.dumps({"segments": {}, "targets": [], "max_steps": 5}))]
-    assert [r.tool for r in ep.replay(spark.createDataFrame(over, df.schema), "synthetic", close=True).orderBy("step").collect()] == ["fly", "answer"]
-
-
-def test_formal_episode(spark):
-    e = ep.FormalEpisode(formal())
-    assert e.valid_tools() == ["search_transcript", "search_visual"]
-    log = ep.policy(e, "team", "q")
-    result = log[-1][3]
-    assert [t for t, *_ in log] == ["search_transcript", "search_visual", "inspect_keyframe", "inspect_keyframe", "request_audit", "submit"]
-    assert result["iou"] == 1.0 and result["success"] and result["audit_passed"] and result["f1"] == 1.0
-    parts = result["parts"]
-    assert parts["temporal"] == 2.0 and parts["tool_cost"] == pytest.approx(-0.025 * 5) and parts["process"] == pytest.approx(0.18 + 0.24 + 0.08)
-    e = ep.FormalEpisode(formal())
-    bad = play(e, ("inspect_keyframe", {"shot_id": "s0"}), ("expand_context", {"shot_id": "s0"}), ("expand_context", {"shot_id": "s0"}), ("submit", {"shot_ids": ["s0"]}))
-    assert [d for d, _ in bad] == [-0.08, -0.08, -0.08, -0.10] and bad[-1][1]["reward"] == -1.0 and (e.invalid, e.repeats) == (3, 1)
-    f = ep.FormalEpisode(formal(proposals=[{"anchor": "s2", "shots": ["s1", "s2", "s3"]}], saliency={"s2": [4, 2]}))
-    log = ep.policy(f, "team", "q")
-    assert log[-1][3]["iou"] == pytest.approx(2 / 3, abs=1e-6) and log[-1][3]["parts"]["saliency"] == pytest.approx(0.1 * 0.75 / 3)
-    tasks = spark.createDataFrame([(str(i), "q", True, json.dumps(formal())) for i in range(3)], "episode_id string, query string, has_dialogue boolean, context string")
-    for name in ("fixed_chunk", "single", "team"):
-        assert ep.play(tasks, name).where("done").count() == 3
-    calls = spark.createDataFrame([("e", 1, "search_visual", '{"query": "q"}', json.dumps(formal())), ("e", 2, "submit", '{"shot_ids": []}', json.dumps(formal()))], "episode_id string, step long, tool string, arguments string, context string")
-    assert [r.done for r in ep.replay(calls, "formal").orderBy("step").collect()] == [False, True]
+def test_segment_rewards(spark):
+    seg = [("e", "a", "red car", True), ("e", "b", "tree", False), ("f", "b", "tree", False), ("f", "a", "red car", True), ("g", "a", "car", True)]
+    segments = spark.createDataFrame(seg, "episode_id string, segment_id string, text string, target boolean")
+    calls = [("e", 1, "search_transcript", "none", None, None), ("e", 2, "inspect_segment", None, "a", None), ("e", 3, "inspect_segment", None, "a", None), ("e", 4, "inspect_segment", None, "z", None), ("e", 5, "search_transcript", "car", None, None), ("e", 6, "fly", None, None, None), ("e", 7, "answer", None, None, ["a", "a"]), ("e", 8, "fly", None, None, None)]
+    calls += [("f", k, "inspect_segment", None, "b", None) for k in range(1, 12)] + [("g", 1, "answer", None, None, ["a"])]
+    df = spark.createDataFrame(calls, "episode_id string, step long, tool string, query string, segment_id string, segment_ids array<string>")
+    got = {}
+    for r in ep.segment_rewards(df, segments, 9).orderBy("step").collect():
+        got.setdefault(r.episode_id, []).append((round(r.reward, 9), r.done))
+    assert [x for x, _ in got["e"]] == [-0.10, 0.15, -0.15, -0.20, 0.05, -0.20, 1.0] and [d for _, d in got["e"]] == [False] * 6 + [True]
+    assert [x for x, _ in got["f"]] == [-0.05, *[-0.15] * 7, -0.35] and got["f"][-1][1] and got["g"] == [(-0.5, True)]
+
+
+def test_moment_rewards(spark):
+    u = spark.createDataFrame([("e", 1, 1000, 2000, "The red car"), ("e", 2, 30000, 31000, "a red tree and a car"), ("n", 3, 0, 1000, "nothing")], "episode_id string, utterance_id int, start_ms long, end_ms long, text string")
+    terms = spark.createDataFrame([("e", ["red", "car", "Tree!"]), ("n", ["red"])], "episode_id string, terms array<string>")
+    moments = ep.found_moments(u, terms)
+    assert rows(moments) == [("e", 30000, 31000, 1.0)]
+    shots_ = spark.createDataFrame([("e", "s1", 0, 10000, "k1"), ("e", "s2", 20000, 40000, "k2"), ("e", "s3", 34000, 36000, None)], "episode_id string, shot_id string, start_ms long, end_ms long, keyframe string")
+    targets = spark.createDataFrame([("e", 28000, 33000), ("n", 0, 9)], "episode_id string, start_ms long, end_ms long")
+
+    def play(*tools, key="e", most=7):
+        calls = spark.createDataFrame([(key, k, t) for k, t in enumerate(tools, 1)], "episode_id string, step long, tool string")
+        return [(round(r.reward, 6), r.done) for r in ep.moment_rewards(ep.closed(calls, "submit"), moments, shots_, targets, most, 480000).orderBy("step").collect()]
+
+    assert [x for x, _ in play("inspect", "search", "inspect", "audit", "submit", "search")] == [-0.3, -0.05, 0.0, 0.05, 2.7]
+    assert play("search") == [(-0.05, False), (2.0, True)] and play("search", key="n") == [(-0.05, False), (-1.0, True)]
+    # Expanded before it is looked at: of two shots the second is the middle one, without a keyframe.
+    assert [x for x, _ in play("search", "expand", "inspect", "audit", "audit")] == [-0.05, -0.05, -0.05, -0.05, -0.3, round(2 * 5 / 15, 6)]
+    assert play("search", "search", "search", most=3) == [(-0.05, False), (-0.3, False), (-0.8, True)]
+    calls = spark.createDataFrame([("e", 1, "search"), ("f", 1, "submit")], "episode_id string, step long, tool string")
+    assert sorted(rows(ep.closed(calls, "submit"))) == [("e", 1, "search"), ("e", 2, "submit"), ("f", 1, "submit")]
+
+
+def test_team_results(spark):
+    shots_ = spark.createDataFrame([("t", i, i * 1000, (i + 1) * 1000) for i in range(6)], "task_id string, pos long, start_ms long, end_ms long")
+    scores = lambda m, s: [("t", i, m, float(x)) for i, x in enumerate(s)]
+    chain = lambda x: gr.fuse(gr.update(spark.createDataFrame(x, "task_id string, pos long, modality string, score double"), shots_.select("task_id", "pos", "start_ms")))
+    text, image = scores("text", [0, 0, 1, 0.9, 0, 0]), scores("image", [0, 0, 0.8, 1, 0.1, 0])
+    good = shots_.where("pos in (2, 3)").select("task_id", "pos")
+    r = ep.team_results(chain(text), chain(text + image), shots_, good, spark.createDataFrame([("t", 2000, 4000)], "task_id string, start_ms long, end_ms long")).first()
+    assert (r.calls, r.selected, r.iou, r.f1, r.success) == (6, [2, 3], 1.0, 1.0, True) and r.process == pytest.approx(0.18 + 0.24 + 0.08)
+    assert r.reward == pytest.approx(2 + 0.35 + 0.3 * r.audit_score + 0.2 + r.process - 0.025 * 5)
+    low = ep.team_results(chain(scores("text", [0.1, 0, 0, 0, 0, 0])), chain(scores("text", [0.1, 0, 0, 0, 0, 0])), shots_, good, spark.createDataFrame([("t", 2000, 4000)], "task_id string, start_ms long, end_ms long")).first()
+    assert (low.calls, low.selected, low.iou, low.success) == (6, [0], 0.0, False) and low.process == pytest.approx(-0.02 - 0.06)
+
+
+def test_dispatch(spark):
+    calls = [(None, "{}"), ("submit", None), ("fly", "{}"), ("submit", "{}"), ("search_visual", '{"query": "q", "top_k": "many"}'), ("inspect_keyframe", '{"shot_id": "a", "x": 1}'), ("expand_context", '{"shot_id": "a", "radius": -1}')]
+    df = spark.createDataFrame(calls, "tool string, arguments string")
+    assert [r.outcome for r in ep.dispatched(df.coalesce(1)).collect()] == ["parse_error", "parse_error", "unknown_tool", "invalid_arguments", "invalid_arguments", "invalid_arguments", "ok"]
 
 
 def test_streams(spark, tmp_path):
