@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .intervals import contiguous
-
 #: Splits that must not share a video; smoke tasks may be anywhere.
 PRODUCTION_SPLITS = ("train", "val", "test")
 
@@ -26,37 +25,62 @@ def union(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
-def media_checks(shots: DataFrame, utterances: DataFrame, units: DataFrame, keyframes: DataFrame, duration_ms: int | Column) -> DataFrame:
-    """Seven checks of one video's records; its length is a number, or a column that a subquery reads.
+#: Unlinked utterances that a check names; of more it gives the number.
+LISTED = 100
+
+
+def media_checks(shots: DataFrame, utterances: DataFrame, units: DataFrame, keyframes: DataFrame, videos: DataFrame) -> DataFrame:
+    """(video_id, name, passed, details): seven checks of each video's records, all videos at once.
 
-    shots: shot_id, start_s, end_s, keyframe_path; utterances: utterance_id, start_ms, end_ms; units: pos, shot_id, start_ms,
-    end_ms, keyframe_path, utterance_refs; shots also has pos; keyframes: path (those that exist).
+    shots: video_id, pos, shot_id, start_s, end_s, keyframe_path; utterances: video_id, utterance_id, start_ms, end_ms; units: video_id, pos, shot_id,
+    start_ms, end_ms, keyframe_path, utterance_refs; keyframes: video_id, path (those that exist); videos: video_id, duration_ms.
+
+    Every record becomes a few rows (video, space, key) with counts: what the checks ask is whether counts of a key agree. One aggregate by key and one by video answer
+    five checks, so no window holds a video; a timeline is whole if at each point as many shots begin as end, the video's own begin and end being counted
+    against them. Only references are joined with their utterances.
     """
-    ms = shots.select("pos", "shot_id", F.rint(F.col("start_s") * 1000).cast("long").alias("start_ms"), F.rint(F.col("end_s") * 1000).cast("long").alias("end_ms"), "keyframe_path", F.lit(1).alias("one"), F.lit(duration_ms).cast("long").alias("duration_ms"))
-    line = contiguous(ms, ["one"])
-    total = lambda df, *aggs: df.agg(*aggs)
-    ids = total(shots.select(F.concat(F.lit("s:"), "shot_id").alias("id")).unionByName(utterances.select(F.concat(F.lit("u:"), "utterance_id").alias("id"))), (F.count("id") == F.count_distinct("id")).alias("ok"), F.count("id").alias("n"))
-    frames = shots.select(F.col("keyframe_path").alias("path")).join(keyframes, "path", "left_semi").agg(F.count("*").alias("there"))
-    frames = frames.join(keyframes.agg(F.count("*").alias("found"))).join(shots.agg(F.count("*").alias("n")))
-    ranges = total(utterances, F.bool_and((F.col("start_ms") >= 0) & (F.col("start_ms") < F.col("end_ms")) & (F.col("end_ms") <= duration_ms)).alias("ok"), F.count("*").alias("n"))
-    same = ms.alias("s").join(units.alias("u"), "pos", "full").agg(
-        F.bool_and(F.coalesce((F.col("s.shot_id") == F.col("u.shot_id")) & (F.col("s.start_ms") == F.col("u.start_ms")) & (F.col("s.end_ms") == F.col("u.end_ms")) & (F.col("s.keyframe_path") == F.col("u.keyframe_path")), F.lit(False))).alias("ok"),
-        F.count("*").alias("n"),
-    )
-    refs = units.select(F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), F.explode("utterance_refs").alias("r")).select("a", "b", "r.*")
-    linked = refs.join(utterances.select("utterance_id", F.col("start_ms").alias("c"), F.col("end_ms").alias("d")), "utterance_id", "left")
-    lo, hi = F.greatest("a", "c"), F.least("b", "d")
-    exact = linked.agg(F.bool_and(F.coalesce((lo < hi) & (F.col("overlap_start_ms") == lo) & (F.col("overlap_end_ms") == hi) & (F.col("overlap_ms") == hi - lo), F.lit(False))).alias("ok"), F.count("*").alias("n"))
-    missing = utterances.join(refs, "utterance_id", "left_anti").agg(F.array_sort(F.collect_list("utterance_id")).alias("ids"))
-    return union([
-        line.agg(F.coalesce(F.bool_and("contiguous"), F.lit(False)).alias("ok"), F.sum("n").alias("n")).select(*check("shot_timeline_contiguous", F.col("ok"), F.col("n"))),
-        ids.select(*check("record_ids_unique", F.col("ok"), F.col("n"))),
-        frames.select(*check("one_keyframe_per_shot", (F.col("there") == F.col("n")) & (F.col("found") == F.col("n")), F.col("there"))),
-        ranges.select(*check("utterances_within_timeline", F.col("ok"), F.col("n"))),
-        same.select(*check("evidence_units_match_shots", F.col("ok"), F.col("n"))),
-        exact.select(*check("utterance_references_exact", F.col("ok"), F.col("n"))),
-        missing.select(*check("all_utterances_linked", F.size("ids") == 0, F.array_join("ids", ","))),
+    video = F.col("video_id")
+    ms = shots.select("video_id", "pos", "shot_id", F.rint(F.col("start_s") * 1000).cast("long").alias("start_ms"), F.rint(F.col("end_s") * 1000).cast("long").alias("end_ms"), "keyframe_path")
+    record = lambda: F.struct("shot_id", "start_ms", "end_ms", "keyframe_path")
+    none = F.lit(None).cast("struct<shot_id: string, start_ms: bigint, end_ms: bigint, keyframe_path: string>")
+    row = lambda space, key, n, m=0, x=none, y=none: F.struct(F.lit(space).alias("space"), key.cast("string").alias("key"), F.lit(n).cast("long").alias("n"), F.lit(m).cast("long").alias("m"), x.alias("x"), y.alias("y"))
+    tagged = lambda df, *rows: df.select("video_id", F.explode(F.array(*rows)).alias("t")).select("video_id", "t.*")
+    backwards = F.when(F.col("end_ms") < F.col("start_ms"), 1).otherwise(0)
+    timed = utterances.join(videos, "video_id", "left")
+    inside = F.coalesce((F.col("start_ms") >= 0) & (F.col("start_ms") < F.col("end_ms")) & (F.col("end_ms") <= F.col("duration_ms")), F.lit(False))
+    refs = units.select("video_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), F.explode("utterance_refs").alias("r")).select("video_id", "a", "b", "r.*")
+    rows = union([
+        tagged(ms, row("point", F.col("start_ms"), 1, backwards), row("point", F.col("end_ms"), -1), row("id", F.concat(F.lit("s:"), "shot_id"), 1), row("frame", F.col("keyframe_path"), 1), row("pos", F.col("pos"), 1, 0, record())),
+        tagged(videos, row("point", F.lit(0), -1), row("point", F.col("duration_ms"), 1)),
+        tagged(timed, row("id", F.concat(F.lit("u:"), "utterance_id"), 1), row("range", F.lit("u"), 1, F.when(inside, 0).otherwise(1)), row("link", F.col("utterance_id"), 1)),
+        tagged(refs, row("link", F.col("utterance_id"), 0, 1)),
+        tagged(keyframes, row("frame", F.col("path"), 0, 1)),
+        tagged(units, row("pos", F.col("pos"), 0, 1, none, record())),
     ])
+    keys = rows.groupBy("video_id", "space", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.min("x").alias("x"), F.min("y").alias("y"))
+    n, m, of = F.col("n"), F.col("m"), lambda space, c: F.coalesce(F.sum(F.when(F.col("space") == space, c)), F.lit(0))
+    wrong = lambda space, bad: of(space, F.coalesce(bad, F.lit(True)).cast("long"))
+    summed = keys.groupBy("video_id").agg(
+        wrong("point", (n != 0) | (m > 0)).alias("point"), wrong("id", n > 1).alias("id"), of("id", n).alias("ids"), of("id", F.when(F.col("key").startswith("s:"), n)).alias("shots"),
+        of("frame", F.when(m > 0, n)).alias("there"), of("frame", m).alias("found"), of("range", m).alias("range"), of("range", n).alias("utterances"),
+        wrong("pos", ~((n == 1) & (m == 1) & F.col("x").eqNullSafe(F.col("y")))).alias("pos"), of("pos", F.lit(1)).alias("places"), of("link", F.when(m == 0, n)).alias("missing"),
+    )
+    linked = refs.join(utterances.select("video_id", "utterance_id", F.col("start_ms").alias("c"), F.col("end_ms").alias("d")), ["video_id", "utterance_id"], "left")
+    lo, hi = F.greatest("a", "c"), F.least("b", "d")
+    fits = F.col("c").isNotNull() & (lo < hi) & (F.col("overlap_start_ms") == lo) & (F.col("overlap_end_ms") == hi) & (F.col("overlap_ms") == hi - lo)
+    exact = linked.groupBy("video_id").agg(F.count("*").alias("refs"), F.count_if(~F.coalesce(fits, F.lit(False))).alias("inexact"))
+    few = keys.where((F.col("space") == "link") & (m == 0)).withColumn("r", F.row_number().over(Window.partitionBy("video_id").orderBy("key"))).where(F.col("r") <= LISTED)
+    named = few.groupBy("video_id").agg(F.array_join(F.array_sort(F.flatten(F.collect_list(F.array_repeat("key", F.least(n, F.lit(LISTED)).cast("int"))))), ",").alias("names"))
+    all_ = summed.join(exact, "video_id", "left").join(named, "video_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    more = F.concat(F.coalesce("names", F.lit("")), F.when(F.col("missing") > LISTED, F.format_string(" of %d", "missing")).otherwise(""))
+    results = [
+        ("shot_timeline_contiguous", zero("point") & (F.col("shots") > 0), F.col("shots")), ("record_ids_unique", zero("id"), F.col("ids")),
+        ("one_keyframe_per_shot", (F.col("there") == F.col("shots")) & (F.col("found") == F.col("shots")), F.col("there")), ("utterances_within_timeline", zero("range"), F.col("utterances")),
+        ("evidence_units_match_shots", zero("pos"), F.col("places")), ("utterance_references_exact", zero("inexact"), F.coalesce("refs", F.lit(0))), ("all_utterances_linked", zero("missing"), more),
+    ]
+    listed = F.array(*[F.struct(F.lit(k).alias("name"), ok.alias("passed"), d.cast("string").alias("details")) for k, ok, d in results])
+    return all_.where(video.isNotNull()).select("video_id", F.explode(listed).alias("c")).select("video_id", "c.*")
 
 
 def container_checks(probed: DataFrame, duration_ms: int) -> DataFrame:
@@ -110,14 +134,15 @@ def schema_errors(df: DataFrame, key: str, required: list[str], enums: dict[str,
 
 
 #: How a variant's type begins, for each type of a JSON schema.
-JSON_TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|DECIMAL|FLOAT)", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
+JSON_TYPES = {"string": "STRING", "number": "(BIGINT|DOUBLE|DECIMAL|FLOAT)", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT", "null": "VOID"}
 
 
 def json_errors(df: DataFrame, key: str, text: str, schema: dict) -> DataFrame:
     """(key, error): a row for each rule of a JSON schema that a text breaks; a text that is no JSON breaks one.
 
-    Known rules: type, const, enum, minLength, pattern, minimum, maximum, required, properties, minItems, items (nested as deep as
-    the schema is). The schema becomes one expression over a parsed variant, so rows are checked in the plan.
+    Known rules: type (one or a list), const and enum (of texts, numbers, booleans and null), minLength, pattern, minimum, maximum, required, properties,
+    minItems, items (nested as deep as the schema is). As JSON Schema has it, a number without a fraction is an integer however it is written, and 1 is not true. The schema becomes one
+    expression over a parsed variant, so rows are checked in the plan.
     """
     rows = df.select(key, F.try_parse_json(text).alias("__v"))
     broken = F.when(F.col("__v").isNull(), F.array(F.lit("not JSON"))).otherwise(_broken(F.col("__v"), schema, "$"))
@@ -128,14 +153,30 @@ def _broken(v: Column, schema: dict, at: str) -> Column:
     kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
     number = F.try_variant_get(v, "$", "double")
     said = lambda bad, message: F.when(F.coalesce(bad, F.lit(False)), F.lit(f"{at}: {message}"))
-    is_ = lambda name: kind.rlike(f"^{JSON_TYPES[name]}")
+
+    def is_(name):
+        if name == "integer":
+            return is_("number") & F.coalesce(number == F.floor(number), F.lit(False))
+        return F.coalesce(kind.rlike(f"^{JSON_TYPES[name]}"), F.lit(False))
+
+    def equals(value):
+        """Of the value's own type, so that neither 1 nor "true" is true."""
+        if value is None:
+            return is_("null")
+        if isinstance(value, bool):
+            return is_("boolean") & F.coalesce(F.try_variant_get(v, "$", "boolean") == value, F.lit(False))
+        if isinstance(value, (int, float)):
+            return is_("number") & F.coalesce(number == float(value), F.lit(False))
+        return is_("string") & F.coalesce(text == value, F.lit(False))
+
     found = []
     if "type" in schema:
-        found.append(said(~is_(schema["type"]), f"is not of type {schema['type']}"))
+        types = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
+        found.append(said(~reduce(lambda a, t: a | is_(t), types, F.lit(False)), f"is not of type {' or '.join(types)}"))
     if "const" in schema:
-        found.append(said(text.isNull() | (text != str(schema["const"])), f"is not {schema['const']}"))
+        found.append(said(~equals(schema["const"]), f"is not {json.dumps(schema['const']) if not isinstance(schema['const'], str) else schema['const']}"))
     if "enum" in schema:
-        found.append(said(text.isNull() | ~text.isin(*map(str, schema["enum"])), "is not one of its values"))
+        found.append(said(~reduce(lambda a, x: a | equals(x), schema["enum"], F.lit(False)), "is not one of its values"))
     if "minLength" in schema:
         found.append(said(is_("string") & (F.length(text) < schema["minLength"]), "is too short"))
     if "pattern" in schema:
@@ -156,12 +197,19 @@ def _broken(v: Column, schema: dict, at: str) -> Column:
     return F.concat(F.array(*found).cast("array<string>") if found else none, *[F.coalesce(n, none) for n in nested])
 
 
-def manifest_checks(expected: DataFrame, files: DataFrame, tasks: DataFrame, videos: DataFrame, capacity: int, count: int, hashes: bool = True) -> DataFrame:
-    """Capacity, artefacts, hashes, tasks and their number."""
+def manifest_checks(expected: DataFrame, files: DataFrame, tasks: DataFrame, videos: DataFrame, capacity: int, count: int, hashes: bool = True, schemas: dict[str, DataFrame] | None = None, unsafe: DataFrame | None = None) -> DataFrame:
+    """Capacity, artefacts, hashes, tasks and their number; for each of schemas (name of the check: errors, as json_errors gives them) a check of it.
+
+    unsafe: paths that leave the package, which are findings of the check of paths.
+    """
     used = files.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"))
-    found = artifact_errors(expected, files, hashes).agg(F.sum((F.col("error") != "sha256 mismatch").cast("int")).alias("p"), F.sum((F.col("error") == "sha256 mismatch").cast("int")).alias("h"))
+    errors = artifact_errors(expected, files, hashes)
+    if unsafe is not None:
+        errors = errors.unionByName(unsafe.select("path", F.lit("leaves the package").alias("error")))
+    found = errors.agg(F.sum((F.col("error") != "sha256 mismatch").cast("int")).alias("p"), F.sum((F.col("error") == "sha256 mismatch").cast("int")).alias("h"))
     n = tasks.agg(F.count("*").alias("n"))
     return union([
+        *[e.agg(F.count("*").alias("n")).select(*check(name, F.col("n") == 0, F.col("n"))) for name, e in (schemas or {}).items()],
         used.select(*check("offline_package_capacity", F.col("b") <= capacity, F.col("b"))),
         found.select(*check("artifact_paths_and_sizes", F.coalesce("p", F.lit(0)) == 0, F.col("p"))), found.select(*check("artifact_hashes", F.coalesce("h", F.lit(0)) == 0, F.col("h"))),
         task_checks(tasks, videos), n.select(*check("task_count", F.col("n") == count, F.col("n"))),

@@ -58,12 +58,22 @@ def missing_assets(spark, sf_dir):
     return au.orphans(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
 
 
+MANIFEST_SCHEMA = {
+    "type": "object", "required": ["dataset_id", "capacity", "tasks"],
+    "properties": {"capacity": {"type": "object", "required": ["hard_limit_bytes"], "properties": {"hard_limit_bytes": {"type": "integer", "minimum": 1}}}, "tasks": {"type": "object", "properties": {"count": {"type": "integer"}}}},
+}
+TASK_SCHEMA = {
+    "type": "object", "required": ["task_id", "video_id", "split"],
+    "properties": {"task_id": {"type": ["integer", "string"]}, "video_id": {"type": "string", "minLength": 1}, "split": {"enum": ["train", "val", "test", "smoke"]}, "query": {"type": "string", "pattern": "[^ ]"}},
+}
+
+
 @plan("""WITH f AS (SELECT doc_id, source, strlen(text) AS b FROM documents), t AS (SELECT o_orderkey % 7 + 1 AS n, o_custkey AS v, o_orderkey % 50 + 1 AS q FROM orders),
 e AS (SELECT sum((doc_id % 41 = 0)::INT + (doc_id % 41 <> 0 AND doc_id % 43 = 0)::INT) AS p, sum((doc_id % 41 <> 0 AND doc_id % 47 = 0)::INT) AS h FROM f),
 r AS (SELECT sum(CASE WHEN v % 50 = 0 THEN 1 ELSE (n = 7)::INT + (q = 1)::INT + (q > 45)::INT + (n = 6)::INT END) AS e FROM t),
 l AS (SELECT count(*) AS n FROM (SELECT v FROM t WHERE n IN (1, 2, 3) GROUP BY v HAVING count(DISTINCT n) > 1))
 SELECT 'offline_package_capacity' AS name, sum(b) <= 1000000000 AS passed, sum(b)::BIGINT::VARCHAR AS details FROM f WHERE doc_id % 41 <> 0 UNION ALL SELECT 'artifact_paths_and_sizes', p = 0, p::VARCHAR FROM e UNION ALL SELECT 'artifact_hashes', h = 0, h::VARCHAR FROM e
-UNION ALL SELECT 'task_schema_and_ranges', e = 0 AND n = 0, e::VARCHAR FROM r, l UNION ALL SELECT 'video_level_split_isolation', n = 0, n::VARCHAR FROM l UNION ALL SELECT 'task_count', count(*) = 1000, count(*)::VARCHAR FROM t""")
+UNION ALL SELECT 'task_schema_and_ranges', e = 0 AND n = 0, e::VARCHAR FROM r, l UNION ALL SELECT 'video_level_split_isolation', n = 0, n::VARCHAR FROM l UNION ALL SELECT 'task_count', count(*) = 1000, count(*)::VARCHAR FROM t UNION ALL SELECT 'task_json_schema', false, sum((n = 7)::INT + (q = 1)::INT + (v % 3 = 0)::INT)::BIGINT::VARCHAR FROM t UNION ALL SELECT 'manifest_json_schema', false, '2'""")
 def manifest_audit(spark, sf_dir):
     """Files are documents, of which some are not there, have another size or another hash; tasks are orders, with faults of each kind."""
     i, digest = F.col("doc_id"), F.upper(F.sha2(F.col("text").cast("binary"), 256))
@@ -76,7 +86,12 @@ def manifest_audit(spark, sf_dir):
         F.array(F.struct(F.lit(0).cast("long").alias("start_ms"), q.alias("end_ms"))).alias("target_segments"), F.when(n != 6, F.array(F.lit("s"))).alias("shot_ids"),
     )
     videos = table(spark, sf_dir, "customer").where("c_custkey % 50 <> 0").select(F.col("c_custkey").alias("video_id"), F.lit(45).cast("long").alias("duration_ms"))
-    return au.manifest_checks(want, d.where(i % 41 != 0).select("path", "bytes", "sha256"), t, videos, 1_000_000_000, 1000)
+    # Tasks as texts: a third names its video by a number, not a name. The manifest has neither a name nor a whole number of tasks.
+    named = F.when(F.col("video_id") % 3 == 0, F.format_string('%d', "video_id")).otherwise(F.format_string('"%d"', "video_id"))
+    texts = t.select("task_id", F.format_string('{"task_id": %d, "video_id": %s, "split": "%s", "query": "%s"}', "task_id", named, "split", "query").alias("text"))
+    manifest = t.agg(F.format_string('{"capacity": {"hard_limit_bytes": 1e9}, "tasks": {"count": %d.5}}', F.count("*")).alias("text")).withColumn("key", F.lit("manifest"))
+    schemas = {"manifest_json_schema": au.json_errors(manifest, "key", "text", MANIFEST_SCHEMA), "task_json_schema": au.json_errors(texts, "task_id", "text", TASK_SCHEMA)}
+    return au.manifest_checks(want, d.where(i % 41 != 0).select("path", "bytes", "sha256"), t, videos, 1_000_000_000, 1000, schemas=schemas)
 
 
 @plan("SELECT o_orderkey AS task_id, o_custkey AS video_id, o_orderkey / 8 AS start_s, (o_custkey + 500) / 1000 AS length_s FROM orders WHERE o_orderstatus = 'F'")

@@ -11,6 +11,7 @@ from ..operators import metrics as mx
 from ..operators import prompts as pr
 from ..operators import sampling as sp
 from ..operators import training as tr
+from ..session import checkpointed
 from ..sources import files as fs
 from .tables import table
 
@@ -296,37 +297,29 @@ UNION ALL SELECT variant, 'evidence_units_match_shots', variant NOT IN ('gap', '
 UNION ALL SELECT variant, 'utterance_references_exact', variant NOT IN ('off', 'late'), (refs - CASE WHEN variant = 'unlinked' THEN (SELECT sum(1 + (e > (pos + 1) * 1000 AND pos + 1 < n)::INT) FROM u WHERE pos % 999 = 0) ELSE 0 END + CASE WHEN variant = 'twice' THEN 2 ELSE 0 END)::VARCHAR FROM v, c
 UNION ALL SELECT variant, 'all_utterances_linked', variant <> 'unlinked', CASE WHEN variant = 'unlinked' THEN (SELECT string_agg(id, ',' ORDER BY id) FROM u WHERE pos % 999 = 0) ELSE '' END FROM v""")
 def media_audit(spark, sf_dir):
-    variants = ("sound", "gap", "twice", "frameless", "late", "moved", "off", "unlinked")
+    """Each variant is a video of its own; all are checked at once."""
+    faults = ("sound", "gap", "twice", "frameless", "late", "moved", "off", "unlinked")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
-    n = sp.ranked(o, ["k"]).withColumnRenamed("__rank", "pos")
-    return au.union([_media(o, n, v).select(F.lit(v).alias("variant"), "name", "passed", "details") for v in variants])
-
-
-def _media(o, n, fault):
-    total = o.agg((F.count("*") * 1000).alias("ms")).scalar()
-    shots = n.select("pos", F.format_string("shot_%08d", "pos").alias("shot_id"), F.col("pos").cast("double").alias("start_s"), (F.col("pos") + 1).cast("double").alias("end_s"), F.format_string("k/%08d.jpg", "pos").alias("keyframe_path"))
-    utts = n.where("pos % 3 = 0").select(F.format_string("utt_%08d", "pos").alias("utterance_id"), (F.col("pos") * 1000 + 250).alias("start_ms"), F.least(total, F.col("pos") * 1000 + 1750).alias("end_ms"))
-    tl = shots.select(F.lit("v").alias("video_id"), "pos", "shot_id", (F.col("pos") * 1000).alias("start_ms"), ((F.col("pos") + 1) * 1000).alias("end_ms"), "keyframe_path")
-    near = utts.select(F.lit("v").alias("video_id"), "utterance_id", "start_ms", "end_ms")
-    joined = iv.overlap_join(tl, near, ["video_id"])
+    n = checkpointed(sp.ranked(o, ["k"]).withColumnRenamed("__rank", "pos"))
+    total = n.agg((F.count("*") * 1000).alias("total"))
+    shots = n.select("pos", F.format_string("shot_%08d", "pos").alias("shot_id"), (F.col("pos") * 1000).alias("start_ms"), ((F.col("pos") + 1) * 1000).alias("end_ms"), F.format_string("k/%08d.jpg", "pos").alias("keyframe_path"))
+    utts = n.where("pos % 3 = 0").join(F.broadcast(total)).select(F.format_string("utt_%08d", "pos").alias("utterance_id"), (F.col("pos") * 1000 + 250).alias("start_ms"), F.least("total", F.col("pos") * 1000 + 1750).alias("end_ms"), "total")
+    one = lambda df: df.withColumn("video", F.lit("v"))
+    joined = iv.overlap_join(one(shots), one(utts.drop("total")), ["video"])
     refs = joined.groupBy("pos", "shot_id", "start_ms", "end_ms", "keyframe_path").agg(F.collect_list(F.when(F.col("right_utterance_id").isNotNull(), F.struct(F.col("right_utterance_id").alias("utterance_id"), "overlap_start_ms", "overlap_end_ms", "overlap_ms"))).alias("utterance_refs"))
-    frames = shots.select("pos", F.col("keyframe_path").alias("path"))
-    if fault == "gap":
-        shots = shots.withColumn("start_s", F.col("start_s") + F.when(F.col("pos") % 1000 == 7, 0.5).otherwise(0.0))
-    elif fault == "twice":
-        utts = utts.unionByName(utts.where(F.col("utterance_id") == "utt_00000003"))
-    elif fault == "frameless":
-        frames = frames.where("pos % 1000 <> 5")
-    elif fault == "late":
-        utts = utts.withColumn("end_ms", F.when(F.col("utterance_id") == "utt_00000003", total + 1).otherwise(F.col("end_ms")))
-    elif fault == "moved":
-        refs = refs.withColumn("keyframe_path", F.when(F.col("pos") % 1000 == 7, "elsewhere").otherwise(F.col("keyframe_path")))
-    elif fault == "off":
-        refs = refs.withColumn("utterance_refs", F.transform("utterance_refs", lambda r: r.withField("overlap_ms", r["overlap_ms"] + F.when(F.col("pos") % 1000 == 0, 1).otherwise(0))))
-    elif fault == "unlinked":
-        number = lambda r: F.substring(r["utterance_id"], 5, 8).cast("long")
-        refs = refs.withColumn("utterance_refs", F.filter("utterance_refs", lambda r: number(r) % 999 != 0))
-    return au.media_checks(shots, utts, refs, frames.select("path"), total)
+    each = lambda df: df.withColumn("video_id", F.explode(F.array(*map(F.lit, faults))))
+    is_, hit = lambda v: F.col("video_id") == v, lambda k: F.col("pos") % 1000 == k
+    third = F.col("utterance_id") == "utt_00000003"
+    seconds = each(shots).select("video_id", "pos", "shot_id", (F.col("start_ms") / 1000 + F.when(is_("gap") & hit(7), 0.5).otherwise(0.0)).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), "keyframe_path")
+    heard = each(utts).withColumn("end_ms", F.when(is_("late") & third, F.col("total") + 1).otherwise(F.col("end_ms"))).drop("total")
+    heard = heard.unionByName(heard.where(is_("twice") & third))
+    moved = F.transform("utterance_refs", lambda r: r.withField("overlap_ms", r["overlap_ms"] + F.when(is_("off") & hit(0), 1).otherwise(0)))
+    number = lambda r: F.substring(r["utterance_id"], 5, 8).cast("long")
+    linked = F.filter(moved, lambda r: ~is_("unlinked") | (number(r) % 999 != 0))
+    units = each(refs).withColumns({"keyframe_path": F.when(is_("moved") & hit(7), "elsewhere").otherwise(F.col("keyframe_path")), "utterance_refs": linked})
+    frames = each(shots).where(~(is_("frameless") & hit(5))).select("video_id", F.col("keyframe_path").alias("path"))
+    videos = total.select(F.explode(F.array(*map(F.lit, faults))).alias("video_id"), F.col("total").alias("duration_ms"))
+    return au.media_checks(seconds, heard, units, frames, videos).withColumnRenamed("video_id", "variant")
 
 
 @plan("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders")

@@ -166,19 +166,51 @@ def test_text(spark):
     assert one(tc.seconds_to_ms(F.lit(13.8125))) == 13812
 
 
-def media(spark, gap=False, overlap=1000):
-    s = [(0, "s1", 0.0, 5.0, "k1"), (1, "s2", 5.5 if gap else 5.0, 10.0, "k2")]
-    shots_ = spark.createDataFrame(s, "pos long, shot_id string, start_s double, end_s double, keyframe_path string")
-    utts = spark.createDataFrame([("u1", 1000, 2000)], "utterance_id string, start_ms long, end_ms long")
-    units = spark.createDataFrame([(0, "s1", 0, 5000, "k1", [("u1", 1000, 2000, overlap)]), (1, "s2", 5000, 10000, "k2", [])], "pos long, shot_id string, start_ms long, end_ms long, keyframe_path string, utterance_refs array<struct<utterance_id string, overlap_start_ms long, overlap_end_ms long, overlap_ms long>>")
-    frames = spark.createDataFrame([("k1",), ("k2",)], "path string")
-    return {r.name for r in au.media_checks(shots_, utts, units, frames, 10000).collect() if not r.passed}
+REFS = "array<struct<utterance_id string, overlap_start_ms long, overlap_end_ms long, overlap_ms long>>"
+
+
+def media(spark, **videos):
+    """Names of the failed checks of each video, each with one change to sound records."""
+    s, u, n, k, v = [], [], [], [], []
+    for name, change in videos.items():
+        shots_ = change.get("shots", [(0, "s1", 0.0, 5.0, "k1"), (1, "s2", 5.0, 10.0, "k2")])
+        s += [(name, *x) for x in shots_]
+        u += [(name, *x) for x in change.get("utts", [("u1", 1000, 2000)])]
+        refs = [("u1", 1000, 2000, change.get("overlap", 1000))] if change.get("refs", True) else []
+        n += [(name, p, i, int(a * 1000), int(b * 1000), f, refs if p == 0 else []) for p, i, a, b, f in change.get("units", shots_)]
+        k += [(name, f) for f in change.get("frames", [x[4] for x in shots_])]
+        v.append((name, 10000))
+    frame = lambda rows_, kind: spark.createDataFrame(rows_, f"video_id string, {kind}")
+    out = au.media_checks(
+        frame(s, "pos long, shot_id string, start_s double, end_s double, keyframe_path string"), frame(u, "utterance_id string, start_ms long, end_ms long"),
+        frame(n, f"pos long, shot_id string, start_ms long, end_ms long, keyframe_path string, utterance_refs {REFS}"), frame(k, "path string"), frame(v, "duration_ms long"),
+    ).collect()
+    assert len(out) == 7 * len(videos)
+    return {name: {r.name for r in out if r.video_id == name and not r.passed} for name in videos}, {(r.video_id, r.name): r.details for r in out}
 
 
 def test_media_audit(spark):
-    assert media(spark) == set()
-    assert media(spark, gap=True) == {"shot_timeline_contiguous", "evidence_units_match_shots"}
-    assert media(spark, overlap=999) == {"utterance_references_exact"}
+    sound = [(0, "s1", 0.0, 5.0, "k1"), (1, "s2", 5.0, 10.0, "k2")]
+    got, details = media(
+        spark, sound={}, gap={"shots": [sound[0], (1, "s2", 5.5, 10.0, "k2")], "units": sound}, off={"overlap": 999}, unlinked={"refs": False}, twice={"utts": [("u1", 1000, 2000)] * 2}, late={"utts": [("u1", 1000, 10001)]},
+        frameless={"frames": ["k1"]}, spare={"frames": ["k1", "k2", "k3"]}, lapping={"shots": [sound[0], (1, "s2", 4.0, 10.0, "k2")]}, short={"shots": sound[:1]}, back={"shots": [(0, "s1", 0.0, 10.0, "k1"), (1, "s2", 10.0, 5.0, "k2"), (2, "s3", 5.0, 10.0, "k3")]}, empty={"shots": [], "utts": []}, moved={"units": [sound[0], (1, "s2", 5.0, 10.0, "k9")]},
+    )
+    assert got == {
+        "sound": set(), "gap": {"shot_timeline_contiguous", "evidence_units_match_shots"}, "off": {"utterance_references_exact"}, "unlinked": {"all_utterances_linked"}, "twice": {"record_ids_unique"}, "late": {"utterances_within_timeline", "utterance_references_exact"},
+        "frameless": {"one_keyframe_per_shot"}, "spare": {"one_keyframe_per_shot"}, "lapping": {"shot_timeline_contiguous"}, "short": {"shot_timeline_contiguous"}, "back": {"shot_timeline_contiguous"}, "empty": {"shot_timeline_contiguous"}, "moved": {"evidence_units_match_shots"},
+    }
+    assert details["unlinked", "all_utterances_linked"] == "u1" and details["twice", "record_ids_unique"] == "4" and details["frameless", "one_keyframe_per_shot"] == "1"
+    many = media(spark, v={"utts": [(f"u{i:04}", 1000, 2000) for i in range(150)], "refs": False})[1]["v", "all_utterances_linked"]
+    assert many == ",".join(f"u{i:04}" for i in range(100)) + " of 150"
+
+
+def test_media_audit_has_few_exchanges(spark):
+    frame = lambda kind: spark.createDataFrame([], f"video_id string, {kind}")
+    df = au.media_checks(
+        frame("pos long, shot_id string, start_s double, end_s double, keyframe_path string"), frame("utterance_id string, start_ms long, end_ms long"),
+        frame(f"pos long, shot_id string, start_ms long, end_ms long, keyframe_path string, utterance_refs {REFS}"), frame("path string"), frame("duration_ms long"),
+    )
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") < 40
 
 
 def test_task_and_manifest_audit(spark):
@@ -357,6 +389,25 @@ def test_audit_command(spark, tmp_path, capsys):
     m["videos"][0]["artifacts"][0] |= {"bytes": 4}
     (tmp_path / "m.json").write_text(json.dumps(m))
     assert audit.main([str(tmp_path / "m.json"), "--root", str(tmp_path), "--skip-hashes"]) == 0
+    # Schemas of the manifest and of its tasks, and a path that leaves the package.
+    (tmp_path / "schema.json").write_text(json.dumps({"required": ["capacity"], "type": "object", "properties": {"capacity": {"type": "object", "properties": {"hard_limit_bytes": {"type": "integer", "maximum": 10**6}}}}}))
+    (tmp_path / "task.json").write_text(json.dumps({"type": "object", "properties": {"split": {"enum": ["train"]}, "query": {"minLength": 1}}}))
+    m["tasks"]["schema"] = "task.json"
+
+    def run(change=None):
+        (tmp_path / "m.json").write_text(json.dumps(m | (change or {})))
+        capsys.readouterr()
+        status = audit.main([str(tmp_path / "m.json"), "--root", str(tmp_path), "--skip-hashes", "--schema", str(tmp_path / "schema.json")])
+        out = json.loads(capsys.readouterr().out)
+        return status, {c["name"] for c in out["checks"] if not c["passed"]}, len(out["checks"])
+
+    assert run() == (0, set(), 8)
+    assert run({"capacity": {"hard_limit_bytes": 10**7}}) == (1, {"manifest_json_schema"}, 8)
+    (tmp_path / "tasks.jsonl").write_text(json.dumps(task | {"query": ""}) + "\n\n")
+    assert run()[1] == {"task_json_schema", "task_schema_and_ranges"}
+    (tmp_path / "tasks.jsonl").write_text(json.dumps(task) + "\n")
+    m["videos"][0]["artifacts"].append({"path": "../x", "bytes": 1, "sha256": "0"})
+    assert run()[:2] == (1, {"artifact_paths_and_sizes"})
 
 
 def test_features_and_tasks(spark, tmp_path):
@@ -471,6 +522,17 @@ def test_json_schema(spark):
     }
 
 
+def test_json_schema_types(spark):
+    """Booleans are not numbers or texts, a list of types is any of them, and 2.0 is an integer."""
+    texts = ["true", "1", '"true"', "false", "2.0", "2.5", "null", '"x"', "[]", "1e3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    ok = lambda schema: [t for i, t in enumerate(texts) if i not in {r.i for r in au.json_errors(df, "i", "t", schema).collect()}]
+    assert ok({"const": True}) == ["true"] and ok({"const": 1}) == ["1"] and ok({"const": "true"}) == ['"true"'] and ok({"const": None}) == ["null"]
+    assert ok({"type": "integer"}) == ["1", "2.0", "1e3"] and ok({"type": "number"}) == ["1", "2.0", "2.5", "1e3"]
+    assert ok({"type": ["boolean", "null"]}) == ["true", "false", "null"] and ok({"type": ["string", "array"]}) == ['"true"', '"x"', "[]"]
+    assert ok({"enum": [True, 2, "x", None]}) == ["true", "2.0", "null", '"x"']
+
+
 def test_text_embedding_on_executors(spark):
     def encoder():
         return lambda texts: [[float(len(t)), 1.0] for t in texts]
