@@ -341,12 +341,6 @@ def test_dispatch(spark):
 def test_streams(spark, tmp_path):
     from evidentia.streaming import sessions as ss
 
-    data = [(1, 0, 1000), (1, 3000, 9000), (1, 12000, 13000), (1, 30000, 31000), (2, 5000, 6000)]
-    spark.createDataFrame(data, "user_id long, start_ms long, end_ms long").coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema("user_id long, start_ms long, end_ms long").parquet(str(tmp_path / "in"))
-    q = ss.end_gap_sessions(s, 5000).writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert rows(spark.table("closed")) == [(1, 0, 13000, 3)]
     spark.sql("select timestamp'2024-01-01 00:00:01' ts, 'a' event_type, 2.0 value, 7L user_id union all select timestamp'2024-01-01 00:00:20', 'a', 1.0, 7L").write.parquet(str(tmp_path / "ev"))
     ev = lambda: spark.readStream.schema("ts timestamp, event_type string, value double, user_id long").parquet(str(tmp_path / "ev"))
     for name, df in (("win", ss.windowed_counts(ev(), "10 seconds", "1 minute")), ("gap", ss.gap_sessions(ev(), "5 seconds", "1 minute"))):
@@ -354,6 +348,61 @@ def test_streams(spark, tmp_path):
     assert spark.table("win").count() == 2
 
 
+def streamed(spark, folder, parts, schema):
+    """A stream of one file a batch, in the order of parts."""
+    import os
+    import time
+
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/{i:02}")
+        at = time.time() - 1000 + 10 * i
+        for f in os.listdir(f"{folder}/{i:02}"):
+            os.utime(f"{folder}/{i:02}/{f}", (at, at))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def drained(df, name, folder):
+    df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(folder / f"cp-{name}")).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.table(name)
+
+
+def test_streamed_sessions_are_those_of_the_table(spark, tmp_path):
+    """Rows out of order within the bound give the batch query's sessions; the last of each user comes out by the watermark, and rows beyond it are dropped."""
+    from evidentia.streaming import sessions as ss
+
+    rng = np.random.default_rng(12)
+    kind = "user_id long, start_ms long, end_ms long"
+    data = [(int(rng.integers(3)), int(s), int(s + rng.integers(0, 900))) for s in np.sort(rng.integers(0, 60_000, 90))]
+    order = np.argsort([s + rng.integers(0, 4000) for _, s, _ in data])  # at most 4 s out of order
+    parts = [[data[i] for i in order[a : a + 18]] for a in range(0, 90, 18)]
+    far = [[(9, 200_000, 200_001)], [(0, 100, 90_000), (9, 400_000, 400_001)], [(9, 500_000, 500_001)]]  # with a row that is much too late
+    got = drained(ss.end_gap_sessions(streamed(spark, tmp_path / "in", parts + far, kind), 1500, "5 seconds"), "closed", tmp_path).where("user_id <> 9")
+    batch = iv.sessionize(spark.createDataFrame(data, kind), ["user_id"], 1500, ["start_ms", "end_ms"])
+    want = batch.groupBy("user_id", "session").agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("b"), F.count("*").alias("n")).select("user_id", "a", "b", "n")
+    assert sorted(rows(got)) == sorted(rows(want)) and want.count() > 12
+
+
+def test_streamed_overlaps_are_those_of_the_tables(spark, tmp_path):
+    from evidentia.streaming import sessions as ss
+
+    rng = np.random.default_rng(13)
+    side = lambda name, n: [(f"v{rng.integers(2)}", f"{name}{i}", int(s), int(s + rng.integers(0, 3000))) for i, s in enumerate(rng.integers(0, 50_000, n))]
+    a, b = side("a", 60), side("b", 45)
+
+    def cut(x, far):
+        shuffled = sorted(x, key=lambda r: r[2] + rng.integers(0, 2000))
+        return [shuffled[i : i + 15] for i in range(0, len(x), 15)] + [[("v0", "far", t, t + 1)] for t in far]
+
+    kind = lambda name: f"video_id string, {name} string, start_ms long, end_ms long"
+    left, right = streamed(spark, tmp_path / "a", cut(a, (300_000, 500_000)), kind("a")), streamed(spark, tmp_path / "b", cut(b, (300_000, 500_000, 700_000)), kind("b"))
+    got = drained(ss.streamed_overlaps(left, right, ["video_id"], 3000, "60 seconds"), "shared", tmp_path).where("a <> 'far'")
+    want = iv.overlap_join(spark.createDataFrame(a, kind("a")), spark.createDataFrame(b, kind("b")), ["video_id"])
+    assert sorted(rows(got.select(*want.columns)), key=repr) == sorted(rows(want), key=repr) and want.where("right_b is null").count() > 5
+    long = streamed(spark, tmp_path / "c", [[("v0", "x", 0, 9000)]], kind("a"))
+    with pytest.raises(Exception, match="longer than 3000 ms"):
+        drained(ss.streamed_overlaps(long, right, ["video_id"], 3000, "60 seconds"), "bad", tmp_path)
+
+
 def test_registry(spark):
     from evidentia.operators import registry as rg
 
