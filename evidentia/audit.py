@@ -28,10 +28,9 @@ def audit(spark, manifest: dict, root: str, hashes: bool = True, schema: dict |
     expected = spark.createDataFrame(artifacts, "path string, bytes long, sha256 string")
     there = fs.listing(spark, root)
     found = there.withColumn("sha256", F.lit(None).cast("string"))
-    wanted = [fs.safe_path(root, p) for p, *_ in artifacts if os.path.isfile(fs.safe_path(root, p))]
-    if hashes and wanted:
+    if hashes and artifacts:
         base = os.path.realpath(root).rstrip("/") + "/"
-        sums = spark.read.format("binaryFile").load(wanted).select("path", F.sha2("content", 256).alias("sha256"))
+        sums = fs.hashes(spark, os.path.realpath(root), [base + p for p, *_ in artifacts])
         found = there.join(sums.select(F.expr(f"substring(path, locate('{base}', path) + {len(base)})").alias("path"), "sha256"), "path", "left")
     at = fs.safe_path(root, manifest["tasks"]["path"])
     tasks = fs.read_jsonl(spark, at, TASK).withColumn("shot_ids", F.col("evidence.shot_ids"))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import vectors as vx
 from ..functions.timecode import seconds_to_ms
@@ -27,9 +28,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def read_ordered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines of one file with pos, the line's place: the file is read whole, as line order is not kept over splits."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
-    return lines.select("pos", F.from_json("line", schema).alias("r")).select("pos", "r.*")
+    """JSON lines with pos, the line's place among those that are not blank, from 0; of several files in order of their paths.
+
+    The files are read in splits, in many tasks: lines are numbered within a split as they are read, and a split's first number comes from the lines of
+    those before it, of which there is a row each.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    placed = lines.where(F.col("value").rlike(r"\S")).withColumn("__id", F.monotonically_increasing_id())  # one after the other within a split
+    splits = placed.groupBy("__file", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1))
+    at = splits.select("__file", "__block", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift"))
+    numbered = placed.join(at, ["__file", "__block"]).select((F.col("__id") + F.col("__shift")).alias("pos"), F.from_json("value", schema).alias("r"))
+    return numbered.select("pos", "r.*")
 
 
 TASK = "task_id string, query string, search_terms array<string>, target_start_ms long, target_end_ms long, split string"
@@ -64,19 +74,64 @@ def load_shots(spark: SparkSession, path: str) -> DataFrame:
     return s.select("pos", "shot_id", seconds_to_ms(F.col("start_s")).alias("start_ms"), seconds_to_ms(F.col("end_s")).alias("end_ms"), seconds_to_ms(F.col("keyframe_s")).alias("keyframe_ms"), "keyframe_path")
 
 
+def opened(path: str):
+    """A file of a path as Spark gives it, for reading in blocks: through Python where it is local (or on a mounted share), else through Arrow's file systems."""
+    if path.startswith("file:"):
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inside)
+
+
+#: Schemes of paths that opened() can read; files of others come through Spark, whole.
+STREAMED = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
+#: Bytes that are read at a time.
+BLOCK = 8 << 20
+
+
+def _files(spark: SparkSession, path: str, recursive: bool = False) -> tuple[DataFrame, bool]:
+    """path, bytes of files and, where opened() cannot read them, content; and whether it can. Without content only the listing is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    scheme = path.partition("://")[0] if "://" in path else spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration()).getScheme()
+    streamed = path.startswith("file:") or scheme in STREAMED
+    return found.select("path", F.col("length").alias("bytes"), *([] if streamed else ["content"])), streamed
+
+
+def member_blocks(archive, name: str, block: int = BLOCK):
+    """The array of a member of an open NPZ archive in blocks of rows of some bytes, without holding it whole."""
+    import numpy as np
+
+    with archive.zip.open(f"{name}.npy") as f:
+        version = np.lib.format.read_magic(f)
+        shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+        if fortran or kind.hasobject or not shape:  # no rows one after the other
+            yield archive[name]
+            return
+        row = kind.itemsize * int(np.prod(shape[1:], dtype=np.int64))
+        step = max(1, block // max(1, row))
+        for a in range(0, shape[0], step):
+            n = min(step, shape[0] - a)
+            yield np.frombuffer(f.read(n * row), kind).reshape(n, *shape[1:])
+
+
 def read_npz(spark: SparkSession, path: str, ids: str = "shot_ids", vectors: str = "embeddings") -> DataFrame:
-    """(path, id, embedding) of NPZ archives, a file at a time on the executors."""
+    """(path, id, embedding) of NPZ archives, a file at a time on the executors; members are read in blocks. Without ids rows are numbered."""
+    files, streamed = _files(spark, path)
+
     def unpack(batches):
         import numpy as np
 
         for b in batches:
-            for p, raw in zip(b.path, b.content, strict=True):
-                with np.load(io.BytesIO(raw)) as z:
-                    m = z[vectors].astype("float32")
-                    names = [str(x) for x in z[ids]] if ids in z else [str(i) for i in range(len(m))]
-                yield pd.DataFrame({"path": p, "id": names, "embedding": list(m)})
+            for r in b.itertuples():
+                with opened(r.path) if streamed else io.BytesIO(r.content) as f, np.load(f) as z:
+                    names, at = (z[ids] if ids in z else None), 0
+                    for m in member_blocks(z, vectors):
+                        part = [str(x) for x in (names[at : at + len(m)] if names is not None else range(at, at + len(m)))]
+                        at += len(m)
+                        yield pd.DataFrame({"path": r.path, "id": part, "embedding": list(m.astype("float32"))})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "path string, id string, embedding array<float>")
+    return files.mapInPandas(unpack, "path string, id string, embedding array<float>")
 
 
 def read_vectors(spark: SparkSession, path: str | None) -> DataFrame:
@@ -97,9 +152,24 @@ def inventory(files: DataFrame) -> DataFrame:
     return files.groupBy(F.split("path", "/")[0].alias("top")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes")).orderBy(F.desc("bytes"), "top")
 
 
-def hashes(spark: SparkSession, root: str) -> DataFrame:
-    """(path, bytes, sha256 in upper case) of files that fit in a task's memory."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"), F.upper(F.sha2("content", 256)).alias("sha256"))
+def hashes(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
+    """(path, bytes, sha256 in upper case) of all files below a folder (only: of those of these local paths), of any size: a task reads its files in blocks."""
+    files, streamed = _files(spark, root, True)
+    if only is not None:
+        files = files.join(F.broadcast(spark.createDataFrame([(f"file:{p}",) for p in only], "path string").distinct()), "path", "left_semi")
+    if not streamed:
+        return files.select("path", "bytes", F.upper(F.sha2("content", 256)).alias("sha256"))
+
+    def run(batches):
+        for b in batches:
+            for path, n in zip(b.path, b.bytes, strict=True):
+                digest = hashlib.sha256()
+                with opened(path) as f:
+                    while block := f.read(BLOCK):
+                        digest.update(block)
+                yield pd.DataFrame({"path": [path], "bytes": [n], "sha256": [digest.hexdigest().upper()]})
+
+    return files.mapInPandas(run, "path string, bytes long, sha256 string")
 
 
 def ordered_digest(df: DataFrame, on: list[str], order: str, part: Column, separator: bytes = b"") -> DataFrame:

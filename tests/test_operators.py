@@ -403,6 +403,51 @@ def test_streamed_overlaps_are_those_of_the_tables(spark, tmp_path):
         drained(ss.streamed_overlaps(long, right, ["video_id"], 3000, "60 seconds"), "bad", tmp_path)
 
 
+def test_ordered_lines_of_a_split_file(spark, tmp_path):
+    """A file that is read in many tasks has the same places."""
+    text = "".join(("\n", " \r\n", "")[i % 3] + json.dumps({"task_id": f"t{i}", "query": "é" * (i % 37)}) + ("\r\n" if i % 5 else "\n") for i in range(500))
+    (tmp_path / "a.jsonl").write_bytes(text.encode())
+    (tmp_path / "b.jsonl").write_text('{"task_id": "last"}')
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    for size in (before, "1000"):
+        spark.conf.set(key, size)
+        try:
+            df = fs.load_tasks(spark, str(tmp_path / "*.jsonl"))
+            got = rows(df.select("pos", "task_id", F.length("query")), "pos")
+            assert spark.read.text(str(tmp_path / "a.jsonl")).rdd.getNumPartitions() > 10 or size == before
+        finally:
+            spark.conf.set(key, before)
+        assert got == [(i, f"t{i}", i % 37) for i in range(500)] + [(500, "last", None)]
+
+
+def test_a_file_beyond_two_gib_is_hashed_in_blocks(spark, tmp_path):
+    import hashlib
+
+    n = (2 << 30) + 5
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.truncate(n)
+    (tmp_path / "small.bin").write_bytes(b"x")
+    want, zeros = hashlib.sha256(), bytes(1 << 24)
+    for _ in range(n >> 24):
+        want.update(zeros)
+    want.update(bytes(n & ((1 << 24) - 1)))
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in fs.hashes(spark, str(tmp_path)).collect()}
+    assert got == {"big.bin": (n, want.hexdigest().upper()), "small.bin": (1, hashlib.sha256(b"x").hexdigest().upper())}
+    assert [r.bytes for r in fs.hashes(spark, str(tmp_path), [f"{tmp_path}/small.bin", f"{tmp_path}/none"]).collect()] == [1]
+
+
+def test_archives_are_read_in_blocks(spark, tmp_path):
+    x = np.arange(700, dtype="float32").reshape(100, 7)
+    np.savez(tmp_path / "a.npz", embeddings=x, shot_ids=np.array([f"s{i}" for i in range(100)]))
+    np.savez_compressed(tmp_path / "b.npz", embeddings=np.asfortranarray(x[:9].astype("float64")))
+    with np.load(tmp_path / "a.npz") as z:
+        parts = list(fs.member_blocks(z, "embeddings", 100))
+        assert len(parts) == 34 and (np.concatenate(parts) == x).all()
+    got = {(r.path.rsplit("/", 1)[1], r.id): r.embedding for r in fs.read_npz(spark, str(tmp_path / "*.npz")).collect()}
+    assert len(got) == 109 and got["a.npz", "s7"] == x[7].tolist() and got["b.npz", "8"] == x[8].tolist()
+
+
 def test_registry(spark):
     from evidentia.operators import registry as rg
 
