@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +23,14 @@ LEAST = 20
 #: Hex digits of the usual digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: A UUID or a run of hex digits of one case, that letters and digits do not go on from; digests by their lengths.
+KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])")
 #: A part of an identifier: a word in one case or capitalised words, perhaps with a short number, or a number.
 PART = re.compile(r"(?:[A-Z]?[a-z]*|[A-Z]+)(?:[A-Z][a-z]+)*[0-9]{0,4}|[0-9]+")
 #: The words of such a part.
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: What a stretch within a run must hold: letters and digits, so many without anything between, that are no number.
+LONG = re.compile(r"(?=[A-Za-z0-9]{10})[0-9]*[A-Za-z][A-Za-z0-9]*")
 #: Most characters a token of a random string.
 RATIO = 2.0
 
@@ -64,6 +70,78 @@ def outside(a: int, b: int, spans: list[tuple[int, int]], ends: list[int]) -> li
     return [*left, (a, b)] if b - a >= LEAST else left
 
 
+@lru_cache(2)
+def token_lengths(path: str) -> list[int]:
+    """Bytes of each token of a vocabulary."""
+    e = encoding(path)
+    return [len(e.decode_single_token_bytes(i)) for i in range(e.n_vocab)]
+
+
+def best_stretches(gains: list[float]) -> list[tuple[int, int]]:
+    """All maximal stretches of greatest positive sum, in order: none can be made better by more or fewer numbers. One pass with a stack."""
+    kept: list[tuple[int, int, float, float]] = []  # begin, end, sum before, sum with it
+    total = 0.0
+    for i, g in enumerate(gains):
+        before, total = total, total + g
+        if g <= 0:
+            continue
+        a, low = i, before
+        while True:
+            k = len(kept) - 1
+            while k >= 0 and kept[k][2] >= low:
+                k -= 1
+            if k < 0 or kept[k][3] >= total:
+                break
+            a, low = kept[k][0], kept[k][2]
+            del kept[k:]
+        kept.append((a, i + 1, low, total))
+    return [(a, b) for a, b, *_ in kept]
+
+
+def dense(s: str, path: str, ratio: float) -> list[tuple[int, int]]:
+    """Where a string of a run is random: all of it if it has few characters a token, else the stretches of its tokens that have.
+
+    A stretch is one of greatest sum of ratio minus characters over its tokens, so words before or after a random string do not hide
+    it; digests and UUIDs in the run part it. What is known by itself is not reported.
+    """
+    out = []
+    for a, b in _between(s):
+        part = s[a:b]
+        ids = encoding(path).encode_ordinary(part)
+        if b - a <= ratio * len(ids):
+            if not known(part, path, ratio):
+                out.append((a, b))
+                continue
+        lengths = token_lengths(path)
+        sizes = [lengths[i] for i in ids]
+        at = [a, *(a + x for x in accumulate(sizes))]
+        for i, j in best_stretches([ratio - n for n in sizes]):
+            i, j = _whole(s, at[i], at[j], a, b, path, ratio)
+            if j - i >= LEAST and LONG.search(s[i:j]) and not known(s[i:j], path, ratio):
+                out.append((i, j))
+    return merged(out)
+
+
+def _whole(s: str, i: int, j: int, a: int, b: int, path: str, ratio: float) -> tuple[int, int]:
+    """The stretch from i to j with the letters and digits that go on from it within a to b, if it is still random with them: its ends may be a longer token each."""
+    first, last = i, j
+    while first > a and s[first - 1].isalnum():
+        first -= 1
+    while last < b and s[last].isalnum():
+        last += 1
+    return (first, last) if last - first <= ratio * len(encoding(path).encode_ordinary(s[first:last])) else (i, j)
+
+
+def _between(s: str) -> list[tuple[int, int]]:
+    """Stretches of at least LEAST characters of s without the digests and UUIDs in it."""
+    at, out = 0, []
+    for m in KNOWN.finditer(s):
+        if m.end() - m.start() in DIGEST_LENGTHS or "-" in m[0]:
+            out.append((at, m.start()))
+            at = m.end()
+    return [(a, b) for a, b in [*out, (at, len(s))] if b - a >= LEAST]
+
+
 def find(text: str | None, path: str, ratio: float = RATIO) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the secrets of a text by start, then kind; code points, end exclusive."""
     text = text or ""
@@ -74,9 +152,7 @@ def find(text: str | None, path: str, ratio: float = RATIO) -> list[tuple[str, i
     ends = [b for _, b in base]
     for m in CANDIDATE.finditer(text):
         for a, b in outside(*m.span(), base, ends):
-            s = text[a:b]
-            if not known(s, path, ratio) and b - a <= ratio * len(encoding(path).encode_ordinary(s)):
-                found.append(("dense", a, b))
+            found += [("dense", a + i, a + j) for i, j in dense(text[a:b], path, ratio)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

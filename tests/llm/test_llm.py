@@ -3,15 +3,19 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
+import string
 import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from evidentia.llm import ann, bpe, common, components, langid, lm, minhash, packing, quality, secrets, sharding, suffixes
@@ -136,6 +140,32 @@ def test_what_a_base_span_leaves_is_tested():
             assert set(secrets._replaced(text, secrets.find(text, path), "#")) == {"#"}
 
 
+def test_random_strings_within_runs_of_words():
+    """Words before or after a random string do not hide it; paths, identifiers, numbers and digests are left alone."""
+    rng, path = random.Random(5), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    dense = lambda t: [t[a:b] for k, a, b in secrets.find(t, path) if k == "dense"]
+    for before, after in (("production_database_connection_default_", ""), ("users/settings/notification-preferences/", ""), ("/usr/local/share/service/configuration/", ""), ("path/to/", "/settings/notification_preferences"), ("", "_is_the_production_connection_of_the_service")):
+        for n in (24, 32, 40, 64):
+            strings = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)) for _ in range(100)]
+            assert sum(any(x in y for y in dense(before + x + after)) for x in strings) >= 95
+    for clean in ("/usr/local/share/service/configuration/default", "backup-20240115-102233-000123-final-copy", "IMG_20230101_123456_HDR_edited_final_v2", "node_modules/babel/plugin-transform-modules-commonjs/lib", "release_0123456789ABCDEF0123456789ABCDEF_notes", "id-e3b0c442-98fc-1c14-9afb-f4c8996fb924-of-the-request", "AbstractSingletonProxyFactoryBeanDefinitionReader"):
+        assert dense(clean) == [], clean
+    long = ("the_production_database_connection_of_the_default_service_configuration_" + "wJq7XtnFEMIzK7MDzNGbPxRf" + "_") * 20_000
+    began = time.time()
+    assert len(dense(long)) == 20_000 and time.time() - began < 60
+
+
+@given(st.lists(st.integers(-5, 5), max_size=30))
+def test_best_stretches(gains):
+    """Each is positive, begins and ends with gain, no part at its begin or end and no gap between two is worth leaving out or taking in."""
+    found = secrets.best_stretches(gains)
+    total = lambda a, b: sum(gains[a:b])
+    assert all(total(a, k) > 0 and total(k, b) > 0 for a, b in found for k in range(a + 1, b)) and all(total(a, b) > 0 for a, b in found)
+    assert all(b <= c for (_, b), (c, _) in itertools.pairwise(found)) and all(any(a <= i < b for a, b in found) for i, g in enumerate(gains) if g > 0)
+    best = max((total(a, b) for a in range(len(gains)) for b in range(a + 1, len(gains) + 1)), default=0)
+    assert max((total(a, b) for a, b in found), default=0) == max(best, 0)
+
+
 def test_stretches_outside_of_many_spans():
     rng, path = random.Random(6), public_tokenizers.path("byte_bpe_50k.tiktoken")
     for _ in range(300):
