@@ -78,24 +78,30 @@ def token_lengths(path: str) -> list[int]:
 
 
 def best_stretches(gains: list[float]) -> list[tuple[int, int]]:
-    """All maximal stretches of greatest positive sum, in order: none can be made better by more or fewer numbers. One pass with a stack."""
-    kept: list[tuple[int, int, float, float]] = []  # begin, end, sum before, sum with it
-    total = 0.0
+    """All maximal stretches of greatest positive sum, in order: none can be made better by more or fewer numbers.
+
+    One pass with a stack of stretches (begin, end, sum before, sum with it): a new one goes on from the last that has less before it, if that
+    ends lower; those with as much before it can never go on and are set aside. Each is pushed and popped once.
+    """
+    active: list[tuple[int, int, float, float]] = []
+    aside, total = [], 0.0
     for i, g in enumerate(gains):
         before, total = total, total + g
         if g <= 0:
             continue
         a, low = i, before
         while True:
-            k = len(kept) - 1
-            while k >= 0 and kept[k][2] >= low:
-                k -= 1
-            if k < 0 or kept[k][3] >= total:
+            while active and active[-1][2] >= low:
+                aside.append(active.pop()[:2])
+            if not active or active[-1][3] >= total:
                 break
-            a, low = kept[k][0], kept[k][2]
-            del kept[k:]
-        kept.append((a, i + 1, low, total))
-    return [(a, b) for a, b, *_ in kept]
+            a, _, low, _ = active.pop()
+        active.append((a, i + 1, low, total))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted([*aside, *(x[:2] for x in active)], key=lambda x: (x[0], -x[1])):
+        if not out or b > out[-1][1]:  # else it is part of one that went on over it
+            out.append((a, b))
+    return out
 
 
 def dense(s: str, path: str, ratio: float) -> list[tuple[int, int]]:
