@@ -133,11 +133,11 @@ def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Vectors without null, infinite or missing components; for links also not zero.
 FINITE = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda y: y IS NULL OR NOT isfinite(y))) = 0)"
-ORACLE["op11_vector_dups"] = f"""WITH RECURSIVE {FINITE}, u AS (SELECT * FROM x WHERE len(list_filter(e, lambda y: y <> 0)) > 0),
+ORACLE["op11_vector_dups"] = f"""WITH RECURSIVE {FINITE}, u AS MATERIALIZED (SELECT * FROM x WHERE len(list_filter(e, lambda y: y <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.c = l.a)
 SELECT vec_id, coalesce(n, 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM r LEFT JOIN n ON a = vec_id GROUP BY vec_id, n"""
-ORACLE["op12_hard_negatives"] = f"""WITH {FINITE}, w AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(e, lambda y: floor(256 * y)) AS e FROM x WHERE label IS NOT NULL),
+ORACLE["op12_hard_negatives"] = f"""WITH {FINITE}, w AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(e, lambda y: floor(256 * y)) AS e FROM x WHERE label IS NOT NULL),
 s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.e, c.e)::BIGINT AS s FROM w a JOIN w c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
 p AS (SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
 n AS (SELECT p.*, vec_id AS negative_id, s AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id)::INT AS rank FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score)
