@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..session import checkpointed
 from . import quantiles as qt
 from . import scans as sc
+from .intervals import sweep_iou
+from .metrics import retrieval_metrics
 
 
 def build_shots(boundaries: DataFrame, durations: DataFrame, on: str = "video_id") -> DataFrame:
@@ -82,3 +84,25 @@ def baselines(series: DataFrame, on: str = "series", at: str = "clip", score: st
         on, (F.col("peak") * clip_ms).cast("long").alias("peak_start_ms"), ((F.col("peak") + 1) * clip_ms).cast("long").alias("peak_end_ms"),
         (F.greatest(F.lit(0), F.col("peak") - 2) * clip_ms).cast("long").alias("fixed_start_ms"), (F.least(F.col("n"), F.col("peak") + 3) * clip_ms).cast("long").alias("fixed_end_ms"),
     )
+
+
+#: Tasks without a series that a report names; of more it gives the number.
+NAMED = 20
+
+
+def held_out(series: DataFrame, targets: DataFrame, tasks: DataFrame, on: str = "series", at: str = "clip", score: str = "score", clip_ms: int = 2000) -> DataFrame:
+    """(method, n, mean_iou, r1_30, r1_50, r1_70, missing, missing_ids): how the first proposal of each method fares on the tasks' targets.
+
+    series: on, at, score (calibrated); targets: on, start_ms, end_ms, several of a task counting as one set; tasks: on. Methods are the best clip (peak),
+    five clips about it (fixed) and the best run (adaptive). Tasks without a series are not scored but counted and listed, the least first.
+    """
+    known = tasks.select(on).distinct().join(series.select(on).distinct(), on, "left_semi")
+    b = baselines(series, on, at, score, clip_ms)
+    span = lambda df, name, s, e: df.select(on, F.lit(name).alias("method"), F.col(s).alias("start_ms"), F.col(e).alias("end_ms"))
+    found = span(b, "peak", "peak_start_ms", "peak_end_ms").unionByName(span(b, "fixed", "fixed_start_ms", "fixed_end_ms")).unionByName(span(proposals(series, on, at, score, clip_ms, 1), "adaptive", "start_ms", "end_ms"))
+    found = checkpointed(found.join(known, on, "left_semi"))
+    truth = targets.join(known, on, "left_semi").join(found.select("method").distinct()).select(on, "method", "start_ms", "end_ms")
+    scored = retrieval_metrics(sweep_iou(found, truth, [on, "method"]), ["method"])
+    gone = tasks.select(on).distinct().join(known, on, "left_anti")
+    first = gone.orderBy(on).limit(NAMED).agg(F.array_join(F.array_sort(F.collect_list(on)).cast("array<string>"), ",").alias("missing_ids"))
+    return scored.join(F.broadcast(gone.agg(F.count("*").alias("missing")))).join(F.broadcast(first))

@@ -12,6 +12,10 @@ from ..functions import vectors as vx
 from ..operators import graph as gr
 from ..operators import intervals as iv
 from ..operators import retrieval as rt
+from ..operators import sampling as sp
+from ..operators import shots as sh
+from ..session import checkpointed
+from . import timeline
 from .tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -198,3 +202,22 @@ SELECT l_orderkey, coalesce(bool_and(p - q <= 1), true) AS loose, coalesce(bool_
 def temporal_continuity(spark, sf_dir):
     p = table(spark, sf_dir, "lineitem").where("l_quantity > 10").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("p"))
     return p.select("l_orderkey", iv.contiguous_positions(F.col("p"), True).alias("loose"), iv.contiguous_positions(F.col("p"), False).alias("strict"))
+
+
+# Nations are tasks; those that are a label of vectors have a series, the calibrated cosines of the label's query with all vectors in order, and the
+# label's own vectors as targets.
+CALIBRATED = COSINES + ", s0 AS (SELECT query_id AS series, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) - 1 AS clip, least(1, greatest(0, (score - 0.15) / 0.20)) AS score FROM c)"
+
+
+@plan(f"""WITH p AS ({timeline.ORACLE["temporal_proposals"].replace(timeline.SERIES, CALIBRATED)}), b AS ({timeline.ORACLE["baseline_predictors"].replace(timeline.SERIES, CALIBRATED)}),
+f AS (SELECT series, 'adaptive' AS method, start_ms AS s, end_ms AS e FROM p WHERE rank = 1 UNION ALL SELECT series, 'peak', peak_start_ms, peak_end_ms FROM b UNION ALL SELECT series, 'fixed', fixed_start_ms, fixed_end_ms FROM b),
+t AS (SELECT label AS series, row_number() OVER (ORDER BY vec_id) - 1 AS clip, label FROM embeddings), i AS (SELECT f.series, method, any_value((e - s) // 2000) AS n, count(*) FILTER (clip * 2000 >= s AND clip * 2000 < e) AS hit, count(*) AS k FROM f JOIN t USING (series) JOIN nation ON n_nationkey = f.series GROUP BY 1, 2),
+u AS (SELECT method, hit::DOUBLE / (n + k - hit) AS iou FROM i), g AS (SELECT count(*) AS missing, array_to_string(list_sort(list(n_nationkey))[1:20], ',') AS missing_ids FROM nation WHERE n_nationkey NOT IN (SELECT label FROM embeddings))
+SELECT method, count(*) AS n, round(avg(iou), 6) AS mean_iou, round(avg((iou >= 0.3)::INT), 6) AS r1_30, round(avg((iou >= 0.5)::INT), 6) AS r1_50, round(avg((iou >= 0.7)::INT), 6) AS r1_70, any_value(missing) AS missing, any_value(missing_ids) AS missing_ids FROM u, g GROUP BY method""")
+def heldout_ablation(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    clips = checkpointed(sp.ranked(e.select("vec_id", F.col("label").cast("long").alias("series")), ["vec_id"]).withColumnRenamed("__rank", "clip"))
+    scored = cosines(spark, sf_dir).join(clips.select("vec_id", "clip"), "vec_id")
+    series = scored.select(F.col("query_id").cast("long").alias("series"), "clip", sx.calibrated(F.col("score")).alias("score"))
+    targets = clips.select("series", (F.col("clip") * 2000).alias("start_ms"), ((F.col("clip") + 1) * 2000).alias("end_ms"))
+    return sh.held_out(series, targets, table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("series")))
