@@ -10,9 +10,9 @@ from .quantiles import quantiles
 
 
 def retrieval_metrics(df: DataFrame, on: list[str], iou: str = "iou") -> DataFrame:
-    """Mean IoU and shares at or above 0.3, 0.5 and 0.7, six places."""
-    share = lambda t: F.round(F.avg((F.col(iou) >= t).cast("double")), 6)
-    return df.groupBy(*on).agg(F.count("*").alias("n"), F.round(F.avg(iou), 6).alias("mean_iou"), share(0.3).alias("r1_30"), share(0.5).alias("r1_50"), share(0.7).alias("r1_70"))
+    """Mean IoU and shares at or above 0.3, 0.5 and 0.7, six places, halves to even."""
+    share = lambda t: F.bround(F.avg((F.col(iou) >= t).cast("double")), 6)
+    return df.groupBy(*on).agg(F.count("*").alias("n"), F.bround(F.avg(iou), 6).alias("mean_iou"), share(0.3).alias("r1_30"), share(0.5).alias("r1_50"), share(0.7).alias("r1_70"))
 
 
 def evaluation_summary(records: DataFrame, on: str = "method", split: str = "split", evaluation: str = "eval") -> DataFrame:
@@ -34,10 +34,10 @@ def grouped_means(df: DataFrame, on: list[str], values: dict[str, int]) -> DataF
 
 
 def overall_and_by(df: DataFrame, by: str, sums: dict[str, Column], over: str = "n") -> DataFrame:
-    """Means over everything (by is null) and by a column, in one pass; an empty table gives one row of zeros."""
+    """Means over everything (by is null) and by a column, in one pass; an empty table gives one row of zeros. Six places, halves to even."""
     aggs = [F.sum(c.cast("double")).alias(f"__{k}") for k, c in sums.items()]
     both = df.groupingSets([[], [F.col(by)]], by).agg(F.count("*").alias(over), F.grouping(by).alias("__all"), *aggs)
-    found = both.where(f"__all = 1 or {by} is not null").select("__all", by, over, *[F.round(F.coalesce(F.col(f"__{k}"), F.lit(0.0)) / F.greatest(F.lit(1), F.col(over)), 6).alias(k) for k in sums])
+    found = both.where(f"__all = 1 or {by} is not null").select("__all", by, over, *[F.bround(F.coalesce(F.col(f"__{k}"), F.lit(0.0)) / F.greatest(F.lit(1), F.col(over)), 6).alias(k) for k in sums])
     none = df.sparkSession.range(1).join(found.where("__all = 1").select(F.lit(0).cast("long").alias("id")), "id", "left_anti")
     zeros = none.select(F.lit(None).cast(df.schema[by].dataType).alias(by), F.lit(0).cast("long").alias(over), *[F.lit(0.0).alias(k) for k in sums])
     return found.drop("__all").unionByName(zeros)

@@ -35,7 +35,7 @@ def shares(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").withColumn("iou", F.col("l_quantity") / 50)
 
 
-@plan(f"WITH {SHARE} SELECT l_returnflag, count(*) AS n, round(avg(iou), 6) AS mean_iou, round(avg((iou >= 0.3)::INT), 6) AS r1_30, round(avg((iou >= 0.5)::INT), 6) AS r1_50, round(avg((iou >= 0.7)::INT), 6) AS r1_70 FROM li GROUP BY 1")
+@plan(f"WITH {SHARE} SELECT l_returnflag, count(*) AS n, round_even(avg(iou), 6) AS mean_iou, round_even(avg((iou >= 0.3)::INT), 6) AS r1_30, round_even(avg((iou >= 0.5)::INT), 6) AS r1_50, round_even(avg((iou >= 0.7)::INT), 6) AS r1_70 FROM li GROUP BY 1")
 def retrieval_metrics(spark, sf_dir):
     return mx.retrieval_metrics(shares(spark, sf_dir), ["l_returnflag"])
 
@@ -47,7 +47,7 @@ def policy_split_means(spark, sf_dir):
     return m.select("lang", "source", "n", F.round("quality", 4).alias("quality"), F.round("toxic", 4).alias("toxic"), F.round("n_chars", 2).alias("n_chars"))
 
 
-@plan("SELECT o_orderstatus, count(*) AS n, round(avg((o_totalprice > 150000)::INT), 6) AS big, round(avg(o_totalprice), 6) AS price FROM orders GROUP BY GROUPING SETS ((), (o_orderstatus))")
+@plan("SELECT o_orderstatus, count(*) AS n, round_even(avg((o_totalprice > 150000)::INT), 6) AS big, round_even(avg(o_totalprice), 6) AS price FROM orders GROUP BY GROUPING SETS ((), (o_orderstatus))")
 def overall_and_by_status(spark, sf_dir):
     return mx.overall_and_by(table(spark, sf_dir, "orders"), "o_orderstatus", {"big": F.col("o_totalprice") > 150000, "price": F.col("o_totalprice")})
 

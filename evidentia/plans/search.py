@@ -213,7 +213,7 @@ CALIBRATED = COSINES + ", s0 AS (SELECT query_id AS series, row_number() OVER (P
 f AS (SELECT series, 'adaptive' AS method, start_ms AS s, end_ms AS e FROM p WHERE rank = 1 UNION ALL SELECT series, 'peak', peak_start_ms, peak_end_ms FROM b UNION ALL SELECT series, 'fixed', fixed_start_ms, fixed_end_ms FROM b),
 t AS (SELECT label AS series, row_number() OVER (ORDER BY vec_id) - 1 AS clip, label FROM embeddings), i AS (SELECT f.series, method, any_value((e - s) // 2000) AS n, count(*) FILTER (clip * 2000 >= s AND clip * 2000 < e) AS hit, count(*) AS k FROM f JOIN t USING (series) JOIN nation ON n_nationkey = f.series GROUP BY 1, 2),
 u AS (SELECT method, hit::DOUBLE / (n + k - hit) AS iou FROM i), g AS (SELECT count(*) AS missing, array_to_string(list_sort(list(n_nationkey))[1:20], ',') AS missing_ids FROM nation WHERE n_nationkey NOT IN (SELECT label FROM embeddings))
-SELECT method, count(*) AS n, round(avg(iou), 6) AS mean_iou, round(avg((iou >= 0.3)::INT), 6) AS r1_30, round(avg((iou >= 0.5)::INT), 6) AS r1_50, round(avg((iou >= 0.7)::INT), 6) AS r1_70, any_value(missing) AS missing, any_value(missing_ids) AS missing_ids FROM u, g GROUP BY method""")
+SELECT method, count(*) AS n, round_even(avg(iou), 6) AS mean_iou, round_even(avg((iou >= 0.3)::INT), 6) AS r1_30, round_even(avg((iou >= 0.5)::INT), 6) AS r1_50, round_even(avg((iou >= 0.7)::INT), 6) AS r1_70, any_value(missing) AS missing, any_value(missing_ids) AS missing_ids FROM u, g GROUP BY method""")
 def heldout_ablation(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     clips = checkpointed(sp.ranked(e.select("vec_id", F.col("label").cast("long").alias("series")), ["vec_id"]).withColumnRenamed("__rank", "clip"))

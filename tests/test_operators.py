@@ -256,6 +256,12 @@ def test_files(spark, tmp_path):
     assert digest.sha256 == hashlib.sha256(b"a\x01b\x02").hexdigest().upper() and digest.files == 2
 
 
+def test_means_round_half_to_even(spark):
+    df = spark.createDataFrame([("a", 1.0)] + [("a", 0.0)] * 127 + [("b", 3.0)] + [("b", 0.0)] * 127, "k string, iou double")
+    assert sorted(rows(mx.retrieval_metrics(df, ["k"]).select("k", "mean_iou"))) == [("a", 0.007812), ("b", 0.023438)] == [("a", round(1 / 128, 6)), ("b", round(3 / 128, 6))]
+    assert sorted(rows(mx.overall_and_by(df, "k", {"iou": F.col("iou")}).where("k is not null").select("k", "iou"))) == [("a", 0.007812), ("b", 0.023438)]
+
+
 def test_sampling_and_metrics(spark):
     df = spark.range(100)
     assert [r[0] for r in rows(sp.systematic(df.withColumn("k", F.lit(1)), ["id"], 15, ["k"]).select("id"), "id")] == list(range(0, 90, 6))
