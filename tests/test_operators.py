@@ -510,6 +510,17 @@ def test_audit_command(spark, tmp_path, capsys):
     assert run()[:2] == (1, {"artifact_paths_and_sizes"})
 
 
+def test_clip_command(spark, tmp_path):
+    from evidentia import clip
+
+    (tmp_path / "in.srt").write_text("1\n00:00:01,000 --> 00:00:03,000\nbefore\n\n2\n00:00:09,500 --> 00:00:12,000\nfirst\nlines\n\n3\n00:00:14,000 --> 00:00:30,000\nlast\n")
+    args = ["--input", str(tmp_path / "in.srt"), "--output", str(tmp_path / "out" / "clip.srt"), "--start-seconds", "10", "--duration-seconds"]
+    assert clip.main([*args, "5"]) == 0
+    assert (tmp_path / "out" / "clip.srt").read_text() == "1\n00:00:00,000 --> 00:00:02,000\nfirst\nlines\n\n2\n00:00:04,000 --> 00:00:05,000\nlast\n"
+    clip.main([*args[:5], "40", "--duration-seconds", "5"])
+    assert (tmp_path / "out" / "clip.srt").read_text() == ""
+
+
 def test_features_and_tasks(spark, tmp_path):
     np.savez(tmp_path / "f.npz", features=np.array([[3.0, 4.0], [0.0, 0.0]]))
     assert rows(fs.read_features(spark, str(tmp_path / "f.npz")).select("clip", "embedding"), "clip") == [(0, [0.6, 0.8]), (1, [0.0, 0.0])]
