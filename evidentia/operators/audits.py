@@ -25,12 +25,12 @@ def union(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
-#: Unlinked utterances that a check names; of more it gives the number.
+#: Unlinked utterances that a check names unless told otherwise; of more it gives the number.
 LISTED = 100
 
 
-def media_checks(shots: DataFrame, utterances: DataFrame, units: DataFrame, keyframes: DataFrame, videos: DataFrame) -> DataFrame:
-    """(video_id, name, passed, details): seven checks of each video's records, all videos at once.
+def media_checks(shots: DataFrame, utterances: DataFrame, units: DataFrame, keyframes: DataFrame, videos: DataFrame, listed: int | None = LISTED) -> DataFrame:
+    """(video_id, name, passed, details): seven checks of each video's records, all videos at once. listed: unlinked utterances that are named; None is all.
 
     shots: video_id, pos, shot_id, start_s, end_s, keyframe_path; utterances: video_id, utterance_id, start_ms, end_ms; units: video_id, pos, shot_id,
     start_ms, end_ms, keyframe_path, utterance_refs; keyframes: video_id, path (those that exist); videos: video_id, duration_ms.
@@ -69,18 +69,22 @@ def media_checks(shots: DataFrame, utterances: DataFrame, units: DataFrame, keyf
     lo, hi = F.greatest("a", "c"), F.least("b", "d")
     fits = F.col("c").isNotNull() & (lo < hi) & (F.col("overlap_start_ms") == lo) & (F.col("overlap_end_ms") == hi) & (F.col("overlap_ms") == hi - lo)
     exact = linked.groupBy("video_id").agg(F.count("*").alias("refs"), F.count_if(~F.coalesce(fits, F.lit(False))).alias("inexact"))
-    few = keys.where((F.col("space") == "link") & (m == 0)).withColumn("r", F.row_number().over(Window.partitionBy("video_id").orderBy("key"))).where(F.col("r") <= LISTED)
-    named = few.groupBy("video_id").agg(F.array_join(F.array_sort(F.flatten(F.collect_list(F.array_repeat("key", F.least(n, F.lit(LISTED)).cast("int"))))), ",").alias("names"))
+    loose, times = keys.where((F.col("space") == "link") & (m == 0)), n
+    if listed is not None:
+        loose, times = loose.withColumn("r", F.row_number().over(Window.partitionBy("video_id").orderBy("key"))).where(F.col("r") <= listed), F.least(n, F.lit(listed))
+    named = loose.groupBy("video_id").agg(F.array_join(F.array_sort(F.flatten(F.collect_list(F.array_repeat("key", times.cast("int"))))), ",").alias("names"))
     all_ = summed.join(exact, "video_id", "left").join(named, "video_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
-    more = F.concat(F.coalesce("names", F.lit("")), F.when(F.col("missing") > LISTED, F.format_string(" of %d", "missing")).otherwise(""))
+    more = F.coalesce("names", F.lit(""))
+    if listed is not None:
+        more = F.concat(more, F.when(F.col("missing") > listed, F.format_string(" of %d", "missing")).otherwise(""))
     results = [
         ("shot_timeline_contiguous", zero("point") & (F.col("shots") > 0), F.col("shots")), ("record_ids_unique", zero("id"), F.col("ids")),
         ("one_keyframe_per_shot", (F.col("there") == F.col("shots")) & (F.col("found") == F.col("shots")), F.col("there")), ("utterances_within_timeline", zero("range"), F.col("utterances")),
         ("evidence_units_match_shots", zero("pos"), F.col("places")), ("utterance_references_exact", zero("inexact"), F.coalesce("refs", F.lit(0))), ("all_utterances_linked", zero("missing"), more),
     ]
-    listed = F.array(*[F.struct(F.lit(k).alias("name"), ok.alias("passed"), d.cast("string").alias("details")) for k, ok, d in results])
-    return all_.where(video.isNotNull()).select("video_id", F.explode(listed).alias("c")).select("video_id", "c.*")
+    checks = F.array(*[F.struct(F.lit(k).alias("name"), ok.alias("passed"), d.cast("string").alias("details")) for k, ok, d in results])
+    return all_.where(video.isNotNull()).select("video_id", F.explode(checks).alias("c")).select("video_id", "c.*")
 
 
 def container_checks(probed: DataFrame, duration_ms: int) -> DataFrame:

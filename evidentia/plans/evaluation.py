@@ -297,7 +297,7 @@ UNION ALL SELECT variant, 'evidence_units_match_shots', variant NOT IN ('gap', '
 UNION ALL SELECT variant, 'utterance_references_exact', variant NOT IN ('off', 'late'), (refs - CASE WHEN variant = 'unlinked' THEN (SELECT sum(1 + (e > (pos + 1) * 1000 AND pos + 1 < n)::INT) FROM u WHERE pos % 999 = 0) ELSE 0 END + CASE WHEN variant = 'twice' THEN 2 ELSE 0 END)::VARCHAR FROM v, c
 UNION ALL SELECT variant, 'all_utterances_linked', variant <> 'unlinked', CASE WHEN variant = 'unlinked' THEN (SELECT string_agg(id, ',' ORDER BY id) FROM u WHERE pos % 999 = 0) ELSE '' END FROM v""")
 def media_audit(spark, sf_dir):
-    """Each variant is a video of its own; all are checked at once."""
+    """Each variant is a video of its own; all are checked at once, and every unlinked utterance is named."""
     faults = ("sound", "gap", "twice", "frameless", "late", "moved", "off", "unlinked")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
     n = checkpointed(sp.ranked(o, ["k"]).withColumnRenamed("__rank", "pos"))
@@ -319,7 +319,7 @@ def media_audit(spark, sf_dir):
     units = each(refs).withColumns({"keyframe_path": F.when(is_("moved") & hit(7), "elsewhere").otherwise(F.col("keyframe_path")), "utterance_refs": linked})
     frames = each(shots).where(~(is_("frameless") & hit(5))).select("video_id", F.col("keyframe_path").alias("path"))
     videos = total.select(F.explode(F.array(*map(F.lit, faults))).alias("video_id"), F.col("total").alias("duration_ms"))
-    return au.media_checks(seconds, heard, units, frames, videos).withColumnRenamed("video_id", "variant")
+    return au.media_checks(seconds, heard, units, frames, videos, listed=None).withColumnRenamed("video_id", "variant")
 
 
 @plan("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders")

@@ -204,6 +204,15 @@ def test_media_audit(spark):
     assert many == ",".join(f"u{i:04}" for i in range(100)) + " of 150"
 
 
+def test_media_audit_query_names_every_unlinked_utterance(spark, tmp_path, monkeypatch):
+    from evidentia.plans import evaluation
+
+    monkeypatch.setattr(au, "LISTED", 1)
+    spark.range(2000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.variant, r.name): r.details for r in evaluation.media_audit(spark, str(tmp_path)).collect()}
+    assert got["unlinked", "all_utterances_linked"] == "utt_00000000,utt_00000999,utt_00001998" and got["sound", "all_utterances_linked"] == ""
+
+
 def test_media_audit_has_few_exchanges(spark):
     frame = lambda kind: spark.createDataFrame([], f"video_id string, {kind}")
     df = au.media_checks(
