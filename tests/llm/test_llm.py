@@ -18,7 +18,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evidentia.llm import ann, bpe, common, components, langid, lm, minhash, packing, quality, secrets, sharding, suffixes
+from evidentia.llm import ann, bpe, common, components, langid, lm, minhash, packing, quality, queries, secrets, sharding, suffixes
 from evidentia.llm.common import packed, remainder, slices, spread, unpacked
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block long, digest string, label string, h long, r int, cell long, id string"
@@ -393,6 +393,19 @@ def test_ann(spark, coarse):
     assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5] and [i for i, _ in got[50]] == [0, 1, 2, 3, 4] and got[150] == got[100]
 
 
+@pytest.mark.parametrize("held", [ann.HELD, 900])
+def test_nearest_vectors_are_those_of_all_cosines(spark, tmp_path, monkeypatch, held):
+    monkeypatch.setattr(ann, "HELD", held)  # 900: 143 blocks of vectors by 3 of queries
+    x = np.random.default_rng(8).standard_normal((2000, 64)).astype(np.float32)
+    x[[100, 101, 102, 103, 104, 105, 106, 1900]], x[1950] = x[7], 2 * x[7]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = collections.defaultdict(list)
+    for r in queries.QUERIES["nearest_vectors"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    d = x.astype(float)
+    assert got == {q: [(i, round(s, 6)) for i, s in exact_neighbours(np.arange(2000), d, q)] for q in range(0, 2000, 50)}
+
+
 def test_ann_takes_few_and_mixed_vectors(spark):
     few = searched(spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>"))
     assert {q: [i for i, _ in v] for q, v in few.items()} == {0: [50, 3], 50: [0, 3]}
