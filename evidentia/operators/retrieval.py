@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,11 +15,15 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..session import dealt
+from ..session import dealt, prepare
 
 
 #: Most query vectors that are held against all vectors at once.
 MOST_QUERIES = 10_000
+#: Terms of queries, each counted for every query that holds it, that are broadcast at once.
+MOST_TERMS = 1 << 20
+#: Numbers in a matrix of documents by queries, with the weights that go into it.
+MATRIX = 1 << 22
 
 
 def _sorted_terms(docs: DataFrame, text: str, *keep: str) -> tuple[DataFrame, Column]:
@@ -45,27 +51,120 @@ def term_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return df.join(F.broadcast(n)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, query_id: str = "query_id", query: str = "query", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, key, score): BM25 over the greatest score of the query; documents without a term of it are left out.
+def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, query_id: str = "query_id", query: str = "query", key: str = "doc_id", text: str = "text", k: int | None = None) -> DataFrame:
+    """(query_id, key, score): BM25 over the greatest score of the query; documents without a term of it are left out. key tells documents apart.
 
-    An inverted index joined on terms, so only documents that hold a term meet a query; repeated query terms count again.
-    Only the terms that the queries hold are ever shuffled. The greatest score of a query is an
-    aggregate that is joined back, so no task holds all documents of a query.
+    With k only the documents that can be among a query's k best, ranked by score to nine places and then by key: each task
+    keeps those of its own documents, so pairs of queries and documents are not shuffled. Repeated query terms count again.
+    Terms of queries are broadcast, MOST_TERMS at once; queries that hold more are taken in blocks, which read the documents anew.
+    Two narrow passes over the tokens: how many documents hold a term, then the scores.
     """
-    asked = postings(queries, query_id, query).select(query_id, "term", F.col("tf").alias("times"))
-    docs = dealt(docs.select(key, text))
-    average = docs.agg(F.avg(F.size(tx.tokens(F.col(text)))).alias("avgdl"), F.count("*").alias("n"))
-    tokens = docs.select(key, F.explode(F.array(tx.tokens(F.col(text)))).alias("t")).select(key, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    post = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    joined = post.join(df, "term").join(asked, "term").join(F.broadcast(average))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-6))))
-    raw = joined.groupBy(query_id, key).agg(F.sum(weight).alias("raw"))
-    scaled = raw.join(raw.groupBy(query_id).agg(F.max("raw").alias("best")), query_id)
+    prepare(docs.sparkSession)
+    asked = postings(queries, query_id, query).groupBy(query_id, "term").agg(F.sum("tf").alias("times"))
+    blocks = max(1, -(-asked.count() // MOST_TERMS))
+    tokens = dealt(docs.select(key, text)).select(F.col(key), tx.tokens(F.col(text)).alias("t"))
+    raw = reduce(DataFrame.unionByName, [_raw_scores(asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i), tokens, k1, b, query_id, key, k) for i in range(blocks)])
+    if k:
+        scaled = raw.withColumn("best", F.max("raw").over(Window.partitionBy(query_id)))
+    else:
+        scaled = raw.join(F.broadcast(raw.groupBy(query_id).agg(F.max("raw").alias("best"))), query_id)
     return scaled.select(query_id, key, F.when(F.col("best") > 0, F.col("raw") / F.col("best")).otherwise(F.col("raw")).alias("score"))
 
 
+def _held_terms(tokens: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place of the term, tf) of those terms that lists of tokens hold, by row and place; and the length of each list (null: 0)."""
+    dl = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = tokens.flatten()
+    at = pc.fill_null(pc.index_in(flat, value_set=terms.cast(flat.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    pair, tf = np.unique((np.repeat(np.arange(len(dl)), dl) * len(terms) + at)[at >= 0], return_counts=True)
+    return pair // len(terms), pair % len(terms), tf, dl
+
+
+def _raw_scores(asked: DataFrame, tokens: DataFrame, k1: float, b: float, query_id: str, key: str, k: int | None) -> DataFrame:
+    """(query_id, key, raw): sums of weights of the asked terms (query_id, term, times), which are collected; of documents (key, t)."""
+    spark, schema = tokens.sparkSession, T.StructType([asked.schema[query_id], tokens.schema[key], T.StructField("raw", T.DoubleType())])
+    table = asked.toArrow()
+    if not table.num_rows:
+        return spark.createDataFrame([], schema)
+    coded = table["term"].combine_chunks().dictionary_encode()
+    terms, place = coded.dictionary, coded.indices.to_numpy()
+    whose = table[query_id].combine_chunks().dictionary_encode(null_encoding="encode")
+    ids, n_terms, n_queries = whose.dictionary, len(terms), len(whose.dictionary)
+    order = np.lexsort((whose.indices.to_numpy(), place))
+    owner, times, holders = whose.indices.to_numpy()[order].astype(np.int64), table["times"].to_numpy()[order], np.bincount(place, minlength=n_terms)
+    known = spark.sparkContext.broadcast(terms)
+
+    def count(batches):
+        total = np.zeros(n_terms + 3, np.int64)
+        for batch in batches:
+            _, term, _, dl = _held_terms(batch.column(0), known.value)
+            total[:n_terms] += np.bincount(term, minlength=n_terms)
+            total[n_terms:] += len(dl), len(dl) - batch.column(0).null_count, dl.sum()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
+
+    found = np.zeros(n_terms + 3, np.int64)
+    for r in tokens.select("t").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a term
+        found[r["term"]] = r["n"]
+    df, (n, there, total) = found[:n_terms], found[n_terms:]
+    average = max(total / max(there, 1), 1e-6)
+    weight = times * np.repeat(np.log(1 + (n - df + 0.5) / (df + 0.5)), holders)
+    # Scores nearer than that, over a score that no document exceeds, may be equal to nine places.
+    near = 4e-9 * (k1 + 1) * np.bincount(owner, weight, minlength=n_queries)
+    shared = spark.sparkContext.broadcast((terms, holders, owner, weight, near, ids))
+
+    def score(batches):
+        terms, holders, owner, weight, near, ids = shared.value
+        begin, least, held, fresh = np.cumsum(holders) - holders, np.full(n_queries, -np.inf), [], 0
+        for batch in batches:
+            doc, term, tf, dl = _held_terms(batch.column(1), terms)
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / average))
+            each = holders[term]
+            steps = np.cumsum(np.bincount(doc, each, minlength=len(dl)) + n_queries)
+            start = 0
+            while start < len(dl):
+                end = max(start + 1, int(np.searchsorted(steps, (steps[start - 1] if start else 0) + MATRIX, "right")))
+                lo, hi = np.searchsorted(doc, (start, end))
+                m = each[lo:hi]
+                at = np.repeat(begin[term[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                raw = np.bincount(np.repeat(doc[lo:hi] - start, m) * n_queries + owner[at], weight[at] * np.repeat(part[lo:hi], m), minlength=(end - start) * n_queries).reshape(-1, n_queries)
+                d, q = np.nonzero((raw > 0) & (raw >= least))
+                rows = pa.table([pa.array(q), batch.column(0).take(pa.array(d + start)), pa.array(raw[d, q])], names=["q", "key", "raw"])
+                start = end
+                if not k:
+                    yield from _named(rows, ids, schema)
+                    continue
+                held.append(rows)
+                fresh += len(q)
+                if fresh > 2 * k * n_queries:
+                    rows, least = _foremost(pa.concat_tables(held), k, near)
+                    held, fresh = [rows], 0
+        if held:
+            yield from _named(_foremost(pa.concat_tables(held), k, near)[0], ids, schema)
+
+    return tokens.mapInArrow(score, schema)
+
+
+def _named(rows: pa.Table, ids: pa.Array, schema: T.StructType) -> list[pa.RecordBatch]:
+    return pa.table([ids.take(rows["q"].combine_chunks()), rows["key"], rows["raw"]], names=schema.names).to_batches()
+
+
+def _foremost(rows: pa.Table, k: int, near: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+    """Rows (q, key, raw) without those that have k before them however scores are scaled and rounded, and what a row of each q must reach.
+
+    Before a row are those of equal raw and smaller key, and those that are greater by more than near.
+    """
+    rows = rows.take(pc.sort_indices(rows, [("q", "ascending"), ("raw", "descending"), ("key", "ascending")]))
+    q, raw, at = rows["q"].to_numpy(), rows["raw"].to_numpy(), np.arange(rows.num_rows)
+    new = np.concatenate(([True], q[1:] != q[:-1]))
+    changed = new | np.concatenate(([True], raw[1:] != raw[:-1]))
+    rank, same = at - np.maximum.accumulate(np.where(new, at, 0)), at - np.maximum.accumulate(np.where(changed, at, 0))
+    least = np.full(len(near), -np.inf)
+    last = rank == k - 1
+    least[q[last]] = raw[last] - near[q[last]]
+    return rows.filter(pa.array((rank < k) | ((raw >= least[q]) & (same < k)))), least
+
+
 def top(scores: DataFrame, on: list[str], order: list[Column], k: int | None, limit: int | None = None) -> DataFrame:
     """Rows ranked 1 to k per key; k is at least 1 and at most limit; None or 0 is all."""
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy(*on).orderBy(*order)).cast("long"))

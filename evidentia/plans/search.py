@@ -57,7 +57,7 @@ m AS (SELECT *, raw / max(raw) OVER (PARTITION BY item_id) AS score FROM s), r A
 SELECT item_id, doc_id, rank::BIGINT AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def bm25_topk(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text").alias("query"))
-    s = rt.bm25(q, table(spark, sf_dir, "documents"), query_id="item_id")
+    s = rt.bm25(q, table(spark, sf_dir, "documents"), query_id="item_id", k=10)
     return rt.top(s, ["item_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], 10, 10).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 

@@ -154,6 +154,33 @@ def test_bm25(spark):
     assert got[0, 1] == pytest.approx(idf(2) * w(1, 2) / (2 * idf(1) * w(2, 3) + idf(2) * w(1, 3)))
 
 
+@pytest.mark.parametrize("limits", [{}, {"MOST_TERMS": 12, "MATRIX": 50}])
+def test_bm25_of_the_foremost(spark, monkeypatch, limits):
+    """Each task leaves some k documents a query, and the k best are those of all pairs, copies and ties included."""
+    for name, value in limits.items():
+        monkeypatch.setattr(rt, name, value)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 12))) for _ in range(1500)]
+    texts[100:900:2] = ["w1 w2 w2 w3"] * 400
+    docs = spark.createDataFrame([*enumerate(texts), (1500, None), (1501, ""), (1502, "of the")], "doc_id long, text string").repartition(4)
+    queries = spark.createDataFrame([(i, " ".join(rng.choice(words, 6))) for i in range(8)] + [(8, "W1, w2 w2"), (9, "of the nothing"), (10, None)], "query_id long, query string")
+    order = [F.desc(F.round("score", 9)), F.col("doc_id")]
+    ranked = lambda s: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in rt.top(s, ["query_id"], order, 5).collect())
+    every, few = rt.bm25(queries, docs).cache(), rt.bm25(queries, docs, k=5).cache()
+    assert ranked(few) == ranked(every) and {r[0] for r in ranked(few)} == set(range(9))
+    assert every.count() > 5000 and few.count() <= 4 * 9 * 8  # 4 tasks of 5 a query, and some that are near the fifth
+
+
+def test_bm25_query_shuffles_no_pairs(spark, tmp_path):
+    from evidentia.plans import search
+
+    spark.createDataFrame([(0, "red car red"), (1, "blue car")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "red car")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plan = search.bm25_topk(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "doc_id" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
 def test_text(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(tx.cleaned(F.lit(" <b>Tom &amp; Jerry</b> ♪ &lt;x&gt; \n"))) == "Tom & Jerry"
