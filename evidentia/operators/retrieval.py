@@ -52,18 +52,26 @@ def term_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, query_id: str = "query_id", query: str = "query", key: str = "doc_id", text: str = "text", k: int | None = None) -> DataFrame:
-    """(query_id, key, score): BM25 over the greatest score of the query; documents without a term of it are left out. key tells documents apart.
+    """(query_id, key, score): BM25 over the greatest score of the query; documents without a term of it are left out.
 
     With k only the documents that can be among a query's k best, ranked by score to nine places and then by key: each task
     keeps those of its own documents, so pairs of queries and documents are not shuffled. Repeated query terms count again.
     Terms of queries are broadcast, MOST_TERMS at once; queries that hold more are taken in blocks, which read the documents anew.
-    Two narrow passes over the tokens: how many documents hold a term, then the scores.
+    Two narrow passes over the tokens: how many documents hold a term, then the scores. Of rows that share a key those of one
+    length are one document, and the scores of all its lengths are added up; only such rows are shuffled.
     """
     prepare(docs.sparkSession)
     asked = postings(queries, query_id, query).groupBy(query_id, "term").agg(F.sum("tf").alias("times"))
     blocks = max(1, -(-asked.count() // MOST_TERMS))
-    tokens = dealt(docs.select(key, text)).select(F.col(key), tx.tokens(F.col(text)).alias("t"))
-    raw = reduce(DataFrame.unionByName, [_raw_scores(asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i), tokens, k1, b, query_id, key, k) for i in range(blocks)])
+    tokens = dealt(docs.select(key, text)).select(F.col(key), tx.tokens(F.col(text)).alias("t"), F.lit(1).cast("long").alias("rows"))
+    shared, lengths = None, 1
+    repeated = docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    if repeated.limit(1).count():
+        alike = tokens.join(repeated, key, "left_semi").groupBy(key, F.when(F.col("t").isNotNull(), F.size("t")).alias("dl")).agg(F.flatten(F.collect_list("t")).alias("t"), F.count("*").alias("rows"))
+        shared = alike.select(key, F.when(F.col("dl").isNotNull(), F.col("t")).alias("t"), "rows")
+        lengths = shared.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        tokens = tokens.join(repeated, key, "left_anti")
+    raw = reduce(DataFrame.unionByName, [_raw_scores(asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i), tokens, shared, lengths, k1, b, query_id, key, k) for i in range(blocks)])
     if k:
         scaled = raw.withColumn("best", F.max("raw").over(Window.partitionBy(query_id)))
     else:
@@ -80,8 +88,11 @@ def _held_terms(tokens: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, np.n
     return pair // len(terms), pair % len(terms), tf, dl
 
 
-def _raw_scores(asked: DataFrame, tokens: DataFrame, k1: float, b: float, query_id: str, key: str, k: int | None) -> DataFrame:
-    """(query_id, key, raw): sums of weights of the asked terms (query_id, term, times), which are collected; of documents (key, t)."""
+def _raw_scores(asked: DataFrame, tokens: DataFrame, shared: DataFrame | None, lengths: int, k1: float, b: float, query_id: str, key: str, k: int | None) -> DataFrame:
+    """(query_id, key, raw): sums of weights of the asked terms (query_id, term, times), which are collected; of documents (key, t, rows).
+
+    t: the tokens of as many rows of one length. shared: documents whose key is there more than once, for some as often as lengths says.
+    """
     spark, schema = tokens.sparkSession, T.StructType([asked.schema[query_id], tokens.schema[key], T.StructField("raw", T.DoubleType())])
     table = asked.toArrow()
     if not table.num_rows:
@@ -98,27 +109,29 @@ def _raw_scores(asked: DataFrame, tokens: DataFrame, k1: float, b: float, query_
         total = np.zeros(n_terms + 3, np.int64)
         for batch in batches:
             _, term, _, dl = _held_terms(batch.column(0), known.value)
+            n = batch.column(1).to_numpy()
             total[:n_terms] += np.bincount(term, minlength=n_terms)
-            total[n_terms:] += len(dl), len(dl) - batch.column(0).null_count, dl.sum()
+            total[n_terms:] += n.sum(), n[batch.column(0).is_valid().to_numpy(zero_copy_only=False)].sum(), dl.sum()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
 
     found = np.zeros(n_terms + 3, np.int64)
-    for r in tokens.select("t").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a term
+    every = tokens if shared is None else tokens.unionByName(shared)
+    for r in every.select("t", "rows").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a term
         found[r["term"]] = r["n"]
     df, (n, there, total) = found[:n_terms], found[n_terms:]
     average = max(total / max(there, 1), 1e-6)
     weight = times * np.repeat(np.log(1 + (n - df + 0.5) / (df + 0.5)), holders)
     # Scores nearer than that, over a score that no document exceeds, may be equal to nine places.
-    near = 4e-9 * (k1 + 1) * np.bincount(owner, weight, minlength=n_queries)
-    shared = spark.sparkContext.broadcast((terms, holders, owner, weight, near, ids))
+    near = 4e-9 * lengths * (k1 + 1) * np.bincount(owner, weight, minlength=n_queries)
+    model = spark.sparkContext.broadcast((terms, holders, owner, weight, near, ids))
 
-    def score(batches):
-        terms, holders, owner, weight, near, ids = shared.value
+    def score(batches, k=k):
+        terms, holders, owner, weight, near, ids = model.value
         begin, least, held, fresh = np.cumsum(holders) - holders, np.full(n_queries, -np.inf), [], 0
         for batch in batches:
             doc, term, tf, dl = _held_terms(batch.column(1), terms)
-            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / average))
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * (dl // batch.column(2).to_numpy())[doc] / average))
             each = holders[term]
             steps = np.cumsum(np.bincount(doc, each, minlength=len(dl)) + n_queries)
             start = 0
@@ -142,7 +155,10 @@ def _raw_scores(asked: DataFrame, tokens: DataFrame, k1: float, b: float, query_
         if held:
             yield from _named(_foremost(pa.concat_tables(held), k, near)[0], ids, schema)
 
-    return tokens.mapInArrow(score, schema)
+    single = tokens.mapInArrow(score, schema)
+    if shared is None:
+        return single
+    return single.unionByName(shared.mapInArrow(lambda batches: score(batches, None), schema).groupBy(query_id, key).agg(F.sum("raw").alias("raw")))
 
 
 def _named(rows: pa.Table, ids: pa.Array, schema: T.StructType) -> list[pa.RecordBatch]:

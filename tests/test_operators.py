@@ -172,6 +172,22 @@ def test_bm25_of_the_foremost(spark, monkeypatch, limits):
     assert every.count() > 5000 and few.count() <= 4 * 9 * 8  # 4 tasks of 5 a query, and some that are near the fifth
 
 
+def test_bm25_query_adds_up_rows_of_one_document(spark, tmp_path):
+    import duckdb
+
+    from evidentia.plans import search
+
+    docs = [(i, f"w{i % 7} w{i % 5} w{i % 3} w{i % 2}") for i in range(60)]
+    docs += [(3, "w3 w1 w0 w0"), (3, "w1 w1"), (4, None), (4, None), (5, "w2"), (90, None), (90, "w4"), (91, ""), (91, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "w1 w3"), (1, "w4 w4 w2"), (1, "w2 w0"), (2, "w6")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = search.bm25_topk(spark, str(tmp_path)).select("item_id", "doc_id", "rank", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(search.ORACLE["bm25_topk"]).fetchall()) and len(got) >= 25
+
+
 def test_bm25_query_shuffles_no_pairs(spark, tmp_path):
     from evidentia.plans import search
 
