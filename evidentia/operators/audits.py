@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,63 +29,91 @@ def union(checks: list[DataFrame]) -> DataFrame:
 #: Unlinked utterances that a check names unless told otherwise; of more it gives the number.
 LISTED = 100
 
+#: One record of the other side in a sum that counts those of one side by one.
+OTHER = 1 << 32
 
-def media_checks(shots: DataFrame, utterances: DataFrame, units: DataFrame, keyframes: DataFrame, videos: DataFrame, listed: int | None = LISTED) -> DataFrame:
+
+def media_checks(shots: DataFrame, utterances: DataFrame, units: DataFrame, keyframes: DataFrame, videos: DataFrame, listed: int | None = LISTED, versions: Sequence[str] = ()) -> DataFrame:
     """(video_id, name, passed, details): seven checks of each video's records, all videos at once. listed: unlinked utterances that are named; None is all.
 
     shots: video_id, pos, shot_id, start_s, end_s, keyframe_path; utterances: video_id, utterance_id, start_ms, end_ms; units: video_id, pos, shot_id,
-    start_ms, end_ms, keyframe_path, utterance_refs; keyframes: video_id, path (those that exist); videos: video_id, duration_ms.
+    start_ms, end_ms, keyframe_path, utterance_refs; keyframes: video_id, path (those that exist); videos: video_id, duration_ms, a row a video.
+
+    versions: names of at most 62 versions that every video has, each of which is checked and returned by itself (video_id, version, name, ...). Every record but
+    those of videos then has a column held, whose bit k says that version k has it: a record that versions share is shuffled once.
 
-    Every record becomes a few rows (video, space, key) with counts: what the checks ask is whether counts of a key agree. One aggregate by key and one by video answer
-    five checks, so no window holds a video; a timeline is whole if at each point as many shots begin as end, the video's own begin and end being counted
-    against them. Only references are joined with their utterances.
+    Every record becomes a few rows (video, space, key), and what the checks ask is whether counts of a key agree, those of one side by one and those of the
+    other by OTHER in one sum for each version, so that hash aggregates of whole numbers do and nothing is sorted. No window holds a video; a timeline is whole if at each
+    point as many shots begin as end, the video's own begin and end being counted against them. Shots and units of a place are dealt out once and counted by
+    their whole records, then by place. Only references are joined with their utterances.
     """
-    video = F.col("video_id")
-    ms = shots.select("video_id", "pos", "shot_id", F.rint(F.col("start_s") * 1000).cast("long").alias("start_ms"), F.rint(F.col("end_s") * 1000).cast("long").alias("end_ms"), "keyframe_path")
-    record = lambda: F.struct("shot_id", "start_ms", "end_ms", "keyframe_path")
-    none = F.lit(None).cast("struct<shot_id: string, start_ms: bigint, end_ms: bigint, keyframe_path: string>")
-    row = lambda space, key, n, m=0, x=none, y=none: F.struct(F.lit(space).alias("space"), key.cast("string").alias("key"), F.lit(n).cast("long").alias("n"), F.lit(m).cast("long").alias("m"), x.alias("x"), y.alias("y"))
-    tagged = lambda df, *rows: df.select("video_id", F.explode(F.array(*rows)).alias("t")).select("video_id", "t.*")
+    every = range(max(1, len(versions)))
+    held = lambda df: df if versions else df.withColumn("held", F.lit(1).cast("long"))
+    shots, utterances, units, keyframes = map(held, (shots, utterances, units, keyframes))
+    bit = lambda c, k: F.call_function("shiftright", F.col(c), F.lit(k)).bitwiseAND(1)
+    sums = lambda c: [F.sum(bit("held", k) * c).alias(f"c{k}") for k in every]
+    by_version = lambda df, *keys: df.select(*keys, F.posexplode(F.array(*[f"c{k}" for k in every])).alias("version", "c"))
+    row = lambda space, key, w: F.struct(F.lit(space).alias("space"), key.cast("string").alias("key"), (w if isinstance(w, Column) else F.lit(w)).cast("long").alias("w"))
+    tagged = lambda df, *rows: df.select("video_id", "held", F.explode(F.array(*rows)).alias("t")).select("video_id", "held", "t.*")
+    n, m = F.col("c").bitwiseAND(F.lit(OTHER - 1)), F.call_function("shiftright", F.col("c"), F.lit(32))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+
+    ms = shots.select("video_id", "pos", "shot_id", F.rint(F.col("start_s") * 1000).cast("long").alias("start_ms"), F.rint(F.col("end_s") * 1000).cast("long").alias("end_ms"), "keyframe_path", "held")
     backwards = F.when(F.col("end_ms") < F.col("start_ms"), 1).otherwise(0)
-    timed = utterances.join(videos, "video_id", "left")
-    inside = F.coalesce((F.col("start_ms") >= 0) & (F.col("start_ms") < F.col("end_ms")) & (F.col("end_ms") <= F.col("duration_ms")), F.lit(False))
-    refs = units.select("video_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), F.explode("utterance_refs").alias("r")).select("video_id", "a", "b", "r.*")
-    rows = union([
-        tagged(ms, row("point", F.col("start_ms"), 1, backwards), row("point", F.col("end_ms"), -1), row("id", F.concat(F.lit("s:"), "shot_id"), 1), row("frame", F.col("keyframe_path"), 1), row("pos", F.col("pos"), 1, 0, record())),
-        tagged(videos, row("point", F.lit(0), -1), row("point", F.col("duration_ms"), 1)),
-        tagged(timed, row("id", F.concat(F.lit("u:"), "utterance_id"), 1), row("range", F.lit("u"), 1, F.when(inside, 0).otherwise(1)), row("link", F.col("utterance_id"), 1)),
-        tagged(refs, row("link", F.col("utterance_id"), 0, 1)),
-        tagged(keyframes, row("frame", F.col("path"), 0, 1)),
-        tagged(units, row("pos", F.col("pos"), 0, 1, none, record())),
-    ])
-    keys = rows.groupBy("video_id", "space", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.min("x").alias("x"), F.min("y").alias("y"))
-    n, m, of = F.col("n"), F.col("m"), lambda space, c: F.coalesce(F.sum(F.when(F.col("space") == space, c)), F.lit(0))
-    wrong = lambda space, bad: of(space, F.coalesce(bad, F.lit(True)).cast("long"))
-    summed = keys.groupBy("video_id").agg(
-        wrong("point", (n != 0) | (m > 0)).alias("point"), wrong("id", n > 1).alias("id"), of("id", n).alias("ids"), of("id", F.when(F.col("key").startswith("s:"), n)).alias("shots"),
-        of("frame", F.when(m > 0, n)).alias("there"), of("frame", m).alias("found"), of("range", m).alias("range"), of("range", n).alias("utterances"),
-        wrong("pos", ~((n == 1) & (m == 1) & F.col("x").eqNullSafe(F.col("y")))).alias("pos"), of("pos", F.lit(1)).alias("places"), of("link", F.when(m == 0, n)).alias("missing"),
+    keys = union([
+        tagged(ms, row("point", F.col("start_ms"), 1), row("point", F.col("end_ms"), -1), row("back", F.lit(""), backwards), row("id", F.concat(F.lit("s:"), "shot_id"), 1), row("frame", F.col("keyframe_path"), 1)),
+        tagged(videos.withColumn("held", F.lit((1 << len(every)) - 1).cast("long")), row("point", F.lit(0), -1), row("point", F.col("duration_ms"), 1)),
+        tagged(utterances, row("id", F.concat(F.lit("u:"), "utterance_id"), 1)),
+        tagged(keyframes, row("frame", F.col("path"), OTHER)),
+    ]).groupBy("video_id", "space", "key").agg(*sums(F.col("w")))
+    of = lambda space, c: total(F.when(F.col("space") == space, c))
+    counted = by_version(keys, "video_id", "space", "key").groupBy("video_id", "version").agg(
+        (of("point", (F.col("c") != 0).cast("long")) + of("back", F.col("c"))).alias("point"), of("id", (n > 1).cast("long")).alias("id"), of("id", n).alias("ids"), of("id", F.when(F.col("key").startswith("s:"), n)).alias("shots"),
+        of("frame", F.when(m > 0, n)).alias("there"), of("frame", m).alias("found"),
     )
-    linked = refs.join(utterances.select("video_id", "utterance_id", F.col("start_ms").alias("c"), F.col("end_ms").alias("d")), ["video_id", "utterance_id"], "left")
+
+    # A place is right if it has one whole record, once as a shot and once as a unit; it counts 1 then, and more if it is wrong.
+    record = ["video_id", "pos", "shot_id", "start_ms", "end_ms", "keyframe_path"]
+    both = ms.select(*record, "held", F.lit(1).cast("long").alias("w")).unionByName(units.select(*record, "held", F.lit(OTHER).cast("long").alias("w")))
+    whole = both.repartition("video_id", "pos").groupBy(*record).agg(*sums(F.col("w")))
+    places = whole.groupBy("video_id", "pos").agg(*[F.sum(F.when(F.col(f"c{k}") == OTHER + 1, 1).when(F.col(f"c{k}") > 0, 2).otherwise(0)).alias(f"c{k}") for k in every])
+    placed = by_version(places, "video_id").groupBy("video_id", "version").agg(total((F.col("c") > 0).cast("long")).alias("places"), total((F.col("c") > 1).cast("long")).alias("pos"))
+
+    # Of all utterances the last end is held against the duration.
+    sound = F.coalesce((F.col("start_ms") >= 0) & (F.col("start_ms") < F.col("end_ms")), F.lit(False))
+    spans = utterances.groupBy("video_id").agg(*[F.struct(F.sum(bit("held", k)).alias("utterances"), F.sum(F.when(sound, 0).otherwise(bit("held", k))).alias("range"), F.max(F.when(bit("held", k) == 1, F.col("end_ms"))).alias("last")).alias(f"c{k}") for k in every])
+    spans = by_version(spans, "video_id").select("video_id", "version", "c.*")
+
+    refs = units.select("video_id", "held", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), F.explode("utterance_refs").alias("r")).select("video_id", "held", "a", "b", "r.*")
+    links = by_version(union([tagged(utterances, row("", F.col("utterance_id"), 1)), tagged(refs, row("", F.col("utterance_id"), OTHER))]).groupBy("video_id", "key").agg(*sums(F.col("w"))), "video_id", "key")
+    dangling = (n == 0) | F.col("key").isNull()
+    linked = links.groupBy("video_id", "version").agg(total(F.when(m == 0, n)).alias("missing"), total(F.when(dangling, m).otherwise(n * m)).alias("refs"), total(F.when(dangling, m)).alias("inexact"))
+    met = refs.join(utterances.select("video_id", "utterance_id", F.col("start_ms").alias("c"), F.col("end_ms").alias("d"), F.col("held").alias("of")), ["video_id", "utterance_id"])
     lo, hi = F.greatest("a", "c"), F.least("b", "d")
     fits = F.col("c").isNotNull() & (lo < hi) & (F.col("overlap_start_ms") == lo) & (F.col("overlap_end_ms") == hi) & (F.col("overlap_ms") == hi - lo)
-    exact = linked.groupBy("video_id").agg(F.count("*").alias("refs"), F.count_if(~F.coalesce(fits, F.lit(False))).alias("inexact"))
-    loose, times = keys.where((F.col("space") == "link") & (m == 0)), n
+    off = met.where(~F.coalesce(fits, F.lit(False))).select("video_id", F.col("held").bitwiseAND(F.col("of")).alias("held")).groupBy("video_id").agg(*sums(1))
+    off = by_version(off, "video_id").withColumnRenamed("c", "inexact")
+
+    figures = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [counted, placed, spans, linked, off])
+    summed = figures.groupBy("video_id", "version").agg(F.max("last").alias("last"), *[total(c).alias(c) for c in figures.columns if c not in ("video_id", "version", "last")])
+    loose, times = links.where((m == 0) & (n > 0)).select("video_id", "version", "key", n.alias("n")), F.col("n")
     if listed is not None:
-        loose, times = loose.withColumn("r", F.row_number().over(Window.partitionBy("video_id").orderBy("key"))).where(F.col("r") <= listed), F.least(n, F.lit(listed))
-    named = loose.groupBy("video_id").agg(F.array_join(F.array_sort(F.flatten(F.collect_list(F.array_repeat("key", times.cast("int"))))), ",").alias("names"))
-    all_ = summed.join(exact, "video_id", "left").join(named, "video_id", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+        loose, times = loose.withColumn("r", F.row_number().over(Window.partitionBy("video_id", "version").orderBy("key"))).where(F.col("r") <= listed), F.least("n", F.lit(listed))
+    named = loose.groupBy("video_id", "version").agg(F.array_join(F.array_sort(F.flatten(F.collect_list(F.array_repeat("key", times.cast("int"))))), ",").alias("names"))
+    all_ = summed.join(named, ["video_id", "version"], "left").join(videos.groupBy("video_id").agg(F.min("duration_ms").alias("duration_ms")), "video_id", "left")
+    zero = lambda c: F.col(c) == 0
+    inside = zero("range") & ((F.col("utterances") == 0) | F.coalesce(F.col("last") <= F.col("duration_ms"), F.lit(False)))
     more = F.coalesce("names", F.lit(""))
     if listed is not None:
         more = F.concat(more, F.when(F.col("missing") > listed, F.format_string(" of %d", "missing")).otherwise(""))
     results = [
         ("shot_timeline_contiguous", zero("point") & (F.col("shots") > 0), F.col("shots")), ("record_ids_unique", zero("id"), F.col("ids")),
-        ("one_keyframe_per_shot", (F.col("there") == F.col("shots")) & (F.col("found") == F.col("shots")), F.col("there")), ("utterances_within_timeline", zero("range"), F.col("utterances")),
-        ("evidence_units_match_shots", zero("pos"), F.col("places")), ("utterance_references_exact", zero("inexact"), F.coalesce("refs", F.lit(0))), ("all_utterances_linked", zero("missing"), more),
+        ("one_keyframe_per_shot", (F.col("there") == F.col("shots")) & (F.col("found") == F.col("shots")), F.col("there")), ("utterances_within_timeline", inside, F.col("utterances")),
+        ("evidence_units_match_shots", zero("pos"), F.col("places")), ("utterance_references_exact", zero("inexact"), F.col("refs")), ("all_utterances_linked", zero("missing"), more),
     ]
     checks = F.array(*[F.struct(F.lit(k).alias("name"), ok.alias("passed"), d.cast("string").alias("details")) for k, ok, d in results])
-    return all_.where(video.isNotNull()).select("video_id", F.explode(checks).alias("c")).select("video_id", "c.*")
+    version = [F.element_at(F.array(*map(F.lit, versions)), F.col("version") + 1).alias("version")] if versions else []
+    return all_.where(F.col("video_id").isNotNull()).select("video_id", *version, F.explode(checks).alias("c")).select("video_id", *["version"] * bool(versions), "c.*")
 
 
 def container_checks(probed: DataFrame, duration_ms: int) -> DataFrame:

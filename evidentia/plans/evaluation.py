@@ -281,6 +281,9 @@ def schema_audit(spark, sf_dir):
     return au.schema_errors(table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "text", "source"], {"lang": ("en", "de", "fr")})
 
 
+#: Positions that a task of media_audit begins with.
+MEDIA_ROWS = 1 << 17
+
 # A shot a second for each order, an utterance over every third; "sound" is as it should be, every other variant has one fault, in the
 # rows of some orders. A check's details are counts of the records that it saw, or the records that it names.
 MEDIA = """n AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders),
@@ -297,29 +300,41 @@ UNION ALL SELECT variant, 'evidence_units_match_shots', variant NOT IN ('gap', '
 UNION ALL SELECT variant, 'utterance_references_exact', variant NOT IN ('off', 'late'), (refs - CASE WHEN variant = 'unlinked' THEN (SELECT sum(1 + (e > (pos + 1) * 1000 AND pos + 1 < n)::INT) FROM u WHERE pos % 999 = 0) ELSE 0 END + CASE WHEN variant = 'twice' THEN 2 ELSE 0 END)::VARCHAR FROM v, c
 UNION ALL SELECT variant, 'all_utterances_linked', variant <> 'unlinked', CASE WHEN variant = 'unlinked' THEN (SELECT string_agg(id, ',' ORDER BY id) FROM u WHERE pos % 999 = 0) ELSE '' END FROM v""")
 def media_audit(spark, sf_dir):
-    """Each variant is a video of its own; all are checked at once, and every unlinked utterance is named."""
+    """Each variant is a version of one video; all are checked at once, what they share travels once, and every unlinked utterance is named."""
     faults = ("sound", "gap", "twice", "frameless", "late", "moved", "off", "unlinked")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
-    n = checkpointed(sp.ranked(o, ["k"]).withColumnRenamed("__rank", "pos"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-o.count() // MEDIA_ROWS))
+    n = checkpointed(sp.ranked(o, ["k"]).select(F.col("__rank").alias("pos")).repartitionByRange(tasks, "pos"))
     total = n.agg((F.count("*") * 1000).alias("total"))
-    shots = n.select("pos", F.format_string("shot_%08d", "pos").alias("shot_id"), (F.col("pos") * 1000).alias("start_ms"), ((F.col("pos") + 1) * 1000).alias("end_ms"), F.format_string("k/%08d.jpg", "pos").alias("keyframe_path"))
-    utts = n.where("pos % 3 = 0").join(F.broadcast(total)).select(F.format_string("utt_%08d", "pos").alias("utterance_id"), (F.col("pos") * 1000 + 250).alias("start_ms"), F.least("total", F.col("pos") * 1000 + 1750).alias("end_ms"), "total")
+    shots = n.select("pos", (F.col("pos") * 1000).alias("start_ms"), ((F.col("pos") + 1) * 1000).alias("end_ms"))
+    utts = n.where("pos % 3 = 0").join(F.broadcast(total)).select(F.col("pos").alias("utt"), (F.col("pos") * 1000 + 250).alias("start_ms"), F.least("total", F.col("pos") * 1000 + 1750).alias("end_ms"), "total")
     one = lambda df: df.withColumn("video", F.lit("v"))
-    joined = iv.overlap_join(one(shots), one(utts.drop("total")), ["video"])
-    refs = joined.groupBy("pos", "shot_id", "start_ms", "end_ms", "keyframe_path").agg(F.collect_list(F.when(F.col("right_utterance_id").isNotNull(), F.struct(F.col("right_utterance_id").alias("utterance_id"), "overlap_start_ms", "overlap_end_ms", "overlap_ms"))).alias("utterance_refs"))
-    each = lambda df: df.withColumn("video_id", F.explode(F.array(*map(F.lit, faults))))
-    is_, hit = lambda v: F.col("video_id") == v, lambda k: F.col("pos") % 1000 == k
-    third = F.col("utterance_id") == "utt_00000003"
-    seconds = each(shots).select("video_id", "pos", "shot_id", (F.col("start_ms") / 1000 + F.when(is_("gap") & hit(7), 0.5).otherwise(0.0)).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), "keyframe_path")
-    heard = each(utts).withColumn("end_ms", F.when(is_("late") & third, F.col("total") + 1).otherwise(F.col("end_ms"))).drop("total")
-    heard = heard.unionByName(heard.where(is_("twice") & third))
-    moved = F.transform("utterance_refs", lambda r: r.withField("overlap_ms", r["overlap_ms"] + F.when(is_("off") & hit(0), 1).otherwise(0)))
-    number = lambda r: F.substring(r["utterance_id"], 5, 8).cast("long")
-    linked = F.filter(moved, lambda r: ~is_("unlinked") | (number(r) % 999 != 0))
-    units = each(refs).withColumns({"keyframe_path": F.when(is_("moved") & hit(7), "elsewhere").otherwise(F.col("keyframe_path")), "utterance_refs": linked})
-    frames = each(shots).where(~(is_("frameless") & hit(5))).select("video_id", F.col("keyframe_path").alias("path"))
-    videos = total.select(F.explode(F.array(*map(F.lit, faults))).alias("video_id"), F.col("total").alias("duration_ms"))
-    return au.media_checks(seconds, heard, units, frames, videos, listed=None).withColumnRenamed("video_id", "variant")
+    number = lambda form, c: F.format_string(form, c)
+    spans = ["overlap_start_ms", "overlap_end_ms", "overlap_ms"]
+    joined = iv.overlap_join(one(shots), one(utts.drop("total")), ["video"], "inner").select(*shots.columns, F.struct(number("utt_%08d", "right_utt").alias("utterance_id"), *spans).alias("ref"))
+    refs = joined.unionByName(shots, allowMissingColumns=True).groupBy(*shots.columns).agg(F.collect_list("ref").alias("utterance_refs"))
+    held, bits = F.col("held"), {v: F.lit(1 << k).cast("long") for k, v in enumerate(faults)}
+    of_all = lambda df, *columns: df.select(F.lit("v").alias("video_id"), *columns, F.lit((1 << len(faults)) - 1).cast("long").alias("held"))
+    named = [number("shot_%08d", "pos").alias("shot_id"), number("k/%08d.jpg", "pos").alias("keyframe_path")]
+    hit, third = lambda k: F.col("pos") % 1000 == k, F.col("utt") == 3
+
+    def but(df, variant, where, **changed):
+        """Where a variant's records are others, they are parted from those of the rest."""
+        b = bits[variant]
+        parted = df.withColumn("held", F.explode(F.when(where, F.filter(F.array(held.bitwiseAND(F.bitwise_not(b)), held.bitwiseAND(b)), lambda x: x != 0)).otherwise(F.array(held))))
+        return parted.withColumns({c: F.when(where & (held == b), x).otherwise(F.col(c)) for c, x in changed.items()})
+
+    seconds = but(of_all(shots, "pos", (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), *named), "gap", hit(7), start_s=F.col("start_s") + 0.5)
+    heard = but(of_all(utts, "utt", number("utt_%08d", "utt").alias("utterance_id"), "start_ms", "end_ms", "total"), "late", third, end_ms=F.col("total") + 1)
+    again = third & (held.bitwiseAND(bits["twice"]) != 0)
+    heard = heard.withColumn("held", F.explode(F.when(again, F.array(held, bits["twice"])).otherwise(F.array(held)))).drop("utt", "total")
+    loose = lambda r: F.substring(r["utterance_id"], 5, 8).cast("long") % 999 == 0
+    units = but(of_all(refs, "pos", "start_ms", "end_ms", *named, "utterance_refs"), "moved", hit(7), keyframe_path=F.lit("elsewhere"))
+    units = but(units, "off", hit(0), utterance_refs=F.transform("utterance_refs", lambda r: r.withField("overlap_ms", r["overlap_ms"] + 1)))
+    units = but(units, "unlinked", F.exists("utterance_refs", loose), utterance_refs=F.filter("utterance_refs", lambda r: ~loose(r)))
+    frames = of_all(shots, "pos", named[1].alias("path")).withColumn("held", F.when(hit(5), held.bitwiseAND(F.bitwise_not(bits["frameless"]))).otherwise(held)).drop("pos")
+    videos = total.select(F.lit("v").alias("video_id"), F.col("total").alias("duration_ms"))
+    return au.media_checks(seconds, heard, units, frames, videos, listed=None, versions=faults).drop("video_id").withColumnRenamed("version", "variant")
 
 
 @plan("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders")

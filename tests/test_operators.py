@@ -256,6 +256,33 @@ def test_media_audit_query_names_every_unlinked_utterance(spark, tmp_path, monke
     assert got["unlinked", "all_utterances_linked"] == "utt_00000000,utt_00000999,utt_00001998" and got["sound", "all_utterances_linked"] == ""
 
 
+def test_media_audit_of_versions_is_that_of_videos(spark):
+    """Versions that share records are judged as if each were a video of its own."""
+    frame = lambda rows_, kind: spark.createDataFrame([("v", *x) for x in rows_], f"video_id string, {kind}, held long")
+    versions = ("sound", "gap", "late", "bare", "none")
+    shots_ = frame([(0, "s1", 0.0, 5.0, "k1", 15), (1, "s2", 5.0, 10.0, "k2", 13), (1, "s2", 5.5, 10.0, "k2", 2)], "pos long, shot_id string, start_s double, end_s double, keyframe_path string")
+    utts = frame([("u1", 1000, 2000, 11), ("u1", 1000, 10001, 4)], "utterance_id string, start_ms long, end_ms long")
+    units = frame([(0, "s1", 0, 5000, "k1", [("u1", 1000, 2000, 1000)], 7), (0, "s1", 0, 5000, "k1", [], 8), (1, "s2", 5000, 10000, "k2", None, 15)], f"pos long, shot_id string, start_ms long, end_ms long, keyframe_path string, utterance_refs {REFS}")
+    out = au.media_checks(shots_, utts, units, frame([("k1", 15), ("k2", 15)], "path string"), spark.createDataFrame([("v", 10000)], "video_id string, duration_ms long"), versions=versions).collect()
+    assert len(out) == 7 * len(versions)
+    assert {v: {r.name for r in out if r.version == v and not r.passed} for v in versions} == {
+        "sound": set(), "gap": {"shot_timeline_contiguous", "evidence_units_match_shots"}, "late": {"utterances_within_timeline", "utterance_references_exact"}, "bare": {"all_utterances_linked"}, "none": {"shot_timeline_contiguous"},
+    }
+    assert {r.version: r.details for r in out if r.name == "utterance_references_exact"} == {"sound": "1", "gap": "1", "late": "1", "bare": "0", "none": "0"}
+
+
+def test_media_audit_shuffles_what_variants_share_once(spark, tmp_path):
+    from evidentia.plans import evaluation
+
+    spark.range(30000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    sc = spark.sparkContext
+    stages = lambda: {x.stageId(): x.shuffleWriteRecords() for x in (all_.apply(i) for all_ in [sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)] for i in range(all_.size()))}
+    last = max(stages(), default=-1)
+    audit = evaluation.media_audit(spark, str(tmp_path))
+    assert "SortAggregate" not in audit._jdf.queryExecution().executedPlan().toString()
+    assert len(audit.collect()) == 56 and sum(n for k, n in stages().items() if k > last) < 25 * 30000
+
+
 def test_media_audit_has_few_exchanges(spark):
     frame = lambda kind: spark.createDataFrame([], f"video_id string, {kind}")
     df = au.media_checks(
